@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from estatelens.llm.common import read_table
 from estatelens.llm.exact_dedup import exact_dedup
+from estatelens.llm.simhash import simhash_components
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
