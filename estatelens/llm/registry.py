@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from estatelens.llm.common import read_table
 from estatelens.llm.exact_dedup import exact_dedup
+from estatelens.llm.quality_rules import quality_rules
 from estatelens.llm.simhash import simhash_components
 
 
@@ -19,9 +20,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
