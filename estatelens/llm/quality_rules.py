@@ -130,9 +130,9 @@ def fit(histogram: dict[int, int]) -> tuple[float, list[dict[int, float]]]:
     return prior, odds
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs, as written, with _q and the columns _base_failed, _probability and _kept."""
-    rated = written(measured(docs).withColumn("_votes", _coded(F.col("_q"))), "votes")
+def judged(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of docs, as written, with _q and the columns _base_failed, _probability and _kept."""
+    rated = written(measured(docs).withColumn("_votes", _coded(F.col("_q"))).select(*columns, "_q", "_votes"), "votes")
     prior, odds = fit({r["_votes"]: r["n"] for r in rated.groupBy("_votes").agg(F.count("*").alias("n")).collect()})
     digit = lambda k: F.floor(F.col("_votes") / 3**k) % 3
     logit = F.lit(prior)
@@ -146,11 +146,11 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the base measures, base_failed, kept, and the posterior probability of good."""
-    out = judged(docs.select("doc_id", "text"))
+    out = judged(docs.select("doc_id", "text"), ["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *[F.col("_q")[n].alias(n) for n in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_probability").alias("probability"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    return judged(docs).filter("_kept").select(*docs.columns)
+    return judged(docs, docs.columns).filter("_kept").select(*docs.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from estatelens.llm.common import read_table
 from estatelens.llm.exact_dedup import exact_dedup
 from estatelens.llm.license_scan import license_scan
+from estatelens.llm.quality_classifier import quality_scores
 from estatelens.llm.quality_rules import quality_rules
 from estatelens.llm.sentencepiece_codec import round_trip_digests
 from estatelens.llm.simhash import simhash_components
@@ -19,6 +20,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
