@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from estatelens.llm.common import read_table
 from estatelens.llm.exact_dedup import exact_dedup
 from estatelens.llm.license_scan import license_scan
+from estatelens.llm.packing import pack
 from estatelens.llm.quality_classifier import quality_scores
 from estatelens.llm.quality_rules import quality_rules
 from estatelens.llm.sentencepiece_codec import round_trip_digests
 from estatelens.llm.simhash import simhash_components
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
