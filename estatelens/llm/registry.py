@@ -13,6 +13,7 @@ from estatelens.llm.license_scan import license_scan
 from estatelens.llm.packing import pack
 from estatelens.llm.quality_classifier import quality_scores
 from estatelens.llm.quality_rules import quality_rules
+from estatelens.llm.secret_scan import secret_scan
 from estatelens.llm.sentencepiece_codec import round_trip_digests
 from estatelens.llm.simhash import simhash_components
 
@@ -33,6 +34,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"), "source")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
