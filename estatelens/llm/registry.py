@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from estatelens.llm.common import read_table
 from estatelens.llm.exact_dedup import exact_dedup
 from estatelens.llm.license_scan import license_scan
+from estatelens.llm.line_dedup import line_dedup
 from estatelens.llm.packing import pack
 from estatelens.llm.quality_classifier import quality_scores
 from estatelens.llm.quality_rules import quality_rules
@@ -30,6 +31,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
