@@ -14,6 +14,7 @@ from estatelens.llm.line_dedup import line_dedup
 from estatelens.llm.packing import pack
 from estatelens.llm.quality_classifier import quality_scores
 from estatelens.llm.quality_rules import quality_rules
+from estatelens.llm.repeats import repeats
 from estatelens.llm.secret_scan import secret_scan
 from estatelens.llm.sentencepiece_codec import round_trip_digests
 from estatelens.llm.simhash import simhash_components
@@ -31,6 +32,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
