@@ -244,6 +244,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, in
         lambda: (x := draw(hexa, rng.choice([16, 17, 18, 20, 24, 32, 40, 64])), assign(name(), x)),
         lambda: (x := draw(word, rng.randrange(12, 64)), assign(name(), x)),
         lambda: (x := draw(mixed, rng.randrange(8, 24)), assign(rng.choice(["password", "pwd", "db_password", "passwd"]), x)),
+        lambda: (x := "".join(draw("etaoinshrdlucmp", rng.randrange(3, 8)) + draw(string.digits, rng.randrange(1, 4)) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "!", "#"]), assign(rng.choice(["password", "pwd", "passwd"]), x)),
         lambda: (x := "AKIA" + draw(string.ascii_uppercase + string.digits, 16), rng.choice([x, assign("access_key", x)])),
         lambda: (x := rng.choice(["ghp_", "gho_"]) + draw(word, 36), rng.choice([x, assign("token", x)])),
         lambda: (x := "sk_live_" + draw(word, 24), rng.choice([x, assign("key", x)])),

@@ -1,0 +1,380 @@
+"""Each operator against brute force on a small fixture with every odd case."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+from estatelens.llm import components, exact_dedup, license_scan, line_dedup, packing, quality_classifier, quality_rules, repeats, secret_scan, sentencepiece_codec, simhash
+from tests.llm.conftest import edge_rows, make, words
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ORDER = lambda i: (i is None, i or 0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def roots(n, pairs):
+    up = list(range(n))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        p, q = sorted((top(a), top(b)))
+        up[q] = p
+    return [top(x) for x in range(n)]
+
+
+def test_exact_dedup(edge):
+    rows = edge_rows()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), ORDER(i), i))
+    got = exact_dedup.exact_dedup(edge).collect()
+    assert len(got) == len(rows)
+    want = Counter((i, min(groups[k])[2], len(groups[k]), i == min(groups[k])[2], hashlib.sha256(k.encode()).hexdigest()) for i, t in rows for k in [re.sub(r"[\x20\x09-\x0D]", "", t or "")])
+    assert Counter(map(tuple, got)) == want
+
+
+def test_radix_trie_spills_without_loss():
+    rng = random.Random(1)
+    keys = [bytes(rng.choices(b"ab", k=rng.randrange(0, 12))) for _ in range(2000)]
+    trie, got = exact_dedup.RadixTrie(), Counter()
+    for k, key in enumerate(keys):
+        trie.insert(key, 1, k)
+        if trie.bytes > 300:
+            got.update({x: o.count for x, o in trie.spill(100)})
+    got.update({x: o.count for x, o in trie.drain()})
+    assert got == Counter(keys)
+
+
+def test_drop_exact_copies_keeps_columns(edge):
+    out = exact_dedup.drop_exact_copies(edge)
+    assert out.columns == edge.columns
+    assert {r["doc_id"] for r in out.collect()} == {r["keep_id"] for r in exact_dedup.exact_dedup(edge).collect()}
+
+
+def brute_print(text):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_simhash(edge):
+    rows = edge_rows()
+    prints = [brute_print(t) for _, t in rows]
+    top = roots(len(rows), [(a, b) for a, b in combinations(range(len(rows)), 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    least = defaultdict(lambda: None)
+    for k, (i, _) in enumerate(rows):
+        if i is not None and (least[top[k]] is None or i < least[top[k]]):
+            least[top[k]] = i
+    want = Counter((i, f"{prints[k]:016x}", least[top[k]]) for k, (i, _) in enumerate(rows))
+    assert Counter(map(tuple, simhash.simhash_components(edge).collect())) == want
+
+
+def test_golay_keys_meet_at_two_errors():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 23, 3000)
+    for a, b in [(None, None), (3, None), (3, 17), (0, 22), (10, 11)]:
+        y = x ^ (0 if a is None else 1 << a) ^ (0 if b is None else 1 << b)
+        (ka, ua), (kb, ub) = simhash.golay_keys(x), simhash.golay_keys(y)
+        assert ((ka[:, :, None] == kb[:, None, :]) & ua[:, :, None] & ub[:, None, :]).any(axis=(1, 2)).all()
+
+
+@pytest.mark.parametrize("direct", [4096, 8])
+def test_simhash_links_lose_nothing(direct, monkeypatch):
+    monkeypatch.setattr(simhash, "DIRECT", direct)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = [base]
+    for _ in range(4):
+        near.append(near[-1] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
+    tight = base[0] ^ np.unique(np.array([sum(1 << int(i) for i in rng.choice(12, 3, replace=False)) for _ in range(60)], np.uint64))
+    prints = np.unique(np.concatenate([*near, tight]))
+    keys, rows = simhash.fuzzy_keys(prints)
+    a, b = simhash.bucket_links(keys, prints[rows])
+    place = {int(p): k for k, p in enumerate(prints)}
+    got = roots(len(prints), [(place[int(x)], place[int(y)]) for x, y in zip(a, b, strict=True)])
+    want = roots(len(prints), [(x, y) for x, y in combinations(range(len(prints)), 2) if (int(prints[x]) ^ int(prints[y])).bit_count() <= 4])
+    assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7), (None, 3)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(pairs, "x long, y long")).collect()))
+    linked = [(a, b) for a, b in pairs if a is not None and a != b]
+    top = roots(6000, linked)
+    assert got == {x: top[x] for p in linked for x in p}
+
+
+def brute_measures(text):
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    covered = {q for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for q in range(k, k + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark, edge):
+    junk = [(600 + k, "b*d#$ " * 40) for k in range(5)] + [(700, "same line of a few words here\n" * 30), (701, "a b c d e f g h i j k l m n " * 3 + words(random.Random(1), 60))]
+    rows = edge_rows() + junk
+    got = quality_rules.quality_rules(make(spark, rows)).collect()
+    assert Counter(map(tuple, ((r[0], *r[1:6], r[6]) for r in got))) == Counter((i, *(m := brute_measures(t)), m[0] < 20 or 100 * m[4] > 30 * m[0]) for i, t in rows)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not any(kept[600 + k] for k in range(5)) and not kept[700] and not kept[500]
+    assert all(kept[300 + k] for k in range(8)) and kept[507]
+
+
+def test_quality_rules_fit_without_rows():
+    prior, odds = quality_rules.fit({})
+    assert prior == 0 and all(v == 0 for by in odds for v in by.values())
+
+
+def test_line_dedup(edge):
+    rows = edge_rows()
+    lines = [(i, k, line) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
+    filled = sorted({x for _, _, x in lines if x.strip(" \t\n\v\f\r")})
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in filled]
+    pairs = [(a, b) for a, b in combinations(range(len(filled)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    top = dict(zip(filled, roots(len(filled), pairs), strict=True))
+    first = {}
+    for i, k, x in sorted(lines, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        first.setdefault(top.get(x), (i, k))
+    want = Counter((i, k, x not in top or first[top[x]] == (i, k)) for i, k, x in lines)
+    got = line_dedup.line_dedup(edge).collect()
+    assert Counter((r["doc_id"], r["line_no"], r["kept"]) for r in got) == want
+    assert pairs  # the fixture has near-duplicate lines
+
+
+def test_drop_repeated_lines(spark):
+    docs = make(spark, [(1, "a first line of text\nother words stand here"), (2, "a first line of text\n\nand a third kind of line"), (3, None)])
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert out == {1: "a first line of text\nother words stand here", 2: "\nand a third kind of line", 3: None}
+
+
+def brute_repeats(rows):
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: ORDER(r[0])):
+        b = (t or "").encode()
+        marks = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if seen.setdefault(b[k : k + 100], (ORDER(i), k)) < (ORDER(i), k):
+                marks[k : k + 100] = b"\1" * 100
+        kept = bytes(x for x, m in zip(b, marks, strict=True) if not m)
+        spans = sum(1 for k in range(len(b)) if marks[k] and not (k and marks[k - 1]))
+        out[i, t] = (i, len(b), sum(marks), spans, hashlib.sha256(kept).hexdigest())
+    return Counter(out[r] for r in rows)
+
+
+@pytest.mark.parametrize("many", [2000, 1])
+def test_repeats(edge, many, monkeypatch):
+    monkeypatch.setattr(repeats, "MANY", many)
+    got = Counter(map(tuple, repeats.repeats(edge).collect()))
+    assert got == brute_repeats(edge_rows())
+    assert sum(r[2] for r in got) > 1000
+
+
+def test_cover_holds_every_difference():
+    assert all(0 <= repeats.cover_shift(a, b) < repeats.MODULUS for a in range(repeats.MODULUS) for b in range(repeats.MODULUS))
+
+
+def test_sorted_block_against_pairs():
+    rng = np.random.default_rng(4)
+    n = 60
+    rows = rng.integers(97, 99, (n, repeats.WIDTH)).astype(np.uint8)
+    rows[20:40] = rows[:20]
+    rows[20:40, :30] = 120
+    left, span = rng.integers(0, 60, n), np.zeros(n, int)
+    span = np.minimum(left, rng.integers(0, 60, n))
+    doc, first = rng.permutation(n), rng.integers(0, 1000, n)
+    got = set(zip(*map(np.ndarray.tolist, repeats.sorted_block(rows, left, span, doc, first)), strict=True))
+    seen = defaultdict(list)
+    for r in range(n):
+        for k in range(span[r] + 1):
+            start = repeats.CENTRE - left[r] + k
+            seen[start, rows[r, start : start + 100].tobytes()].append(((doc[r], first[r] + k), (r, k)))
+    assert got == {p for group in seen.values() for at, p in group if at > min(group)[0]}
+
+
+def brute_base(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, label) for phrase, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_scan(spark, edge):
+    rows = edge_rows() + [(800, "cc by cc by CC-BY cc, by é all rights reserved all rights reserved"), (801, "under the terms of the GNU General Public License version 3 or later")]
+    got = license_scan.license_scan(make(spark, rows)).collect()
+    assert Counter(tuple(r)[:6] for r in got) == Counter((i, *brute_base(t)) for i, t in rows)
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert "apache-2.0" in labels[513].split(",") and {"cc-by", "cc-by-4.0", "reserved"} <= set(labels[513].split(","))
+    assert {"gpl", "gpl-3"} <= set(labels[801].split(","))
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert len(license_scan.rules()) > 200
+
+
+def test_suppression_against_pairs():
+    rng = random.Random(6)
+    for _ in range(300):
+        found = [license_scan.Detection("x", i, rng.randrange(3), 0.5, a := rng.randrange(12), a + rng.randrange(1, 6)) for i in range(rng.randrange(9))]
+        rank = lambda d: (-d.priority, d.first - d.end, d.rule, d.first)
+        want = [d for d in found if not any(e.first <= d.first and e.end >= d.end and rank(e) < rank(d) for e in found)]
+        assert license_scan.suppressed(found) == sorted(want, key=lambda d: (d.first, d.rule))
+
+
+def test_sentencepiece_equals_the_library(edge):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = Counter()
+    for i, t in edge_rows():
+        ids = library.encode(t or "")
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, sentencepiece_codec.round_trip_digests(edge, PIECES).collect())) == want
+
+
+def test_sentencepiece_on_random_text():
+    codec = sentencepiece_codec.ChunkCodec(PIECES)
+    rng = random.Random(7)
+    bits = [*"  ▁ab\n\t\0é①中​", "<s>", "<unk>", "   ", "the", "<0x41>"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(3000)]
+    assert codec.apart
+    assert codec.encode_all(texts) == codec.library.encode(texts)
+
+
+def test_sentencepiece_round_trip(edge):
+    coded = sentencepiece_codec.encode(edge, PIECES)
+    got = Counter((r["doc_id"], r["text"]) for r in sentencepiece_codec.decode(coded, PIECES).collect())
+    assert got == Counter((i, (t or "").replace("▁", " ")) for i, t in edge_rows())
+
+
+def test_packing(edge):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    got = packing.pack(edge, BPE).collect()
+    ids = defaultdict(list)
+    for i, t in edge_rows():
+        ids[i].append([*library.encode(t or "", add_special_tokens=False).ids, 0])
+    want = Counter()
+    for i, every in ids.items():
+        for x in every:
+            edges = [0, *range(len(x) % 2048 or 2048, len(x) + 1, 2048)] if len(x) > 2048 else [0, len(x)]
+            want.update((i, k, a, b - a, zlib.crc32(np.array(x[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    assert Counter(tuple(r)[:5] for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(bins) == packing.lower_bound(Counter(r["length"] for r in got), 2048)
+
+
+def test_bin_completion_is_close_to_the_bound():
+    rng, over = random.Random(8), 0
+    for _ in range(100):
+        counts = Counter(rng.choices(range(1, 101), k=rng.randrange(1, 60)))
+        found = packing.bin_completion(counts, 100)
+        used = Counter()
+        for filling, n in found.items():
+            assert sum(filling) <= 100
+            used.update({s: k * n for s, k in Counter(filling).items()})
+        assert used == counts
+        assert sum(found.values()) <= sum(packing.best_fit(counts, 100).values())
+        over += sum(found.values()) - packing.lower_bound(counts, 100)
+    assert over <= 15
+
+
+def test_bin_completion_beats_best_fit():
+    counts = Counter({44: 1, 34: 1, 59: 1, 21: 1, 46: 1, 14: 1, 18: 1, 55: 1, 20: 1, 47: 1, 40: 1})
+    assert sum(packing.best_fit(counts, 100).values()) > packing.lower_bound(counts, 100)
+    assert sum(packing.bin_completion(counts, 100).values()) == packing.lower_bound(counts, 100)
+
+
+def test_quality_classifier_held_out(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        rows.append((i, ("&&& $$$ " * rng.randrange(3, 20) if bad else "") + words(rng, rng.randrange(5, 60))))
+        if i % 2:
+            labels.append((i, 0 if bad else 1, 0))
+    rows += [(1000, None), (1001, ""), (None, "plain words stand here"), (3, rows[3][1])]
+    labels += [(5, None, 0), (99999, 1, 0)]
+    out = quality_classifier.quality_scores(make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out if r["doc_id"] is not None)
+    held = [r for r in out if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 900]
+    assert sum((r["doc_id"] % 3 != 0) == (r["predicted"] == 1) for r in held) >= 0.97 * len(held) > 50
+
+
+def test_quality_classifier_odd_labels(spark, edge):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in quality_classifier.quality_scores(edge, none).collect()} == {0.5}
+    one = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    assert min(r["score"] for r in quality_classifier.quality_scores(edge, one).collect()) > 0.9
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(1)
+    x = np.arange(200.0)
+    centres, heights = quality_classifier.pooled(x, rng.integers(0, 4, 200).astype(float), rng.integers(0, 4, 200).astype(float))
+    assert (np.diff(heights) > 0).all() and (np.diff(centres) > 0).all()
+
+
+def test_secret_scan(edge):
+    got = {(r["doc_id"], r["kept"]): r for r in secret_scan.secret_scan(edge, "source").collect()}
+    texts = dict(edge_rows())
+    for i, secret in ((510, "0123456789abcdef" * 2), (511, "hunter2hunter9")):
+        r = got[i, True]
+        assert texts[i][r["start"] : r["start"] + r["length"]] == secret
+        assert r["secret_sha256"] == hashlib.sha256(secret.encode()).hexdigest()
+    assert (512, True) not in got and (512, False) in got
+
+
+def test_secret_forest_held_out():
+    forest = secret_scan.default_forest()
+    rows, labels = [], []
+    for text, start, end, path, label in secret_scan.labelled_findings(800, 123):
+        rule = next((c.rule for c in secret_scan.candidates(text) if c.start < end and start < c.end), len(secret_scan.RULES))
+        rows.append(secret_scan.features(text, start, end, rule, path))
+        labels.append(label)
+    assert ((forest.score(np.array(rows)) >= 0.5) == np.array(labels)).mean() > 0.97
+
+
+def test_redact(edge):
+    out = secret_scan.redact(edge, "source")
+    assert out.columns == edge.columns and out.dtypes == edge.dtypes
+    got = by_id(out)
+    assert got[510]["text"] == 'the token = "[REDACTED]" here' and got[510]["n_chars"] == len(got[510]["text"])
+    texts = dict(edge_rows())
+    assert all(r["text"] == texts[i] for i, r in got.items() if i not in (510, 511))
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    outs = [exact_dedup.exact_dedup(empty), simhash.simhash_components(empty), quality_rules.quality_rules(empty), line_dedup.line_dedup(empty), repeats.repeats(empty), license_scan.license_scan(empty)]
+    outs += [license_scan.license_detections(empty), sentencepiece_codec.round_trip_digests(empty, PIECES), packing.pack(empty, BPE), quality_classifier.quality_scores(empty, labels), secret_scan.secret_scan(empty)]
+    outs += [exact_dedup.drop_exact_copies(empty), simhash.drop_near_copies(empty), quality_rules.keep_good(empty), secret_scan.redact(empty), line_dedup.drop_repeated_lines(empty)]
+    assert all(x.count() == 0 for x in outs)
