@@ -15,11 +15,10 @@ from estatelens.common import cut_lineage
 def span_pairs(spans: DataFrame, within_traces: bool = False) -> DataFrame:
     """Each span with its parent of another service. Of spans with one id, the last in order is the parent."""
     key = ["trace_id", "span_id"] if within_traces else ["span_id"]
-    last = spans.groupBy(*key).agg(F.max_by("service", "ord").alias("from_service"))
-    child = spans.filter(F.coalesce("parent_span_id", F.lit("")) != "")
-    on = [child["parent_span_id"] == last["span_id"]] + ([child["trace_id"] == last["trace_id"]] if within_traces else [])
-    found = child.join(last, on).filter("from_service <> service")
-    return found.select("from_service", F.col("service").alias("to_service"), child["operation"], child["ord"])
+    last = spans.groupBy(*key).agg(F.max_by("service", "ord").alias("from_service")).withColumnRenamed("span_id", "parent_span_id")
+    child = spans.filter(F.coalesce("parent_span_id", F.lit("")) != "").select(*(["trace_id"] if within_traces else []), "parent_span_id", F.col("service").alias("to_service"), "operation", "ord")
+    found = child.join(last, ["trace_id", "parent_span_id"] if within_traces else "parent_span_id").filter("from_service <> to_service")
+    return found.select("from_service", "to_service", "operation", "ord")
 
 
 def service_edges(spans: DataFrame, within_traces: bool = False) -> DataFrame:
