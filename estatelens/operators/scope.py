@@ -80,17 +80,18 @@ def matching_targets(hosts: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select(F.col("target")).distinct().withColumns({"kind": target_kind(F.col("target")), "base": F.split_part("target", F.lit("/"), F.lit(1)), "bits": F.split_part("target", F.lit("/"), F.lit(2)).try_cast("int")})
     block = F.pow(F.lit(2.0), 32 - F.col("bits")).cast("long")
     hex_bits = F.floor(F.col("bits") / 4).cast("int")
+    plain = lambda name: F.coalesce(ipv6_to_hex(name), name)
     key = (
         F.when(F.col("kind") == "cidr4", F.concat(F.lit("4:"), F.col("bits").cast("string"), F.lit(":"), F.floor(ipv4_to_long(F.col("base")) / block).cast("string")))
         .when(F.col("kind") == "cidr6", F.concat(F.lit("6:"), hex_bits.cast("string"), F.lit(":"), F.substring(ipv6_to_hex(F.col("base")), F.lit(1), hex_bits)))
         .when(F.col("kind") == "glob", F.concat(F.lit("g:"), F.substring("target", 3, 1 << 20)))
-        .otherwise(F.concat(F.lit("="), normalize_host(F.col("target"))))
+        .otherwise(F.concat(F.lit("="), plain(normalize_host(F.col("target")))))
     )
     keyed = t.filter("kind <> 'invalid'").withColumn("key", key)
     host = F.col("host")
     v4, v6 = ipv4_to_long(host), ipv6_to_hex(host)
     keys = F.concat(
-        F.array(F.concat(F.lit("="), host), F.concat(F.lit("g:"), F.regexp_replace(host, r"^[^.]*\.", ""))),
+        F.array(F.concat(F.lit("="), plain(host)), F.concat(F.lit("g:"), F.regexp_replace(host, r"^[^.]*\.", ""))),
         F.when(v4.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: F.concat(F.lit("4:"), n.cast("string"), F.lit(":"), F.floor(v4 / F.pow(F.lit(2.0), 32 - n).cast("long")).cast("string")))).otherwise(F.array().cast("array<string>")),
         F.when(v6.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: F.concat(F.lit("6:"), n.cast("string"), F.lit(":"), F.substring(v6, F.lit(1), n)))).otherwise(F.array().cast("array<string>")),
     )
