@@ -18,8 +18,8 @@ def canonical_json(text: Column) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    """A string as JSON."""
-    return F.substring(F.to_json(F.struct(text.alias("x"))), 6, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.struct(text.alias("x")))) - 6)
+    """A string as JSON: what stands for x in {"x":...}."""
+    return F.rtrim(F.substring(F.to_json(F.struct(text.alias("x"))), 6, 1 << 30), F.lit("}"))
 
 
 def _hash_of(size: int, **fields: Column) -> Column:
@@ -33,7 +33,7 @@ def asset_id(primitive: Column, parameters: Column, purpose: Column) -> Column:
 
 
 def occurrence_id(system_id: Column, asset: Column, control_class: Column) -> Column:
-    return _hash_of(24, assetId=_quoted(asset), controlClass=_quoted(control_class), systemId=_quoted(system_id))
+    return _hash_of(24, assetId=F.concat(F.lit('"'), asset, F.lit('"')), controlClass=_quoted(control_class), systemId=_quoted(system_id))
 
 
 def _number(parameters: Column, *keys: str) -> Column:
