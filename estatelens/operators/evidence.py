@@ -132,3 +132,9 @@ def explained(nodes: DataFrame) -> DataFrame:
 def level_summary(occ: DataFrame) -> DataFrame:
     """Occurrences per control class and assertion level: the flagship result."""
     return occ.groupBy("control_class", "level").agg(F.count("*").alias("occurrences"), F.count_if("tainted").alias("tainted"))
+
+
+def histograms(found: DataFrame) -> DataFrame:
+    """Findings by modality and by primitive: dimension, value, n."""
+    both = F.explode(F.array(F.struct(F.lit("modality").alias("dimension"), F.col("modality").alias("value")), F.struct(F.lit("primitive").alias("dimension"), F.col("primitive").alias("value"))))
+    return found.select(both.alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))

@@ -83,3 +83,16 @@ def systematic_sample(rows: DataFrame, order: list[str], size: int = 30, offset:
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / size))
     numbered = rows.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1 - offset).withColumn("_n", F.count("*").over(w))
     return numbered.filter((F.col("_k") >= 0) & (F.col("_k") % step == 0) & (F.col("_k") / step < size)).drop("_k", "_n")
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Ranked rows with what a person reads: due (years early or late) and driver (which date binds)."""
+    years = F.format_number(F.abs("slack_years"), 1)
+    due = F.when(F.col("late"), F.concat(F.lit("late by "), years, F.lit(" years"))).otherwise(F.concat(F.lit("due in "), years, F.lit(" years")))
+    driver = F.when(F.col("binding") == "REGULATORY", "a fixed deadline").when(F.col("x") > 0, "data recorded today must stay secret").otherwise("the assumed arrival of quantum computers")
+    return rows.withColumns({"due": due, "driver": driver})
+
+
+def overdue_by_control(rows: DataFrame) -> DataFrame:
+    """Late rows that are worked on, per control class."""
+    return rows.filter(F.col("late") & F.col("bucket").isin("confidentiality", "authenticity")).groupBy("control_class").agg(F.count("*").alias("overdue"))

@@ -164,3 +164,14 @@ def verdicts(evidence: DataFrame, walked: DataFrame, files: DataFrame, live: Dat
     if not any_entry:
         via = F.lit(None).cast("string")
     return out.withColumn("via", via).withColumn("reachable", F.when(F.col("via").isNotNull(), F.col("via") != "NONE")).select("occurrence_id", "reachable", "via", "hops", "reached_file")
+
+
+def why_unreached(evidence: DataFrame, walked: DataFrame, files: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Per occurrence with source evidence: the distinct reasons why its places are not reached, sorted and joined."""
+    rows = evidence.filter(F.col("modality").isin("SOURCE_AST", "SOURCE_CONFIG") & F.col("file").isNotNull())
+    rows = rows.join(walked.select("file", "hops"), "file", "left").join(files.select("file", "is_test"), "file", "left")
+    if live is not None:
+        rows = rows.join(live.select("file", F.col("name").alias("function"), F.lit(True).alias("_live")), ["file", "function"], "left")
+    idle = (F.col("function").isNotNull() & F.col("_live").isNull()) if live is not None else F.lit(False)
+    reason = F.when(F.coalesce("is_test", F.lit(False)), "only a test uses it").when(F.col("hops").isNull(), "no entry point imports its file").when(idle, "no exported function calls it")
+    return rows.groupBy("occurrence_id").agg(F.array_join(F.array_sort(F.collect_set(reason)), "; ").alias("reasons")).filter("reasons <> ''")

@@ -217,6 +217,26 @@ def f6(spark, sf):
     return ranking.systematic_sample(_occ(spark, sf).select("occurrence_id", "system_id"), ["occurrence_id"], partition=["system_id"])
 
 
+@query("k2_track_worklist", f"WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT occurrence_id, slack_years, binding FROM r WHERE bucket = 'authenticity'")
+def k2(spark, sf):
+    return _ranking(spark, sf).filter("bucket = 'authenticity'").select("occurrence_id", "slack_years", "binding")
+
+
+@query("c18_labels", f"WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT occurrence_id, CASE WHEN late THEN concat('late by ', printf('%.1f', abs(slack_years)), ' years') ELSE concat('due in ', printf('%.1f', abs(slack_years)), ' years') END AS due, CASE WHEN binding = 'REGULATORY' THEN 'a fixed deadline' WHEN x > 0 THEN 'data recorded today must stay secret' ELSE 'the assumed arrival of quantum computers' END AS driver FROM r")
+def c18(spark, sf):
+    return ranking.labelled(_ranking(spark, sf)).select("occurrence_id", "due", "driver")
+
+
+@query("e21_overdue_by_control", f"WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT control_class, count(*) AS overdue FROM r WHERE late AND bucket IN ('confidentiality', 'authenticity') GROUP BY 1")
+def e21(spark, sf):
+    return ranking.overdue_by_control(_ranking(spark, sf))
+
+
+@query("e20_histograms", f"WITH {_FOUND} SELECT 'modality' AS dimension, modality AS value, count(*) AS n FROM found GROUP BY 2 UNION ALL SELECT 'primitive', primitive, count(*) FROM found GROUP BY 2")
+def e20(spark, sf):
+    return evidence.histograms(synth.findings(spark, sf))
+
+
 # Changes and the gate
 
 _BOTH = f"""{_FOUND}, fa AS (SELECT * FROM found WHERE collected_at < TIMESTAMP '2000-01-01'), fb AS (SELECT * FROM found WHERE collected_at >= TIMESTAMP '1996-01-01'), {_occurrences("fa", "a")}, {_occurrences("fb", "b")}"""
@@ -778,6 +798,14 @@ def j5(spark, sf):
     return reach.verdicts(rows, walked, files).select("occurrence_id", "via", "reachable")
 
 
+@query("k19_why_unreached", f"""WITH RECURSIVE {_TREE}, w(k, hops) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT c, hops + 1 FROM w JOIN e ON p = k) SELECT CAST(p_partkey AS STRING) AS occurrence_id, CASE WHEN p_partkey % 50 = 49 THEN 'only a test uses it' ELSE 'no entry point imports its file' END AS reasons FROM part LEFT JOIN w ON k = p_partkey WHERE p_partkey % 50 = 49 OR k IS NULL""")
+def k19(spark, sf):
+    files, imports = _graph(spark, sf)
+    walked = reach.walk(reach.resolve_local(imports, files), reach.entry_points(files))
+    rows = files.select(F.regexp_extract("file", "f([0-9]+)", 1).alias("occurrence_id"), F.lit("SOURCE_AST").alias("modality"), "file")
+    return reach.why_unreached(rows, walked, files)
+
+
 # L: streams
 
 
