@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import assets as A
 from estatelens.functions import dims, naming
-from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS, score
+from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
 from estatelens.operators import changes, evidence, export, ranking, reach, scope, store, traces, views
 from estatelens.plans import synth
 from estatelens.sources import binaries, inventories, text_files
