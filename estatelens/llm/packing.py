@@ -17,7 +17,6 @@ packed once each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import Counter
 from collections.abc import Iterator

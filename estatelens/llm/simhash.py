@@ -235,7 +235,8 @@ def links(prints: DataFrame) -> DataFrame:
     distinct = written(prints.select("print").distinct(), "prints")
     rows = distinct.count()
     buckets = max(shuffle_partitions(prints.sparkSession), -(-rows * 181 * 16 // BUCKET_BYTES))
-    return distinct.mapInArrow(_keyed(buckets), "bucket long, keys binary, prints binary").groupBy("bucket").applyInArrow(_linked, "a long, b long")
+    # a fingerprint is 8 bytes and becomes 3 kB of keys: deal them out by what they become
+    return distinct.repartition(buckets).mapInArrow(_keyed(buckets), "bucket long, keys binary, prints binary").groupBy("bucket").applyInArrow(_linked, "a long, b long")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
