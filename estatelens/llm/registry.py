@@ -74,6 +74,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, unnest(range(length(h) // 2)) AS i, h FROM t),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s, substr(h, 2 * i + 1, 2) AS b FROM p),
+        f AS (SELECT doc_id, i, b, CASE WHEN length(s) = 200 AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS again FROM w),
+        g AS (SELECT doc_id, i, b, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 99 PRECEDING) AS gone FROM f),
+        e AS (SELECT doc_id, i, b, gone, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS edge FROM g),
+        a AS (SELECT doc_id, sum(gone) AS n_removed, sum(edge) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM t LEFT JOIN a USING (doc_id)""",
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
         r AS (SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM n)
