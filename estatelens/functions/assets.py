@@ -38,8 +38,7 @@ def occurrence_id(system_id: Column, asset: Column, control_class: Column) -> Co
 
 def _number(parameters: Column, *keys: str) -> Column:
     """The first of these parameters that is a number or a string of digits."""
-    values = [F.get_json_object(parameters, f"$.{k}") for k in keys]
-    return F.coalesce(*[F.when(v.rlike(r"^[0-9]+(\.[0-9]+)?$"), v.cast("double")) for v in values])
+    return F.coalesce(*[F.get_json_object(parameters, f"$.{k}").try_cast("double") for k in keys])
 
 
 def security_bits(primitive: Column, parameters: Column) -> Column:
@@ -64,14 +63,9 @@ def security_bits(primitive: Column, parameters: Column) -> Column:
 
 
 def quantum_vulnerable(primitive: Column, parameters: Column) -> Column:
-    bits = security_bits(primitive, parameters)
-    return (
-        F.when(primitive.isin(*dims.PQ_SAFE), False)
-        .when(primitive.isin(*dims.SHOR_BROKEN, *dims.CLASSICALLY_BROKEN), True)
-        .when(primitive.isin("AES", "ChaCha20"), F.coalesce(bits < 256, F.lit(False)))
-        .when(primitive.isin("SHA2", "SHA3"), F.coalesce(bits < 128, F.lit(False)))
-        .otherwise(False)
-    )
+    safe_from = F.when(primitive.isin("AES", "ChaCha20"), 256).when(primitive.isin("SHA2", "SHA3"), 128)
+    weak = F.coalesce(security_bits(primitive, parameters) < safe_from, F.lit(False))
+    return F.when(primitive.isin(*dims.PQ_SAFE), False).when(primitive.isin(*dims.SHOR_BROKEN, *dims.CLASSICALLY_BROKEN), True).otherwise(weak)
 
 
 def asset_name(primitive: Column, parameters: Column) -> Column:

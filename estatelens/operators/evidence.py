@@ -23,10 +23,20 @@ def identified(findings: DataFrame) -> DataFrame:
     return with_asset_facts(findings).withColumn("occurrence_id", occurrence_id(F.col("system_id"), F.col("asset_id"), F.col("control_class")))
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    """Findings counted by all that their ids are hashed from, by modality and by assumption.
+
+    Only the counts, far fewer, are hashed; column pruning drops the ids and asset facts of single findings
+    from the scan, and a plain count stays in generated code.
+    """
+    raw = found.groupBy("system_id", "primitive", "parameters", "purpose", "control_class", "modality", "assumption").agg(F.count("*").alias("n"))
+    rows = identified(raw).select("occurrence_id", *KEYS, "modality", "assumption", "n")
+    return rows.join(F.broadcast(dims.modalities(found.sparkSession)), "modality")
+
+
 def modality_tally(found: DataFrame) -> DataFrame:
     """Observations per occurrence and modality, with the modality's ceiling, group and place."""
-    tally = found.groupBy("occurrence_id", *KEYS, "modality").agg(F.count("*").alias("n"), F.array_compact(F.collect_set("assumption")).alias("assumptions"))
-    return tally.join(F.broadcast(dims.modalities(found.sparkSession)), "modality")
+    return _counted(found).groupBy("occurrence_id", *KEYS, "modality", "ceiling", "grp", "grp_ord").agg(F.sum("n").alias("n"))
 
 
 def group_winners(tally: DataFrame) -> DataFrame:
@@ -58,10 +68,9 @@ def downgrade_reason(confidence: Column, assumptions: Column, threshold: float =
 
 def occurrences(found: DataFrame, threshold: float = dims.CONFIRM_THRESHOLD) -> DataFrame:
     """One row per occurrence: keys, evidence count, modalities, assumptions, confidence, level and reason."""
-    tally = modality_tally(found)
     by_group = [F.max(F.when(F.col("grp") == g, F.col("ceiling"))).alias(f"g{g}") for g in range(dims.GROUPS)]
-    folded = tally.groupBy("occurrence_id", *KEYS).agg(
-        F.sum("n").alias("n_evidence"), F.array_sort(F.collect_set("modality")).alias("modalities"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("assumptions")))).alias("assumptions"), *by_group
+    folded = _counted(found).groupBy("occurrence_id", *KEYS).agg(
+        F.sum("n").alias("n_evidence"), F.array_sort(F.collect_set("modality")).alias("modalities"), F.array_sort(F.collect_set("assumption")).alias("assumptions"), *by_group
     )
     scored = folded.withColumn("confidence", noisy_or([F.col(f"g{g}") for g in range(dims.GROUPS)])).withColumn("tainted", F.size("assumptions") > 0)
     return scored.drop(*[f"g{g}" for g in range(dims.GROUPS)]).withColumns(
@@ -70,8 +79,14 @@ def occurrences(found: DataFrame, threshold: float = dims.CONFIRM_THRESHOLD) ->
 
 
 def assets(found: DataFrame) -> DataFrame:
-    """The distinct assets with all their columns."""
-    return found.select("asset_id", "primitive", "parameters", "purpose", "quantum_vulnerable", "security_bits", "oid", "asset_name", "track").dropDuplicates(["asset_id"])
+    """The distinct assets with all their columns, derived after the distinct.
+
+    The keys are read through the count, so that a filter on a derived column is not pushed below the
+    aggregate, where it would be computed for each finding instead of each asset.
+    """
+    keys = ["primitive", "parameters", "purpose"]
+    kinds = found.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.when(F.col("_n") > 0, F.col(k)).alias(k) for k in keys])
+    return with_asset_facts(kinds).select("asset_id", *keys, "quantum_vulnerable", "security_bits", "oid", "asset_name", "track")
 
 
 def assembled(found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.common import cut_lineage
 from estatelens.functions.mosca import PolicyPack, score
 
 
@@ -36,6 +37,7 @@ def placed(rows: DataFrame) -> DataFrame:
     over the few distinct slacks) plus its place among rows of equal slack, which a prefix of the id (a
     hash) splits further.
     """
+    rows = cut_lineage(rows, "ranked")  # read twice below
     head = F.substring("occurrence_id", 1, 2)
     cells = rows.withColumn("_head", head).groupBy("bucket", "slack_years", "_head").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("slack_years", "_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
