@@ -10,7 +10,7 @@ MinHash by one permutation. Two lines of similarity 0.8 share a band with
 odds of 98.5 %, of 0.9 with 99.9 %. Shingles of 12 characters make chance meetings of unlike lines rare.
 
 Candidates. Copies of a line are one node, so they cost nothing. In each band the lines are held against one
-of them, and those alike by their sketches are verified; the links give components. That is done STARS
+of them, and all that their sketches do not prove unlike are verified; the links give components. That is done STARS
 times with another line each time, over the bands that still hold several components. Then the lines of a
 band that are still in different components are held against each other in the same way. So no band emits
 its pairs, only those that may well be links. Verification computes the Jaccard similarity over all
@@ -31,9 +31,8 @@ from estatelens.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
 BANDS_LOG2, ROWS = 3, 4
-#: Hashes of a sketch, and the share of them that two lines must have in common to be verified. Lines of
-#: similarity 0.8 share 0.89 of their sketches, give or take 0.04, of 0.67 they share 0.8.
-SKETCH, SKETCH_SHARE = 48, 0.8
+#: Words of 64 bits in a sketch.
+SKETCH_WORDS = 8
 #: Rounds in which a band's lines are held against one of them before those still apart are held against each other.
 STARS = 3
 #: A line with more characters a word than this is not made of words.
@@ -84,8 +83,13 @@ def band_keys(line: Column) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """The SKETCH smallest hashes of a line."""
-    return F.slice(F.sort_array(F.array_distinct(_anchored(line))), 1, SKETCH)
+    """How many shingles a line has, and a bitmap of 64 * SKETCH_WORDS bits; each shingle flips one of them."""
+
+    def word(x: Column, w: int) -> Column:
+        ours = F.filter(x, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)) == w)
+        return F.aggregate(ours, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return _let(F.array_distinct(_every_shingle(line)), lambda x: F.struct(F.size(x).alias("n"), F.array(*[word(x, w) for w in range(SKETCH_WORDS)]).alias("bits")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -120,9 +124,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _alike(a: Column, b: Column) -> Column:
-    """Whether two sketches have enough in common for their lines to be verified."""
-    near = F.least(F.size(a), F.size(b)) >= SKETCH_SHARE * F.greatest(F.size(a), F.size(b))
-    return near & (F.size(F.array_intersect(a, b)) >= SKETCH_SHARE * F.least(F.size(a), F.size(b)))
+    """Whether lines with these sketches can be similar enough; only lines that surely are not are refused.
+
+    Lines with n and m shingles, d of them in one line only, have a similarity of (n + m - d) / (n + m + d). A shingle
+    of both lines flips a bit of both bitmaps, so these differ in d bits at most, and d is |n - m| at least.
+    """
+    apart = lambda d: d * (1 + SIMILARITY) <= (a["n"] + b["n"]) * (1 - SIMILARITY) + 1e-6
+    bits = [F.bit_count(F.get(a["bits"], F.lit(w)).bitwiseXOR(F.get(b["bits"], F.lit(w)))) for w in range(SKETCH_WORDS)]
+    return apart(F.abs(a["n"] - b["n"])) & apart(sum(bits[1:], bits[0]))
 
 
 def _open(bands: DataFrame, links: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from estatelens.llm import components, exact_dedup, license_scan, line_dedup, packing, quality_classifier, quality_rules, repeats, secret_scan, sentencepiece_codec, simhash
 from tests.llm.conftest import edge_rows, make, words
@@ -161,6 +162,36 @@ def test_line_dedup(edge):
     assert pairs  # the fixture has near-duplicate lines
 
 
+def shingles(line):
+    return {line[k : k + 12] for k in range(max(1, len(line) - 11))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def changed_lines():
+    """Pairs of lines, the second with a few letters changed, from one word to hundreds."""
+    rng = random.Random(7)
+    for k in range(900):
+        line = words(rng, rng.choice([1, 3, 5, 8, 12, 20, 40, 200]), 50)
+        other = list(line)
+        for _ in range(1 + k % 3):
+            other[rng.randrange(len(other))] = rng.choice("xyzä中 ")
+        yield line, "".join(other) + rng.choice(["", " more", " 2024"])
+
+
+def test_line_sketches_refuse_no_link(spark):
+    pairs = list(changed_lines())
+    pairs += [(a, b) for (a, _), (_, b) in zip(pairs, pairs[8:], strict=False)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup._alike(line_dedup.sketch(F.col("a")), line_dedup.sketch(F.col("b")))).collect()
+    near = [may for a, b, may in got if jaccard(a, b) >= 0.8]
+    assert len(near) > 100 and all(near)
+    far = [may for a, b, may in got if jaccard(a, b) < 0.5]
+    assert len(far) > 100 and sum(far) < 0.1 * len(far)
+
+
 def test_drop_repeated_lines(spark):
     docs = make(spark, [(1, "a first line of text\nother words stand here"), (2, "a first line of text\n\nand a third kind of line"), (3, None)])
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
