@@ -192,6 +192,28 @@ def test_line_sketches_refuse_no_link(spark):
     assert len(far) > 100 and sum(far) < 0.1 * len(far)
 
 
+def test_line_dedup_of_mixed_scripts(spark):
+    """The second line has one character more, which makes it a line of fewer words a character."""
+    rng = random.Random(3)
+    lines = []
+    for _ in range(40):
+        han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+        line = (han[:20] + " open " + han[20:40] + " data for all " + han[40:])[:80]
+        lines.append((line, line + "文"))
+    assert all(jaccard(a, b) >= 0.98 for a, b in lines)
+    docs = make(spark, [(k, "\n".join(pair)) for k, pair in enumerate(lines)])
+    assert line_dedup.line_dedup(docs).filter("kept").count() == len(lines)
+
+
+def test_line_bands_are_shared_at_every_length(spark):
+    pairs = [(a, b) for a, b in changed_lines() if jaccard(a, b) >= 0.8]
+    a, b = line_dedup.band_keys(F.col("a")), line_dedup.band_keys(F.col("b"))
+    got = spark.createDataFrame(pairs, "a string, b string").select(F.length("a").alias("n"), F.arrays_overlap(a, b).alias("met")).collect()
+    for low, high in ((0, 200), (200, 10**6)):
+        met = [r["met"] for r in got if low <= r["n"] < high]
+        assert len(met) > 20 and sum(met) >= 0.95 * len(met)
+
+
 def test_drop_repeated_lines(spark):
     docs = make(spark, [(1, "a first line of text\nother words stand here"), (2, "a first line of text\n\nand a third kind of line"), (3, None)])
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
