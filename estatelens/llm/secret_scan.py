@@ -1,7 +1,7 @@
 """Secret scans: candidate rules, then a random forest that removes false positives.
 
 Rules with a cheap gate (words that any match holds) propose candidates; of overlapping candidates the
-earlier rule's stays. Each candidate becomes features of its length, its characters and their transitions,
+earlier rule's stays. No rule bounds the length of a secret from above, so none is cut. Each candidate becomes features of its length, its characters and their transitions,
 how much of it dictionary words cover, its path and the words around it. A random forest, grown here from
 labelled findings, gives the odds of a real secret; candidates below THRESHOLD are marked as not kept.
 
@@ -50,26 +50,28 @@ class Rule:
 
 
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth(?:orization)?|credentials?|bearer)"
+#: Words that stand between a header and its secret.
+_SCHEMES = r"(?:bearer|basic|digest|token|apikey|negotiate)"
 #: Names, gates and expressions of the rules, in order.
 RULES = (
-    Rule("private_key", ("-----begin",), re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[\s\S]{16,8000}?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"), 0),
+    Rule("private_key", ("-----begin",), re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[\s\S]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"), 0),
     Rule("cloud_access_key", ("akia", "asia"), re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), 0),
-    Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-"), re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,80}|github_pat_[A-Za-z0-9_]{40,90}|glpat-[A-Za-z0-9_-]{20,40})\b"), 0),
-    Rule("chat_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,80}\b"), 0),
-    Rule("payment_key", ("sk_live_", "rk_live_", "sk_test_"), re.compile(r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,99}\b"), 0),
+    Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-"), re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,})\b"), 0),
+    Rule("chat_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}\b"), 0),
+    Rule("payment_key", ("sk_live_", "rk_live_", "sk_test_"), re.compile(r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b"), 0),
     Rule("maps_key", ("aiza",), re.compile(r"\bAIza[0-9A-Za-z_-]{35}\b"), 0),
-    Rule("package_token", ("npm_", "pypi-"), re.compile(r"\b(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,200})\b"), 0),
-    Rule("mail_key", ("sg.",), re.compile(r"\bSG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{32,64}\b"), 0),
-    Rule("web_token", ("eyj",), re.compile(r"\beyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000}"), 0),
-    Rule("url_password", ("://",), re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,60}:([^\s:/@]{3,100})@[A-Za-z0-9.-]+"), 1),
+    Rule("package_token", ("npm_", "pypi-"), re.compile(r"\b(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,})\b"), 0),
+    Rule("mail_key", ("sg.",), re.compile(r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{32,}\b"), 0),
+    Rule("web_token", ("eyj",), re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
+    Rule("url_password", ("://",), re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:([^\s:/@]{3,})@[A-Za-z0-9.-]+"), 1),
     Rule(
         "assignment",
         ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer"),
-        re.compile(rf"(?i)(?<![a-z0-9])[a-z0-9_.-]{{0,30}}?{_NAMES}[a-z0-9_.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|[=:]|\bis\b)\s{{0,3}}[\"'`]?([^\s\"'`,;<>()]{{6,200}})"),
+        re.compile(rf"(?i)(?<![a-z0-9])[a-z0-9_.-]{{0,30}}?{_NAMES}[a-z0-9_.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|[=:]|\bis\b)\s{{0,3}}[\"'`]?(?:{_SCHEMES}[ \t]{{1,3}})?([^\s\"'`,;<>()]{{6,}})"),
         1,
     ),
-    Rule("long_hex", (), re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])"), 0),
-    Rule("long_base64", (), re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[^\s]{0,200}[0-9])[A-Za-z0-9+/_-]{40,200}={0,2}(?![A-Za-z0-9+/=_-])"), 0),
+    Rule("long_hex", (), re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])"), 0),
+    Rule("long_base64", (), re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9]|[^\s]{0,200}[0-9])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/=_-])"), 0),
 )
 
 
