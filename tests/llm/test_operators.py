@@ -344,6 +344,16 @@ def test_packing(edge):
     assert len(bins) == packing.lower_bound(Counter(r["length"] for r in got), 2048)
 
 
+def test_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library, encode, end = Tokenizer.from_file(BPE), packing.encoder(BPE), "<|endoftext|>"
+    texts = [end, end * 2, f"a{end}b", f"{end}a b{end}", f"a {end} b", f"a\n{end}\n\n{end} b", f"<|endof{end}text|>", "<|endoftext|", f"  {end}  ", f"中{end}文 \t{end}"]
+    for text in texts:
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert encode(f"a{end}b").tolist() == [64, 50256, 65]
+
+
 def test_bin_completion_is_close_to_the_bound():
     rng, over = random.Random(8), 0
     for _ in range(100):
