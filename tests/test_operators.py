@@ -201,3 +201,20 @@ def test_empty_findings(spark):
     for df in (occ, known, views.divergences(occ, known), export.components(occ, known), ranking.ranked(occ, known, mosca.EO_14412, 2026.66), changes.diff(occ, occ, known)):
         assert df.count() == 0
     assert views.coverage(occ).count() == 10 and not any(r["examined"] for r in views.coverage(occ).collect())
+
+
+def test_reachable_services_through_cycles_equals_brute_force(spark):
+    rng = random.Random(4)
+    names = [f"svc-{k:02d}" for k in range(24)]
+    pairs = sorted({(rng.choice(names[:20]), rng.choice(names[:20])) for _ in range(45)} | {("svc-00", "svc-15"), ("svc-15", "svc-03"), ("svc-03", "svc-00")})
+    want, level = {"svc-00": (0, ["svc-00"])}, ["svc-00"]
+    while level:
+        found = {}
+        for a, b in pairs:
+            if a in level and b not in want:
+                found[b] = min(found.get(b, ["~"]), [*want[a][1], b])
+        want |= {b: (len(path) - 1, path) for b, path in found.items()}
+        level = list(found)
+    got = traces.reachable_services(spark.createDataFrame(pairs, "from_service string, to_service string"), spark.createDataFrame([("svc-00",)], "service string"))
+    assert {r["service"]: (r["hops"], r["path"]) for r in got.collect()} == want
+    assert len(want) > 10
