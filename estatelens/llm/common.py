@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,15 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, which spark.checkpoint.dir names; without one this is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        existing = spark.sparkContext.getCheckpointDir()
-        root = existing or tempfile.mkdtemp(prefix="estatelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root.rstrip("/")
+
+
+#: Folders of the scratch tables that stand, by the table's only input file pattern.
+_STANDING: dict[int, tuple[DataFrame, str]] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -43,13 +42,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks of the stages after the table, never the
-    stages before it. The table goes away when the program ends.
+    stages before it. The table goes away with dropped(), or when the program ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/estatelens-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/estatelens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STANDING[id(out)] = out, path
+    return out
+
+
+def dropped(table: DataFrame | None) -> None:
+    """Delete a table that written() gave, once nothing that is still to run reads it."""
+    if table is not None and id(table) in _STANDING:
+        _, path = _STANDING.pop(id(table))
+        _delete(table.sparkSession, path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], id_name: str = "doc_id", text_name: str = "text") -> Iterator[tuple[list, list[bytes]]]:

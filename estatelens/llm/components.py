@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import written
+from estatelens.llm.common import dropped, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
     before, state = None, _state(now)
     while state != before and state[0]:
-        now = written(_small_star(_large_star(now)), "links")
+        last, now = now, written(_small_star(_large_star(now)), "links")
         before, state = state, _state(now)
+        dropped(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct().toDF("node", "component"))

@@ -4,16 +4,20 @@ A line is the set of its character shingles of SHINGLE characters (a shorter lin
 lines are near-duplicates at a Jaccard similarity of SIMILARITY or more; of each component of near-duplicate
 lines one stays, the one that comes first by document and place.
 
-Signatures. All shingles are hashed; the hashes fall into 2^BANDS_LOG2 classes, and the ROWS smallest of a class
-are a band key, which is MinHash by one permutation. Two lines of similarity 0.8 share a band with
-odds of 98.5 %, of 0.9 with 99.9 %. Shingles of 12 characters make chance meetings of unlike lines rare.
-
-Candidates. Copies of a line are one node, so they cost nothing. In each band the lines are held against one
-of them, and all that their sketches do not prove unlike are verified; the links give components. That is done STARS
-times with another line each time, over the bands that still hold several components. Then the lines of a
-band that are still in different components are held against each other in the same way. So no band emits
-its pairs, only those that may well be links. Verification computes the Jaccard similarity over all
-shingles. Components come from alternating stars.
+Signatures. Copies of a line are one node, told apart by two hashes. The shingles of a node are exploded and hashed
+in generated code; the top bits of a hash name one of BANDS * ROWS bins, and the least hash of each bin is a
+MinHash value (one permutation). In a line of n shingles only hashes below the share SAMPLE / n of a bin's range
+can be its least; that bound moves smoothly with n, so like lines have like bounds. ROWS bins make a band key.
+Two lines of similarity 0.8 share a band with odds of 98.5 %, of 0.9 with 99.99 %.
+
+Candidates. In each of HUBS rounds a node is held against one hub: of the hubs of its bands that are in another
+component, the one that most bins agree with. Links join components, and a band within one component is done.
+What is still apart in bands of at most SMALL nodes is then held against each other. Larger bands are not: a node
+of which more than a fifth of the shingles stand in no other node of such bands has no link there and leaves; the
+others get longer keys in more bands (FINER), which part unlike variants of one passage, and go through the same
+steps. There the shingles of each node's own refuse pairs that surely are unlike. Only what even the longest keys
+leave together is compared whatever the size. Nodes that agree in fewer than AGREE bins are no candidates, which loses
+1 pair in 200 at similarity 0.8. Every link is verified by the Jaccard similarity over all shingles.
 
 Defined results: null and empty texts are one blank line; blank lines (white space only) are kept and have
 no component; rows that repeat a doc_id are marked alike; null ids come first; an empty table gives no rows;
@@ -22,20 +26,30 @@ other columns are ignored, or kept by drop_repeated_lines().
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import shuffle_partitions, written
+from estatelens.llm.common import dropped, shuffle_partitions, written
 from estatelens.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
-BANDS_LOG2, ROWS = 3, 4
-#: Words of 64 bits in a sketch.
-SKETCH_WORDS = 8
-#: Rounds in which a band's lines are held against one of them before those still apart are held against each other.
-STARS = 3
-#: Rows of line ids that may be broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+BANDS, ROWS = 8, 4
+#: Hashes of a line that may be the least of their bin, on average over all bins.
+SAMPLE = 128
+#: Bins that two candidates agree in at least.
+AGREE = 20
+#: Rounds against one hub, and nodes of a band that are compared with each other.
+HUBS, SMALL = 3, 100
+#: Bins in a key, and keys of a node, for the nodes of larger bands: at similarity 0.8 two share a key with odds of 98.8 and 98.6 %.
+FINER = ((8, 24), (12, 60))
+
+_BINS = BANDS * ROWS
+_TOP = _BINS.bit_length() - 1
+#: Bits of a MinHash value that a lane keeps; a long holds 8 lanes of a byte each.
+_LANE = 6
+LANES = [f"lane{k}" for k in range(_BINS // 8)]
 
 
 def _let(value: Column, body) -> Column:
@@ -43,44 +57,64 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _every_shingle(line: Column) -> Column:
-    """Hashes of all shingles, in order; fixed-width characters make each a slice of bytes."""
+def shingle_hashes(line: Column) -> Column:
+    """Hashes of all shingles of a line, in order; fixed-width characters make each a slice of bytes."""
+    last = lambda wide: F.greatest(F.lit(1), F.octet_length(wide) - 4 * SHINGLE + 1)
+    return _let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(4)), lambda i: F.xxhash64(F.substr(wide, i, F.lit(4 * SHINGLE)))))
 
-    def of(wide: Column) -> Column:
-        last = F.greatest(F.lit(0), (F.octet_length(wide) / 4).cast("int") - SHINGLE)
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(wide, i * 4 + 1, F.lit(SHINGLE * 4))))
 
-    return _let(F.encode(line, "UTF-32"), of)
+def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per node of texts (keys, line): keys and m0, m1 ..., the least hash of each bin, null for an empty bin."""
+    wide = texts.select(*keys, F.encode("line", "UTF-32").alias("wide"))
+    sized = wide.select("*", F.greatest(F.lit(1), F.octet_length("wide") - 4 * SHINGLE + 1).alias("last"))
+    # a share of a bin's range: a number of the 63 - _TOP bits that follow the bin's own
+    full = float(1 << (63 - _TOP))
+    bound = F.least(F.lit(full), F.lit(full * SAMPLE * 4) / (F.col("last") + 3)).cast("long")
+    each = sized.select(*keys, "wide", bound.alias("bound"), F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4))).alias("i"))
+    hashed = each.select(*keys, "bound", F.xxhash64(F.substr("wide", "i", F.lit(4 * SHINGLE))).alias("h"))
+    low = hashed.filter(F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit((1 << (64 - _TOP)) - 1)), 1) < F.col("bound"))
+    which = F.shiftrightunsigned("h", 64 - _TOP)
+    return low.groupBy(*keys).agg(*[F.min(F.when(which == b, F.col("h"))).alias(f"m{b}") for b in range(_BINS)])
 
 
-def band_keys(line: Column) -> Column:
-    """The band keys of a line: one for each class that has a hash.
-
-    The top bits of a hash are its class, so in sorted order each class is a run that starts with its minima.
-    """
-    kind = lambda x: F.shiftrightunsigned(x, 64 - BANDS_LOG2)
+def band_keys() -> Column:
+    """The band keys of a node with signature: one for each band that has a value."""
 
-    def of_sorted(x: Column) -> Column:
-        return _let(F.filter(x, lambda h, i: F.coalesce(kind(h) != kind(F.get(x, i - ROWS)), F.lit(True))), of_least)
+    def key(band: int) -> Column:
+        own = [F.col(f"m{k}") for k in range(band * ROWS, (band + 1) * ROWS)]
+        return F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(band), *own))
 
-    def of_least(x: Column) -> Column:
-        def key(h: Column, i: Column) -> Column:
-            before = [F.when(kind(F.get(x, i - k)) == kind(h), F.get(x, i - k)) for k in range(1, ROWS)]
-            return F.when(F.coalesce(kind(F.get(x, i + 1)) != kind(h), F.lit(True)), F.xxhash64(h, *before))
+    return F.array_compact(F.array(*[key(b) for b in range(BANDS)]))
 
-        return F.array_compact(F.transform(x, key))
 
-    return _let(F.sort_array(F.array_distinct(_every_shingle(line))), of_sorted)
+def lanes() -> list[Column]:
+    """The low bits of all bins, 8 in a long; an empty bin counts as a value."""
+    packed = []
+    for at in range(0, _BINS, 8):
+        word = F.lit(0).cast("long")
+        for k in range(8):
+            low = F.coalesce(f"m{at + k}", F.lit(0)).bitwiseAND(F.lit((1 << _LANE) - 1))
+            word = word.bitwiseOR(F.call_function("shiftleft", low, F.lit(8 * k)))
+        packed.append(word.alias(LANES[at // 8]))
+    return packed
 
 
-def sketch(line: Column) -> Column:
-    """How many shingles a line has, and a bitmap of 64 * SKETCH_WORDS bits; each shingle flips one of them."""
+def agreement(a: list[Column], b: list[Column]) -> Column:
+    """In how many bins two nodes agree: a lane that differs carries into the bit above its own."""
+    low, carry = int("3f" * 8, 16), int("40" * 8, 16)
+    apart = [F.bit_count((x.bitwiseXOR(y) + F.lit(low)).bitwiseAND(F.lit(carry))) for x, y in zip(a, b, strict=True)]
+    return F.lit(_BINS) - sum(apart[1:], apart[0])
 
-    def word(x: Column, w: int) -> Column:
-        ours = F.filter(x, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)) == w)
-        return F.aggregate(ours, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return _let(F.array_distinct(_every_shingle(line)), lambda x: F.struct(F.size(x).alias("n"), F.array(*[word(x, w) for w in range(SKETCH_WORDS)]).alias("bits")))
+def finer_keys(size: int, count: int) -> Column:
+    """count keys of a node, each of size bins drawn by a fixed seed."""
+    rng, keys = random.Random(size), []
+    for k in range(count):
+        mask = [0] * len(LANES)
+        for b in rng.sample(range(_BINS), size):
+            mask[b // 8] |= (1 << _LANE) - 1 << 8 * (b % 8)
+        keys.append(F.xxhash64(F.lit(size * 1000 + k), *[F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(LANES, mask, strict=True) if m]))
+    return F.array(*keys)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -88,96 +122,137 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def _filled(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def _filled() -> Column:
+    return F.col("line").rlike(r"[^\x20\x09-\x0D]")
 
 
-def _node() -> Column:
-    return F.xxhash64("line")
+def _hashes() -> list[Column]:
+    """Two hashes that tell lines apart; null for blank lines."""
+    return [F.when(_filled(), F.xxhash64("line")).alias("h1"), F.when(_filled(), F.xxhash64(F.lit("twin"), F.col("line"))).alias("h2")]
 
 
-def _twin() -> Column:
-    """A second hash of the line, apart from the first."""
-    return F.xxhash64(F.lit("twin"), F.col("line"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose lines are similar enough; texts: node, line."""
     both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
+    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("la"))).alias("xa"), F.array_distinct(shingle_hashes(F.col("lb"))).alias("xb"))
+    sized = sets.select("a", "b", (F.size("xa") + F.size("xb")).alias("sizes"), F.size(F.array_intersect("xa", "xb")).alias("same"))
+    return sized.filter(F.col("same") >= SIMILARITY * (F.col("sizes") - F.col("same"))).select("a", "b")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (node, key) whose key several nodes have."""
+    # dealt once by key; the aggregate and the join both use that exchange
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key")
+    return dealt.join(dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"), "key")
+
+
+class _Components:
+    """Components of the links so far; each batch of links is added to the stars of the last one."""
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.texts, self.labels = texts, None
+
+    def add(self, pairs: DataFrame) -> None:
+        new, before = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.texts), self.labels
+        self.labels = written(connected_components(new if before is None else new.union(before.filter("node <> component").toDF("a", "b"))), "labels")
+        dropped(before)
+
+    def of(self, bands: DataFrame) -> DataFrame:
+        """The rows of bands whose key still has several components, with component and size, the nodes of the key."""
+        own = F.col("node") if self.labels is None else F.coalesce("component", "node")
+        placed = (bands if self.labels is None else bands.join(self.labels, "node", "left")).withColumn("component", own)
+        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
+        return written(placed.join(open_, "key"), "open-bands")
 
-    def similar(x: Column) -> Column:
-        sizes, same = F.size(x["a"]) + F.size(x["b"]), F.size(F.array_intersect(x["a"], x["b"]))
-        far = F.least(F.size(x["a"]), F.size(x["b"])) < SIMILARITY * F.greatest(F.size(x["a"]), F.size(x["b"]))
-        return F.when(far, F.lit(False)).otherwise(_let(same, lambda n: n >= SIMILARITY * (sizes - n)))
 
-    kinds = lambda line: F.array_distinct(_every_shingle(F.col(line)))
-    return both.filter(_let(F.struct(kinds("la").alias("a"), kinds("lb").alias("b")), similar)).select("a", "b")
+def _own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """nodes with n, their shingles, and own, those that no other of these nodes has; nodes without any possible link go."""
+    wide = nodes.select("node").join(texts, "node").select("node", F.encode("line", "UTF-32").alias("wide"))
+    last = F.greatest(F.lit(1), F.octet_length("wide") - 4 * SHINGLE + 1)
+    each = wide.select("node", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("i")).select("node", F.xxhash64(F.substr("wide", "i", F.lit(4 * SHINGLE))).alias("h"))
+    of_one = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
+    own = of_one.groupBy("node").agg(F.count("*").alias("own"))
+    sized = nodes.join(texts, "node").withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))).drop("line")
+    counted = sized.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return counted.filter(F.col("n") - F.col("own") >= SIMILARITY * F.col("n"))
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether lines with these sketches can be similar enough; only lines that surely are not are refused.
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """rows as a and as b, and whether a and b are candidates.
 
-    Lines with n and m shingles, d of them in one line only, have a similarity of (n + m - d) / (n + m + d). A shingle
-    of both lines flips a bit of both bitmaps, so these differ in d bits at most, and d is |n - m| at least.
+    Similar nodes share at least SIMILARITY of all their shingles; what is a node's own is not shared, so the
+    smaller remainder bounds what they share, and either with the other's own what they have together.
     """
-    apart = lambda d: d * (1 + SIMILARITY) <= (a["n"] + b["n"]) * (1 - SIMILARITY) + 1e-6
-    bits = [F.bit_count(F.get(a["bits"], F.lit(w)).bitwiseXOR(F.get(b["bits"], F.lit(w)))) for w in range(SKETCH_WORDS)]
-    return apart(F.abs(a["n"] - b["n"])) & apart(sum(bits[1:], bits[0]))
-
-
-def _open(bands: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of bands that hold several components, with the component of each."""
-    placed = bands.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    return written(placed.join(split, "key"), "open-bands")
-
-
-def near_duplicate_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) between the nodes of near-duplicate lines. marked: node and keys of all lines."""
-    distinct = marked.groupBy("node").agg(F.first("keys").alias("keys"))
-    # dealt once by key; the aggregate and the join below both use that exchange
-    rows = distinct.select("node", F.explode("keys").alias("key")).repartition(shuffle_partitions(docs.sparkSession), "key")
-    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key")
-    bands = written(rows.join(shared, "key"), "shared-bands")
-    wanted = written(bands.select("node").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    found = _filled(_lines(docs)).select(_node().alias("node"), "line").join(F.broadcast(wanted) if few else wanted, "node")
-    texts = written(found.groupBy("node").agg(F.first("line").alias("line")), "texts")
-    open_ = written(bands.join(texts.select("node", sketch(F.col("line")).alias("sketch")), "node").withColumn("component", F.col("node")), "sketched-bands")
-    bands, links = open_.drop("component"), None
-    for k in range(STARS + 1):
-        member = open_.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-        other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-        if k < STARS:  # one member of the band, another each time
-            other = other.groupBy("key").agg(F.min_by(F.struct("b", "cb", "sb"), F.xxhash64("b", F.lit(k))).alias("r")).select("key", "r.*")
-            pairs = member.join(other, (member["key"] == other["key"]) & (F.col("ca") != F.col("cb")) & _alike(F.col("sa"), F.col("sb")))
-        else:
-            pairs = member.join(other, (member["key"] == other["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("sa"), F.col("sb")))
-        new = written(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
-        links = new if links is None else links.union(new)
-        if k < STARS:
-            open_ = _open(bands, links)
-    return links
+    carried = [c for c in (*LANES, "n", "own") if c in rows.columns]
+    a, b = (rows.select("key", F.col("node").alias(s), F.col("component").alias(f"c{s}"), *[F.col(n).alias(s + n) for n in carried]) for s in "ab")
+    may = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES]) >= AGREE
+    if "own" in carried:
+        n, own = (lambda s: F.col(s + "n")), (lambda s: F.col(s + "own"))
+        shared = F.least(n("a") - own("a"), n("b") - own("b"))
+        may = may & (shared >= SIMILARITY * F.greatest(n("a") + own("b"), n("b") + own("a")))
+    return a, b, may
+
+
+def _link(bands: DataFrame, found: _Components, finer: tuple = FINER) -> None:
+    """Add the links within bands (node, key, lanes and, in finer bands, n and own) to found."""
+    open_ = found.of(bands)
+    for k in range(HUBS):
+        a, b, may = _sides(open_)
+        hub = b.groupBy("key").agg(F.min_by(F.struct(*b.columns[1:]), F.xxhash64("b", F.lit(k))).alias("hub")).select("key", "hub.*")
+        agreed = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES])
+        near = a.join(hub, "key").filter(F.col("ca") != F.col("cb")).filter(may).select("a", "b", agreed.alias("agreed"))
+        found.add(near.groupBy("a").agg(F.max_by("b", "agreed").alias("b")))
+        before, open_ = open_, found.of(bands)
+        dropped(before)
+    a, b, may = _sides(open_.filter(F.col("size") <= SMALL) if finer else open_)
+    found.add(a.join(b, (a["key"] == b["key"]) & (F.col("ca") < F.col("cb")) & may).select("a", "b"))
+    if finer:
+        large = open_.filter(F.col("size") > SMALL).select("node", *[c for c in (*LANES, "n", "own") if c in open_.columns]).distinct()
+        if not large.isEmpty():
+            large = large if "own" in large.columns else written(_own_shingles(large, found.texts), "large-bands")
+            _link(written(_shared(large.select("node", F.explode(finer_keys(*finer[0])).alias("key"))).join(large, "node"), "finer-bands"), found, finer[1:])
+            dropped(large)
+    dropped(open_)
+
+
+def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """nodes (node, h1, h2, keys, lanes) of all filled lines, and (node, component) of those with a link."""
+    lines = _lines(docs).filter(_filled()).select(*_hashes(), "line")
+    signed = signatures(lines.groupBy("h1", "h2").agg(F.first("line").alias("line")), ["h1", "h2"])
+    nodes = written(signed.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", band_keys().alias("keys"), *lanes()), "nodes")
+    bands = written(_shared(nodes.select("node", F.explode("keys").alias("key"))), "shared-bands")
+    wanted = written(bands.select("node").distinct().join(nodes.select("node", "h1", "h2", *LANES), "node"), "wanted")
+    texts = written(lines.join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line")), "texts")
+    found = _Components(texts)
+    _link(bands.join(wanted.select("node", *LANES), "node"), found)
+    for table in (bands, wanted, texts):
+        dropped(table)
+    return nodes, found.labels
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """Per line: doc_id, line_no, line_id (hex), component_id (hex; of the node that names it), kept."""
-    lines = _lines(docs)
-    marked = written(_filled(lines).select("doc_id", "line_no", _node().alias("node"), _twin().alias("twin"), band_keys(F.col("line")).alias("keys")), "marked-lines")
-    components = written(connected_components(near_duplicate_links(docs, marked.select("node", "keys"))), "components")
-    # lines without a fuzzy link are told apart by both hashes
-    placed = marked.select("doc_id", "line_no", "node", "twin").join(components, "node", "left")
-    placed = placed.select("doc_id", "line_no", "node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("twin")).otherwise(F.lit(0)).alias("twin"))
-    first = placed.groupBy("component", "twin").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    out = placed.join(first, ["component", "twin"]).select("doc_id", "line_no", F.hex("node").alias("line_id"), F.hex("component").alias("component_id"), F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("kept"))
-    blank = lines.filter(~F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    none = F.lit(None).cast("string")
-    return out.union(blank.select("doc_id", "line_no", none.alias("line_id"), none.alias("component_id"), F.lit(True).alias("kept")))
+    """Per line: doc_id, line_no, line_id (hex), component_id (hex; the least line_id of the component), kept."""
+    nodes, labels = near_duplicate_nodes(docs)
+    linked = labels.join(nodes.select("node", "h1", "h2"), "node")
+    name = linked.groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("name"))
+    fuzzy = written(linked.join(name, "component").select("h1", "h2", F.col("name.h1").alias("c1"), F.col("name.h2").alias("c2")), "fuzzy")
+    dropped(nodes)
+    dropped(labels)
+    placed = _lines(docs).select("doc_id", "line_no", *_hashes()).join(fuzzy, ["h1", "h2"], "left")
+    placed = written(placed.select("doc_id", "line_no", "h1", "h2", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")), "placed-lines")
+    dropped(fuzzy)
+    # joined by place, not by component: no large component meets in one task
+    first = placed.filter("c1 is not null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
+    first = first.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("f.doc_id").alias("f_doc"), F.col("f.line_no").alias("f_line"))
+    same = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_line")) & (F.col("c1") == F.col("f1")) & (F.col("c2") == F.col("f2"))
+    name = lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+    kept = F.col("c1").isNull() | F.col("f1").isNotNull()
+    return placed.join(first, same, "left").select("doc_id", "line_no", name("h1", "h2").alias("line_id"), name("c1", "c2").alias("component_id"), kept.alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with only the lines that stay in text; all other columns as they are."""
-    dropped = line_dedup(docs).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped"))
+    gone = line_dedup(docs).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_dropped"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_dropped"), i))
-    joined = docs.join(dropped.withColumnRenamed("doc_id", "_dropped_from"), docs["doc_id"].eqNullSafe(F.col("_dropped_from")), "left")
+    joined = docs.join(gone.withColumnRenamed("doc_id", "_dropped_from"), docs["doc_id"].eqNullSafe(F.col("_dropped_from")), "left")
     return joined.select(*[F.when(F.col("_dropped").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns])

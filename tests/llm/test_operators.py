@@ -146,50 +146,91 @@ def test_quality_rules_fit_without_rows():
     assert prior == 0 and all(v == 0 for by in odds for v in by.values())
 
 
-def test_line_dedup(edge):
-    rows = edge_rows()
+def brute_lines(rows):
+    """Counter of (doc_id, line_no, kept), and the components as sets of lines."""
     lines = [(i, k, line) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
     filled = sorted({x for _, _, x in lines if x.strip(" \t\n\v\f\r")})
-    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in filled]
+    sets = [shingles(x) for x in filled]
     pairs = [(a, b) for a, b in combinations(range(len(filled)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     top = dict(zip(filled, roots(len(filled), pairs), strict=True))
     first = {}
     for i, k, x in sorted(lines, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         first.setdefault(top.get(x), (i, k))
-    want = Counter((i, k, x not in top or first[top[x]] == (i, k)) for i, k, x in lines)
-    got = line_dedup.line_dedup(edge).collect()
-    assert Counter((r["doc_id"], r["line_no"], r["kept"]) for r in got) == want
+    groups = defaultdict(set)
+    for i, k, x in lines:
+        if x in top:
+            groups[top[x]].add((i, k))
+    return Counter((i, k, x not in top or first[top[x]] == (i, k)) for i, k, x in lines), {frozenset(g) for g in groups.values()}, pairs
+
+
+def found_lines(got):
+    groups = defaultdict(set)
+    for r in got:
+        if r["component_id"] is not None:
+            groups[r["component_id"]].add((r["doc_id"], r["line_no"]))
+    return Counter((r["doc_id"], r["line_no"], r["kept"]) for r in got), {frozenset(g) for g in groups.values()}
+
+
+def test_line_dedup(edge):
+    want, groups, pairs = brute_lines(edge_rows())
+    assert found_lines(line_dedup.line_dedup(edge).collect()) == (want, groups)
     assert pairs  # the fixture has near-duplicate lines
 
 
-def shingles(line):
-    return {line[k : k + 12] for k in range(max(1, len(line) - 11))}
+def variants(count, rng):
+    """Lines that are one passage with words changed here and there: some pairs are similar enough, most are not."""
+    passage = words(rng, 70).split()
+    for _ in range(count):
+        line = list(passage)
+        for k in rng.sample(range(len(line)), rng.randrange(0, 6)):
+            line[k] = words(rng, 1, 5000) + str(rng.randrange(1000))
+        yield " ".join(line)
 
 
-def jaccard(a, b):
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
+def test_line_dedup_of_large_bands(spark, monkeypatch):
+    """Bands beyond SMALL go through finer keys and the bound by own shingles: nothing unlike meets, few links go."""
+    rows = list(enumerate(variants(120, random.Random(12))))
+    want, groups, pairs = brute_lines(rows)
+    assert len(pairs) > 200 and len(groups) > 20
+    monkeypatch.setattr(line_dedup, "SMALL", 8)
+    got, found = found_lines(line_dedup.line_dedup(make(spark, rows)).collect())
+    assert all(any(g <= whole for whole in groups) for g in found)
+    assert (got - want).total() <= 0.03 * len(rows)
 
 
-def changed_lines():
-    """Pairs of lines, the second with a few letters changed, from one word to hundreds."""
-    rng = random.Random(7)
-    for k in range(900):
-        line = words(rng, rng.choice([1, 3, 5, 8, 12, 20, 40, 200]), 50)
-        other = list(line)
-        for _ in range(1 + k % 3):
-            other[rng.randrange(len(other))] = rng.choice("xyzä中 ")
-        yield line, "".join(other) + rng.choice(["", " more", " 2024"])
+def signed(spark, pairs):
+    """Of each pair of lines: band keys and lanes of both."""
+    rows = [(2 * k + side, line) for k, pair in enumerate(pairs) for side, line in enumerate(pair)]
+    lines = spark.createDataFrame(rows, "id long, line string")
+    found = line_dedup.signatures(lines, ["id"]).select("id", line_dedup.band_keys().alias("keys"), *line_dedup.lanes())
+    side = lambda s: found.filter(F.col("id") % 2 == s).select((F.col("id") / 2).cast("long").alias("pair"), F.col("keys").alias(f"keys{s}"), *[F.col(n).alias(f"{n}_{s}") for n in line_dedup.LANES])
+    agree = line_dedup.agreement(*[[F.col(f"{n}_{s}") for n in line_dedup.LANES] for s in (0, 1)])
+    rows = side(0).join(side(1), "pair").select("pair", F.arrays_overlap("keys0", "keys1").alias("met"), agree.alias("agree")).collect()
+    return {r["pair"]: (r["met"], r["agree"]) for r in rows}
 
 
-def test_line_sketches_refuse_no_link(spark):
+def test_line_candidates_at_every_length(spark):
     pairs = list(changed_lines())
-    pairs += [(a, b) for (a, _), (_, b) in zip(pairs, pairs[8:], strict=False)]
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup._alike(line_dedup.sketch(F.col("a")), line_dedup.sketch(F.col("b")))).collect()
-    near = [may for a, b, may in got if jaccard(a, b) >= 0.8]
-    assert len(near) > 100 and all(near)
-    far = [may for a, b, may in got if jaccard(a, b) < 0.5]
-    assert len(far) > 100 and sum(far) < 0.1 * len(far)
+    got = signed(spark, pairs)
+    near = [(len(a), *got[k]) for k, (a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8]
+    for low, high in ((0, 200), (200, 10**6)):
+        met = [m and n >= line_dedup.AGREE for size, m, n in near if low <= size < high]
+        assert len(met) > 20 and sum(met) >= 0.95 * len(met)
+    far = [n for k, n in ((k, got[k][1]) for k, (a, b) in enumerate(pairs) if jaccard(a, b) < 0.3)]
+    assert len(far) > 20 and sum(n >= line_dedup.AGREE for n in far) < 0.1 * len(far)
+
+
+def test_agreement_counts_lanes(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(200):
+        a = [rng.randrange(64) for _ in range(32)]
+        b = [x if rng.random() < 0.5 else rng.randrange(64) for x in a]
+        word = lambda v: [sum(x << 8 * k for k, x in enumerate(v[at : at + 8])) for at in range(0, 32, 8)]
+        rows.append((*word(a), *word(b), sum(x == y for x, y in zip(a, b, strict=True))))
+    df = spark.createDataFrame(rows, ", ".join(f"{s}{k} long" for s in "ab" for k in range(4)) + ", want int")
+    got = df.select(line_dedup.agreement([F.col(f"a{k}") for k in range(4)], [F.col(f"b{k}") for k in range(4)]).alias("n"), "want").collect()
+    assert all(r["n"] == r["want"] for r in got)
 
 
 def test_line_dedup_of_mixed_scripts(spark):
@@ -205,15 +246,6 @@ def test_line_dedup_of_mixed_scripts(spark):
     assert line_dedup.line_dedup(docs).filter("kept").count() == len(lines)
 
 
-def test_line_bands_are_shared_at_every_length(spark):
-    pairs = [(a, b) for a, b in changed_lines() if jaccard(a, b) >= 0.8]
-    a, b = line_dedup.band_keys(F.col("a")), line_dedup.band_keys(F.col("b"))
-    got = spark.createDataFrame(pairs, "a string, b string").select(F.length("a").alias("n"), F.arrays_overlap(a, b).alias("met")).collect()
-    for low, high in ((0, 200), (200, 10**6)):
-        met = [r["met"] for r in got if low <= r["n"] < high]
-        assert len(met) > 20 and sum(met) >= 0.95 * len(met)
-
-
 def test_drop_repeated_lines(spark):
     docs = make(spark, [(1, "a first line of text\nother words stand here"), (2, "a first line of text\n\nand a third kind of line"), (3, None)])
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
