@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set, a local session, as in tests, gets one of its own; on a
+    cluster that is an error, as each machine would have a folder of that name."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="estatelens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -21,7 +21,7 @@ def diff(before: DataFrame, after: DataFrame, assets: DataFrame) -> DataFrame:
     b, a = summary(before).withColumnRenamed("s", "before"), summary(after).withColumnRenamed("s", "after")
     both = b.select("occurrence_id", F.col("asset_id").alias("_ba"), F.col("system_id").alias("_bs"), "before").join(a, "occurrence_id", "full_outer")
     both = both.select("occurrence_id", F.coalesce("asset_id", "_ba").alias("asset_id"), F.coalesce("system_id", "_bs").alias("system_id"), "before", "after")
-    both = both.join(F.broadcast(assets.select("asset_id", "asset_name")), "asset_id", "left").withColumn("asset_name", F.coalesce("asset_name", "asset_id"))
+    both = both.join(assets.select("asset_id", "asset_name"), "asset_id", "left").withColumn("asset_name", F.coalesce("asset_name", "asset_id"))
     rank = lambda c: F.array_position(F.array(*map(F.lit, dims.LEVELS)), c)
     was, now = F.col("before.reachable"), F.col("after.reachable")
     delta = rank(F.col("after.level")) - rank(F.col("before.level"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelens.common import cut_lineage
 from estatelens.functions import dims
 from estatelens.functions.assets import occurrence_id, round_half_up, with_asset_facts
 
@@ -23,13 +24,25 @@ def identified(findings: DataFrame) -> DataFrame:
     return with_asset_facts(findings).withColumn("occurrence_id", occurrence_id(F.col("system_id"), F.col("asset_id"), F.col("control_class")))
 
 
+FOLD = ["system_id", "primitive", "parameters", "purpose", "control_class", "modality", "assumption"]
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """Findings counted by all that their ids are hashed from, by modality and by assumption, as a written table.
+
+    occurrences(), modality_tally(), group_winners() and assets() take it in place of findings, so that a question
+    with several parts reads the findings once.
+    """
+    return cut_lineage(found.groupBy(*FOLD).agg(F.count("*").alias("fold_count")), "fold")
+
+
 def _counted(found: DataFrame) -> DataFrame:
-    """Findings counted by all that their ids are hashed from, by modality and by assumption.
+    """Findings, or a fold of them, counted with their ids.
 
     Only the counts, far fewer, are hashed; column pruning drops the ids and asset facts of single findings
     from the scan, and a plain count stays in generated code.
     """
-    raw = found.groupBy("system_id", "primitive", "parameters", "purpose", "control_class", "modality", "assumption").agg(F.count("*").alias("n"))
+    raw = found.withColumnRenamed("fold_count", "n") if "fold_count" in found.columns else found.groupBy(*FOLD).agg(F.count("*").alias("n"))
     rows = identified(raw).select("occurrence_id", *KEYS, "modality", "assumption", "n")
     return rows.join(F.broadcast(dims.modalities(found.sparkSession)), "modality")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions import dims
@@ -32,7 +34,7 @@ def components(occ: DataFrame, assets: DataFrame, include_suspected: bool = Fals
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("modalities")))).alias("modalities"),
     )
     known = assets.select("asset_id", "asset_name", "primitive", "parameters", "purpose", "quantum_vulnerable", "security_bits", "oid", "track")
-    named = folded.join(F.broadcast(known), "asset_id", "left")
+    named = folded.join(known, "asset_id", "left")
     return named.select("*", dims.lookup(F.col("primitive"), dims.PRIMITIVE_KIND).alias("kind"), round_half_up(F.col("confidence") * 100, 0).cast("int").alias("percent"))
 
 
@@ -85,3 +87,45 @@ def document(occ: DataFrame, assets: DataFrame, pack: str, timestamp: str, profi
     d = F.sha2("body", 256)
     serial = F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.substring(d, 13, 4), F.substring(d, 17, 4), F.substring(d, 21, 12))
     return rows.crossJoin(F.broadcast(counts)).select(body.alias("body")).select(F.concat(F.lit("urn:uuid:"), serial).alias("serial_number"), "body")
+
+
+def keyed_digest(body: Column, key: str) -> Column:
+    """HMAC-SHA256 of a text under a key of the caller, in hexadecimal; signatures of artifacts by parties that share it."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(x ^ pad for x in raw).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
+
+
+def signed(artifact: DataFrame, key: str) -> DataFrame:
+    """artifact (body, ...) with its signature."""
+    return artifact.withColumn("signature", keyed_digest(F.col("body"), key))
+
+
+def verified(artifact: DataFrame, key: str) -> DataFrame:
+    """artifact (body, signature, ...) with valid."""
+    return artifact.withColumn("valid", F.coalesce(keyed_digest(F.col("body"), key) == F.col("signature"), F.lit(False)))
+
+
+def report_lines(occ: DataFrame) -> DataFrame:
+    """What a person reads of a scan: a line for each assertion level."""
+    n, tainted = F.count("*").cast("string"), F.count_if("tainted").cast("string")
+    return occ.groupBy(F.col("level").alias("heading")).agg(F.concat(n, F.lit(" work items, "), tainted, F.lit(" resting on assumptions")).alias("line"))
+
+
+def gate_report(outcomes: DataFrame) -> DataFrame:
+    """What a person reads of a gate: a line for each outcome, and whether the build passes."""
+    counts = outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+    lines = counts.select(F.col("outcome").alias("heading"), F.concat(F.col("n").cast("string"), F.lit(" blocking work items")).alias("line"))
+    verdict = outcomes.agg(F.count_if(F.col("outcome") == "introduced").alias("n")).select(F.lit("verdict"), F.when(F.col("n") == 0, "the build passes").otherwise("the build fails"))
+    return lines.union(verdict)
+
+
+def plan_report(plan: DataFrame) -> DataFrame:
+    """What a person reads of a probe plan: a line for each code."""
+    return plan.groupBy(F.col("code").alias("heading")).agg(F.concat(F.count("*").cast("string"), F.lit(" targets")).alias("line"))
+
+
+def reconcile_report(verdicts: DataFrame) -> DataFrame:
+    """What a person reads of a reconciliation: a line for each system and verdict."""
+    return verdicts.groupBy(F.col("system_id").alias("heading"), "verdict").agg(F.count("*").alias("n")).select("heading", F.concat(F.col("n").cast("string"), F.lit(" "), F.col("verdict")).alias("line"))

@@ -17,10 +17,10 @@ def ranked(occ: DataFrame, assets: DataFrame, pack: PolicyPack, now_year: float,
     verdict is worked on. overrides: control_class, migration_years and, if given, system_id.
     """
     rows = occ if "reachable" in occ.columns else occ.withColumns({"reachable": F.lit(None).cast("boolean"), "via": F.lit(None).cast("string")})
-    rows = rows.join(F.broadcast(assets.filter("quantum_vulnerable").select("asset_id", "asset_name", "primitive", "purpose", "track")), "asset_id")
+    rows = rows.join(assets.filter("quantum_vulnerable").select("asset_id", "asset_name", "primitive", "purpose", "track"), "asset_id")
     years = None
     if overrides is not None:
-        rows = rows.join(F.broadcast(overrides), [c for c in ("system_id", "control_class") if c in overrides.columns], "left")
+        rows = rows.join(overrides, [c for c in ("system_id", "control_class") if c in overrides.columns], "left")
         years = F.col("migration_years")
     rows = rows.withColumn("s", score(F.col("track"), F.col("control_class"), pack, now_year, secrecy_years, years))
     bucket = F.when(F.col("level") == "SUSPECTED", "hints").when(F.col("reachable").eqNullSafe(False), "unreached").otherwise(F.lower("track"))

@@ -5,6 +5,8 @@ Vertices: file, lang, package (dir or null), is_test, entry_kind (null if none),
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def resolve_packages(imports: DataFrame, packages: DataFrame, files: DataFrame)
     bare = imports.filter(~F.col("spec").startswith("."))
     parts = F.split("spec", "/")
     prefixes = bare.select("file", "ordinal", "spec", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"), parts.alias("p")).withColumn("name", F.array_join(F.slice("p", F.lit(1), F.col("n")), "/"))
-    best = prefixes.join(F.broadcast(packages), "name").groupBy("file", "ordinal").agg(F.max_by(F.struct("entry_dir", "spec", "name"), "n").alias("b"))
+    best = prefixes.join(packages, "name").groupBy("file", "ordinal").agg(F.max_by(F.struct("entry_dir", "spec", "name"), "n").alias("b"))
     rest = F.substring(F.col("b.spec"), F.length("b.name") + 2, F.lit(1 << 20))
     base = F.when(rest != "", F.concat_ws("/", "b.entry_dir", rest)).otherwise(F.concat_ws("/", "b.entry_dir", F.lit("src/index")))
     tried = best.select("file", "ordinal", F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(base, s))).alias("k", "candidate"))
@@ -89,25 +91,29 @@ def entry_points(files: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return (found.union(extra.select("file")) if extra is not None else found).distinct()
 
 
-def walk(edges: DataFrame, roots: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """Breadth-first search over files: file, hops, pred (the predecessor by import order, then name)."""
+#: Rounds of a graph search whose frontiers are kept apart before they are written together.
+COMPACT = 8
+
+
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Breadth-first search over files, to the end: file, hops, pred (the predecessor by import order, then name)."""
     seen = cut_lineage(roots.select("file", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred")).dropDuplicates(["file"]), "walk")
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = frontier.join(edges, frontier["file"] == edges["from_file"]).select(F.col("to_file").alias("file"), F.struct("ordinal", "from_file").alias("by"))
         new = step.join(seen.select("file"), "file", "left_anti").groupBy("file").agg(F.min("by").alias("by"))
         frontier = cut_lineage(new.select("file", F.lit(hop).alias("hops"), F.col("by.from_file").alias("pred")), "walk")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = seen.union(frontier) if hop % COMPACT else cut_lineage(seen.union(frontier), "walk")
     return seen
 
 
-def call_paths(walked: DataFrame, wanted: DataFrame, max_hops: int = 1000) -> DataFrame:
+def call_paths(walked: DataFrame, wanted: DataFrame) -> DataFrame:
     """Paths from a root to each wanted file, by following predecessors."""
     open_ = walked.join(wanted.select("file").distinct(), "file").select("file", F.array("file").alias("path"), "pred")
     done = None
-    for _ in range(max_hops):
+    while True:
         ended = open_.filter("pred is null").select("file", "path")
         done = ended if done is None else done.union(ended)
         step = open_.filter("pred is not null").alias("o").join(walked.alias("w"), F.col("o.pred") == F.col("w.file"))

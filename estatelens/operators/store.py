@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estatelens.operators.traces import service_edges
+
 PARTITIONED = ("occurrences", "evidence", "edges")
 
 
@@ -69,7 +71,7 @@ def scan_summaries(scans: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 def merge_scans(scans: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The occurrences of the newest scan of each system."""
-    return occurrences.join(F.broadcast(latest_per_system(scans).select("scan_id")), "scan_id")
+    return occurrences.join(latest_per_system(scans).select("scan_id"), "scan_id")
 
 
 def visible(rows: DataFrame, systems: list[str], column: str = "system_name") -> DataFrame:
@@ -87,3 +89,33 @@ def audit_page(log: DataFrame, since: Column | None = None, before: Column | Non
 def usable_tokens(tokens: DataFrame, now: Column) -> DataFrame:
     """How many tokens are neither revoked nor expired."""
     return tokens.agg(F.count_if(F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now))).alias("usable"))
+
+
+#: A token is a prefix, an id of 12 and a secret of 48 hexadecimal digits, joined by underscores.
+TOKEN = r"^est_([0-9a-f]{12})_([0-9a-f]{48})$"
+
+
+def mint_token(token_id: Column, secret: Column) -> Column:
+    """A token's text; id and secret come from a random source of the caller."""
+    return F.concat_ws("_", F.lit("est"), token_id, secret)
+
+
+def token_digest(secret: Column) -> Column:
+    """What is stored of a secret."""
+    return F.sha2(secret, 256)
+
+
+def checked_tokens(given: DataFrame, stored: DataFrame) -> DataFrame:
+    """given (token, ...) with state: malformed, unknown, wrong secret or ok. stored: token_id, digest.
+
+    Digests are compared, never secrets, so the time of the comparison says nothing about a secret.
+    """
+    parts = given.withColumns({"_id": F.nullif(F.regexp_extract("token", TOKEN, 1), F.lit("")), "_digest": token_digest(F.regexp_extract("token", TOKEN, 2))})
+    known = parts.join(stored.select(F.col("token_id").alias("_id"), F.col("digest").alias("_stored")), "_id", "left")
+    state = F.when(F.col("_id").isNull(), "malformed").when(F.col("_stored").isNull(), "unknown").when(F.col("_stored") != F.col("_digest"), "wrong secret").otherwise("ok")
+    return known.withColumn("state", state).drop("_id", "_digest", "_stored")
+
+
+def edges_only(spans: DataFrame) -> DataFrame:
+    """What a trace store keeps of spans: service edges without any span's id, time or attributes."""
+    return service_edges(spans).select("from_service", "to_service", "observations")

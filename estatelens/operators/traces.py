@@ -6,6 +6,8 @@ to join within traces only, trace_id. Traces only ever raise a verdict: absence
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def trace_roots(spans: DataFrame) -> DataFrame:
     return spans.filter(none).select("service").union(orphans.select("service")).distinct()
 
 
-def reachable_services(edges: DataFrame, roots: DataFrame, max_hops: int = 100) -> DataFrame:
+def reachable_services(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Breadth-first search from roots: service, hops, path (services from a root on), first reached wins.
 
     Each round joins the frontier only; the smallest path wins among equals, so the result does not depend
@@ -42,13 +44,13 @@ def reachable_services(edges: DataFrame, roots: DataFrame, max_hops: int = 100)
     """
     seen = cut_lineage(roots.select("service", F.lit(0).alias("hops"), F.array("service").alias("path")).dropDuplicates(["service"]), "bfs")
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = frontier.join(edges, frontier["service"] == edges["from_service"]).select(F.col("to_service").alias("service"), F.concat("path", F.array("to_service")).alias("path"))
         new = step.join(seen.select("service"), "service", "left_anti").groupBy("service").agg(F.min("path").alias("path"))
         frontier = cut_lineage(new.select("service", F.lit(hop).alias("hops"), "path"), "bfs")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = seen.union(frontier) if hop % 8 else cut_lineage(seen.union(frontier), "bfs")
     return seen
 
 

@@ -35,7 +35,7 @@ def divergences(occ: DataFrame, assets: DataFrame) -> DataFrame:
     both = sides.groupBy("system_id").agg((F.bool_or("deployed") & F.bool_or("capable")).alias("ok")).filter("ok").select("system_id")
     kind = F.when(F.col("deployed") & ~F.col("capable"), "DEPLOYED_WITHOUT_SOURCE").when(F.col("capable") & ~F.col("deployed"), "CAPABLE_BUT_NOT_OBSERVED")
     found = sides.join(both, "system_id").withColumn("kind", kind).filter("kind is not null")
-    return found.join(F.broadcast(assets.select("asset_id", "asset_name")), "asset_id").select("system_id", "kind", "asset_id", "asset_name")
+    return found.join(assets.select("asset_id", "asset_name"), "asset_id").select("system_id", "kind", "asset_id", "asset_name")
 
 
 def coverage(occ: DataFrame) -> DataFrame:
@@ -73,10 +73,10 @@ def reconcile(claims: DataFrame, found: DataFrame, assets: DataFrame) -> DataFra
     recordable track is still seen), UNDISCLOSED, UNVERIFIED. Statements themselves are no observation.
     """
     systems = claims.select("system_id").distinct()
-    seen = found.filter("modality <> 'ASSERTED'").join(F.broadcast(systems), "system_id").groupBy("system_id", "asset_id").agg(F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("observed_by"))
+    seen = found.filter("modality <> 'ASSERTED'").join(systems, "system_id").groupBy("system_id", "asset_id").agg(F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("observed_by"))
     said = claims.groupBy("system_id", "asset_id").agg(F.bool_or(F.col("roadmap") == "available").alias("available"))
     roadmap = claims.groupBy("system_id").agg(F.bool_or(F.col("roadmap") == "available").alias("_available"))
-    both = said.join(seen, ["system_id", "asset_id"], "full_outer").join(F.broadcast(roadmap), "system_id").join(F.broadcast(assets.select("asset_id", "quantum_vulnerable", "purpose")), "asset_id", "left")
+    both = said.join(seen, ["system_id", "asset_id"], "full_outer").join(roadmap, "system_id").join(assets.select("asset_id", "quantum_vulnerable", "purpose"), "asset_id", "left")
     against = F.col("_available") & F.col("quantum_vulnerable") & F.col("purpose").isin(*dims.HARVESTABLE)
     verdict = F.when(F.col("observed_by").isNull(), "UNVERIFIED").when(F.col("available").isNull(), "UNDISCLOSED").when(against, "CONTRADICTED_ROADMAP").otherwise("CORROBORATED")
     return both.select("system_id", "asset_id", verdict.alias("verdict"), F.coalesce("observed_by", F.lit("")).alias("observed_by"))

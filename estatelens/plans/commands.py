@@ -71,10 +71,10 @@ def source_files(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, wanted.filter(F.col("length") > MAX_TEXT).select("path", F.lit("too large").alias("reason"))
 
 
-def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: DataFrame | None = None, with_binaries: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Findings of all detectors over a tree, and what was skipped and why."""
+def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: DataFrame | None = None, with_binaries: bool = True, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings of all detectors over a tree, and what was skipped and why. sources: the tree's sources as calls.parsed() gave them."""
     texts, skipped = source_files(tree)
-    found_calls = calls.calls(texts)
+    found_calls = calls.calls_of(calls.parsed(texts) if sources is None else sources)
     found = [
         calls.call_findings(found_calls, system_id), binaries.source_findings(found_calls.filter("language = 'python'"), system_id), text_files.config_findings(texts, system_id),
         text_files.dependency_findings(texts, system_id, include_dev)[0], binaries.certificate_findings(binaries.certificates(tree.filter(F.col("path").rlike(r"(?i)\.(pem|crt|cer|der)$"))), system_id),
@@ -89,16 +89,19 @@ def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: Da
     return out, skipped.union(found_calls.filter("problem is not null").select("path", F.col("problem").alias("reason")).distinct())
 
 
-def static_reachability(found: DataFrame, tree: DataFrame) -> DataFrame:
-    """Verdicts per occurrence from the tree's module graph."""
+def static_reachability(found: DataFrame, tree: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Verdicts per occurrence from the tree's module graph, with the packages that its manifests declare."""
     texts, _ = source_files(tree)
-    files = texts.withColumns({"package": F.lit(None).cast("string"), "published": F.lit(False)})
-    vertices, imports, exported, edges = calls.module_graph(files)
-    vertices, imports, exported, edges = (cut_lineage(x, "graph") for x in (vertices, imports, exported, edges))
-    every = cut_lineage(reach.resolve_local(imports, vertices).union(reach.resolve_suffix(imports, vertices)), "edges")
+    sources = cut_lineage(calls.parsed(texts), "sources") if sources is None else sources
+    packages = cut_lineage(calls.packages_of(texts), "packages")
+    files = calls.with_packages(texts.filter(calls.language_of(F.col("path")).isNotNull()), packages)
+    vertices, imports, exported, edges = (cut_lineage(x, "graph") for x in calls.module_graph(files, sources))
+    named = reach.resolve_packages(imports, packages.filter("name is not null").select("name", "entry_dir"), vertices)
+    every = cut_lineage(reach.resolve_local(imports, vertices).union(reach.resolve_suffix(imports, vertices)).union(named), "edges")
     roots = reach.entry_points(vertices)
-    functions = calls.calls(texts).select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), F.col("callee").alias("raw"), "function").dropDuplicates(["locator", "raw"])
-    rows = found.select("occurrence_id", "modality", "locator", "raw").join(functions, ["locator", "raw"], "left").withColumn("file", F.regexp_extract("locator", r"^(.*):[0-9]+$", 1))
+    functions = calls.calls_of(sources).select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), "callee", "function").dropDuplicates(["locator", "callee"])
+    rows = found.select("occurrence_id", "modality", "locator", F.split_part("raw", F.lit(" "), F.lit(1)).alias("callee")).join(functions, ["locator", "callee"], "left")
+    rows = rows.withColumn("file", F.regexp_extract("locator", r"^(.*):[0-9]+$", 1))
     located = rows.withColumn("file", F.when(F.col("modality").isin("SOURCE_AST", "SOURCE_CONFIG") & (F.col("file") != ""), F.col("file")))
     return reach.verdicts(located, reach.walk(every, roots), vertices, reach.live_functions(edges, exported), any_entry=not roots.isEmpty())
 
@@ -107,10 +110,11 @@ def scan(tree: DataFrame, system_id: str, pack: PolicyPack, now: Column, secrecy
     """Detect, assemble, decide reach and rank one system."""
     if not 0 <= secrecy_years <= 100:
         raise ValueError("secrecy_years must be between 0 and 100")
-    raw, skipped = collect(tree, system_id, include_dev, keys, with_binaries)
+    sources = cut_lineage(calls.parsed(source_files(tree)[0]), "sources")
+    raw, skipped = collect(tree, system_id, include_dev, keys, with_binaries, sources)
     # each step is a table: what follows reads it many times
     found = cut_lineage(evidence.identified(raw), "findings")
-    verdict = cut_lineage(static_reachability(found, tree), "verdicts").select("occurrence_id", "reachable", "via")
+    verdict = cut_lineage(static_reachability(found, tree, sources), "verdicts").select("occurrence_id", "reachable", "via")
     occ = cut_lineage(evidence.occurrences(found).join(verdict, "occurrence_id", "left"), "occurrences")
     if spans is not None:
         graph = traces.service_edges(spans)

@@ -73,5 +73,19 @@ def with_reach(occ: DataFrame) -> DataFrame:
     return occ.withColumns({"reachable": F.expr(REACHABLE), "via": F.expr(VIA)})
 
 
+#: A source file of about 190 lines as it repeats in source_tree(), with one call to find in each function.
+_SOURCE = "import * as crypto from 'node:crypto';\nimport { other } from './f%d.js';\n" + "".join(
+    f"export function work{k}(input, options) {{\n  const size = input.length / 2;\n  for (let i = 0; i < size; i++) {{\n    if (/['\"]/.test(input[i])) {{ other(input[i], {{ deep: [i, size], name: 'n{k}' }}); }}\n  }}\n"
+    f"  // crypto.createHash('md5')\n  const digest = crypto.createHash('sha{(1, 256, 512)[k % 3]}').update(input).digest('hex');\n  return `${{digest}}:${{size}}`;\n}}\n\n"
+    for k in range(19)
+)
+
+
+def source_tree(spark: SparkSession, files: int) -> DataFrame:
+    """path and text of a made tree of JavaScript files; file k imports file k + 1."""
+    at = F.col("id").cast("string")
+    return spark.range(files).select(F.concat(F.lit("src/f"), at, F.lit(".js")).alias("path"), F.replace(F.lit(_SOURCE), F.lit("%d"), (F.col("id") + 1).cast("string")).alias("text"))
+
+
 def as_sql(table: str, columns: dict[str, str]) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {table}"

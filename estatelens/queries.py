@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estatelens.common import cut_lineage
 from estatelens.functions import assets as A
 from estatelens.functions import dims, naming
 from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
@@ -96,8 +97,14 @@ def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.assets(_found(spark, sf_dir))
 
 
-def _ranking(spark: SparkSession, sf_dir: str, pack=EO_14412) -> DataFrame:
-    return ranking.ranked(synth.with_reach(_occ(spark, sf_dir)), _assets(spark, sf_dir), pack, synth.NOW_YEAR)
+def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings' counts, read once for all parts of a query."""
+    return evidence.folded(synth.findings(spark, sf_dir))
+
+
+def _ranking(spark: SparkSession, sf_dir: str, pack=EO_14412, fold: DataFrame | None = None) -> DataFrame:
+    fold = _fold(spark, sf_dir) if fold is None else fold
+    return ranking.ranked(synth.with_reach(evidence.occurrences(fold)), evidence.assets(fold), pack, synth.NOW_YEAR)
 
 
 # E: grouping and confidence
@@ -192,7 +199,8 @@ def e6(spark, sf):
 @query("k3_rerank_moved", f"""WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')}, {_ranked(IR_8547_DRAFT, 'q')} SELECT occurrence_id, r.bucket, r.asset_name, r.system_id, q.slack_years AS slack_before, q.binding AS binding_before, r.slack_years AS slack_after, r.binding AS binding_after
  FROM r JOIN q USING (occurrence_id) WHERE r.bucket IN ('confidentiality', 'authenticity') AND (q.slack_years <> r.slack_years OR q.binding <> r.binding)""")
 def k3(spark, sf):
-    return ranking.moved(_ranking(spark, sf, IR_8547_DRAFT), _ranking(spark, sf)).select("occurrence_id", "bucket", "asset_name", "system_id", "slack_before", "binding_before", "slack_after", "binding_after")
+    fold = _fold(spark, sf)
+    return ranking.moved(_ranking(spark, sf, IR_8547_DRAFT, fold), _ranking(spark, sf, fold=fold)).select("occurrence_id", "bucket", "asset_name", "system_id", "slack_before", "binding_before", "slack_after", "binding_after")
 
 
 @query("m_override_years", f"""WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r', "(SELECT * FROM occ)").replace(_YEARS, "CASE WHEN control_class = 'HARDWARE' THEN CAST(9.5 AS DOUBLE) ELSE " + _YEARS + " END")} SELECT occurrence_id, y, slack_years FROM r""")
@@ -269,8 +277,8 @@ _GATE = f"""{_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')}, blocking AS (SELECT * F
 _AT = "TIMESTAMP '2026-08-28 00:00:00'"
 
 
-def _baseline(spark, sf):
-    occ = _occ(spark, sf)
+def _baseline(fold):
+    occ = evidence.occurrences(fold)
     days = F.expr("ascii(substr(occurrence_id, 2, 1)) * 4")
     suppressions = occ.filter("substr(occurrence_id, 3, 1) in ('0', '1', '2')").select("occurrence_id", F.expr("timestamp '2026-01-01'").alias("t"), days.alias("d")).select("occurrence_id", F.timestamp_micros(F.unix_micros("t") + F.col("d") * 86_400_000_000).alias("expires_at"), F.lit("planned for the next release").alias("reason"))
     return suppressions, occ.filter("substr(occurrence_id, 3, 1) in ('2', '3', '4', '5')").select("occurrence_id"), F.expr("timestamp '2026-08-28 00:00:00'")
@@ -278,25 +286,29 @@ def _baseline(spark, sf):
 
 @query("k13_build_gate", f"WITH {_GATE}, live AS (SELECT * FROM sup WHERE expires_at > {_AT} AND occurrence_id IN (SELECT occurrence_id FROM r)) SELECT occurrence_id, CASE WHEN occurrence_id IN (SELECT occurrence_id FROM live) THEN 'suppressed' WHEN occurrence_id IN (SELECT occurrence_id FROM acc) THEN 'accepted' ELSE 'introduced' END AS outcome FROM blocking")
 def k13(spark, sf):
-    suppressions, accepted, now = _baseline(spark, sf)
-    return changes.gate(_ranking(spark, sf), accepted, suppressions, now).select("occurrence_id", "outcome")
+    fold = _fold(spark, sf)
+    suppressions, accepted, now = _baseline(fold)
+    return changes.gate(cut_lineage(_ranking(spark, sf, fold=fold), "ranked"), accepted, suppressions, now).select("occurrence_id", "outcome")
 
 
 @query("d5_suppression_states", f"WITH {_GATE} SELECT occurrence_id, CASE WHEN expires_at <= {_AT} THEN 'expired' WHEN occurrence_id NOT IN (SELECT occurrence_id FROM r) THEN 'stale' ELSE 'live' END AS state FROM sup")
 def d5(spark, sf):
-    suppressions, _, now = _baseline(spark, sf)
-    return changes.suppression_state(suppressions, _ranking(spark, sf), now).select("occurrence_id", "state")
+    fold = _fold(spark, sf)
+    suppressions, _, now = _baseline(fold)
+    return changes.suppression_state(suppressions, _ranking(spark, sf, fold=fold), now).select("occurrence_id", "state")
 
 
 @query("d5_resolved", f"WITH {_GATE} SELECT occurrence_id FROM acc WHERE occurrence_id NOT IN (SELECT occurrence_id FROM r)")
 def d5_resolved(spark, sf):
-    return changes.resolved(_ranking(spark, sf), _baseline(spark, sf)[1])
+    fold = _fold(spark, sf)
+    return changes.resolved(_ranking(spark, sf, fold=fold), _baseline(fold)[1])
 
 
 @query("b7_rebaseline", f"WITH {_GATE} SELECT DISTINCT occurrence_id FROM blocking WHERE occurrence_id NOT IN (SELECT occurrence_id FROM sup WHERE expires_at > {_AT})")
 def b7(spark, sf):
-    suppressions, _, now = _baseline(spark, sf)
-    return changes.rebaseline(_ranking(spark, sf), suppressions, now)[0]
+    fold = _fold(spark, sf)
+    suppressions, _, now = _baseline(fold)
+    return changes.rebaseline(_ranking(spark, sf, fold=fold), suppressions, now)[0]
 
 
 @query("c9_blocking", f"WITH {_GATE} SELECT occurrence_id FROM r WHERE level = 'CONFIRMED' AND reachable = true")
@@ -320,8 +332,9 @@ _THIN = f"NOT (modality IN ({_quoted(dims.DEPLOYMENT)}) AND asset_id < '5') AND
 
 @query("k7_divergences", f"WITH {_FOUND}, tally AS (SELECT DISTINCT occurrence_id, system_id, asset_id, modality FROM found WHERE {_THIN}), {_ANSWER}, s AS (SELECT system_id, asset_id, bool_or(d) AS d, bool_or(c) AS c FROM side GROUP BY 1, 2), {_ASSETS}, ok AS (SELECT system_id FROM s GROUP BY 1 HAVING bool_or(d) AND bool_or(c)) SELECT system_id, CASE WHEN d AND NOT c THEN 'DEPLOYED_WITHOUT_SOURCE' ELSE 'CAPABLE_BUT_NOT_OBSERVED' END AS kind, asset_id, asset_name FROM s JOIN ok USING (system_id) JOIN assets USING (asset_id) WHERE d <> c")
 def k7(spark, sf):
-    found = _found(spark, sf)
-    return views.divergences(evidence.occurrences(found.filter(_THIN)), evidence.assets(found))
+    fold = _fold(spark, sf)
+    ids = evidence.identified(fold)
+    return views.divergences(evidence.occurrences(ids.filter(_THIN).select(*fold.columns)), evidence.assets(fold))
 
 
 _CLASSES = ", ".join(f"('{c}', '{m}')" for c, every in dims.ESTATE_CLASSES for m in every)
@@ -403,14 +416,14 @@ def d8(spark, sf):
     return traces.trace_roots(synth.spans(spark, sf))
 
 
-_REACH = f"""WITH RECURSIVE {_EDGES}, thin AS (SELECT * FROM edges WHERE CAST(substr(to_service, 5) AS INT) - CAST(substr(from_service, 5) AS INT) BETWEEN 1 AND 3),
- walk(service, hops, path) AS (SELECT 'svc-00', 0, ['svc-00'] UNION ALL SELECT t.to_service, hops + 1, list_append(path, t.to_service) FROM walk w JOIN thin t ON w.service = t.from_service WHERE hops < 30),
- best AS (SELECT service, min(hops) AS hops FROM walk GROUP BY 1)"""
+# the recursion keeps distinct (service, hops) and walks shortest paths only, so cycles end it
+_REACH = f"""WITH RECURSIVE {_EDGES}, steps(service, hops) AS (SELECT 'svc-00', 0 UNION SELECT t.to_service, hops + 1 FROM steps w JOIN edges t ON w.service = t.from_service WHERE hops < 24),
+ best AS (SELECT service, min(hops) AS hops FROM steps GROUP BY 1), down AS (SELECT from_service, to_service FROM edges JOIN best a ON a.service = from_service JOIN best b ON b.service = to_service WHERE b.hops = a.hops + 1),
+ walk(service, hops, path) AS (SELECT 'svc-00', 0, ['svc-00'] UNION ALL SELECT to_service, hops + 1, list_append(path, to_service) FROM walk w JOIN down d ON w.service = d.from_service)"""
 
 
 def _reached(spark, sf):
-    edges = traces.service_edges(synth.spans(spark, sf)).filter("cast(substr(to_service, 5) as int) - cast(substr(from_service, 5) as int) between 1 and 3")
-    return traces.reachable_services(edges, spark.createDataFrame([("svc-00",)], "service string"))
+    return traces.reachable_services(traces.service_edges(synth.spans(spark, sf)), spark.createDataFrame([("svc-00",)], "service string"))
 
 
 @query("j7_reachable_services", f"{_REACH} SELECT b.service, CAST(b.hops AS INT) AS hops, array_to_string(min(path), '>') AS path FROM best b JOIN walk w ON b.service = w.service AND b.hops = w.hops GROUP BY 1, 2")
@@ -588,9 +601,9 @@ NAMES = (
 _NAME_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in NAMES)
 
 
-@query("i1_i7_names", f"SELECT r.vocabulary, r.name, r.primitive, r.parameters, r.purpose, n_nationkey FROM (VALUES {_NAME_ROWS}) AS r(vocabulary, name, primitive, parameters, purpose) CROSS JOIN nation WHERE n_nationkey < 3")
+@query("i1_i7_names", f"SELECT r.vocabulary, r.name, r.primitive, r.parameters, r.purpose, n_nationkey FROM (VALUES {_NAME_ROWS}) AS r(vocabulary, name, primitive, parameters, purpose) CROSS JOIN nation")
 def names(spark, sf):
-    rows = spark.createDataFrame(sorted({(v, n) for v, n, *_ in NAMES}), "vocabulary string, name string").crossJoin(_table(spark, sf, "nation").filter("n_nationkey < 3").select("n_nationkey"))
+    rows = spark.createDataFrame(sorted({(v, n) for v, n, *_ in NAMES}), "vocabulary string, name string").crossJoin(_table(spark, sf, "nation").select("n_nationkey"))
     specs = F.array().cast(naming.SPECS)
     for vocabulary, of in naming.VOCABULARIES.items():
         specs = F.when(F.col("vocabulary") == vocabulary, of(F.col("name"))).otherwise(specs)
@@ -714,11 +727,11 @@ def a31(spark, sf):
     return rows.withColumn("spec", binaries.symbol_spec(F.col("symbol"))).filter("spec is not null").select("r_regionkey", "symbol", "spec.primitive")
 
 
-@query("a29_constants", "SELECT n_nationkey, 'aes-sbox' AS constant, CAST(64 + n_nationkey AS BIGINT) AS first_offset, CAST(1 + n_nationkey % 9 AS BIGINT) AS hits FROM nation WHERE n_nationkey % 9 < 8")
+@query("a29_constants", "SELECT n_nationkey, 'aes-sbox' AS constant, CAST(64 + n_nationkey AS BIGINT) AS first_offset, CAST(least(8, 1 + n_nationkey % 9) AS BIGINT) AS hits FROM nation")
 def a29(spark, sf):
     sbox = "637c777bf26b6fc53001672bfed7ab76ca82c97dfa5947f0add4a2af9ca472c0"
     content = F.concat(F.unhex(F.repeat(F.lit("00"), (64 + F.col("n_nationkey")).cast("int"))), F.unhex(F.repeat(F.lit(sbox), (1 + F.col("n_nationkey") % 9).cast("int"))))
-    files = _table(spark, sf, "nation").filter("n_nationkey % 9 < 8").select(F.col("n_nationkey").cast("string").alias("path"), content.alias("content"))
+    files = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("path"), content.alias("content"))
     return binaries.observed(files).filter("kind = 'constant'").groupBy(F.col("path").cast("int").alias("n_nationkey"), F.col("value").alias("constant")).agg(F.min("offset").alias("first_offset"), F.count("*").alias("hits"))
 
 
@@ -823,3 +836,6 @@ def l2(spark, sf):
 def l3(spark, sf):
     e = _table(spark, sf, "events")
     return e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("started_at"), "events")
+
+
+from estatelens import source_queries  # noqa: E402, F401  the detectors' queries register themselves

@@ -387,9 +387,16 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 #: Strings worth keeping, and libraries that name themselves in strings.
 CRYPTO_TEXT = re.compile(r"(?i)openssl|boringssl|libressl|mbed ?tls|wolfssl|gnutls|libsodium|bouncycastle|\bnss [0-9]|TLS_|(?:RSA|ECDSA|ECDH|AES|SHA)[-_ ]?[0-9]{3}|chacha20|curve25519|ed25519|md5|sha-?1\b")
 FINGERPRINTS = (
-    ("OpenSSL", r"OpenSSL\s+([0-9]+\.[0-9]+\.[0-9]+[a-z]?)"), ("BoringSSL", r"BoringSSL(?:\s+([\w.]+))?"), ("LibreSSL", r"LibreSSL\s+([0-9.]+)"), ("mbedTLS", r"mbed\s?TLS\s+([0-9.]+)"), ("wolfSSL", r"wolfSSL\s+([0-9.]+)"),
-    ("GnuTLS", r"GnuTLS\s+([0-9.]+)"), ("NSS", r"\bNSS\s+([0-9.]+)"), ("libsodium", r"libsodium\s+([0-9.]+)"), ("Bouncy Castle", r"BouncyCastle(?:\s+v?([0-9.]+))?"),
-)
+    ("OpenSSL", r"OpenSSL\s+(\d+\.\d+\.\d+[a-z]?(?:-[\w.]+)?)"),
+    ("BoringSSL", r"BoringSSL(?:\s+([\w.]+))?"),
+    ("LibreSSL", r"LibreSSL\s+([\d.]+)"),
+    ("mbedTLS", r"mbed\s?TLS\s+([\d.]+)"),
+    ("wolfSSL", r"wolfSSL\s+([\d.]+)"),
+    ("GnuTLS", r"GnuTLS\s+([\d.]+)"),
+    ("NSS", r"\bNSS\s+([\d.]+)"),
+    ("libsodium", r"libsodium\s+([\d.]+)"),
+    ("Bouncy Castle", r"BouncyCastle(?:\s+v?([\d.]+))?"),
+)
 _E, _S, _D, _I, _K = "KEY_ESTABLISHMENT", "DIGITAL_SIGNATURE", "DATA_ENCRYPTION", "INTEGRITY", "KEY_DERIVATION"
 #: Symbol rules in order: pattern, primitive, purpose, how parameters are read (m modulus, c curve, a AES, o output).
 SYMBOL_RULES = (

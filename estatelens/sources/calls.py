@@ -1,8 +1,10 @@
 """Calls and module graphs of JavaScript, TypeScript, Go, Java, C, C++, Rust, C# and Python sources.
 
-There are no grammars here: a small tokenizer walks the text once, knows comments, strings and nesting, and
-gives each call's callee, its literal arguments and the literal members of object arguments. What is not a
-literal stays unresolved and is not guessed. Rules are a table, applied by column expressions.
+There are no grammars here: a small tokenizer walks the text once, knows comments, strings, regular expression
+literals and nesting, and gives each call's callee, its literal arguments and the literal members of object
+arguments. Brackets are matched once with a stack, so time is linear in the text, however deep it nests. What is not
+a literal stays unresolved and is not guessed. Rules are a table, applied by column expressions; a rule counts only
+where its module is imported.
 """
 
 from __future__ import annotations
@@ -10,136 +12,209 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions import naming
-from estatelens.operators.reach import is_test_path
+from estatelens.operators.reach import EXAMPLE_PATH, is_test_path
 from estatelens.sources.binaries import python_calls
 
-#: Languages by file extension. Larger files are skipped.
+#: Languages by file extension. Larger files are skipped, with a row that says so.
 LANGUAGES = {
-    "ts": "js", "tsx": "js", "mts": "js", "cts": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "python", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "rs": "rust", "cs": "csharp",
+    "ts": "js", "tsx": "js", "mts": "js", "cts": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "python",
+    "go": "go", "java": "java", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "rs": "rust", "cs": "csharp",
 }
-MAX_CHARS, ARGUMENTS = 2 << 20, 8
-
-_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+MAX_CHARS = 2 << 20
+
+_COMMENT, _DOUBLE = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r"\"(?:\\.|[^\"\\\n])*\""
+#: What hides code, by language; a lone slash is a division or, in JavaScript, the start of a regular expression.
+_SKIP = {
+    "js": re.compile(rf"{_COMMENT}|{_DOUBLE}|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|/", re.S),
+    "go": re.compile(rf"{_COMMENT}|{_DOUBLE}|'(?:\\.[^'\n]*|[^'\\\n])'|`[^`]*`", re.S),
+    "rust": re.compile(rf"{_COMMENT}|r(#+)\".*?\"\1|{_DOUBLE}|'(?:\\.[^'\n]*|[^'\\\n])'", re.S),
+    "": re.compile(rf"{_COMMENT}|{_DOUBLE}|'(?:\\.[^'\n]*|[^'\\\n])'", re.S),
+}
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: A slash after one of these characters or words starts a regular expression.
+_BEFORE_REGEX = frozenset("(,=:[!&|?{};+-*%~^<>\n")
+_WORD_BEFORE_REGEX = re.compile(r"(?:^|[^\w$.])(?:return|typeof|case|in|of|do|else|void|throw|delete|await|yield)\s*$")
 _CALLEE = re.compile(r"(?:\bnew\s+)?[A-Za-z_$][\w$]*(?:\s*(?:\.|::|->|\?\.)\s*(?:<[^<>()]*>\s*::\s*)?[A-Za-z_$][\w$]*)*\s*!?\s*\(")
 #: Words that stand before a parenthesis and call nothing.
 _WORDS = frozenset("if for while switch catch return function func fn match loop sizeof typeof await async elif and or not in with assert defer go using lock".split())
-_FUNCTION = re.compile(r"\b(?:function\s+(\w+)|func\s+(?:\([^)]*\)\s*)?(\w+)|fn\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>|(?:public|private|protected|static|internal|\w+)\s+[\w<>\[\]*&]+\s+(\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w,\s]+)?\{)")
-
-
-def _blanked(text: str) -> tuple[str, dict[int, str]]:
-    """text with comments blank and strings masked, and the strings by where they start."""
-    strings: dict[int, str] = {}
-
-    def blank(m: re.Match) -> str:
-        token = m[0]
-        if token[:2] in ("//", "/*"):
-            return re.sub(r"[^\n]", " ", token)
-        strings[m.start()] = token
-        return token[0] + re.sub(r"[^\n]", "\x01", token[1:-1]) + token[-1]
-
-    return _SKIP.sub(blank, text), strings
-
-
-def _closing(text: str, at: int) -> int:
-    """Where the bracket that opens at a place is closed; the end if it is not, or within 4000 characters."""
-    depth = 0
-    for k in range(at, min(len(text), at + 4000)):
-        c = text[k]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if not depth:
-                return k
-    return min(len(text), at + 4000)
-
-
-def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Ranges between the commas of one level."""
-    out, depth, begin = [], 0, start
-    for k in range(start, end):
-        c = text[k]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == "," and not depth:
-            out.append((begin, k))
-            begin = k + 1
-    if text[begin:end].strip():
-        out.append((begin, end))
-    return out
-
-
-def _value(text: str, strings: dict[int, str], start: int, end: int) -> str | None:
-    """A string, number, boolean, name or call as text; null if it is an expression."""
-    part = text[start:end]
-    lead = start + len(part) - len(part.lstrip())
-    part = part.strip()
-    if lead in strings and len(strings[lead]) == len(part):
-        literal = strings[lead]
-        return None if literal[0] == "`" and "${" in literal else literal[1:-1]
-    if re.fullmatch(r"[0-9][0-9_]*", part):
-        return part.replace("_", "")
-    name = re.fullmatch(r"&?[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*(?:\(\s*\))?", part)
-    return re.sub(r"^&|\(\s*\)$", "", part) if name else None
-
-
-def scan(text: str) -> list[tuple[int, str | None, str, list[str | None], dict[str, str]]]:
-    """Calls of a text: line, enclosing function, callee, arguments, members of object arguments."""
-    code, strings = _blanked(text)
+_FUNCTION = re.compile(
+    r"\bfunction\s+(\w+)|\bfunc\s+(?:\([^)]*\)\s*)?(\w+)|\bfn\s+(\w+)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>"
+    r"|\b(?:public|private|protected|static|internal|\w+)\s+[\w<>\[\]*&]+\s+(\w+)\s*\([^;{}()]*\)\s*(?:throws\s+[\w,\s]+)?\{"
+)
+_SPACE = re.compile(r"\s*")
+_NUMBER, _NAME = re.compile(r"[0-9][0-9_]*"), re.compile(r"&?([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)(?:\(\s*\))?")
+_MEMBER = re.compile(r"\s*[\"']?([\w$]+)[\"']?\s*:\s*")
+
+
+class _Code:
+    """A text with comments blank and literals masked, its strings by where they start, and its brackets."""
+
+    def __init__(self, text: str, language: str) -> None:
+        self.strings: dict[int, str] = {}
+        parts, at, skip = [], 0, _SKIP.get(language, _SKIP[""])
+        while m := skip.search(text, at):
+            token, start = m[0], m.start()
+            parts.append(text[at:start])
+            at = m.end()
+            if token == "/":
+                before = text[max(0, start - 40) : start].rstrip(" \t")
+                literal = _REGEX.match(text, start) if not before or before[-1] in _BEFORE_REGEX or _WORD_BEFORE_REGEX.search(before) else None
+                token, at = (literal[0], literal.end()) if literal else (token, at)
+                parts.append("\x01" * len(token))
+            elif token[:2] in ("//", "/*"):
+                parts.append(re.sub(r"[^\n]", " ", token))
+            else:
+                self.strings[start] = token
+                parts.append(token[0] + re.sub(r"[^\n]", "\x01", token[1:-1]) + token[-1])
+        self.code = "".join([*parts, text[at:]])
+        self.close: dict[int, int] = {}
+        self.commas: dict[int, list[int]] = {}
+        stack: list[int] = []
+        for m in re.finditer(r"[(\[{}\]),]", self.code):
+            k, c = m.start(), m[0]
+            if c in "([{":
+                stack.append(k)
+            elif c == ",":
+                if stack:
+                    self.commas.setdefault(stack[-1], []).append(k)
+            elif stack:
+                self.close[stack.pop()] = k
+
+    def end(self, opened: int) -> int:
+        """Where the bracket that opens at a place is closed; the end of the text if it is not."""
+        return self.close.get(opened, len(self.code))
+
+    def parts(self, opened: int) -> list[tuple[int, int]]:
+        """Ranges between the commas of one bracket."""
+        edges, end = [opened, *self.commas.get(opened, ())], self.end(opened)
+        out = [(a + 1, b) for a, b in zip(edges, [*edges[1:], end], strict=True)]
+        if out and _SPACE.match(self.code, out[-1][0]).end() >= out[-1][1]:
+            out.pop()
+        return out
+
+    def value(self, start: int, end: int) -> str | None:
+        """A string, number, boolean, name or call as text; null if it is an expression. Reads no more than the token."""
+        lead = _SPACE.match(self.code, start).end()
+        whole = lambda at: at <= end and _SPACE.match(self.code, at).end() >= end
+        if lead in self.strings:
+            literal = self.strings[lead]
+            if not whole(lead + len(literal)) or literal[0] == "`" and "${" in literal:
+                return None
+            return literal.strip("r#")[1:-1] if literal[0] == "r" else literal[1:-1]
+        if (m := _NUMBER.match(self.code, lead)) and whole(m.end()):
+            return m[0].replace("_", "")
+        return m[1] if (m := _NAME.match(self.code, lead)) and whole(m.end()) else None
+
+    def members(self, opened: int) -> dict[str, str]:
+        """Literal members of an object; of a list, its first element."""
+        out = {}
+        for a, b in self.parts(opened):
+            if pair := _MEMBER.match(self._plain(a, b), 0):
+                at = a + pair.end()
+                listed = self.code[at : at + 1] == "["
+                inner = self.parts(at) if listed else []
+                value = self.value(*inner[0]) if inner else None if listed else self.value(at, b)
+                if value is not None:
+                    out[pair[1]] = value
+        return out
+
+    def _plain(self, a: int, b: int) -> str:
+        """The start of a member with a quoted name put back."""
+        lead = _SPACE.match(self.code, a).end()
+        head = self.strings.get(lead, "")
+        return self.code[a:lead] + head + self.code[lead + len(head) : min(b, lead + len(head) + 200)]
+
+    def functions(self) -> list[tuple[int, int, str]]:
+        """(start, end, name) of functions; without a body in braces the body ends with the line."""
+        out = []
+        for m in _FUNCTION.finditer(self.code):
+            name = next(g for g in m.groups() if g)
+            if m[0].endswith("{"):
+                brace = m.end() - 1
+            else:
+                at = self.code.find("(", m.end()) if not m[0].endswith("=>") else m.end()
+                after = self.end(at) + 1 if at >= 0 and not m[0].endswith("=>") else m.end()
+                found = re.compile(r"[{;]" if not m[0].endswith("=>") else r"\S").search(self.code, after)
+                brace = found.start() if found and found[0] == "{" else -1
+            stop = self.code.find("\n", m.end())
+            out.append((m.start(), self.end(brace) if brace >= 0 else stop if stop >= 0 else len(self.code), name))
+        return out
+
+
+def scan(text: str, language: str = "js") -> list[tuple[int, str | None, str, list[str | None], dict[str, str]]]:
+    """Calls of a text: line, innermost function around it, callee, arguments, members of object arguments."""
+    source = _Code(text, language)
+    code, functions = source.code, source.functions()
     lines = [m.start() for m in re.finditer("\n", code)]
-    functions = sorted((m.start(), next((g for g in m.groups() if g), None)) for m in _FUNCTION.finditer(code))
-    starts = [s for s, _ in functions]
-    out = []
+    out, around, following = [], [], 0
     for m in _CALLEE.finditer(code):
+        while following < len(functions) and functions[following][0] <= m.start():
+            around.append(functions[following])
+            following += 1
+        while around and around[-1][1] < m.start():
+            around.pop()
         callee = re.sub(r"\s+", "", re.sub(r"<[^<>]*>::", "", re.sub(r"^new\s+", "", m[0][:-1]))).replace("?.", ".").rstrip("!")
         if callee in _WORDS or "\x01" in callee:
             continue
-        end = _closing(code, m.end() - 1)
         values, members = [], {}
-        for a, b in _parts(code, m.end(), end)[:ARGUMENTS]:
-            values.append(_value(code, strings, a, b))
-            inner = code[a:b]
-            if inner.strip().startswith("{"):
-                open_ = a + inner.index("{")
-                for c, d in _parts(code, open_ + 1, _closing(code, open_)):
-                    pair = re.match(r"\s*[\"']?([\w$\x01]+)[\"']?\s*:", code[c:d])
-                    if pair and "\x01" not in pair[1]:
-                        value_at = c + pair.end()
-                        value = _value(code, strings, value_at, d)
-                        listed = code[value_at:d].strip()
-                        if value is None and listed.startswith("[") and len(_parts(code, code.index("[", value_at) + 1, code.rindex("]", 0, d) if "]" in code[value_at:d] else d)) >= 1:
-                            first = _parts(code, code.index("[", value_at) + 1, d)[0]
-                            value = _value(code, strings, first[0], min(first[1], code.rfind("]", first[0], d) if "]" in code[first[0] : first[1]] else first[1]))
-                        if value is not None:
-                            members[pair[1]] = value
-        k = bisect.bisect_right(starts, m.start()) - 1
-        out.append((bisect.bisect_left(lines, m.start()) + 1, functions[k][1] if k >= 0 else None, callee, values, members))
+        for a, b in source.parts(m.end() - 1):
+            values.append(source.value(a, b))
+            lead = _SPACE.match(code, a).end()
+            if code[lead : lead + 1] == "{":
+                members |= source.members(lead)
+        # a call in a function's own header is made where the function stands
+        inner = next((f[2] for f in reversed(around) if f[0] < m.start()), None)
+        out.append((bisect.bisect_left(lines, m.start()) + 1, inner, callee, values, members))
     return out
 
 
 _IMPORTS = {
-    "js": re.compile(r"\bimport\s+(?:type\s+)?(?:(?P<names>[\w$*{},\s]+?)\s+from\s+)?['\"](?P<a>[^'\"]+)['\"]|(?:(?:const|let|var)\s+(?P<names2>[\w${},:\s]+?)\s*=\s*)?\brequire\(\s*['\"](?P<b>[^'\"]+)['\"]\s*\)"),
+    "js": re.compile(
+        r"\bimport\s+(?:type\s+)?(?:(?P<names>[\w$*{},\s]+?)\s+from\s+)?['\"](?P<a>[^'\"]+)['\"]"
+        r"|(?:(?:const|let|var)\s+(?P<names2>[\w${},:\s]+?)\s*=\s*)?\brequire\(\s*['\"](?P<b>[^'\"]+)['\"]\s*\)"
+    ),
     "go": re.compile(r"(?m)^\s*(?:import\s+)?(?P<names>[\w.]+\s+)?\"(?P<a>[\w./-]+)\"\s*$|\bimport\s+\"(?P<b>[\w./-]+)\""),
     "java": re.compile(r"\bimport\s+(?:static\s+)?(?P<a>[\w.]+)(?:\.\*)?\s*;"),
     "c": re.compile(r"#\s*include\s*[<\"](?P<a>[^>\"]+)[>\"]"),
-    "rust": re.compile(r"\buse\s+(?P<a>[\w:]+)"),
-    "csharp": re.compile(r"\busing\s+(?:static\s+)?(?P<a>[\w.]+)\s*;"),
-}
+    "csharp": re.compile(r"\busing\s+(?:static\s+)?(?:(?P<names>\w+)\s*=\s*)?(?P<a>[\w.]+)\s*;"),
+}
+_USE = re.compile(r"\buse\s+([^;]+);")
+
+
+def _rust_uses(tree: str, prefix: str = "") -> list[tuple[str, str]]:
+    """(alias, path) of a use declaration with nested braces and renames."""
+    tree, out, depth, start = tree.strip(), [], 0, 0
+    parts = []
+    for k, c in enumerate(tree + ","):
+        depth += (c == "{") - (c == "}")
+        if c == "," and depth == 0:
+            parts.append(tree[start:k].strip())
+            start = k + 1
+    for part in filter(None, parts):
+        if part.endswith("}"):
+            head, _, inner = part.partition("{")
+            out += _rust_uses(inner[:-1], prefix + head)
+            continue
+        path, _, renamed = (prefix + part).partition(" as ")
+        path = path.strip().removesuffix("::self").removesuffix("::*")
+        out.append((renamed.strip() or path.rpartition("::")[2], path))
+    return out
 
 
 def imports_of(text: str, language: str) -> list[tuple[str, str]]:
-    """(alias, module) of a text's imports; the alias of a whole module is its last part."""
+    """(alias, module) of a text's imports; the alias of a whole module is its last part, of a renamed one its new name."""
     if language == "python":
         found = python_calls(text)
         return found[1] if found else []
+    if language == "rust":
+        return [u for m in _USE.finditer(text) for u in _rust_uses(re.sub(r"\s+", " ", m[1]))]
     out = []
     for m in _IMPORTS[language].finditer(text):
         groups = m.groupdict()
@@ -147,12 +222,54 @@ def imports_of(text: str, language: str) -> list[tuple[str, str]]:
         if not module:
             continue
         names = groups.get("names") or groups.get("names2") or ""
-        aliases = [x.strip().split(" as ")[-1].split(":")[-1].strip() for x in re.sub(r"[{}]|\*\s+as\s", " ", names).split(",")]
+        aliases = [re.split(r"\sas\s|:", x)[-1].strip() for x in re.sub(r"[{}]|\*\s+as\s", " ", names).split(",")]
         last = re.split(r"[/.:]+", re.sub(r"\.(?:h|hpp|c|cpp)$", "", module))[-1]
         out += [(a, module) for a in aliases if re.fullmatch(r"[\w$]+", a)] or [(last, module)]
     return out
 
 
+def renamed_of(text: str) -> dict[str, str]:
+    """Local name -> exported name of JavaScript imports that rename ({ createHash as h }, { createHash: h })."""
+    out = {}
+    for m in _IMPORTS["js"].finditer(text):
+        names = m["names"] or m["names2"] or ""
+        for x in re.sub(r"[{}]", " ", names).split(","):
+            pair = re.split(r"\sas\s|:", x)
+            if len(pair) == 2 and pair[0].strip() not in ("*", ""):
+                out[pair[1].strip()] = pair[0].strip()
+    return out
+
+
+#: Imports that show that a file of a language uses cryptography; a file without imports is not judged by them.
+GATES = {
+    "java": re.compile(r"^(javax\.crypto|java\.security|org\.bouncycastle)"),
+    "csharp": re.compile(r"System\.Security\.Cryptography|BouncyCastle"),
+}
+
+
+def resolved_calls(text: str, language: str) -> list[tuple] | None:
+    """Calls with aliases resolved: (line, function, callee, arguments, members, module, gated); null if the text does not parse."""
+    if language == "python":
+        found = python_calls(text)
+        return found and [(line, f, c, a, {k: v for k, v in kw.items() if v is not None}, dict(found[1]).get(c.split(".")[0]), True) for line, f, c, a, kw in found[0]]
+    imports = imports_of(text, language)
+    modules, renamed, gate = dict(imports), renamed_of(text) if language == "js" else {}, GATES.get(language)
+    gated = gate is None or not imports or any(gate.search(m) for _, m in imports)
+    out = []
+    for line, f, c, a, o in scan(text, language):
+        head = re.match(r"[\w$]+", c)
+        name, rest = (head[0], c[head.end() :]) if head else (c, "")
+        module = modules.get(name)
+        if name in renamed:
+            name = renamed[name]
+        elif module and language == "rust":
+            name = module
+        elif module and language in ("go", "csharp"):
+            name = re.split(r"[/.]", module)[-1]
+        out.append((line, f, name + rest, a, o, module, gated))
+    return out
+
+
 def exports_of(text: str, language: str) -> list[str]:
     """Names that other files can use."""
     if language == "js":
@@ -164,7 +281,7 @@ def exports_of(text: str, language: str) -> list[str]:
     return sorted({y for x in re.findall(pattern, text) for y in ([x] if isinstance(x, str) else x) if y})
 
 
-_CALLS = "path string, language string, line int, function string, callee string, args array<string>, kwargs map<string,string>, module string, problem string"
+_CALLS = "path string, language string, line int, function string, callee string, args array<string>, kwargs map<string,string>, module string, gated boolean, problem string"
 
 
 def language_of(path: Column) -> Column:
@@ -176,129 +293,280 @@ def _languages(files: DataFrame) -> DataFrame:
     return files.select("path", "text", language_of(F.col("path")).alias("language")).filter("language is not null")
 
 
-def calls(files: DataFrame) -> DataFrame:
-    """Calls of sources (path, text), with the module that the callee's first name stands for; skipped files give a problem."""
+#: Parsed sources: what calls() and module_graph() are cut from.
+_PARSED = (
+    "path string, language string, problem string, calls array<struct<line:int,function:string,callee:string,args:array<string>,kwargs:map<string,string>,module:string,gated:boolean>>, "
+    "imports array<struct<alias:string,spec:string,ordinal:int>>, exported array<string>"
+)
+_CALL_FIELDS = ("line", "function", "callee", "args", "kwargs", "module", "gated")
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """One row per source (path, text) of a known language, each parsed once; a file that cannot be read has a problem."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, text, language in zip(batch["path"], batch["text"].fillna(""), batch["language"], strict=True):
-                if len(text) > MAX_CHARS:
-                    rows.append((path, language, None, None, None, None, None, None, "too large"))
+                found = resolved_calls(text, language) if len(text) <= MAX_CHARS else None
+                if found is None:
+                    rows.append((path, language, "does not parse" if len(text) <= MAX_CHARS else "too large", [], [], []))
                     continue
-                if language == "python":
-                    found = python_calls(text)
-                    if found is None:
-                        rows.append((path, language, None, None, None, None, None, None, "does not parse"))
-                        continue
-                    every = [(line, f, c, a, {k: v for k, v in kw.items() if v is not None}) for line, f, c, a, kw in found[0]]
-                else:
-                    every = scan(text)
-                modules = dict(imports_of(text, language))
-                rows += [(path, language, line, f, c, a, o, modules.get(re.split(r"\.|::|->", c)[0]), None) for line, f, c, a, o in every]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _CALLS.split(", ")]).astype({"line": "Int32"})
+                specs = [(a, s.rpartition(".")[0] if language == "python" and s.startswith(".") else s) for a, s in imports_of(text, language)]
+                imports = [{"alias": a, "spec": s, "ordinal": k} for k, (a, s) in enumerate(specs)]
+                rows.append((path, language, None, [dict(zip(_CALL_FIELDS, x, strict=True)) for x in found], imports, exports_of(text, language)))
+            yield pd.DataFrame(rows, columns=["path", "language", "problem", "calls", "imports", "exported"])
 
-    return _languages(files).mapInPandas(run, _CALLS)
+    return _languages(files).mapInPandas(run, _PARSED)
 
 
-_GRAPH = "file string, lang string, imports array<struct<alias:string,spec:string,ordinal:int>>, exported array<string>, edges array<struct<caller:string,callee:string>>"
+def calls_of(sources: DataFrame) -> DataFrame:
+    """Calls of parsed sources, with the module that the callee's first name stands for; skipped files give a problem."""
+    each = sources.select("path", "language", "problem", F.explode_outer("calls").alias("c")).filter("c is not null or problem is not null")
+    return each.select("path", "language", *[F.col(f"c.{x}").alias(x) for x in _CALL_FIELDS], "problem")
 
-#: What marks a file as a place where execution starts.
-HTTP_SERVER = r"\.listen\s*\(|createServer\s*\(|app\.(get|post|put|delete|patch|use)\s*\(|new\s+Hono\s*\(|fastify\s*\("
-NATIVE_MAIN = r"\bfunc\s+main\s*\(|\bfn\s+main\s*\(|\bint\s+main\s*\(|public\s+static\s+void\s+main\s*\(|static\s+(?:async\s+)?(?:void|int|Task)\s+Main\s*\("
-NATIVE_SERVER = r"http\.ListenAndServe|gin\.Default|echo\.New|net\.Listen|SpringApplication\.run|@RestController|actix_web::HttpServer|axum::Server|rocket::build|WebApplication\.CreateBuilder|app\.MapGet"
-PYTHON_APP = r"Flask\s*\(|FastAPI\s*\(|urlpatterns\s*=|application\s*=\s*get_[wa]sgi_application"
+
+def calls(files: DataFrame) -> DataFrame:
+    return calls_of(parsed(files))
+
+
+#: What marks a file as a place where execution starts, in the order in which it is asked: languages, kind,
+#: what the path must match (none: any), what the text must match.
+_NATIVE = ("go", "java", "c", "rust", "csharp")
+ENTRIES = (
+    (_NATIVE, "framework-route", None, r"http\.ListenAndServe|gin\.Default|echo\.New|net\.Listen|SpringApplication\.run|@RestController|actix_web::HttpServer|axum::Server|rocket::build|WebApplication\.CreateBuilder|app\.MapGet"),
+    (_NATIVE, "package-main", None, r"\bfunc\s+main\s*\(|\bfn\s+main\s*\(|\bint\s+main\s*\(|public\s+static\s+void\s+main\s*\(|static\s+(?:async\s+)?(?:void|int|Task)\s+Main\s*\("),
+    (("python",), "python-wsgi", r"(^|/)(wsgi|asgi|manage)\.py$", None),
+    (("python",), "python-main", None, r"if\s+__name__\s*==\s*['\"]__main__['\"]"),
+    (("python",), "framework-route", None, r"Flask\s*\(|FastAPI\s*\(|urlpatterns\s*=|application\s*=\s*get_[wa]sgi_application"),
+    (("js",), "framework-route", r"(^|/)(app|pages)/.*/(route|page|layout)\.[jt]sx?$|(^|/)pages/api/", None),
+    (("js",), "http-server", None, r"\.listen\s*\(|createServer\s*\(|app\.(get|post|put|delete|patch|use)\s*\(|new\s+Hono\s*\(|fastify\s*\("),
+    (("js",), "package-bin", r"(^|/)(server|main|index|cli|bin)\.[jt]sx?$", r"^#!|process\.argv"),
+)
 
 
 def entry_kind(path: Column, text: Column, language: Column) -> Column:
-    """How execution starts in a file, null if it does not."""
-    native = F.when(text.rlike(NATIVE_SERVER), "framework-route").when(text.rlike(NATIVE_MAIN), "package-main")
-    python = F.when(path.rlike(r"(^|/)(wsgi|asgi|manage)\.py$"), "python-wsgi").when(text.rlike(r"if\s+__name__\s*==\s*['\"]__main__['\"]"), "python-main").when(text.rlike(PYTHON_APP), "framework-route")
-    script = (
-        F.when(path.rlike(r"(^|/)(app|pages)/.*/(route|page|layout)\.[jt]sx?$|(^|/)pages/api/"), "framework-route").when(text.rlike(HTTP_SERVER), "http-server")
-        .when(path.rlike(r"(^|/)(server|main|index|cli|bin)\.[jt]sx?$") & text.rlike(r"^#!|process\.argv"), "package-bin")
-    )
-    return F.when(language == "js", script).when(language == "python", python).otherwise(native)
+    """How execution starts in a file, by the first row of ENTRIES that fits; null if none does."""
+    fits = [
+        F.when(language.isin(*languages) & (path.rlike(place) if place else F.lit(True)) & (text.rlike(mark) if mark else F.lit(True)), kind)
+        for languages, kind, place, mark in ENTRIES
+    ]
+    return F.coalesce(*fits)
+
+
+def module_graph(files: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Vertices, imports, exports and call edges of sources (path, text, package, published), for estatelens.operators.reach.
+
+    sources: the files as parsed() gave them, so that no file is parsed again.
+    """
+    sources = parsed(files) if sources is None else sources
+    facts = files.select(
+        F.col("path").alias("file"), "package", "published", is_test_path(F.col("path")).alias("is_test"), entry_kind(F.col("path"), F.col("text"), language_of(F.col("path"))).alias("entry_kind")
+    )
+    vertices = sources.select(F.col("path").alias("file"), F.col("language").alias("lang")).join(facts, "file")
+    imports = sources.select(F.col("path").alias("file"), F.explode("imports").alias("i")).select("file", "i.spec", "i.ordinal").distinct()
+    exported = sources.select(F.col("path").alias("file"), F.explode("exported").alias("name"))
+    called = sources.select(F.col("path").alias("file"), F.explode("calls").alias("c"))
+    edges = called.select("file", F.coalesce("c.function", F.lit("")).alias("caller"), F.regexp_extract("c.callee", r"([^.:>]*)$", 1).alias("callee")).distinct()
+    return vertices, imports, exported.union(edges.filter("caller = ''").select("file", "callee")).distinct(), edges
 
 
-def module_graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Vertices, imports, exports and call edges of sources (path, text, package, published), for estatelens.operators.reach."""
+def packages_of(manifests: DataFrame) -> DataFrame:
+    """Packages of package.json files (path, text): dir, name, entry_dir, published (not private)."""
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    name = F.get_json_object("text", "$.name")
+    return manifests.filter(F.col("path").rlike(r"(^|/)package\.json$")).select(folder.alias("dir"), name.alias("name"), folder.alias("entry_dir"), (name.isNotNull() & ~F.coalesce(F.get_json_object("text", "$.private") == "true", F.lit(False))).alias("published"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, text, language in zip(batch["path"], batch["text"].fillna(""), batch["language"], strict=True):
-                found = [] if len(text) > MAX_CHARS else (python_calls(text) or ([], []))[0] if language == "python" else scan(text)
-                own = sorted({(f or "", re.split(r"\.|::|->", c)[-1]) for _, f, c, *_ in found})
-                specs = [(a, s.rpartition(".")[0] if language == "python" and s.startswith(".") else s) for a, s in imports_of(text, language)]
-                rows.append((path, language, [{"alias": a, "spec": s, "ordinal": k} for k, (a, s) in enumerate(specs)], exports_of(text, language), [{"caller": f, "callee": c} for f, c in own]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ("file", "lang", "imports", "exported", "edges")])
-
-    typed = _languages(files)
-    parsed = typed.mapInPandas(run, _GRAPH)
-    facts = files.select(F.col("path").alias("file"), "package", "published", is_test_path(F.col("path")).alias("is_test"), entry_kind(F.col("path"), F.col("text"), language_of(F.col("path"))).alias("entry_kind"))
-    vertices = parsed.select("file", "lang").join(facts, "file")
-    imports = parsed.select("file", F.explode("imports").alias("i")).select("file", "i.spec", "i.ordinal").distinct()
-    exported = parsed.select("file", F.explode("exported").alias("name"))
-    edges = parsed.select("file", F.explode("edges").alias("e")).select("file", "e.caller", "e.callee")
-    return vertices, imports, exported.union(edges.filter("caller = ''").select("file", "callee")).distinct(), edges
+
+def with_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """files (path, ...) with package, the dir of the nearest package above, and published: its name can be imported and
+    the file is neither test nor example. Each file asks for its own folders, so no pair of file and package is formed."""
+    parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("dir")).distinct()
+    near = above.join(packages.select("dir", "published"), "dir").groupBy("path").agg(F.max_by(F.struct("dir", "published"), F.length("dir")).alias("p"))
+    aside = F.col("path").rlike(EXAMPLE_PATH) | is_test_path(F.col("path"))
+    return files.join(near, "path", "left").select(files["*"], F.col("p.dir").alias("package"), (F.coalesce("p.published", F.lit(False)) & ~aside).alias("published"))
 
 
 _E, _S, _D, _I, _K = "KEY_ESTABLISHMENT", "DIGITAL_SIGNATURE", "DATA_ENCRYPTION", "INTEGRITY", "KEY_DERIVATION"
-#: Rules: language, callee, module, then a fixed spec (primitive, purpose, parameters as name=source) or a vocabulary
-#: over an argument. Sources: a number for an argument, a word for an object member, a quoted text for itself.
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a call says: its callee's expression and the modules it must come from ("": the language's own gate), then
+    either a primitive with the sources of its parameters, or a vocabulary that reads a name found in one of several sources.
+
+    Sources: ("argument", k), ("member", name), ("text", value), ("callee",), or a reading of an argument or the callee:
+    hash, mac hash, curve, go curve, openssl curve, bits, mode. by_default: the purpose is the rule's guess, as the call
+    makes a key that serves several.
+    """
+
+    language: str
+    callee: str
+    modules: str
+    purpose: str
+    primitive: str | None = None
+    parameters: dict[str, tuple] = field(default_factory=dict)
+    vocabulary: str | None = None
+    of: tuple = ()
+    by_default: bool = False
+
+
+#: The rules, in the order in which they are tried.
 RULES = (
-    ("js", r"(^|\.)createHash$", "crypto", "hash:0", _I), ("js", r"(^|\.)createHmac$", "crypto", "HMAC", _I, "hash=H0"), ("js", r"(^|\.)create(C|Dec)ipher(iv)?$", "crypto", "cipher:0", _D),
-    ("js", r"(^|\.)pbkdf2(Sync)?$", "crypto", "PBKDF2", _K, "iterations=2 hash=H4"), ("js", r"(^|\.)scrypt(Sync)?$", "crypto", "scrypt", _K), ("js", r"(^|\.)hkdf(Sync)?$", "crypto", "PBKDF2", _K, "kdf='HKDF' hash=H0"),
-    ("js", r"(^|\.)createECDH$", "crypto", "ECDH", _E, "curve=C0"), ("js", r"(^|\.)(createDiffieHellman(Group)?|diffieHellman)$", "crypto", "DH", _E, "primeLength=0"),
-    ("js", r"(^|\.)(public|private)(En|De)crypt$", "crypto", "RSA", _E, "mode='KEY_TRANSPORT' oaepHash=oaepHash"), ("js", r"(^|\.)(createSign|createVerify|sign|verify)$", "crypto", "signature:0", _S),
-    ("js", r"(^|\.)(sign|verify|SignJWT|jwtVerify|setProtectedHeader)$", "jsonwebtoken|jose", "jose:algorithm|alg|algorithms", _S), ("js", r"rsa\.(generateKeyPair|setPublicKey)", "node-forge", "RSA", _E, "modulusLength=bits"),
-    ("js", r"(?i)(^|\.)(tripledes|des3)\.(en|de)crypt$", "crypto-js", "3DES", _D), ("js", r"(?i)(^|\.)des\.(en|de)crypt$", "crypto-js", "UNKNOWN", _D, "name='DES' keySize='56'"), ("js", r"(?i)(^|\.)rc4\.(en|de)crypt$", "crypto-js", "RC4", _D),
-    ("js", r"(?i)(^|\.)aes\.(en|de)crypt$", "crypto-js", "AES", _D, "mode='CBC'"), ("js", r"(^|\.)(MD5|SHA1|SHA224|SHA256|SHA384|SHA512|SHA3)$", "crypto-js", "hash:callee", _I),
-    ("go", r"^rsa\.(Sign|Verify)\w*PSS$", "crypto/rsa", "RSA", _S, "padding='PSS'"), ("go", r"^rsa\.(Sign|Verify)", "crypto/rsa", "RSA", _S, "padding='PKCS1v15'"), ("go", r"^rsa\.\w*(OAEP|PKCS1v15)$", "crypto/rsa", "RSA", _E, "mode='KEY_TRANSPORT'"),
-    ("go", r"^rsa\.GenerateKey", "crypto/rsa", "RSA", _E, "modulusLength=1"), ("go", r"^ecdsa\.", "crypto/ecdsa", "ECDSA", _S, "curve=G0"), ("go", r"^ed25519\.", "", "EdDSA", _S, "curve='Ed25519'"), ("go", r"^ecdh\.P", "crypto/ecdh", "ECDH", _E, "curve=Gcallee"),
-    ("go", r"^(ecdh\.X25519|curve25519\.)", "", "X25519", _E), ("go", r"^dsa\.", "crypto/dsa", "DSA", _S), ("go", r"^des\.NewTripleDESCipher$", "crypto/des", "3DES", _D), ("go", r"^des\.", "crypto/des", "UNKNOWN", _D, "name='DES' keySize='56'"),
-    ("go", r"^aes\.NewCipher$", "crypto/aes", "AES", _D), ("go", r"^rc4\.", "crypto/rc4", "RC4", _D), ("go", r"^chacha20poly1305\.", "", "ChaCha20", _D, "keySize='256' mode='POLY1305'"), ("go", r"^md5\.", "crypto/md5", "MD5", _I, "outputLength='128'"),
-    ("go", r"^sha1\.", "crypto/sha1", "SHA1", _I, "outputLength='160'"), ("go", r"^sha256\.(Sum|New)224$", "", "SHA2", _I, "outputLength='224'"), ("go", r"^sha256\.", "", "SHA2", _I, "outputLength='256'"), ("go", r"^sha512\.", "", "SHA2", _I, "outputLength='512'"), ("go", r"^hmac\.New$", "", "HMAC", _I),
-    ("java", r"(^|\.)Signature\.getInstance$", "", "signature:0", _S), ("java", r"(^|\.)MessageDigest\.getInstance$", "", "hash:0", _I), ("java", r"(^|\.)Cipher\.getInstance$", "", "jca:0", _D), ("java", r"(^|\.)Mac\.getInstance$", "", "HMAC", _I, "hash=M0"),
-    ("java", r"(^|\.)KeyAgreement\.getInstance$", "", "agree:0", _E), ("java", r"(^|\.)Key(Pair)?Generator\.getInstance$", "", "generate:0", _S), ("java", r"(^|\.)SecretKeyFactory\.getInstance$", "", "PBKDF2", _K, "hash=M0"),
-    ("c", r"^RSA_generate_key_ex$", "", "RSA", _E, "modulusLength=1"), ("c", r"^RSA_(sign|verify)", "", "RSA", _S), ("c", r"^RSA_", "", "RSA", _E), ("c", r"^ECDSA_", "", "ECDSA", _S), ("c", r"^EC_KEY_new_by_curve_name$", "", "ECDSA", _S, "curve=N0"), ("c", r"^ECDH_compute_key$", "", "ECDH", _E),
-    ("c", r"^DH_(generate|compute)_key$", "", "DH", _E), ("c", r"^DSA_generate_key", "", "DSA", _S), ("c", r"^DES_ede3_cbc_encrypt$", "", "3DES", _D, "mode='CBC'"), ("c", r"^AES_set_encrypt_key$", "", "AES", _D, "keySize=1"), ("c", r"^RC4_set_key$", "", "RC4", _D),
-    ("c", r"^PKCS5_PBKDF2_HMAC$", "", "PBKDF2", _K, "iterations=4"), ("c", r"^EVP_PBE_scrypt$", "", "scrypt", _K), ("c", r"^(MD5|SHA1|SHA256|SHA512)_Init$", "", "hash:callee", _I), ("c", r"^HMAC(_Init_ex)?$", "", "HMAC", _I), ("c", r"^EVP_(Digest|Encrypt|Decrypt)Init_ex$", "", "evp:1", _D),
-    ("c", r"^EVP_PKEY_CTX_new_id$", "", "pkey:0", _S),
-    ("rust", r"Rsa\w*::(new|generate)", "", "RSA", _E, "modulusLength=1"), ("rust", r"Hmac", "", "HMAC", _I), ("rust", r"(?i)ed25519", "", "EdDSA", _S, "curve='Ed25519'"), ("rust", r"X25519|StaticSecret::|EphemeralSecret::", "", "X25519", _E), ("rust", r"p384::|P384", "", "ECDSA", _S, "curve='P-384'"), ("rust", r"p256::|P256|Ecdsa", "", "ECDSA", _S, "curve='P-256'"),
-    ("rust", r"(?i)ChaCha20", "", "ChaCha20", _D, "keySize='256' mode='POLY1305'"), ("rust", r"Aes(128|192|256)?\w*::", "", "AES", _D, "keySize=Rcallee mode=Wcallee"), ("rust", r"Sha1::", "", "SHA1", _I, "outputLength='160'"), ("rust", r"Sha(224|256|384|512)::", "", "SHA2", _I, "outputLength=Rcallee"), ("rust", r"Md5::", "", "MD5", _I, "outputLength='128'"),
-    ("rust", r"(?i)pbkdf2", "", "PBKDF2", _K), ("rust", r"Argon2", "", "Argon2", _K),
-    ("csharp", r"(^|\.)RSA(CryptoServiceProvider|Cng)?(\.Create)?$", "", "RSA", _E, "modulusLength=0"), ("csharp", r"(^|\.)ECDsa(Cng)?\.Create$", "", "ECDSA", _S), ("csharp", r"(^|\.)ECDiffieHellman(Cng)?\.Create$", "", "ECDH", _E), ("csharp", r"(^|\.)DSA\.Create$", "", "DSA", _S), ("csharp", r"(^|\.)Aes(Cng|Managed)?(\.Create)?$", "", "AES", _D),
-    ("csharp", r"(^|\.)TripleDES(Cng)?\.Create$", "", "3DES", _D), ("csharp", r"(^|\.)DES\.Create$", "", "UNKNOWN", _D, "name='DES' keySize='56'"), ("csharp", r"(^|\.)RC2\.Create$", "", "UNKNOWN", _D, "name='RC2'"), ("csharp", r"(^|\.)MD5(\.Create|CryptoServiceProvider)$", "", "MD5", _I, "outputLength='128'"),
-    ("csharp", r"(^|\.)SHA1(\.Create|Managed|CryptoServiceProvider)$", "", "SHA1", _I, "outputLength='160'"), ("csharp", r"(^|\.)SHA(256|384|512)\.(Create|HashData)$", "", "SHA2", _I, "outputLength=Rcallee"), ("csharp", r"(^|\.)HMACSHA1$", "", "HMAC", _I, "hash='SHA1'"), ("csharp", r"(^|\.)HMACSHA256$", "", "HMAC", _I, "hash='SHA2'"), ("csharp", r"(^|\.)Rfc2898DeriveBytes$", "", "PBKDF2", _K),
+    Rule("js", r"(^|\.)createHash$", "crypto", _I, vocabulary="hash", of=(("argument", 0),)),
+    Rule("js", r"(^|\.)createHmac$", "crypto", _I, "HMAC", {"hash": ("hash", 0)}),
+    Rule("js", r"(^|\.)create(C|Dec)ipher(iv)?$", "crypto", _D, vocabulary="cipher", of=(("argument", 0),)),
+    Rule("js", r"(^|\.)pbkdf2(Sync)?$", "crypto", _K, "PBKDF2", {"iterations": ("argument", 2), "hash": ("hash", 4)}),
+    Rule("js", r"(^|\.)scrypt(Sync)?$", "crypto", _K, "scrypt"),
+    Rule("js", r"(^|\.)hkdf(Sync)?$", "crypto", _K, "PBKDF2", {"kdf": ("text", "HKDF"), "hash": ("hash", 0)}),
+    Rule("js", r"(^|\.)createECDH$", "crypto", _E, "ECDH", {"curve": ("curve", 0)}),
+    Rule("js", r"(^|\.)(createDiffieHellman(Group)?|diffieHellman)$", "crypto", _E, "DH", {"primeLength": ("argument", 0)}),
+    Rule("js", r"(^|\.)(public|private)(En|De)crypt$", "crypto", _E, "RSA", {"mode": ("text", "KEY_TRANSPORT"), "oaepHash": ("member", "oaepHash")}),
+    Rule("js", r"(^|\.)(createSign|createVerify|sign|verify)$", "crypto", _S, vocabulary="signature", of=(("argument", 0),)),
+    Rule("js", r"(^|\.)(sign|verify|SignJWT|jwtVerify|setProtectedHeader)$", "jsonwebtoken|jose", _S, vocabulary="jose", of=(("member", "algorithm"), ("member", "alg"), ("member", "algorithms"))),
+    Rule("js", r"rsa\.(generateKeyPair|setPublicKey)", "node-forge", _E, "RSA", {"modulusLength": ("member", "bits")}, by_default=True),
+    Rule("js", r"(?i)(^|\.)(tripledes|des3)\.(en|de)crypt$", "crypto-js", _D, "3DES"),
+    Rule("js", r"(?i)(^|\.)des\.(en|de)crypt$", "crypto-js", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
+    Rule("js", r"(?i)(^|\.)rc4\.(en|de)crypt$", "crypto-js", _D, "RC4"),
+    Rule("js", r"(?i)(^|\.)aes\.(en|de)crypt$", "crypto-js", _D, "AES", {"mode": ("text", "CBC")}),
+    Rule("js", r"(^|\.)(MD5|SHA1|SHA224|SHA256|SHA384|SHA512|SHA3)$", "crypto-js", _I, vocabulary="hash", of=(("callee",),)),
+    Rule("go", r"^rsa\.(Sign|Verify)\w*PSS$", "crypto/rsa", _S, "RSA", {"padding": ("text", "PSS")}),
+    Rule("go", r"^rsa\.(Sign|Verify)", "crypto/rsa", _S, "RSA", {"padding": ("text", "PKCS1v15")}),
+    Rule("go", r"^rsa\.\w*(OAEP|PKCS1v15)$", "crypto/rsa", _E, "RSA", {"mode": ("text", "KEY_TRANSPORT")}),
+    Rule("go", r"^rsa\.GenerateKey", "crypto/rsa", _E, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
+    Rule("go", r"^ecdsa\.", "crypto/ecdsa", _S, "ECDSA", {"curve": ("go curve", 0)}, by_default=True),
+    Rule("go", r"^ed25519\.", "crypto/ed25519", _S, "EdDSA", {"curve": ("text", "Ed25519")}),
+    Rule("go", r"^ecdh\.P", "crypto/ecdh", _E, "ECDH", {"curve": ("go curve", "callee")}),
+    Rule("go", r"^(ecdh\.X25519|curve25519\.)", "crypto/ecdh|golang.org/x/crypto/curve25519", _E, "X25519"),
+    Rule("go", r"^dsa\.", "crypto/dsa", _S, "DSA"),
+    Rule("go", r"^des\.NewTripleDESCipher$", "crypto/des", _D, "3DES"),
+    Rule("go", r"^des\.", "crypto/des", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
+    Rule("go", r"^aes\.NewCipher$", "crypto/aes", _D, "AES"),
+    Rule("go", r"^rc4\.", "crypto/rc4", _D, "RC4"),
+    Rule("go", r"^chacha20poly1305\.", "golang.org/x/crypto/chacha20poly1305", _D, "ChaCha20", {"keySize": ("text", "256"), "mode": ("text", "POLY1305")}),
+    Rule("go", r"^md5\.", "crypto/md5", _I, "MD5", {"outputLength": ("text", "128")}),
+    Rule("go", r"^sha1\.", "crypto/sha1", _I, "SHA1", {"outputLength": ("text", "160")}),
+    Rule("go", r"^sha256\.(Sum|New)224$", "crypto/sha256", _I, "SHA2", {"outputLength": ("text", "224")}),
+    Rule("go", r"^sha256\.", "crypto/sha256", _I, "SHA2", {"outputLength": ("text", "256")}),
+    Rule("go", r"^sha512\.", "crypto/sha512", _I, "SHA2", {"outputLength": ("text", "512")}),
+    Rule("go", r"^hmac\.New$", "crypto/hmac", _I, "HMAC"),
+    Rule("java", r"(^|\.)Signature\.getInstance$", "", _S, vocabulary="signature", of=(("argument", 0),)),
+    Rule("java", r"(^|\.)MessageDigest\.getInstance$", "", _I, vocabulary="hash", of=(("argument", 0),)),
+    Rule("java", r"(^|\.)Cipher\.getInstance$", "", _D, vocabulary="jca", of=(("argument", 0),)),
+    Rule("java", r"(^|\.)Mac\.getInstance$", "", _I, "HMAC", {"hash": ("mac hash", 0)}),
+    Rule("java", r"(^|\.)KeyAgreement\.getInstance$", "", _E, vocabulary="agree", of=(("argument", 0),)),
+    Rule("java", r"(^|\.)Key(Pair)?Generator\.getInstance$", "", _S, vocabulary="generate", of=(("argument", 0),), by_default=True),
+    Rule("java", r"(^|\.)SecretKeyFactory\.getInstance$", "", _K, "PBKDF2", {"hash": ("mac hash", 0)}),
+    Rule("c", r"^RSA_generate_key_ex$", "", _E, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
+    Rule("c", r"^RSA_(sign|verify)", "", _S, "RSA"),
+    Rule("c", r"^RSA_", "", _E, "RSA"),
+    Rule("c", r"^ECDSA_", "", _S, "ECDSA"),
+    Rule("c", r"^EC_KEY_new_by_curve_name$", "", _S, "ECDSA", {"curve": ("openssl curve", 0)}, by_default=True),
+    Rule("c", r"^ECDH_compute_key$", "", _E, "ECDH"),
+    Rule("c", r"^DH_(generate|compute)_key$", "", _E, "DH"),
+    Rule("c", r"^DSA_generate_key", "", _S, "DSA"),
+    Rule("c", r"^DES_ede3_cbc_encrypt$", "", _D, "3DES", {"mode": ("text", "CBC")}),
+    Rule("c", r"^AES_set_encrypt_key$", "", _D, "AES", {"keySize": ("argument", 1)}),
+    Rule("c", r"^RC4_set_key$", "", _D, "RC4"),
+    Rule("c", r"^PKCS5_PBKDF2_HMAC$", "", _K, "PBKDF2", {"iterations": ("argument", 4)}),
+    Rule("c", r"^EVP_PBE_scrypt$", "", _K, "scrypt"),
+    Rule("c", r"^(MD5|SHA1|SHA256|SHA512)_Init$", "", _I, vocabulary="hash", of=(("callee",),)),
+    Rule("c", r"^HMAC(_Init_ex)?$", "", _I, "HMAC"),
+    Rule("c", r"^EVP_(Digest|Encrypt|Decrypt)Init_ex$", "", _D, vocabulary="evp", of=(("argument", 1),)),
+    Rule("c", r"^EVP_PKEY_CTX_new_id$", "", _S, vocabulary="pkey", of=(("argument", 0),), by_default=True),
+    Rule("rust", r"Rsa\w*::(new|generate)", "", _E, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
+    Rule("rust", r"Hmac", "", _I, "HMAC"),
+    Rule("rust", r"(?i)ed25519", "", _S, "EdDSA", {"curve": ("text", "Ed25519")}),
+    Rule("rust", r"X25519|StaticSecret::|EphemeralSecret::", "", _E, "X25519"),
+    Rule("rust", r"p384::|P384", "", _S, "ECDSA", {"curve": ("text", "P-384")}),
+    Rule("rust", r"p256::|P256|Ecdsa", "", _S, "ECDSA", {"curve": ("text", "P-256")}),
+    Rule("rust", r"(?i)ChaCha20", "", _D, "ChaCha20", {"keySize": ("text", "256"), "mode": ("text", "POLY1305")}),
+    Rule("rust", r"Aes(128|192|256)?\w*::", "", _D, "AES", {"keySize": ("bits", "callee"), "mode": ("mode", "callee")}),
+    Rule("rust", r"Sha1::", "", _I, "SHA1", {"outputLength": ("text", "160")}),
+    Rule("rust", r"Sha(224|256|384|512)::", "", _I, "SHA2", {"outputLength": ("bits", "callee")}),
+    Rule("rust", r"Md5::", "", _I, "MD5", {"outputLength": ("text", "128")}),
+    Rule("rust", r"(?i)pbkdf2", "", _K, "PBKDF2"),
+    Rule("rust", r"Argon2", "", _K, "Argon2"),
+    Rule("csharp", r"(^|\.)RSA(CryptoServiceProvider|Cng)?(\.Create)?$", "", _E, "RSA", {"modulusLength": ("argument", 0)}, by_default=True),
+    Rule("csharp", r"(^|\.)ECDsa(Cng)?\.Create$", "", _S, "ECDSA", by_default=True),
+    Rule("csharp", r"(^|\.)ECDiffieHellman(Cng)?\.Create$", "", _E, "ECDH"),
+    Rule("csharp", r"(^|\.)DSA\.Create$", "", _S, "DSA", by_default=True),
+    Rule("csharp", r"(^|\.)Aes(Cng|Managed)?(\.Create)?$", "", _D, "AES"),
+    Rule("csharp", r"(^|\.)TripleDES(Cng)?\.Create$", "", _D, "3DES"),
+    Rule("csharp", r"(^|\.)DES\.Create$", "", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
+    Rule("csharp", r"(^|\.)RC2\.Create$", "", _D, "UNKNOWN", {"name": ("text", "RC2")}),
+    Rule("csharp", r"(^|\.)MD5(\.Create|CryptoServiceProvider)$", "", _I, "MD5", {"outputLength": ("text", "128")}),
+    Rule("csharp", r"(^|\.)SHA1(\.Create|Managed|CryptoServiceProvider)$", "", _I, "SHA1", {"outputLength": ("text", "160")}),
+    Rule("csharp", r"(^|\.)SHA(256|384|512)\.(Create|HashData)$", "", _I, "SHA2", {"outputLength": ("bits", "callee")}),
+    Rule("csharp", r"(^|\.)HMACSHA1$", "", _I, "HMAC", {"hash": ("text", "SHA1")}),
+    Rule("csharp", r"(^|\.)HMACSHA256$", "", _I, "HMAC", {"hash": ("text", "SHA2")}),
+    Rule("csharp", r"(^|\.)Rfc2898DeriveBytes$", "", _K, "PBKDF2"),
 )
+#: Rust crates and type names that count as cryptography, and the methods that are calls of it.
+RUST_CRATES = "rsa|ring|openssl|aes|aes_gcm|chacha20poly1305|ed25519_dalek|x25519_dalek|p256|p384|sha2|sha1|md5|hmac|pbkdf2|argon2"
+RUST_NAMES = "Rsa|Ecdsa|Ed25519|X25519|Aes|ChaCha|Sha|Md5|Hmac|Pbkdf2|Argon2|SigningKey|StaticSecret"
+RUST_METHODS = "generate|new|from_pkcs8|sign|verify|digest|derive|encrypt|decrypt|new_from_slice|pbkdf2_hmac|hash_password|random|random_from_rng"
 #: Parameters that are numbers.
 _NUMBERS = ("modulusLength", "keySize", "outputLength", "iterations", "primeLength")
 
 
-def _source(text: str) -> Column:
-    """A parameter's source: an argument, a member, the callee or a fixed text."""
-    args = lambda k: F.get(F.col("args"), F.lit(int(k)))
-    if text.startswith("'"):
-        return F.lit(text.strip("'"))
-    if text.isdigit():
-        return args(text)
-    how, of = text[0], text[1:]
-    base = F.col("callee") if of == "callee" else args(of) if of.isdigit() else None
-    if base is None:
-        return F.try_element_at(F.col("kwargs"), F.lit(text))
+def _source(source: tuple) -> Column:
+    """A parameter's source as a column."""
+    kind, *of = source
+    argument = lambda k: F.get(F.col("args"), F.lit(int(k)))
+    if kind == "text":
+        return F.lit(of[0])
+    if kind == "argument":
+        return argument(of[0])
+    if kind == "member":
+        return F.try_element_at(F.col("kwargs"), F.lit(of[0]))
+    if kind == "callee":
+        return F.regexp_replace(F.regexp_extract("callee", r"([^.:]+)$", 1), "_Init$", "")
+    base = F.col("callee") if of[0] == "callee" else argument(of[0])
     first = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
-    hashed = lambda x: F.get(naming.hash_from_name(x), F.lit(0))["primitive"]
-    return {
-        "H": lambda: hashed(base), "C": lambda: naming.normalize_curve(base), "G": lambda: naming.normalize_curve(F.concat(F.lit("p-"), first(base, "P(224|256|384|521)"))), "R": lambda: first(base, "(128|192|224|256|384|512)"),
-        "W": lambda: F.upper(first(base, "(Gcm|Cbc|Ctr|Ecb)")), "N": lambda: naming.normalize_curve(F.regexp_replace(base, "^NID_(X9_62_)?", "")), "M": lambda: hashed(F.regexp_replace(F.regexp_replace(base, "(?i).*With", ""), "(?i)^Hmac", "")),
-    }[how]()
+    if kind == "bits":
+        return first(base, "(128|192|224|256|384|512)")
+    if kind == "mode":
+        return F.upper(first(base, "(Gcm|Cbc|Ctr|Ecb)"))
+    if kind in _HASHES:
+        return F.col("hash_read")
+    if kind in _CURVES:
+        return F.col("curve_read")
+    raise ValueError(f"not a source: {source}")
+
+
+#: How the text of a hash or curve is made from an argument or the callee before its vocabulary reads it.
+_HASHES = {"hash": lambda x: x, "mac hash": lambda x: F.regexp_replace(F.regexp_replace(x, "(?i).*With", ""), "(?i)^Hmac", "")}
+_CURVES = {
+    "curve": lambda x: x,
+    "go curve": lambda x: F.concat(F.lit("p-"), F.nullif(F.regexp_extract(x, "P(224|256|384|521)", 1), F.lit(""))),
+    "openssl curve": lambda x: F.regexp_replace(x, "^NID_(X9_62_)?", ""),
+}
+
+
+def _text_for(kinds: dict) -> Column:
+    """The text that a rule's source of one of these kinds reads, by rule."""
+    found = F.lit(None).cast("string")
+    for k, rule in enumerate(RULES):
+        for kind, of in (x for x in rule.parameters.values() if x[0] in kinds):
+            found = F.when(F.col("rule") == k, kinds[kind](F.col("callee") if of == "callee" else F.get(F.col("args"), F.lit(of)))).otherwise(found)
+    return found
+
+
+def with_names(rows: DataFrame) -> DataFrame:
+    """rows (with rule) with what their names say, each vocabulary applied once: hash_read, curve_read, named (specs)."""
+    by_rule = lambda pick: F.coalesce(*[F.when(F.col("rule") == k, pick(r)) for k, r in enumerate(RULES) if r.vocabulary])
+    texts = rows.select(
+        "*", _text_for(_HASHES).alias("hash_text"), _text_for(_CURVES).alias("curve_text"), by_rule(lambda r: F.lit(r.vocabulary)).alias("vocabulary"),
+        by_rule(lambda r: F.coalesce(*[_source(x) for x in r.of], F.lit(""))).alias("name"),
+    )
+    named = F.coalesce(*[F.when(F.col("vocabulary") == v, _read(v, F.col("name"))) for v in sorted({r.vocabulary for r in RULES if r.vocabulary})])
+    return texts.select("*", F.get(naming.hash_from_name(F.col("hash_text")), F.lit(0))["primitive"].alias("hash_read"), naming.normalize_curve(F.col("curve_text")).alias("curve_read"), named.alias("named"))
 
 
-def _read(vocabulary: str, of: str) -> Column:
+def _read(vocabulary: str, value: Column) -> Column:
     """Specs of a name that a call carries."""
-    value = F.regexp_replace(F.regexp_extract("callee", r"([^.:]+)$", 1), "_Init$", "") if of == "callee" else F.coalesce(*[_source(x) for x in of.split("|")], F.lit(""))
     one = lambda *s: F.array_compact(F.array(*s)).cast(naming.SPECS)
     if vocabulary in naming.VOCABULARIES:
         return naming.VOCABULARIES[vocabulary](value)
@@ -324,7 +592,7 @@ def _read(vocabulary: str, of: str) -> Column:
 
 def _key_pair() -> Column:
     """Specs of Node's generateKeyPair, whose first argument names the kind."""
-    kind, member = F.lower(F.coalesce(_source("0"), F.lit(""))), lambda k: F.try_element_at(F.col("kwargs"), F.lit(k))
+    kind, member = F.lower(F.coalesce(_source(("argument", 0)), F.lit(""))), lambda k: F.try_element_at(F.col("kwargs"), F.lit(k))
     size = member("modulusLength").try_cast("int")
     return F.array_compact(F.array(
         F.when(kind == "rsa", naming.spec("RSA", _E, modulusLength=size)).when(kind == "rsa-pss", naming.spec("RSA", _S, modulusLength=size, padding="PSS")).when(kind == "ec", naming.spec("ECDSA", _S, curve=naming.normalize_curve(member("namedCurve"))))
@@ -336,7 +604,7 @@ def _key_pair() -> Column:
 def _web_crypto() -> Column:
     """Specs of WebCrypto calls: the algorithm is an object's name member or a string."""
     member = lambda k: F.try_element_at(F.col("kwargs"), F.lit(k))
-    n = F.upper(F.coalesce(member("name"), _source("0"), _source("2"), F.lit("")))
+    n = F.upper(F.coalesce(member("name"), _source(("argument", 0)), _source(("argument", 2)), F.lit("")))
     size, curve = member("modulusLength").try_cast("int"), naming.normalize_curve(member("namedCurve"))
     wrap = F.col("callee").rlike("(un)?wrapKey$")
     main = (
@@ -349,31 +617,69 @@ def _web_crypto() -> Column:
     return F.concat(F.array_compact(F.array(main)).cast(naming.SPECS), digest)
 
 
-def _with_purpose(specs: Column, purpose: str) -> Column:
+def _with_purpose(specs: Column, purpose: Column) -> Column:
     """specs with a purpose where they have none."""
-    return F.transform(specs, lambda s: F.struct(s["primitive"], s["parameters"], F.coalesce(s["purpose"], F.lit(purpose)).alias("purpose"))).cast(naming.SPECS)
+    return F.transform(specs, lambda s: F.struct(s["primitive"], s["parameters"], F.coalesce(s["purpose"], purpose).alias("purpose"))).cast(naming.SPECS)
+
+
+def bound_to(module: Column, modules: str) -> Column:
+    """Whether an imported module is one of these, a part of one, or holds one; parts follow a dot, slash or colon."""
+    names = modules.split("|")
+    above = sorted({name[: m.start()] for name in names for m in re.finditer(r"[./:]", name)})
+    inside = module.rlike("^(node:)?(" + "|".join(re.escape(n) for n in names) + ")($|[./:])")
+    return inside | module.isin(*above) if above else inside
 
 
-def call_specs() -> Column:
-    """Specs of a call row by the first rule of its language that fits."""
+def _fits(rule: Rule) -> Column:
     c, module = F.col("callee"), F.coalesce("module", F.lit(""))
-    out = F.array().cast(naming.SPECS)
-    for language, pattern, bound, what, purpose, *rest in reversed(RULES):
-        if ":" in what:
-            vocabulary, _, of = what.partition(":")
-            specs = _with_purpose(_read(vocabulary, of), purpose)
-        else:
-            pairs = dict(x.split("=", 1) for x in (rest[0].split() if rest else []))
-            specs = F.array(naming.spec(what, purpose, **{k: _source(v).try_cast("int") if k in _NUMBERS else _source(v) for k, v in pairs.items()})).cast(naming.SPECS)
-        ok = (F.col("language") == language) & c.rlike(pattern)
-        if bound:
-            ok = ok & (module.rlike(rf"^(node:)?({bound})(/|$)") | c.startswith(f"{bound.split('|')[0]}."))
-        out = F.when(ok, specs).otherwise(out)
-    pair = (F.col("language") == "js") & c.rlike(r"(^|\.)generateKeyPair(Sync)?$") & (module.rlike("^(node:)?crypto$") | c.startswith("crypto."))
-    return F.when(pair, _key_pair()).when((F.col("language") == "js") & c.rlike(r"(^|\.)subtle\.\w+$"), _web_crypto()).otherwise(out)
+    ok = (F.col("language") == rule.language) & c.rlike(rule.callee)
+    if rule.modules:
+        return ok & bound_to(module, rule.modules)
+    if rule.language == "rust":
+        return ok & c.rlike(rf"(::|^)({RUST_METHODS})$") & c.rlike(rf"^(({RUST_CRATES})(::|$)|({RUST_NAMES}))")
+    return ok & F.coalesce("gated", F.lit(True))
+
+
+#: Numbers of the two rules whose specs the call's first argument or member names.
+_KEY_PAIR, _WEB_CRYPTO = len(RULES), len(RULES) + 1
+
+
+def call_rule() -> Column:
+    """The number of the first rule that fits a call, null if none does."""
+    c, module = F.col("callee"), F.coalesce("module", F.lit(""))
+    pair = (F.col("language") == "js") & c.rlike(r"(^|\.)generateKeyPair(Sync)?$") & bound_to(module, "crypto")
+    web = (F.col("language") == "js") & c.rlike(r"(^|\.)subtle\.\w+$")
+    return F.coalesce(F.when(pair, _KEY_PAIR), F.when(web, _WEB_CRYPTO), *[F.when(_fits(r), k) for k, r in enumerate(RULES)])
+
+
+def rule_specs() -> Column:
+    """Specs of a row that with_names() gave."""
+    rule = F.col("rule")
+    purpose = F.coalesce(*[F.when(rule == k, F.lit(r.purpose)) for k, r in enumerate(RULES) if r.vocabulary])
+    out = F.when(rule == _KEY_PAIR, _key_pair()).when(rule == _WEB_CRYPTO, _web_crypto()).when(F.col("vocabulary").isNotNull(), _with_purpose(F.col("named"), purpose))
+    for k, r in enumerate(RULES):
+        if not r.vocabulary:
+            parameters = {n: _source(x).try_cast("int") if n in _NUMBERS else _source(x) for n, x in r.parameters.items()}
+            out = out.when(rule == k, F.array(naming.spec(r.primitive, r.purpose, **parameters)).cast(naming.SPECS))
+    return out
+
+
+def by_default(rule: Column) -> Column:
+    """Whether a rule guesses the purpose: it makes a key that serves several."""
+    pair = (rule == _KEY_PAIR) & F.lower(F.coalesce(_source(("argument", 0)), F.lit(""))).isin("rsa", "ec", "dsa")
+    return pair | rule.isin(*[k for k, r in enumerate(RULES) if r.by_default])
 
 
 def call_findings(rows: DataFrame, system_id: str) -> DataFrame:
-    """Findings of call rows of all languages but Python, whose rules stand with its parser."""
-    found = rows.filter("callee is not null and language <> 'python'").select("*", F.explode(call_specs()).alias("spec"))
-    return found.select(F.lit(system_id).alias("system_id"), "spec.primitive", "spec.parameters", F.coalesce("spec.purpose", F.lit(_D)).alias("purpose"), F.lit("SELF").alias("control_class"), F.lit("SOURCE_AST").alias("modality"), F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), F.col("callee").alias("raw"), F.lit(None).cast("string").alias("assumption"))
+    """Findings of call rows of all languages but Python, whose rules stand with its parser.
+
+    raw is the callee, the purpose, and whether the call settles it (RESOLVED) or the rule guesses it (RULE_DEFAULT).
+    """
+    known = rows.filter("callee is not null and language <> 'python'").withColumn("rule", call_rule()).filter("rule is not null")
+    found = with_names(known).select("*", F.explode(rule_specs()).alias("spec"))
+    purpose = F.coalesce("spec.purpose", F.lit(_D))
+    raw = F.concat(F.col("callee"), F.lit(" purpose="), purpose, F.when(by_default(F.col("rule")), "(RULE_DEFAULT)").otherwise("(RESOLVED)"))
+    return found.select(
+        F.lit(system_id).alias("system_id"), "spec.primitive", "spec.parameters", purpose.alias("purpose"), F.lit("SELF").alias("control_class"), F.lit("SOURCE_AST").alias("modality"),
+        F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), raw.alias("raw"), F.lit(None).cast("string").alias("assumption"),
+    )

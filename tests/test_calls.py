@@ -1,6 +1,7 @@
 """Source scanning in all languages, and the way from sources to verdicts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from estatelens.operators import reach
 from estatelens.sources import calls
@@ -66,3 +67,51 @@ def test_from_sources_to_verdicts(spark):
     seen = calls.calls(files).filter("callee like '%createHash'").selectExpr("concat(path, ':', line) as occurrence_id", "'SOURCE_AST' as modality", "path as file", "function")
     got = {r["occurrence_id"]: r["via"] for r in reach.verdicts(seen, walked, vertices, live).collect()}
     assert got == {"app/keys.ts:3": "ENTRY_POINT", "app/keys.ts:4": "NONE", "app/orphan.ts:2": "NONE"}
+
+
+def test_regular_expressions_hide_no_code():
+    assert [x[2:4] for x in calls.scan("const re = /['\"]/; crypto.createHash('md5')")] == [("crypto.createHash", ["md5"])]
+    assert [x[2] for x in calls.scan("const half = total / 2; f(a / b); const o = c / d; g('x')")] == ["f", "g"]
+
+
+def test_arguments_are_not_capped():
+    (outer, *_) = calls.scan("f(1, g(" + "x, " * 2500 + "1), 'sha1', 4, 5, 6, 7, 8, 9, 'last')")
+    assert outer[3][0] == "1" and outer[3][2] == "sha1" and outer[3][-1] == "last" and len(outer[3]) == 10
+    (call,) = calls.scan("crypto.createCipheriv(" + " " * 5000 + "/* " + "c" * 5000 + " */ 'aes-128-cbc', k, iv)")
+    assert call[3][0] == "aes-128-cbc"
+
+
+@pytest.mark.parametrize("text", ["f(" * 100_000, "a(b,[{" * 60_000, "x = a / b; " * 30_000, "function f(){" * 20_000, "'" * 100_000])
+def test_hostile_texts_take_linear_time(text):
+    import time
+
+    began = time.time()
+    calls.scan(text)
+    assert time.time() - began < 10
+
+
+def test_innermost_function_by_nesting():
+    rows = {c: f for _, f, c, *_ in calls.scan("function a() {\n function b() { x(); }\n y();\n}\nz();\nconst d = (q) => {\n w();\n};\nv();\n")}
+    assert (rows["x"], rows["y"], rows["z"], rows["w"], rows["v"]) == ("b", "a", None, "d", None)
+
+
+def test_renamed_imports():
+    rust = calls.resolved_calls("use rsa::{RsaPrivateKey as PrivKey, pkcs8::{self, DecodePrivateKey}};\nfn f() { PrivKey::new(&mut rng, 2048); }", "rust")
+    assert [(x[2], x[5]) for x in rust if x[2] != "f"] == [("rsa::RsaPrivateKey::new", "rsa::RsaPrivateKey")]
+    assert dict(calls.imports_of("use a::{self, b::{C as D}, e::*};", "rust")) == {"a": "a", "D": "a::b::C", "e": "a::e"}
+    go = calls.resolved_calls('import cryptorsa "crypto/rsa"\nfunc f() {\n cryptorsa.GenerateKey(r, 2048)\n}', "go")
+    assert ("rsa.GenerateKey", "crypto/rsa") in [(x[2], x[5]) for x in go]
+    assert calls.resolved_calls("import { createHash as h } from 'crypto'; h('md5');", "js")[0][2] == "createHash"
+
+
+def test_modules_are_bound_both_ways(spark):
+    rows = [("crypto", True), ("node:crypto", True), ("crypto/rsa", True), ("crypto.subtle", True), ("cryptography", False), ("", False)]
+    got = spark.createDataFrame(rows, "module string, want boolean").select(calls.bound_to(F.col("module"), "crypto").alias("is"), "want").collect()
+    assert all(r["is"] == r["want"] for r in got)
+    up = spark.createDataFrame([("crypto-js", True), ("crypto-js/aes", True), ("crypto", False)], "module string, want boolean").select(calls.bound_to(F.col("module"), "crypto-js/aes").alias("is"), "want").collect()
+    assert all(r["is"] == r["want"] for r in up)
+
+
+def test_large_and_broken_files_are_reported(spark):
+    files = spark.createDataFrame([("a.js", "x" * (calls.MAX_CHARS + 1)), ("b.py", "def ("), ("c.js", "f()")], "path string, text string")
+    assert {(r["path"], r["problem"]) for r in calls.calls(files).filter("problem is not null").collect()} == {("a.js", "too large"), ("b.py", "does not parse")}

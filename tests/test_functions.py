@@ -122,3 +122,29 @@ def test_authorize_codes(spark):
     assert at("2026-01-15") == ["OK", "PORT_OUT_OF_SCOPE", "TARGET_OUT_OF_SCOPE"]
     assert at("2025-12-31 23:58:00") == ["NOT_YET_VALID"] * 3 and at("2025-12-31 23:58:00", 9999)[0] == "OK"
     assert at("2026-03-01") == ["EXPIRED"] * 3
+
+
+def test_keyed_digest_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    from estatelens.operators import export
+
+    rows = [("",), ("body",), ("ünïcode 文",)]
+    for key in ("k", "x" * 100):
+        got = export.verified(export.signed(spark.createDataFrame(rows, "body string"), key), key).select("body", "signature", "valid").collect()
+        assert all(r["signature"] == hmac.new(key.encode(), r["body"].encode(), hashlib.sha256).hexdigest() and r["valid"] for r in got)
+    changed = export.verified(export.signed(spark.createDataFrame(rows, "body string"), "k").withColumn("body", F.concat("body", F.lit("!"))), "k")
+    assert not changed.filter("valid").count()
+
+
+def test_reports(spark):
+    from estatelens.operators import export
+
+    outcomes = spark.createDataFrame([("introduced",), ("accepted",), ("accepted",)], "outcome string")
+    assert {tuple(r) for r in export.gate_report(outcomes).collect()} == {("introduced", "1 blocking work items"), ("accepted", "2 blocking work items"), ("verdict", "the build fails")}
+    assert export.gate_report(outcomes.filter("outcome = 'accepted'")).filter("heading = 'verdict'").first()["line"] == "the build passes"
+    assert {tuple(r) for r in export.plan_report(spark.createDataFrame([("OK",), ("EXPIRED",)], "code string")).collect()} == {("OK", "1 targets"), ("EXPIRED", "1 targets")}
+    assert {tuple(r) for r in export.reconcile_report(spark.createDataFrame([("s", "UNVERIFIED")], "system_id string, verdict string")).collect()} == {("s", "1 UNVERIFIED")}
