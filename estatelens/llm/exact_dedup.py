@@ -17,15 +17,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import shuffle_partitions, text_slices
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 WHITE = b" \t\n\v\f\r"
-#: Bytes of edge labels that one map-side trie may hold before subtrees are spilled.
-TRIE_BYTES = 24 << 20
+#: Bytes that one map-side trie may hold before subtrees are spilled: labels, and NODE_BYTES for each node and its owner.
+TRIE_BYTES, NODE_BYTES = 96 << 20, 400
 
 
 class Owner:
@@ -77,11 +77,12 @@ class RadixTrie:
             child = node.children.get(rest[0])
             if child is None:
                 node.children[rest[0]] = Node(rest, Owner(chars, doc_id, count))
-                self.bytes += len(rest)
+                self.bytes += len(rest) + NODE_BYTES
                 return
             n = len(child.label) if rest.startswith(child.label) else _common(child.label, rest)
             if n < len(child.label):
                 upper = Node(child.label[:n])
+                self.bytes += NODE_BYTES
                 child.label = child.label[n:]
                 upper.children[child.label[0]] = child
                 node.children[rest[0]] = child = upper
@@ -108,7 +109,7 @@ class RadixTrie:
             total, todo = 0, [child]
             while todo:
                 at = todo.pop()
-                total += len(at.label)
+                total += len(at.label) + NODE_BYTES
                 todo += at.children.values()
             sizes.append((total, first))
         for total, first in sorted(sizes, reverse=True):
@@ -199,7 +200,21 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return digests.join(owners(docs), ["n_bytes", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _number(sha: Column) -> Column:
+    """60 bits of a hexadecimal digest."""
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    keep = owners(docs).select(F.col("keep_id").alias("_keep_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns: one row of each text.
+
+    A keeper is found by doc_id and text. Of rows that repeat both, one stays; only such rows are shuffled whole.
+    """
+    bare = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")
+    marked = docs.withColumn("_text", _number(F.sha2(bare, 256)))
+    keep = owners(docs).select(F.col("keep_id").alias("_keep_id"), _number(F.col("text_sha256")).alias("_keep_text"))
+    stay = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text") == F.col("_keep_text")), "left_semi")
+    twice = marked.groupBy("doc_id", "_text").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_twice_id"), F.col("_text").alias("_twice_text"))
+    repeated = F.col("doc_id").eqNullSafe(F.col("_twice_id")) & (F.col("_text") == F.col("_twice_text"))
+    once, again = stay.join(twice, repeated, "left_anti"), stay.join(twice, repeated, "left_semi")
+    return once.union(again.dropDuplicates(["doc_id", "_text"])).drop("_text")
