@@ -6,7 +6,8 @@ corpus. The search is branch and bound by bin completion: the bin of the largest
 by each undominated filling, best first, as many times over as the counts allow; a branch is pruned once
 its waste rules out fewer bins than the incumbent. Incumbents are best-fit-decreasing solutions, at the root
 and below each branch, and at the root a dive that completes each bin by subset sums. The search ends when the incumbent meets the lower bound, which proves it optimal,
-or after NODES branches; then the incumbent stands.
+or after NODES branches; then the incumbent stands. The limits are parameters of bin_completion(); with Limits.exact()
+every undominated filling is enumerated and every branch opened, which is for small histograms only.
 
 A piece finds its place from its rank among the pieces of its length. Ranks are counts within each task plus
 offsets by task and length, so no key is gathered or sorted in one place.
@@ -33,8 +34,21 @@ from estatelens.llm.common import text_slices, written
 CAPACITY = 2048
 #: Ends each document.
 END_ID = 0
-#: Branches that the search may open, fillings kept of one bin, and pieces in a filling beside the largest.
-NODES, FILLINGS, MEMBERS = 200, 6, 3
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Branches that the search may open, fillings kept of one bin, and pieces chosen freely in a filling beside the largest."""
+
+    nodes: float = 200
+    fillings: float = 6
+    members: float = 3
+
+    @staticmethod
+    def exact() -> "Limits":
+        return Limits(float("inf"), float("inf"), float("inf"))
+
+
 
 #: (lengths in falling order) -> how many bins are filled so.
 Packing = dict[tuple[int, ...], int]
@@ -144,10 +158,10 @@ def dominates(better: tuple[int, ...], worse: tuple[int, ...]) -> bool:
     return place(worse, better)
 
 
-def fillings(counts: Counter, largest: int, room: int) -> list[tuple[int, ...]]:
+def fillings(counts: Counter, largest: int, room: int, limits: Limits = Limits()) -> list[tuple[int, ...]]:
     """Undominated fillings of the room beside the largest piece, least waste first.
 
-    Fillings of up to MEMBERS pieces are found by choosing all but the last piece among the largest that
+    Fillings of up to limits.members pieces are found by choosing all but the last piece among the largest that
     fit and the last as the best fit for what is left; the best-fit filling of any number is added.
     """
     sizes = sorted((s for s, n in counts.items() if n > (s == largest) and s <= room), reverse=True)
@@ -161,12 +175,13 @@ def fillings(counts: Counter, largest: int, room: int) -> list[tuple[int, ...]]:
         if last is None:
             found.add(used)
             return
-        if len(used) + 1 >= MEMBERS:
+        if len(used) + 1 >= limits.members:
             while (last := fitting(left, used)) is not None:
                 used, left = (*used, last), left - last
             found.add(used)
             return
-        for s in [s for s in sizes if s <= left and s <= (used[-1] if used else s)][: 2 * FILLINGS]:
+        choices = [s for s in sizes if s <= left and s <= (used[-1] if used else s)]
+        for s in choices[: int(min(2 * limits.fillings, len(choices)))]:
             if counts[s] - (s == largest) > used.count(s):
                 extend((*used, s), left - s)
 
@@ -175,12 +190,12 @@ def fillings(counts: Counter, largest: int, room: int) -> list[tuple[int, ...]]:
     for f in sorted((tuple(sorted(f, reverse=True)) for f in found), key=lambda f: (room - sum(f), len(f), tuple(-s for s in f))):
         if not any(dominates(k, f) for k in kept):
             kept.append(f)
-        if len(kept) == FILLINGS:
+        if len(kept) == limits.fillings:
             break
     return kept
 
 
-def bin_completion(counts: Counter, capacity: int) -> Packing:
+def bin_completion(counts: Counter, capacity: int, limits: Limits = Limits()) -> Packing:
     """A packing in as few bins as the search finds."""
     total = sum(size * n for size, n in counts.items())
     bound = lower_bound(counts, capacity)
@@ -190,7 +205,7 @@ def bin_completion(counts: Counter, capacity: int) -> Packing:
     best = sum(incumbent.values())
     todo: list[tuple[Counter, dict, int, int]] = [(Counter(counts), {}, 0, 0)]
     nodes = 0
-    while todo and best > bound and nodes < NODES:
+    while todo and best > bound and nodes < limits.nodes:
         left, done, bins, waste = todo.pop()
         nodes += 1
         if waste > (best - 1) * capacity - total:
@@ -200,10 +215,11 @@ def bin_completion(counts: Counter, capacity: int) -> Packing:
             incumbent, best = done, bins
             continue
         branches = []
-        for filling in fillings(left, largest, capacity - largest):
+        for filling in fillings(left, largest, capacity - largest, limits):
             bin_ = (largest, *filling)
             need = Counter(bin_)
-            times = min(left[s] // n for s, n in need.items())
+            # an exact search fills one bin at a time, as two equal bins need not be best
+            times = 1 if limits == Limits.exact() else min(left[s] // n for s, n in need.items())
             now = Counter(left)
             for s, n in need.items():
                 now[s] -= n * times
@@ -310,15 +326,16 @@ def _place(places: Places):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, limits: Limits = Limits()) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. limits bound the search, never the pieces."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = written(ids.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces")
     per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = written(per_task.withColumn("before", before), "offsets")
     histogram = offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()  # capacity rows at most
-    places = placed(bin_completion(Counter({r["length"]: r["n"] for r in histogram}), capacity))
-    ranked = pieces.join(offsets.select("part", "length", "before"), ["part", "length"])
+    places = placed(bin_completion(Counter({r["length"]: r["n"] for r in histogram}), capacity, limits))
+    # offsets grow with the tasks, so they are merged and never sent whole to each executor
+    ranked = pieces.join(offsets.select("part", "length", "before").hint("merge"), ["part", "length"])
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "before").mapInArrow(_place(places), out)
