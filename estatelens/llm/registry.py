@@ -45,7 +45,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(read_table(spark, sf_dir, "documents"), "source")
+    return secret_scan(read_table(spark, sf_dir, "documents"), "source", public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Secret scans: candidate rules, then a random forest that removes false positives.
 
 Rules with a cheap gate (words that any match holds) propose candidates; of overlapping candidates the
-earlier rule's stays. No rule bounds the length of a secret from above, so none is cut. Each candidate becomes features of its length, its characters and their transitions,
-how much of it dictionary words cover, its path and the words around it. A random forest, grown here from
-labelled findings, gives the odds of a real secret; candidates below THRESHOLD are marked as not kept.
+earlier rule's stays. No rule bounds the length of a secret from above, so none is cut. Each candidate becomes
+features of its length, its characters and their transitions, how much of it dictionary words cover, its path and
+the words around it. A random forest, grown here from labelled findings, gives the odds of a real secret; candidates
+below THRESHOLD are marked as not kept.
+
+The dictionary is the lower-case whole words of a tokenizer's vocabulary file, whose path is a parameter, and a short
+list of words of configuration files; without a file it is that list alone. Letter transitions come from it too.
 
 The labelled findings are a bounded table: LABELLED rows of a stated generator by default (secrets of many
 formats in the places where they occur, against hashes, identifiers, placeholders, template variables and
@@ -16,6 +20,7 @@ give their findings again; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -109,43 +114,59 @@ def _overlaps(taken: list[Candidate], c: Candidate) -> bool:
 #: Words that mark secrets or harmless strings when they stand near, and words of placeholders.
 NEAR_SECRET = frozenset("password passwd pwd pass secret token key apikey api auth authorization credential credentials bearer login private access client".split())
 NEAR_HARMLESS = frozenset("commit revision sha sha1 sha256 md5 digest checksum hash etag uuid guid id version build integrity fingerprint blob tree parent nonce example sample test dummy fake placeholder docs".split())
-DICTIONARY = frozenset(
+CONFIGURATION = frozenset(
     "password secret token example sample test dummy fake your here change changeme admin user root default letmein welcome qwerty please insert value string none null true false "
     "undefined config setting settings environment process http https www com org local localhost server client service account name this that with from have will would there their "
     "about which when what some more time only other first after these could make like just over also back good work year people system program number public private access "
     "key auth login master database production development staging function return class import export const variable getenv environ".split()
 )
 _LETTERS = re.compile(r"[a-z]{3,}")
+#: Letters of a dictionary word at least and at most.
+WORD_LETTERS = (3, 12)
 
 
-def _kind(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+@dataclass(frozen=True)
+class Lexicon:
+    """Dictionary words, and the log-odds of each pair of letters in them against chance."""
+
+    words: frozenset[str]
+    pairs: np.ndarray
 
 
 @cache
-def _transitions() -> np.ndarray:
-    """Log-odds of a pair of letters in words against chance, from the dictionary's own words."""
+def lexicon(vocabulary: str | None = None) -> Lexicon:
+    """The words of a tokenizers vocabulary file that start after a space, and the fixed ones."""
+    words = set(CONFIGURATION)
+    if vocabulary:
+        with open(vocabulary, encoding="utf-8") as f:
+            pieces = json.load(f)["model"]["vocab"]
+        starts = (piece[1:] for piece in pieces if piece[:1] in ("\u0120", "\u2581"))
+        words.update(w for w in starts if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isascii() and w.isalpha() and w.islower())
     seen = np.full((26, 26), 0.3)
-    for word in DICTIONARY | NEAR_SECRET | NEAR_HARMLESS:
+    for word in words | NEAR_SECRET | NEAR_HARMLESS:
         for a, b in zip(word, word[1:], strict=False):
             if a in string.ascii_lowercase and b in string.ascii_lowercase:
                 seen[ord(a) - 97, ord(b) - 97] += 1
-    return np.log(seen / seen.sum() * 676)
+    return Lexicon(frozenset(words), np.log(seen / seen.sum() * 676))
 
 
-def _covered(text: str) -> float:
+def _kind(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def _covered(text: str, words: frozenset[str]) -> float:
     """Share of a candidate's characters that the longest dictionary words cover, from left to right."""
     total = 0
     for run in _LETTERS.findall(text.lower()):
         at = 0
         while at < len(run):
-            size = next((n for n in range(min(12, len(run) - at), 2, -1) if run[at : at + n] in DICTIONARY), 0)
+            size = next((n for n in range(min(WORD_LETTERS[1], len(run) - at), WORD_LETTERS[0] - 1, -1) if run[at : at + n] in words), 0)
             total += size
             at += size or 1
     return total / max(1, len(text))
 
 
-def features(text: str, start: int, end: int, rule: int, path: str) -> list[float]:
+def features(text: str, start: int, end: int, rule: int, path: str, known: Lexicon) -> list[float]:
     """The features of one candidate."""
     found = text[start:end]
     size = len(found)
@@ -153,7 +174,7 @@ def features(text: str, start: int, end: int, rule: int, path: str) -> list[floa
     kinds = [_kind(c) for c in found]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, size - 1)
     low = found.lower()
-    pairs = [_transitions()[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
+    pairs = [known.pairs[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
     share = np.unique(list(found), return_counts=True)[1] / size
     near = re.findall(r"[a-z0-9]+", text[max(0, start - AROUND) : start].lower()) + re.findall(r"[a-z0-9]+", text[end : end + AROUND // 2].lower())
     close = re.findall(r"[a-z0-9]+", text[max(0, start - 16) : start].lower())
@@ -165,7 +186,7 @@ def features(text: str, start: int, end: int, rule: int, path: str) -> list[floa
         float(np.mean(pairs)) if pairs else 0.0,
         float(-(share * np.log2(share)).sum()),
         len(share) / size,
-        _covered(found),
+        _covered(found, known.words),
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", found))),
         float(bool(re.search(r"[${}%]|\.\.\.|\*\*|xxx|\bnull\b", low))),
         float(bool(re.fullmatch(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", low))),
@@ -233,9 +254,10 @@ class Forest:
         return total / len(self.trees)
 
 
-def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, int, int, str, int]]:
-    """n labelled findings by rule and seed: (text, start, end, path, 1 for a secret)."""
+def labelled_findings(n: int = LABELLED, seed: int = SEED, vocabulary: str | None = None) -> list[tuple[str, int, int, str, int]]:
+    """n labelled findings by rule and seed: (text, start, end, path, 1 for a secret). Paths are drawn alike for both labels."""
     rng = random.Random(seed)
+    dictionary = sorted(lexicon(vocabulary).words)
     draw = lambda chars, size: "".join(rng.choice(chars) for _ in range(size))
     hexa, word, mixed = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "!@#%^&*_-+"
     plain = lambda k: " ".join(draw("etaoinshrdlu", rng.randrange(2, 9)) for _ in range(k))
@@ -261,7 +283,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, in
         lambda: (x := rng.choice(["your_", "my_", "example_", "insert_", "changeme_", "dummy_", "test_"]) + rng.choice(["password", "token_here", "secret", "api_key", "value"]), assign(name(), x)),
         lambda: (x := rng.choice(["${%s}", "{{ %s }}".replace(" ", ""), "%%%s%%", "os.environ.%s", "process.env.%s", "config.%s.value"]) % draw(string.ascii_uppercase, 8), assign(name(), x)),
         lambda: (x := rng.choice(["x", "*", "0", "a", "."]) * rng.randrange(8, 40), assign(name(), x)),
-        lambda: (x := rng.choice(sorted(DICTIONARY)) + rng.choice(sorted(DICTIONARY)), assign(name(), x)),
+        lambda: (x := rng.choice(dictionary) + rng.choice(["", "_", "-"]) + rng.choice(dictionary), assign(name(), x)),
         lambda: (x := draw("etaoinshrdlu", rng.randrange(6, 14)), f"{rng.choice(['the token is', 'password:', 'secret is', 'keyword:', 'auth:'])} {x}"),
         lambda: (x := "/".join(draw("abcdefghij", 6) for _ in range(7)), assign("path", x)),
         lambda: (x := draw("etaoinshrdlu", rng.randrange(40, 70)) + rng.choice("0123456789"), x),
@@ -272,37 +294,46 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, in
         found, statement = rng.choice(secret if k % 2 else harmless)()
         text = f"{plain(rng.randrange(0, 8))} {statement} {plain(rng.randrange(0, 8))}"
         start = text.index(found, text.index(statement))
-        out.append((text, start, start + len(found), rng.choice(["src0", "src/app.py", "config/prod.env", "", "web", "docs/readme.md"] + ["tests/fixtures/a.py"] * (1 - k % 2)), k % 2))
+        out.append((text, start, start + len(found), rng.choice(["src0", "src/app.py", "config/prod.env", "", "web", "docs/readme.md", "tests/fixtures/a.py"]), k % 2))
     return out
 
 
-def train(findings: list[tuple[str, int, int, str, int]]) -> Forest:
-    """A forest from labelled findings (text, start, end, path, label)."""
+@dataclass(frozen=True)
+class Model:
+    """A forest with the vocabulary file of its dictionary; tasks read the file themselves."""
+
+    forest: Forest
+    vocabulary: str | None
+
+
+def train(findings: list[tuple[str, int, int, str, int]], vocabulary: str | None = None) -> Model:
+    """A model from labelled findings (text, start, end, path, label)."""
     rows, labels = [], []
     for text, start, end, path, label in findings:
         rule = next((c.rule for c in candidates(text) if c.start < end and start < c.end), len(RULES))
-        rows.append(features(text, start, end, rule, path))
+        rows.append(features(text, start, end, rule, path, lexicon(vocabulary)))
         labels.append(label)
-    return Forest(np.array(rows), np.array(labels, float))
+    return Model(Forest(np.array(rows), np.array(labels, float)), vocabulary)
 
 
 @cache
-def default_forest() -> Forest:
-    return train(labelled_findings())
+def default_model(vocabulary: str | None = None) -> Model:
+    return train(labelled_findings(vocabulary=vocabulary), vocabulary)
 
 
-def findings(text: str, path: str, forest: Forest) -> list[tuple[Candidate, float]]:
+def findings(text: str, path: str, model: Model) -> list[tuple[Candidate, float]]:
     """The candidates of a text with their scores, by place."""
     found = sorted(candidates(text), key=lambda c: c.start) if text else []
     if not found:
         return []
-    return list(zip(found, forest.score(np.array([features(text, c.start, c.end, c.rule, path) for c in found])).tolist(), strict=True))
+    known = lexicon(model.vocabulary)
+    return list(zip(found, model.forest.score(np.array([features(text, c.start, c.end, c.rule, path, known) for c in found])).tolist(), strict=True))
 
 
 _FOUND = "doc_id long, rule string, start long, length long, secret_sha256 string, score double, kept boolean"
 
 
-def _scan(forest: Forest):
+def _scan(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
         for batch in batches:
@@ -311,7 +342,7 @@ def _scan(forest: Forest):
                 rows = [
                     (doc_id, RULES[c.rule].name, c.start, c.end - c.start, hashlib.sha256(text[c.start : c.end].encode()).hexdigest(), score, score >= THRESHOLD)
                     for doc_id, text, path in zip(ids, texts, paths, strict=True)
-                    for c, score in findings(text or "", path or "", forest)
+                    for c, score in findings(text or "", path or "", model)
                 ]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
@@ -319,28 +350,29 @@ def _scan(forest: Forest):
     return run
 
 
-def secret_scan(docs: DataFrame, path_column: str | None = None, forest: Forest | None = None) -> DataFrame:
+def secret_scan(docs: DataFrame, path_column: str | None = None, vocabulary: str | None = None, model: Model | None = None) -> DataFrame:
     """One row per candidate: doc_id, rule, start and length in characters, secret_sha256, score, kept.
 
-    path_column names a column with the file path or source of a text; it is one of the features.
+    path_column names a column with the file path or source of a text; it is one of the features. vocabulary is the
+    path of a vocabulary file that every machine has; a model of the caller's own brings its own.
     """
     path = F.col(path_column).cast("string") if path_column else F.lit("")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path")).mapInArrow(_scan(forest or default_forest()), _FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path")).mapInArrow(_scan(model or default_model(vocabulary)), _FOUND)
 
 
-def redacted(text: str, path: str, forest: Forest) -> str:
+def redacted(text: str, path: str, model: Model) -> str:
     """text with each kept finding replaced."""
     parts, at = [], 0
-    for c, score in findings(text, path, forest):
+    for c, score in findings(text, path, model):
         if score >= THRESHOLD:
             parts += [text[at : c.start], REDACTED]
             at = c.end
     return "".join([*parts, text[at:]]) if parts else text
 
 
-def redact(docs: DataFrame, path_column: str | None = None, forest: Forest | None = None) -> DataFrame:
+def redact(docs: DataFrame, path_column: str | None = None, vocabulary: str | None = None, model: Model | None = None) -> DataFrame:
     """docs with kept findings replaced in text and n_chars, if there is such a column, set anew."""
-    model = forest or default_forest()
+    model = model or default_model(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
