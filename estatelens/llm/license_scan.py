@@ -5,8 +5,8 @@ over that word stream. One Aho-Corasick pass over the text finds the rules' keyw
 keyword occurs are run. Of overlapping detections, one that lies inside another is suppressed by it if the
 other has a higher priority, or the same and more words, or comes first in the rule order.
 
-Rules are built from license families: for each family its names, its versions, and the statement forms
-that carry a name ("licensed under ...", "SPDX-License-Identifier: ..."), besides the families' own full-text signatures.
+Rules are hand-written expressions (license_rules.py: sentences of license texts, notices, identifiers, short
+names), and, for licenses with many names and versions, statement forms ("licensed under ...") around each name.
 
 Defined results: null text counts as empty; without words all counts are 0, first_word and last_word are
 null, labels are empty and the score is 0; rows that repeat get the same answer; an empty table gives no
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import text_slices
+from estatelens.llm.license_rules import NOTICES, SHORT, SPDX, TEXTS
 
 #: Phrases whose every place counts, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -79,28 +80,6 @@ CC_ELEMENTS = (
     ("by sa", "attribution share ?alike"),
 )
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Full-text signatures: label, keyword, expression.
-SIGNATURES = (
-    ("mit", "hereby granted free", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
-    ("mit", "provided as is without", "the software is provided as is without warranty of any kind"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse or promote", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
-    ("isc", "permission to use copy", "permission to use copy modify and or distribute this software for any purpose"),
-    ("apache-2.0", "apache org licenses", "(?:https? )?www apache org licenses license 2 0"),
-    ("gpl", "redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", "(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", "(?:is|are) in the public domain"),
-    ("zlib", "without any express or implied", "this software is provided as is without any express or implied warranty"),
-    ("boost", "boost org license", "(?:https? )?www boost org license 1 0(?: txt)?"),
-    ("proprietary", "all rights reserved", "(?:proprietary|confidential)(?: \\S+){0,6} all rights reserved"),
-    ("proprietary", "may not be reproduced", "may not be reproduced(?: \\S+){0,8} without(?: \\S+){0,4} permission"),
-    ("proprietary", "proprietary and confidential", "proprietary and confidential"),
-    ("copyright", "copyright", "copyright (?:c )?(?:[0-9]{4} ){1,6}\\S+"),
-    ("no-license", "no license", "no license (?:is )?granted"),
-)
 #: Forms of a statement around a name, their priority and weight.
 FORMS = (
     ("spdx license identifier {name}", 4, 0.98),
@@ -140,8 +119,14 @@ def rules() -> tuple[Rule, ...]:
     def add(label: str, priority: int, weight: float, keyword: str, expression: str) -> None:
         out.append(Rule(len(out), label, priority, weight, keyword, re.compile(f"(?<= ){expression}(?= )")))
 
-    for label, keyword, expression in SIGNATURES:
+    for label, keyword, expression in TEXTS:
         add(label, 5, 0.97, keyword, expression)
+    for label, keyword, expression in NOTICES:
+        add(label, 4, 0.8, keyword, expression)
+    for name in SPDX:
+        add(re.sub(r"(?<=[0-9]) (?=[0-9])", ".", name).replace(" ", "-"), 6, 0.99, f"spdx license identifier {name}", f"spdx license identifier {name}")
+    for name in SHORT:
+        add(name, 3, 0.9, name, rf"(?:licensed|released|distributed|available) under (?:the )?{name}(?: license)?|licen[sc]es? (?:is )?{name}")
     for short, long in CC_ELEMENTS:
         label = "cc-" + short.replace(" ", "-")
         for keyword, name in ((f"cc {short}", f"cc {short}"), ("creative commons", f"creative commons {long}(?: license)?")):
