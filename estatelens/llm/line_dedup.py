@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line is the set of its character shingles of SHINGLE characters (a shorter line is one shingle). Two
+A line is the set of its character shingles of SHINGLE characters (UTF-16 units; a shorter line is one shingle). Two
 lines are near-duplicates at a Jaccard similarity of SIMILARITY or more; of each component of near-duplicate
 lines one stays, the one that comes first by document and place.
 
@@ -10,8 +10,8 @@ MinHash value (one permutation). In a line of n shingles only hashes below the s
 can be its least; that bound moves smoothly with n, so like lines have like bounds. ROWS bins make a band key.
 Two lines of similarity 0.8 share a band with odds of 98.5 %, of 0.9 with 99.99 %.
 
-Candidates. In each of HUBS rounds a node is held against one hub: of the hubs of its bands that are in another
-component, the one that most bins agree with. Links join components, and a band within one component is done.
+Candidates. Each band draws HUBS hubs; a node is held against the hubs of its bands that most bins agree with, one a
+draw. Links join components, and a band within one component is done.
 What is still apart in bands of at most SMALL nodes is then held against each other. Larger bands are not: a node
 of which more than a fifth of the shingles stand in no other node of such bands has no link there and leaves; the
 others get longer keys in more bands (FINER), which part unlike variants of one passage, and go through the same
@@ -35,12 +35,14 @@ from estatelens.llm.common import dropped, shuffle_partitions, written
 from estatelens.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
+#: Bytes of a shingle.
+WIDTH = 2 * SHINGLE
 BANDS, ROWS = 8, 4
 #: Hashes of a line that may be the least of their bin, on average over all bins.
-SAMPLE = 128
+SAMPLE = 64
 #: Bins that two candidates agree in at least.
 AGREE = 20
-#: Rounds against one hub, and nodes of a band that are compared with each other.
+#: Hubs that a band draws, and nodes of a band that are compared with each other.
 HUBS, SMALL = 3, 100
 #: Bins in a key, and keys of a node, for the nodes of larger bands: at similarity 0.8 two share a key with odds of 98.8 and 98.6 %.
 FINER = ((8, 24), (12, 60))
@@ -59,19 +61,19 @@ def _let(value: Column, body) -> Column:
 
 def shingle_hashes(line: Column) -> Column:
     """Hashes of all shingles of a line, in order; fixed-width characters make each a slice of bytes."""
-    last = lambda wide: F.greatest(F.lit(1), F.octet_length(wide) - 4 * SHINGLE + 1)
-    return _let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(4)), lambda i: F.xxhash64(F.substr(wide, i, F.lit(4 * SHINGLE)))))
+    last = lambda wide: F.greatest(F.lit(1), F.octet_length(wide) - WIDTH + 1)
+    return _let(F.encode(line, "UTF-16BE"), lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(2)), lambda i: F.xxhash64(F.substr(wide, i, F.lit(WIDTH)))))
 
 
 def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Per node of texts (keys, line): keys and m0, m1 ..., the least hash of each bin, null for an empty bin."""
-    wide = texts.select(*keys, F.encode("line", "UTF-32").alias("wide"))
-    sized = wide.select("*", F.greatest(F.lit(1), F.octet_length("wide") - 4 * SHINGLE + 1).alias("last"))
+    wide = texts.select(*keys, F.encode("line", "UTF-16BE").alias("wide"))
+    sized = wide.select("*", F.greatest(F.lit(1), F.octet_length("wide") - WIDTH + 1).alias("last"))
     # a share of a bin's range: a number of the 63 - _TOP bits that follow the bin's own
     full = float(1 << (63 - _TOP))
-    bound = F.least(F.lit(full), F.lit(full * SAMPLE * 4) / (F.col("last") + 3)).cast("long")
-    each = sized.select(*keys, "wide", bound.alias("bound"), F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4))).alias("i"))
-    hashed = each.select(*keys, "bound", F.xxhash64(F.substr("wide", "i", F.lit(4 * SHINGLE))).alias("h"))
+    bound = F.least(F.lit(full), F.lit(full * SAMPLE * 2) / (F.col("last") + 1)).cast("long")
+    each = sized.select(*keys, "wide", bound.alias("bound"), F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2))).alias("i"))
+    hashed = each.select(*keys, "bound", F.xxhash64(F.substr("wide", "i", F.lit(WIDTH))).alias("h"))
     low = hashed.filter(F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit((1 << (64 - _TOP)) - 1)), 1) < F.col("bound"))
     which = F.shiftrightunsigned("h", 64 - _TOP)
     return low.groupBy(*keys).agg(*[F.min(F.when(which == b, F.col("h"))).alias(f"m{b}") for b in range(_BINS)])
@@ -167,9 +169,9 @@ class _Components:
 
 def _own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """nodes with n, their shingles, and own, those that no other of these nodes has; nodes without any possible link go."""
-    wide = nodes.select("node").join(texts, "node").select("node", F.encode("line", "UTF-32").alias("wide"))
-    last = F.greatest(F.lit(1), F.octet_length("wide") - 4 * SHINGLE + 1)
-    each = wide.select("node", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("i")).select("node", F.xxhash64(F.substr("wide", "i", F.lit(4 * SHINGLE))).alias("h"))
+    wide = nodes.select("node").join(texts, "node").select("node", F.encode("line", "UTF-16BE").alias("wide"))
+    last = F.greatest(F.lit(1), F.octet_length("wide") - WIDTH + 1)
+    each = wide.select("node", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i")).select("node", F.xxhash64(F.substr("wide", "i", F.lit(WIDTH))).alias("h"))
     of_one = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
     own = of_one.groupBy("node").agg(F.count("*").alias("own"))
     sized = nodes.join(texts, "node").withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))).drop("line")
@@ -193,17 +195,22 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
     return a, b, may
 
 
+def _hub_pairs(open_: DataFrame) -> DataFrame:
+    """Each node with at most HUBS hubs: of the HUBS hubs of its bands, by draw, the one that most bins agree with."""
+    a, b, may = _sides(open_)
+    drawn = b.groupBy("key").agg(*[F.min_by(F.struct(*b.columns[1:]), F.xxhash64("b", F.lit(k))).alias(f"hub{k}") for k in range(HUBS)])
+    hubs = drawn.select("key", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("draw", "hub")).select("key", "draw", "hub.*")
+    agreed = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES])
+    near = a.join(hubs, "key").filter(F.col("ca") != F.col("cb")).filter(may).select("a", "draw", "b", agreed.alias("agreed"))
+    return near.groupBy("a", "draw").agg(F.max_by("b", "agreed").alias("b")).select("a", "b")
+
+
 def _link(bands: DataFrame, found: _Components, finer: tuple = FINER) -> None:
     """Add the links within bands (node, key, lanes and, in finer bands, n and own) to found."""
-    open_ = found.of(bands)
-    for k in range(HUBS):
-        a, b, may = _sides(open_)
-        hub = b.groupBy("key").agg(F.min_by(F.struct(*b.columns[1:]), F.xxhash64("b", F.lit(k))).alias("hub")).select("key", "hub.*")
-        agreed = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES])
-        near = a.join(hub, "key").filter(F.col("ca") != F.col("cb")).filter(may).select("a", "b", agreed.alias("agreed"))
-        found.add(near.groupBy("a").agg(F.max_by("b", "agreed").alias("b")))
-        before, open_ = open_, found.of(bands)
-        dropped(before)
+    before = found.of(bands)
+    found.add(_hub_pairs(before))
+    open_ = found.of(before.drop("component", "size"))
+    dropped(before)
     a, b, may = _sides(open_.filter(F.col("size") <= SMALL) if finer else open_)
     found.add(a.join(b, (a["key"] == b["key"]) & (F.col("ca") < F.col("cb")) & may).select("a", "b"))
     if finer:
