@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,14 +20,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, which spark.checkpoint.dir names; without one this is an error."""
+    """The folder that all executors share, which spark.checkpoint.dir names.
+
+    Where none is set, a local session, as in tests, gets one of its own; on a cluster that is an error, as
+    each machine would have a folder of that name.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="estatelens-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-#: Folders of the scratch tables that stand, by the table's only input file pattern.
+#: Scratch tables that stand, with their folders.
 _STANDING: dict[int, tuple[DataFrame, str]] = {}
 
 
