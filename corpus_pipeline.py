@@ -37,7 +37,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs, "source" if "source" in docs.columns else None)
+    return redact(docs, "source" if "source" in docs.columns else None, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
