@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch that are held as Python objects at a time.
 SLICE_ROWS = 256
@@ -79,3 +80,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], id_name: str = "doc_id", text
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Groups that one join may broadcast: as many as can each hold more than one in HOT_GROUPS of all rows.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows inner-joined with their groups (one row for each value of keys, with size, the number of its rows).
+
+    Fewer than HOT_GROUPS groups can hold more than total / HOT_GROUPS rows each. These are broadcast, so their rows
+    stay where they are and no large group meets in one task; the rest are joined by shuffling.
+    """
+    limit = max(1, total // HOT_GROUPS)
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    hot = groups.filter(F.col(size) > limit)
+    marked = rows.join(F.broadcast(hot.select(*named, F.lit(True).alias("_hot"))), [F.col(k) == F.col(f"_{k}") for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    large = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), keys)
+    return large.unionByName(marked.filter("_hot is null").drop("_hot").join(groups.filter(F.col(size) <= limit), keys))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import shuffle_partitions, text_slices
+from estatelens.llm.common import join_groups, shuffle_partitions, text_slices, written
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 WHITE = b" \t\n\v\f\r"
@@ -197,7 +197,10 @@ def owners(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest, "doc_id long, n_bytes long, text_sha256 string")
-    return digests.join(owners(docs), ["n_bytes", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = written(owners(docs), "owners")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    found = join_groups(digests, groups, ["n_bytes", "text_sha256"], "group_size", total)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _number(sha: Column) -> Column:
