@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import shuffle_partitions, text_slices, written
+from estatelens.llm.common import join_groups, shuffle_partitions, text_slices, written
 from estatelens.llm.components import connected_components
 
 #: Words in a shingle, differing bits of a link, the seed of XXH64.
@@ -249,9 +249,13 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     prints = written(fingerprints(docs), "fingerprints")
     components = connected_components(links(prints)).toDF("print", "component")
-    placed = prints.join(components, "print", "left").select("doc_id", "print", F.coalesce("component", "print").alias("component"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    # copies are counted before anything is joined, so that a component weighs as many rows as it has fingerprints
+    each = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    placed = each.join(components, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    groups = written(placed.join(least, "component").select("print", "n", "component_id"), "print-components")
+    named = join_groups(prints, groups, ["print"], "n", prints.count())
+    return named.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
