@@ -6,9 +6,10 @@ lines one stays, the one that comes first by document and place.
 
 Signatures. Copies of a line are one node, told apart by two hashes. The shingles of a node are exploded and hashed
 in generated code; the top bits of a hash name one of BANDS * ROWS bins, and the least hash of each bin is a
-MinHash value (one permutation). In a line of n shingles only hashes below the share SAMPLE / n of a bin's range
-can be its least; that bound moves smoothly with n, so like lines have like bounds. ROWS bins make a band key.
-Two lines of similarity 0.8 share a band with odds of 98.5 %, of 0.9 with 99.99 %.
+MinHash value (one permutation). In a line of n shingles only hashes below a share of a bin's range can be its least,
+so that PER_BIN of them are expected there; that bound moves smoothly with n, so like lines have like bounds. All
+nodes get BANDS keys of ROWS bins each: two lines of similarity 0.8 share a band with odds of 99.4 %, of 0.9 with
+99.98 %. Nodes that share a band get a longer signature of BINS bins.
 
 Candidates. Each band draws HUBS hubs; a node is held against the hubs of its bands that most bins agree with, one a
 draw. Links join components, and a band within one component is done.
@@ -37,9 +38,10 @@ from estatelens.llm.components import connected_components
 SHINGLE, SIMILARITY = 12, 0.8
 #: Bytes of a shingle.
 WIDTH = 2 * SHINGLE
-BANDS, ROWS = 8, 4
-#: Hashes of a line that may be the least of their bin, on average over all bins.
-SAMPLE = 64
+#: Bands of all nodes and bins of a key; bins of the longer signature of nodes that share a band.
+BANDS, ROWS, BINS = 5, 2, 32
+#: Hashes of a line that are expected to compete for a bin.
+PER_BIN = 3
 #: Bins that two candidates agree in at least.
 AGREE = 20
 #: Hubs that a band draws, and nodes of a band that are compared with each other.
@@ -47,11 +49,9 @@ HUBS, SMALL = 3, 100
 #: Bins in a key, and keys of a node, for the nodes of larger bands: at similarity 0.8 two share a key with odds of 98.8 and 98.6 %.
 FINER = ((8, 24), (12, 60))
 
-_BINS = BANDS * ROWS
-_TOP = _BINS.bit_length() - 1
 #: Bits of a MinHash value that a lane keeps; a long holds 8 lanes of a byte each.
 _LANE = 6
-LANES = [f"lane{k}" for k in range(_BINS // 8)]
+LANES = [f"lane{k}" for k in range(BINS // 8)]
 
 
 def _let(value: Column, body) -> Column:
@@ -65,18 +65,22 @@ def shingle_hashes(line: Column) -> Column:
     return _let(F.encode(line, "UTF-16BE"), lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(2)), lambda i: F.xxhash64(F.substr(wide, i, F.lit(WIDTH)))))
 
 
-def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Per node of texts (keys, line): keys and m0, m1 ..., the least hash of each bin, null for an empty bin."""
+def signatures(texts: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Per node of texts (keys, line): keys and m0, m1 ..., the least hash of each of some bins, null for an empty bin.
+
+    Hashes are dealt over the next power of two; the ranges beyond the bins join the first of them.
+    """
+    top = (bins - 1).bit_length()
     wide = texts.select(*keys, F.encode("line", "UTF-16BE").alias("wide"))
     sized = wide.select("*", F.greatest(F.lit(1), F.octet_length("wide") - WIDTH + 1).alias("last"))
-    # a share of a bin's range: a number of the 63 - _TOP bits that follow the bin's own
-    full = float(1 << (63 - _TOP))
-    bound = F.least(F.lit(full), F.lit(full * SAMPLE * 2) / (F.col("last") + 1)).cast("long")
+    # a share of a bin's range: a number of the 63 - top bits that follow the bin's own
+    full = float(1 << (63 - top))
+    bound = F.least(F.lit(full), F.lit(full * (PER_BIN << top) * 2) / (F.col("last") + 1)).cast("long")
     each = sized.select(*keys, "wide", bound.alias("bound"), F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2))).alias("i"))
     hashed = each.select(*keys, "bound", F.xxhash64(F.substr("wide", "i", F.lit(WIDTH))).alias("h"))
-    low = hashed.filter(F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit((1 << (64 - _TOP)) - 1)), 1) < F.col("bound"))
-    which = F.shiftrightunsigned("h", 64 - _TOP)
-    return low.groupBy(*keys).agg(*[F.min(F.when(which == b, F.col("h"))).alias(f"m{b}") for b in range(_BINS)])
+    which = F.shiftrightunsigned("h", 64 - top) % bins
+    low = F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit((1 << (64 - top)) - 1)), 1) < F.col("bound")
+    return hashed.filter(low).groupBy(*keys).agg(*[F.min(F.when(which == b, F.col("h"))).alias(f"m{b}") for b in range(bins)])
 
 
 def band_keys() -> Column:
@@ -92,7 +96,7 @@ def band_keys() -> Column:
 def lanes() -> list[Column]:
     """The low bits of all bins, 8 in a long; an empty bin counts as a value."""
     packed = []
-    for at in range(0, _BINS, 8):
+    for at in range(0, BINS, 8):
         word = F.lit(0).cast("long")
         for k in range(8):
             low = F.coalesce(f"m{at + k}", F.lit(0)).bitwiseAND(F.lit((1 << _LANE) - 1))
@@ -105,7 +109,7 @@ def agreement(a: list[Column], b: list[Column]) -> Column:
     """In how many bins two nodes agree: a lane that differs carries into the bit above its own."""
     low, carry = int("3f" * 8, 16), int("40" * 8, 16)
     apart = [F.bit_count((x.bitwiseXOR(y) + F.lit(low)).bitwiseAND(F.lit(carry))) for x, y in zip(a, b, strict=True)]
-    return F.lit(_BINS) - sum(apart[1:], apart[0])
+    return F.lit(BINS) - sum(apart[1:], apart[0])
 
 
 def finer_keys(size: int, count: int) -> Column:
@@ -113,7 +117,7 @@ def finer_keys(size: int, count: int) -> Column:
     rng, keys = random.Random(size), []
     for k in range(count):
         mask = [0] * len(LANES)
-        for b in rng.sample(range(_BINS), size):
+        for b in rng.sample(range(BINS), size):
             mask[b // 8] |= (1 << _LANE) - 1 << 8 * (b % 8)
         keys.append(F.xxhash64(F.lit(size * 1000 + k), *[F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(LANES, mask, strict=True) if m]))
     return F.array(*keys)
@@ -222,25 +226,27 @@ def _link(bands: DataFrame, found: _Components, finer: tuple = FINER) -> None:
     dropped(open_)
 
 
-def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """nodes (node, h1, h2, keys, lanes) of all filled lines, and (node, component) of those with a link."""
+def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, h1, h2) of the filled lines that share a band, and (node, component) of those with a link."""
     lines = _lines(docs).filter(_filled()).select(*_hashes(), "line")
-    signed = signatures(lines.groupBy("h1", "h2").agg(F.first("line").alias("line")), ["h1", "h2"])
-    nodes = written(signed.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", band_keys().alias("keys"), *lanes()), "nodes")
+    signed = signatures(lines.groupBy("h1", "h2").agg(F.first("line").alias("line")), ["h1", "h2"], BANDS * ROWS)
+    nodes = written(signed.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", band_keys().alias("keys")), "nodes")
     bands = written(_shared(nodes.select("node", F.explode("keys").alias("key"))), "shared-bands")
-    wanted = written(bands.select("node").distinct().join(nodes.select("node", "h1", "h2", *LANES), "node"), "wanted")
-    texts = written(lines.join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line")), "texts")
+    wanted = written(bands.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"), "wanted")
+    dropped(nodes)
+    texts = written(lines.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line")), "texts")
+    longer = written(signatures(texts, ["node"], BINS).select("node", *lanes()), "signatures")
     found = _Components(texts)
-    _link(bands.join(wanted.select("node", *LANES), "node"), found)
-    for table in (bands, wanted, texts):
+    _link(bands.join(longer, "node"), found)
+    for table in (bands, longer, texts):
         dropped(table)
-    return nodes, found.labels
+    return wanted, found.labels
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Per line: doc_id, line_no, line_id (hex), component_id (hex; the least line_id of the component), kept."""
     nodes, labels = near_duplicate_nodes(docs)
-    linked = labels.join(nodes.select("node", "h1", "h2"), "node")
+    linked = labels.join(nodes, "node")
     name = linked.groupBy("component").agg(F.min(F.struct("h1", "h2")).alias("name"))
     fuzzy = written(linked.join(name, "component").select("h1", "h2", F.col("name.h1").alias("c1"), F.col("name.h2").alias("c2")), "fuzzy")
     dropped(nodes)
