@@ -211,7 +211,7 @@ def _number(sha: Column) -> Column:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each text.
 
-    A keeper is found by doc_id and text. Of rows that repeat both, one stays; only such rows are shuffled whole.
+    A keeper is found by doc_id and text. Of rows that repeat both, one with the most code points stays; only such rows are shuffled whole.
     """
     bare = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")
     marked = docs.withColumn("_text", _number(F.sha2(bare, 256)))
@@ -220,4 +220,5 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     twice = marked.groupBy("doc_id", "_text").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_twice_id"), F.col("_text").alias("_twice_text"))
     repeated = F.col("doc_id").eqNullSafe(F.col("_twice_id")) & (F.col("_text") == F.col("_twice_text"))
     once, again = stay.join(twice, repeated, "left_anti"), stay.join(twice, repeated, "left_semi")
-    return once.union(again.dropDuplicates(["doc_id", "_text"])).drop("_text")
+    longest = again.groupBy("doc_id", "_text").agg(F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.length("text")).alias("_row"))
+    return once.drop("_text").union(longest.select("_row.*"))

@@ -18,6 +18,7 @@ packed once each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -265,6 +266,9 @@ def placed(packing: Packing) -> Places:
 
 
 _ENCODERS: dict[str, object] = {}
+_LIBRARY: dict[str, object] = {}
+#: White space that tiktoken's expressions may not take in one piece; such texts go to the tokenizers library.
+_LONG_BLANK = re.compile(r"\s{100000}")
 
 
 def encoder(tokenizer: str):
@@ -288,7 +292,17 @@ def encoder(tokenizer: str):
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         _ENCODERS[tokenizer] = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     coder = _ENCODERS[tokenizer]
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        if _LONG_BLANK.search(text):
+            if tokenizer not in _LIBRARY:
+                from tokenizers import Tokenizer
+
+                _LIBRARY[tokenizer] = Tokenizer.from_file(tokenizer)
+            return np.array(_LIBRARY[tokenizer].encode(text, add_special_tokens=False).ids, np.uint32)
+        return coder.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def cut(size: int, capacity: int) -> list[int]:

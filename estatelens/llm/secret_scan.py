@@ -14,7 +14,8 @@ formats in the places where they occur, against hashes, identifiers, placeholder
 plain words), or any list of (text, start, end, path, label) that the caller has.
 
 Defined results: null and empty texts have no findings; a text has one row per candidate; rows that repeat
-give their findings again; an empty table gives no rows; other columns are ignored, or kept by redact().
+give their findings again; very long texts take time in proportion to their length, marks that open and never close
+included; an empty table gives no rows; other columns are ignored, or kept by redact().
 """
 
 from __future__ import annotations
@@ -87,28 +88,67 @@ class Candidate:
     end: int
 
 
+_BEGINS, _ENDS = (re.compile(rf"(?=(-----{mark} [A-Z ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----))") for mark in ("BEGIN", "END"))
+_TOKEN_RUN, _TOKEN_START = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"\beyJ")
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the private_key rule; every mark is looked at once."""
+    ends, k, after = [m.span(1) for m in _ENDS.finditer(text)], 0, 0
+    for m in _BEGINS.finditer(text):
+        if m.start() < after:
+            continue
+        while k < len(ends) and ends[k][0] < m.end(1) + 16:
+            k += 1
+        if k == len(ends):
+            return
+        after = ends[k][1]
+        yield m.start(), after
+
+
+def _web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the web_token rule: three runs with dots between; every run is looked at once."""
+    first = second = None
+    for run in (m.span() for m in _TOKEN_RUN.finditer(text)):
+        joined = second is not None and second[1] + 1 == run[0] and text[second[1]] == "."
+        if first and joined and run[1] - run[0] >= 8 and second[1] - second[0] >= 11 and text.startswith("eyJ", second[0]):
+            if start := _TOKEN_START.search(text, first[0], first[1] - 8):
+                yield start.start(), run[1]
+                first = second = None
+                continue
+        first, second = second if joined else None, run
+
+
+#: Rules that are found in one pass, where their expression would scan the same marks or runs again and again.
+_FINDERS = {"private_key": _private_keys, "web_token": _web_tokens}
+
+
 def candidates(text: str) -> list[Candidate]:
-    """Candidates of a text by first character; of overlapping ones the earlier rule's, then the first."""
+    """Candidates of a text by first character; of overlapping ones the earlier rule's, then the first.
+
+    The time is in proportion to the text.
+    """
     low = text.lower()
     long_word = max(map(len, text.split()), default=0) >= 32
-    found: list[Candidate] = []
+    taken: list[Candidate] = []
     for k, rule in enumerate(RULES):
         if any(g in low for g in rule.gate) if rule.gate else long_word:
-            found += [Candidate(k, *m.span(rule.group)) for m in rule.pattern.finditer(text)]
-    taken: list[Candidate] = []
-    for c in sorted(found, key=lambda c: (c.rule, c.start)):
-        if not _overlaps(taken, c):
-            taken.append(c)
-            taken.sort(key=lambda c: c.start) if len(taken) > 1 and taken[-2].start > c.start else None
+            spans = _FINDERS[rule.name](text) if rule.name in _FINDERS else (m.span(rule.group) for m in rule.pattern.finditer(text))
+            taken = _merged(taken, [Candidate(k, *span) for span in spans])
     return taken
 
 
-def _overlaps(taken: list[Candidate], c: Candidate) -> bool:
-    """taken: apart from each other, by start."""
-    from bisect import bisect_left
-
-    k = bisect_left(taken, c.end, key=lambda x: x.start)
-    return k > 0 and taken[k - 1].end > c.start
+def _merged(taken: list[Candidate], found: list[Candidate]) -> list[Candidate]:
+    """Both by start: taken, and of found what overlaps nothing taken and no earlier one of found."""
+    out, k, end = [], 0, 0
+    for c in found:
+        while k < len(taken) and taken[k].end <= c.start:
+            out.append(taken[k])
+            k += 1
+        if c.start >= end and (k == len(taken) or taken[k].start >= c.end):
+            out.append(c)
+            end = c.end
+    return out + taken[k:]
 
 
 #: Words that mark secrets or harmless strings when they stand near, and words of placeholders.

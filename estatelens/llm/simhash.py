@@ -196,7 +196,9 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))], ["doc_id", "print"])
+        prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        keys = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints), pa.array(keys)], ["doc_id", "print", "text_key"])
 
 
 def _keyed(buckets: int):
@@ -226,8 +228,8 @@ def _linked(table: pa.Table) -> pa.Table:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print (the fingerprint as a signed long) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, print long")
+    """doc_id, print (the fingerprint as a signed long) and text_key (the text's XXH64 as a signed long) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, print long, text_key long")
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -239,6 +241,15 @@ def links(prints: DataFrame) -> DataFrame:
     return distinct.repartition(buckets).mapInArrow(_keyed(buckets), "bucket long, keys binary, prints binary").groupBy("bucket").applyInArrow(_linked, "a long, b long")
 
 
+def _placed(prints: DataFrame) -> DataFrame:
+    """By print: the number of rows n, the smallest row least (null ids last) and the component's name."""
+    components = connected_components(links(prints)).toDF("print", "component")
+    # copies are counted before anything is joined, so that a component weighs as many rows as it has fingerprints
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+    each = prints.groupBy("print").agg(F.min(row).alias("least"), F.count("*").alias("n"))
+    return each.join(components, "print", "left").withColumn("component", F.coalesce("component", "print"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 lower-case hex digits), component_id.
 
@@ -248,17 +259,23 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    components = connected_components(links(prints)).toDF("print", "component")
-    # copies are counted before anything is joined, so that a component weighs as many rows as it has fingerprints
-    each = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    placed = each.join(components, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = _placed(prints)
+    least = placed.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
     groups = written(placed.join(least, "component").select("print", "n", "component_id"), "print-components")
     named = join_groups(prints, groups, ["print"], "n", prints.count())
     return named.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which one stays for each component, with all their columns."""
-    kept = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of docs for each component, with all its columns: the smallest doc_id's, null ids last.
+
+    A row is found by doc_id and a hash of its text; of rows that repeat both, one stays.
+    """
+    prints = written(fingerprints(docs), "fingerprints")
+    stay = _placed(prints).groupBy("component").agg(F.min("least").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_text"))
+    found = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text"))
+    named = prints.groupBy("doc_id", "text_key").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id2"), F.col("text_key").alias("_text2"), "_n")
+    stay = written(stay.join(named, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_text") == F.col("_text2"))).select("_id", "_text", "_n"), "near-keepers")
+    once = docs.join(stay.filter("_n = 1"), found, "left_semi")
+    again = docs.join(stay.filter("_n > 1"), found, "left_semi").withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return once.union(again.dropDuplicates(["doc_id", "_text"]).drop("_text"))

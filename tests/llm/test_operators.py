@@ -469,6 +469,14 @@ def test_added_tokens_equal_the_library():
     assert encode(f"a{end}b").tolist() == [64, 50256, 65]
 
 
+def test_long_white_space_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(BPE), packing.encoder(BPE)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a b" + " \n\t" * 400_000 + "c d", "x" + " " * 150_000 + "<|endoftext|>y"):
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bin_completion_is_close_to_the_bound():
     rng, over = random.Random(8), 0
     for _ in range(100):
@@ -595,6 +603,42 @@ def test_secret_candidates_against_all_rules():
         assert sorted((c.rule, c.start, c.end) for c in secret_scan.candidates(text)) == brute_candidates(text), text[:200]
 
 
+def test_linear_rules_equal_their_expressions():
+    rng = random.Random(8)
+    keys = ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY BLOCK-----", "-----END RSA PRIVATE KEY-----", "-----", "-", "x" * 15, "x" * 16, "\n"]
+    tokens = ["eyJ", "eyJaaaaaaaa", "eyJaaaaaaa", ".", ".", ".", "-", "é", " ", "aaaaaaaa", "_"]
+    for parts, name in ((keys, "private_key"), (tokens, "web_token")):
+        rule = next(r for r in secret_scan.RULES if r.name == name)
+        for _ in range(4000):
+            text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+            assert list(secret_scan._FINDERS[name](text)) == [m.span() for m in rule.pattern.finditer(text)], text
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN PRIVATE KEY-----\n", "eyJaaaaaaaaa-", "eyJaaaaaaaaa.", "glpat-", "password=abc123! ", "a://b:c", "SG.aaaaaaaaaaaaaaaaaaaa.", "0123456789abcdef" * 3 + " "])
+def test_candidates_of_hostile_texts_in_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    secret_scan.candidates(unit * ((4 << 20) // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_drop_near_copies_of_repeated_and_null_ids(spark):
+    a, b = words(random.Random(1), 90), words(random.Random(2), 90)
+    rows = [(1, a), (1, a), (1, b), (None, "c d e f"), (None, "c d e f"), (None, "g h i j"), (7, a), (None, b), (3, None), (4, "")]
+    out = simhash.drop_near_copies(make(spark, rows)).select("doc_id", "text").collect()
+    want = [(1, a), (1, b), (None, "c d e f"), (None, "g h i j")]
+    assert Counter(map(tuple, out)) == Counter([*want, (3, None)])
+
+
+def test_drop_exact_copies_keeps_the_longest_of_a_repeated_id(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "ab"), (2, "a   b")] + [(5, "x y")] * 3
+    out = exact_dedup.drop_exact_copies(make(spark, rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, out)) == Counter([(2, "a   b"), (5, "x y")])
+    out = exact_dedup.drop_exact_copies(make(spark, rows[:3])).select("doc_id", "text").collect()
+    assert [tuple(r) for r in out] == [(1, "a  b")]
+
+
 def test_lexicon_is_of_the_vocabulary():
     assert len(secret_scan.lexicon(BPE).words) > 5000 and {"password", "language"} <= secret_scan.lexicon(BPE).words
 

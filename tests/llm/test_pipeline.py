@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import public_tokenizers
 from estatelens.llm import secret_scan
 from tests.llm.conftest import edge_rows, make
 from tests.llm.test_operators import brute_print, roots
@@ -31,8 +32,8 @@ def test_stages(spark, tmp_path):
     top = roots(len(before), [(a, b) for a in range(len(before)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
     assert len(after) == len(set(top)) and not text(after) - text(before)
     before, after = seen["secret_scan"]
-    forest = secret_scan.default_forest()
-    assert text(after) == Counter((r["doc_id"], secret_scan.redacted(r["text"], r["source"], forest)) for r in before)
+    model = secret_scan.default_model(public_tokenizers.path("byte_bpe_50k.json"))
+    assert text(after) == Counter((r["doc_id"], secret_scan.redacted(r["text"], r["source"], model)) for r in before)
     before, after = seen["best_fit_packing"]
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
     bins = defaultdict(int)
