@@ -35,3 +35,22 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_forget, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df written once in buckets by a column, so that joins on it leave the table where it is."""
+    spark = df.sparkSession
+    table = f"estatelens_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.repartition(n, column).write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(table)
+    atexit.register(_forget_table, spark, table, path)
+    return spark.table(table)
+
+
+def _forget_table(spark: SparkSession, table: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session may be gone when the program ends
+        return
+    _forget(spark, path)

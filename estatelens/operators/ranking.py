@@ -71,22 +71,6 @@ def tickets(rows: DataFrame, limit: int = 25) -> DataFrame:
     return out.orderBy("track_order", "slack_years", "occurrence_id").limit(max(1, min(200, limit)))
 
 
-def runs(rows: DataFrame, order: list[str], key: list[str], partition: list[str]) -> DataFrame:
-    """Gaps and islands: consecutive rows with equal keys share a run number, per partition."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    marked = rows.withColumn("_new", F.lag(F.struct(*key)).over(w).eqNullSafe(F.struct(*key)).cast("int"))
-    return marked.withColumn("run", F.sum(1 - F.col("_new")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def systematic_sample(rows: DataFrame, order: list[str], size: int = 30, offset: int = 0, partition: list[str] | None = None) -> DataFrame:
-    """Every n-th row, n = max(1, rows / size), from an offset on, size rows at most; per partition if given."""
-    keys = partition or []
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / size))
-    numbered = rows.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1 - offset).withColumn("_n", F.count("*").over(w))
-    return numbered.filter((F.col("_k") >= 0) & (F.col("_k") % step == 0) & (F.col("_k") / step < size)).drop("_k", "_n")
-
-
 def labelled(rows: DataFrame) -> DataFrame:
     """Ranked rows with what a person reads: due (years early or late) and driver (which date binds)."""
     years = F.format_number(F.abs("slack_years"), 1)

@@ -5,12 +5,10 @@ Vertices: file, lang, package (dir or null), is_test, entry_kind (null if none),
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.common import cut_lineage
+from estatelens.operators import graph
 
 #: What a local import may stand for, in the order in which it is tried.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
@@ -91,54 +89,26 @@ def entry_points(files: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return (found.union(extra.select("file")) if extra is not None else found).distinct()
 
 
-#: Rounds of a graph search whose frontiers are kept apart before they are written together.
-COMPACT = 8
-
-
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Breadth-first search over files, to the end: file, hops, pred (the predecessor by import order, then name)."""
-    seen = cut_lineage(roots.select("file", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("pred")).dropDuplicates(["file"]), "walk")
-    frontier = seen
-    for hop in count(1):
-        step = frontier.join(edges, frontier["file"] == edges["from_file"]).select(F.col("to_file").alias("file"), F.struct("ordinal", "from_file").alias("by"))
-        new = step.join(seen.select("file"), "file", "left_anti").groupBy("file").agg(F.min("by").alias("by"))
-        frontier = cut_lineage(new.select("file", F.lit(hop).alias("hops"), F.col("by.from_file").alias("pred")), "walk")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier) if hop % COMPACT else cut_lineage(seen.union(frontier), "walk")
-    return seen
+    by = F.struct(F.col("ordinal").alias("ordinal"), F.col("from_file").alias("from_file"))
+    start = roots.select(F.col("file").alias("key"), F.lit(None).cast("struct<ordinal:int,from_file:string>").alias("label"))
+    typed = edges.select(F.col("from_file").alias("from_key"), F.col("to_file").alias("to_key"), by.cast("struct<ordinal:int,from_file:string>").alias("edge"))
+    found = graph.breadth_first(typed, start, lambda _, edge: edge)
+    return found.select(F.col("key").alias("file"), "hops", F.col("label.from_file").alias("pred"))
 
 
 def call_paths(walked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Paths from a root to each wanted file, by following predecessors."""
-    open_ = walked.join(wanted.select("file").distinct(), "file").select("file", F.array("file").alias("path"), "pred")
-    done = None
-    while True:
-        ended = open_.filter("pred is null").select("file", "path")
-        done = ended if done is None else done.union(ended)
-        step = open_.filter("pred is not null").alias("o").join(walked.alias("w"), F.col("o.pred") == F.col("w.file"))
-        open_ = cut_lineage(step.select(F.col("o.file").alias("file"), F.concat(F.array("o.pred"), "o.path").alias("path"), F.col("w.pred").alias("pred")), "paths")
-        if open_.isEmpty():
-            break
-    return done
+    """Paths from a root to each wanted file that is reached, by following predecessors."""
+    return graph.paths(walked.select(F.col("file").alias("key"), "pred"), wanted.select(F.col("file").alias("key"))).withColumnRenamed("key", "file")
 
 
 def live_functions(calls: DataFrame, exported: DataFrame) -> DataFrame:
     """Functions (file, name) that exported ones reach by calls within their file; calls: file, caller, callee."""
-    edges = calls.select(F.struct("file", F.col("caller").alias("name")).alias("from_file"), F.struct("file", F.col("callee").alias("name")).alias("to_file"), F.lit(0).alias("ordinal"))
-    roots = exported.select(F.struct("file", "name").alias("file"))
-    reached = _walk_keys(edges, roots)
-    return reached.select("file.file", "file.name")
-
-
-def _walk_keys(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    seen = cut_lineage(roots.distinct(), "live")
-    frontier = seen
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["file"] == edges["from_file"]).select(F.col("to_file").alias("file")).distinct()
-        frontier = cut_lineage(step.join(seen, "file", "left_anti"), "live")
-        seen = seen.union(frontier)
-    return seen
+    key = lambda name: F.concat_ws("\0", F.col("file"), F.col(name))
+    edges = calls.select(key("caller").alias("from_key"), key("callee").alias("to_key"), F.lit(0).alias("edge"))
+    reached = graph.breadth_first(edges, exported.select(key("name").alias("key"), F.lit(0).alias("label")), lambda label, _: label)
+    return reached.select(F.split_part("key", F.lit("\0"), F.lit(1)).alias("file"), F.split_part("key", F.lit("\0"), F.lit(2)).alias("name"))
 
 
 def verdicts(evidence: DataFrame, walked: DataFrame, files: DataFrame, live: DataFrame | None = None, any_entry: bool = True) -> DataFrame:

@@ -6,12 +6,10 @@ to join within traces only, trace_id. Traces only ever raise a verdict: absence
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.common import cut_lineage
+from estatelens.operators import graph
 
 
 def span_pairs(spans: DataFrame, within_traces: bool = False) -> DataFrame:
@@ -39,19 +37,11 @@ def trace_roots(spans: DataFrame) -> DataFrame:
 def reachable_services(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Breadth-first search from roots: service, hops, path (services from a root on), first reached wins.
 
-    Each round joins the frontier only; the smallest path wins among equals, so the result does not depend
-    on order. Rounds are written, so lineage stays one round long.
+    The smallest path wins among equals, so the result does not depend on order. Edges are planned and written once.
     """
-    seen = cut_lineage(roots.select("service", F.lit(0).alias("hops"), F.array("service").alias("path")).dropDuplicates(["service"]), "bfs")
-    frontier = seen
-    for hop in count(1):
-        step = frontier.join(edges, frontier["service"] == edges["from_service"]).select(F.col("to_service").alias("service"), F.concat("path", F.array("to_service")).alias("path"))
-        new = step.join(seen.select("service"), "service", "left_anti").groupBy("service").agg(F.min("path").alias("path"))
-        frontier = cut_lineage(new.select("service", F.lit(hop).alias("hops"), "path"), "bfs")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier) if hop % 8 else cut_lineage(seen.union(frontier), "bfs")
-    return seen
+    arrows = edges.select(F.col("from_service").alias("from_key"), F.col("to_service").alias("to_key"), F.col("to_service").alias("edge"))
+    found = graph.breadth_first(arrows, roots.select(F.col("service").alias("key"), F.array("service").alias("label")), lambda path, service: F.concat(path, F.array(service)))
+    return found.select(F.col("key").alias("service"), "hops", F.col("label").alias("path"))
 
 
 def apply_trace_reachability(occ: DataFrame, services: DataFrame) -> DataFrame:
@@ -88,11 +78,15 @@ OTLP_SCHEMA = (
 def redact_paths(rows: DataFrame, hidden: DataFrame, path: str = "path") -> DataFrame:
     """Rows with services that a reader may not see taken out of path and counted in hops_out_of_scope.
 
-    hidden: one column of service names; its array is gathered once and is as large as the caller's scope.
+    hidden: one column of service names. Names are looked up by a join, however many are hidden, once for each distinct path.
     """
-    names = hidden.agg(F.collect_set(hidden.columns[0]).alias("_hidden"))
-    shown = F.filter(path, lambda s: ~F.array_contains("_hidden", s))
-    return rows.crossJoin(F.broadcast(names)).withColumns({path: shown, "hops_out_of_scope": F.size(path) - F.size(shown)}).drop("_hidden")
+    every = rows.select(F.col(path).alias("_path")).distinct()
+    steps = every.select("_path", F.posexplode_outer("_path").alias("_k", "_name"))
+    names = hidden.select(F.col(hidden.columns[0]).alias("_name"), F.lit(True).alias("_out")).distinct()
+    seen = steps.join(names, "_name", "left").groupBy("_path").agg(F.sort_array(F.collect_list(F.when(F.col("_out").isNull() & F.col("_k").isNotNull(), F.struct("_k", "_name")))).alias("_left"))
+    shown = F.transform("_left", lambda x: x["_name"])
+    named = rows.join(seen, rows[path].eqNullSafe(seen["_path"]), "left")
+    return named.withColumns({path: F.when(F.col(path).isNotNull(), shown), "hops_out_of_scope": F.when(F.col(path).isNotNull(), F.size(path) - F.size("_left"))}).drop("_path", "_left")
 
 
 def scrub(text: Column, hidden: Column) -> Column:

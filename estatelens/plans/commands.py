@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from estatelens.functions.assets import decimal_year
 from estatelens.functions.mosca import MIGRATION_YEARS, PACKS, PolicyPack
 from estatelens.operators import changes, evidence, export, ranking, reach, scope, store, traces, views
 from estatelens.sources import binaries, calls, inventories, text_files
+from estatelens.sources.rules import Rule
 
 #: Folders that are never part of a tree, and the bound on a source file.
 IGNORED = r"(^|/)(node_modules|\.git|dist|build|coverage|\.venv|venv|vendor|target|__pycache__|\.next|\.turbo)/"
@@ -71,12 +73,12 @@ def source_files(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, wanted.filter(F.col("length") > MAX_TEXT).select("path", F.lit("too large").alias("reason"))
 
 
-def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: DataFrame | None = None, with_binaries: bool = True, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings of all detectors over a tree, and what was skipped and why. sources: the tree's sources as calls.parsed() gave them."""
+def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: DataFrame | None = None, with_binaries: bool = True, sources: DataFrame | None = None, own_rules: Sequence[Rule] | DataFrame = ()) -> tuple[DataFrame, DataFrame]:
+    """Findings of all detectors over a tree, and what was skipped and why. sources: the tree's sources as calls.parsed() gave them; own_rules: see calls.call_findings()."""
     texts, skipped = source_files(tree)
     found_calls = calls.calls_of(calls.parsed(texts) if sources is None else sources)
     found = [
-        calls.call_findings(found_calls, system_id), binaries.source_findings(found_calls.filter("language = 'python'"), system_id), text_files.config_findings(texts, system_id),
+        calls.call_findings(found_calls, system_id, own_rules), binaries.source_findings(found_calls.filter("language = 'python'"), system_id), text_files.config_findings(texts, system_id),
         text_files.dependency_findings(texts, system_id, include_dev)[0], binaries.certificate_findings(binaries.certificates(tree.filter(F.col("path").rlike(r"(?i)\.(pem|crt|cer|der)$"))), system_id),
     ]
     if with_binaries:
@@ -89,8 +91,8 @@ def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: Da
     return out, skipped.union(found_calls.filter("problem is not null").select("path", F.col("problem").alias("reason")).distinct())
 
 
-def static_reachability(found: DataFrame, tree: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Verdicts per occurrence from the tree's module graph, with the packages that its manifests declare."""
+def static_reachability(found: DataFrame, tree: DataFrame, sources: DataFrame | None = None, own_entries: DataFrame | None = None) -> DataFrame:
+    """Verdicts per occurrence from the tree's module graph, with the packages that its manifests declare; own_entries: files that count as entry points besides those found."""
     texts, _ = source_files(tree)
     sources = cut_lineage(calls.parsed(texts), "sources") if sources is None else sources
     packages = cut_lineage(calls.packages_of(texts), "packages")
@@ -98,7 +100,7 @@ def static_reachability(found: DataFrame, tree: DataFrame, sources: DataFrame |
     vertices, imports, exported, edges = (cut_lineage(x, "graph") for x in calls.module_graph(files, sources))
     named = reach.resolve_packages(imports, packages.filter("name is not null").select("name", "entry_dir"), vertices)
     every = cut_lineage(reach.resolve_local(imports, vertices).union(reach.resolve_suffix(imports, vertices)).union(named), "edges")
-    roots = reach.entry_points(vertices)
+    roots = reach.entry_points(vertices, own_entries)
     functions = calls.calls_of(sources).select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), "callee", "function").dropDuplicates(["locator", "callee"])
     rows = found.select("occurrence_id", "modality", "locator", F.split_part("raw", F.lit(" "), F.lit(1)).alias("callee")).join(functions, ["locator", "callee"], "left")
     rows = rows.withColumn("file", F.regexp_extract("locator", r"^(.*):[0-9]+$", 1))
@@ -106,15 +108,15 @@ def static_reachability(found: DataFrame, tree: DataFrame, sources: DataFrame |
     return reach.verdicts(located, reach.walk(every, roots), vertices, reach.live_functions(edges, exported), any_entry=not roots.isEmpty())
 
 
-def scan(tree: DataFrame, system_id: str, pack: PolicyPack, now: Column, secrecy_years: float = 5.0, include_dev: bool = False, keys: DataFrame | None = None, spans: DataFrame | None = None, with_binaries: bool = True) -> Scan:
-    """Detect, assemble, decide reach and rank one system."""
+def scan(tree: DataFrame, system_id: str, pack: PolicyPack, now: Column, secrecy_years: float = 5.0, include_dev: bool = False, keys: DataFrame | None = None, spans: DataFrame | None = None, with_binaries: bool = True, own_rules: Sequence[Rule] | DataFrame = (), own_entries: DataFrame | None = None) -> Scan:
+    """Detect, assemble, decide reach and rank one system, with rules and entry points of the caller if given."""
     if not 0 <= secrecy_years <= 100:
         raise ValueError("secrecy_years must be between 0 and 100")
     sources = cut_lineage(calls.parsed(source_files(tree)[0]), "sources")
-    raw, skipped = collect(tree, system_id, include_dev, keys, with_binaries, sources)
+    raw, skipped = collect(tree, system_id, include_dev, keys, with_binaries, sources, own_rules)
     # each step is a table: what follows reads it many times
     found = cut_lineage(evidence.identified(raw), "findings")
-    verdict = cut_lineage(static_reachability(found, tree, sources), "verdicts").select("occurrence_id", "reachable", "via")
+    verdict = cut_lineage(static_reachability(found, tree, sources, own_entries), "verdicts").select("occurrence_id", "reachable", "via")
     occ = cut_lineage(evidence.occurrences(found).join(verdict, "occurrence_id", "left"), "occurrences")
     if spans is not None:
         graph = traces.service_edges(spans)

@@ -11,7 +11,7 @@ from estatelens.common import cut_lineage
 from estatelens.functions import assets as A
 from estatelens.functions import dims, naming
 from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
-from estatelens.operators import changes, evidence, export, ranking, reach, scope, store, traces, views
+from estatelens.operators import changes, evidence, export, order, ranking, reach, scope, store, traces, views
 from estatelens.plans import synth
 from estatelens.sources import binaries, inventories, text_files
 from estatelens.streaming import live
@@ -217,12 +217,22 @@ def k8(spark, sf):
 @query("f5_run_packages", f"""WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')}, l AS (SELECT *, lag(struct_pack(control_class, late, slack_years, binding)) OVER w AS p FROM r WINDOW w AS (PARTITION BY bucket, system_id ORDER BY slack_years, occurrence_id))
  SELECT occurrence_id, CAST(sum(CASE WHEN p IS NOT DISTINCT FROM struct_pack(control_class, late, slack_years, binding) THEN 0 ELSE 1 END) OVER (PARTITION BY bucket, system_id ORDER BY slack_years, occurrence_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM l""")
 def f5(spark, sf):
-    return ranking.runs(_ranking(spark, sf), ["slack_years", "occurrence_id"], ["control_class", "late", "slack_years", "binding"], ["bucket", "system_id"]).select("occurrence_id", "run")
+    return order.runs(_ranking(spark, sf), ["slack_years", "occurrence_id"], ["control_class", "late", "slack_years", "binding"], ["bucket", "system_id"]).select("occurrence_id", "run")
 
 
 @query("f6_systematic_sample", f"""WITH {_OCC}, n AS (SELECT occurrence_id, system_id, row_number() OVER (PARTITION BY system_id ORDER BY occurrence_id) - 1 AS k, count(*) OVER (PARTITION BY system_id) AS n FROM occ) SELECT occurrence_id, system_id FROM n WHERE k % greatest(1, n // 30) = 0 AND k // greatest(1, n // 30) < 30""")
 def f6(spark, sf):
-    return ranking.systematic_sample(_occ(spark, sf).select("occurrence_id", "system_id"), ["occurrence_id"], partition=["system_id"])
+    return order.systematic_sample(_occ(spark, sf).select("occurrence_id", "system_id"), ["occurrence_id"], partition=["system_id"])
+
+
+@query("f6_estate_sample", f"""WITH {_OCC}, n AS (SELECT occurrence_id, row_number() OVER (ORDER BY occurrence_id) - 3 AS k, count(*) OVER () AS n FROM occ) SELECT occurrence_id FROM n WHERE k >= 0 AND k % greatest(1, n // 30) = 0 AND k // greatest(1, n // 30) < 30""")
+def f6_estate(spark, sf):
+    return order.systematic_sample(_occ(spark, sf).select("occurrence_id"), ["occurrence_id"], offset=2)
+
+
+@query("f4_estate_places", f"""WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT occurrence_id, row_number() OVER (ORDER BY slack_years, occurrence_id) AS place, count(*) OVER () AS total FROM r""")
+def f4_estate(spark, sf):
+    return order.numbered(_ranking(spark, sf), ["slack_years", "occurrence_id"]).select("occurrence_id", "place", "total")
 
 
 @query("k2_track_worklist", f"WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT occurrence_id, slack_years, binding FROM r WHERE bucket = 'authenticity'")
@@ -373,9 +383,9 @@ _CLAIMS = f"""{_FOUND}, {_ASSETS}, claims AS (SELECT concat('sys-', lpad(CAST(s_
 def k14(spark, sf):
     found = _found(spark, sf)
     known = evidence.assets(found)
-    numbered = known.select("asset_id", (F.row_number().over(Window.orderBy("asset_id")) - 1).alias("k"))
+    numbered = order.numbered(known.select("asset_id"), ["asset_id"]).select("asset_id", (F.col("place") - 1).alias("k"))
     s = _table(spark, sf, "supplier").filter("s_suppkey % 40 < 30").select("s_suppkey", F.expr("concat('sys-', lpad(cast(s_suppkey % 40 as string), 2, '0'))").alias("system_id"))
-    claims = s.join(F.broadcast(numbered), F.expr("s_suppkey % 7 = k % 7")).select("system_id", "asset_id", F.expr("case when s_suppkey % 40 < 20 then 'available' else 'evaluating' end").alias("roadmap"))
+    claims = s.join(numbered, F.expr("s_suppkey % 7 = k % 7")).select("system_id", "asset_id", F.expr("case when s_suppkey % 40 < 20 then 'available' else 'evaluating' end").alias("roadmap"))
     return views.reconcile(claims, found, known)
 
 

@@ -16,6 +16,7 @@ from estatelens.operators import export, reach, scope, store
 from estatelens.plans import commands, synth
 from estatelens.queries import _ASSETS, _OCC, _TREE, _assets, _found, _graph, _occ, _table, query
 from estatelens.sources import binaries, calls, inventories, text_files
+from estatelens.sources.rules import Rule
 
 
 def _sql(value) -> str:
@@ -107,6 +108,34 @@ sources("a7_c_rules", [
     (0, 3, "AES", '{"keySize":256,"mode":"GCM"}', _ENC, False), (0, 4, "RSA", '{"modulusLength":4096}', _KEX, True), (1, 3, "ECDSA", '{"curve":"P-256"}', _SIG, True), (1, 4, "SHA2", '{"outputLength":256}', _DIG, False), (1, 5, "RC4", "{}", _ENC, False),
 ])
 
+# A4, M: rules of the caller, beside the fixed ones and before them; every file is made of its own row
+
+_OWN_RULES = (
+    Rule("js", r"(^|\.)seal$", "@acme/vault", _ENC, "AES", {"keySize": ("member", "bits"), "mode": ("text", "GCM")}),
+    Rule("js", r"(^|\.)(stamp|seal)$", "@acme/vault|acme-stamp", _SIG, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
+    Rule("js", r"(^|\.)createHash$", "acme-crypto", _DIG, "SHA3", {"outputLength": ("argument", 0)}),
+)
+
+
+@query("m_own_rules", """WITH f AS (SELECT p_partkey AS p, p_size AS n, p_partkey % 4 AS k FROM part)
+    SELECT p, 2 AS line, 'AES' AS primitive, concat('{"keySize":', CAST(64 * n AS STRING), ',"mode":"GCM"}') AS parameters, 'DATA_ENCRYPTION' AS purpose, false AS guessed FROM f WHERE k IN (0, 1)
+    UNION ALL SELECT p, 3, 'RSA', concat('{"modulusLength":', CAST(1024 + n AS STRING), '}'), 'DIGITAL_SIGNATURE', true FROM f WHERE k IN (0, 1, 2)
+    UNION ALL SELECT p, 2, 'RSA', '{}', 'DIGITAL_SIGNATURE', true FROM f WHERE k = 2
+    UNION ALL SELECT p, 5, CASE WHEN k = 1 THEN 'SHA3' ELSE 'SHA2' END, concat('{"outputLength":', CASE WHEN n % 2 = 0 THEN '256' ELSE '512' END, '}'), 'INTEGRITY', false FROM f WHERE k IN (0, 1, 2)""")
+def own_rules(spark, sf):
+    k, n = F.col("p_partkey") % 4, F.col("p_size")
+    vault = F.when(k == 0, "@acme/vault").when(k == 1, "@acme/vault/node").when(k == 2, "acme-stamp").otherwise("other-vault")
+    hashes = F.when(k == 1, "acme-crypto").when(k == 3, "acme-cryptography").otherwise("node:crypto")
+    bits = F.when(n % 2 == 0, "256").otherwise("512")
+    text = F.concat(
+        F.lit("import * as vault from '"), vault, F.lit("';\nvault.seal(data, { bits: "), (n * 64).cast("string"), F.lit(" });\nvault.stamp(data, "), (n + 1024).cast("string"), F.lit(");\nimport * as c from '"), hashes,
+        F.lit("';\nc.createHash("), F.when(k == 1, bits).otherwise(F.concat(F.lit("'sha"), bits, F.lit("'"))), F.lit(");\n"),
+    )
+    made = _table(spark, sf, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("/a.mjs")).alias("path"), text.alias("text"))
+    found = calls.call_findings(calls.calls(made), "src", _OWN_RULES)
+    return found.select(part_of("locator"), line_of("locator"), "primitive", "parameters", "purpose", F.col("raw").endswith("(RULE_DEFAULT)").alias("guessed"))
+
+
 # Parsing, graphs, entry points
 
 _NESTED = [

@@ -3,7 +3,7 @@
 There are no grammars here: a small tokenizer walks the text once, knows comments, strings, regular expression
 literals and nesting, and gives each call's callee, its literal arguments and the literal members of object
 arguments. Brackets are matched once with a stack, so time is linear in the text, however deep it nests. What is not
-a literal stays unresolved and is not guessed. Rules are a table, applied by column expressions; a rule counts only
+a literal stays unresolved and is not guessed. Rules are a table that calls look up (rules.py); a rule counts only
 where its module is imported.
 """
 
@@ -12,15 +12,14 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.functions import naming
 from estatelens.operators.reach import EXAMPLE_PATH, is_test_path
 from estatelens.sources.binaries import python_calls
+from estatelens.sources.rules import Rule, guessed, rule_table, with_rules, with_specs
 
 #: Languages by file extension. Larger files are skipped, with a row that says so.
 LANGUAGES = {
@@ -388,297 +387,17 @@ def with_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
     return files.join(near, "path", "left").select(files["*"], F.col("p.dir").alias("package"), (F.coalesce("p.published", F.lit(False)) & ~aside).alias("published"))
 
 
-_E, _S, _D, _I, _K = "KEY_ESTABLISHMENT", "DIGITAL_SIGNATURE", "DATA_ENCRYPTION", "INTEGRITY", "KEY_DERIVATION"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """What a call says: its callee's expression and the modules it must come from ("": the language's own gate), then
-    either a primitive with the sources of its parameters, or a vocabulary that reads a name found in one of several sources.
-
-    Sources: ("argument", k), ("member", name), ("text", value), ("callee",), or a reading of an argument or the callee:
-    hash, mac hash, curve, go curve, openssl curve, bits, mode. by_default: the purpose is the rule's guess, as the call
-    makes a key that serves several.
-    """
-
-    language: str
-    callee: str
-    modules: str
-    purpose: str
-    primitive: str | None = None
-    parameters: dict[str, tuple] = field(default_factory=dict)
-    vocabulary: str | None = None
-    of: tuple = ()
-    by_default: bool = False
-
-
-#: The rules, in the order in which they are tried.
-RULES = (
-    Rule("js", r"(^|\.)createHash$", "crypto", _I, vocabulary="hash", of=(("argument", 0),)),
-    Rule("js", r"(^|\.)createHmac$", "crypto", _I, "HMAC", {"hash": ("hash", 0)}),
-    Rule("js", r"(^|\.)create(C|Dec)ipher(iv)?$", "crypto", _D, vocabulary="cipher", of=(("argument", 0),)),
-    Rule("js", r"(^|\.)pbkdf2(Sync)?$", "crypto", _K, "PBKDF2", {"iterations": ("argument", 2), "hash": ("hash", 4)}),
-    Rule("js", r"(^|\.)scrypt(Sync)?$", "crypto", _K, "scrypt"),
-    Rule("js", r"(^|\.)hkdf(Sync)?$", "crypto", _K, "PBKDF2", {"kdf": ("text", "HKDF"), "hash": ("hash", 0)}),
-    Rule("js", r"(^|\.)createECDH$", "crypto", _E, "ECDH", {"curve": ("curve", 0)}),
-    Rule("js", r"(^|\.)(createDiffieHellman(Group)?|diffieHellman)$", "crypto", _E, "DH", {"primeLength": ("argument", 0)}),
-    Rule("js", r"(^|\.)(public|private)(En|De)crypt$", "crypto", _E, "RSA", {"mode": ("text", "KEY_TRANSPORT"), "oaepHash": ("member", "oaepHash")}),
-    Rule("js", r"(^|\.)(createSign|createVerify|sign|verify)$", "crypto", _S, vocabulary="signature", of=(("argument", 0),)),
-    Rule("js", r"(^|\.)(sign|verify|SignJWT|jwtVerify|setProtectedHeader)$", "jsonwebtoken|jose", _S, vocabulary="jose", of=(("member", "algorithm"), ("member", "alg"), ("member", "algorithms"))),
-    Rule("js", r"rsa\.(generateKeyPair|setPublicKey)", "node-forge", _E, "RSA", {"modulusLength": ("member", "bits")}, by_default=True),
-    Rule("js", r"(?i)(^|\.)(tripledes|des3)\.(en|de)crypt$", "crypto-js", _D, "3DES"),
-    Rule("js", r"(?i)(^|\.)des\.(en|de)crypt$", "crypto-js", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
-    Rule("js", r"(?i)(^|\.)rc4\.(en|de)crypt$", "crypto-js", _D, "RC4"),
-    Rule("js", r"(?i)(^|\.)aes\.(en|de)crypt$", "crypto-js", _D, "AES", {"mode": ("text", "CBC")}),
-    Rule("js", r"(^|\.)(MD5|SHA1|SHA224|SHA256|SHA384|SHA512|SHA3)$", "crypto-js", _I, vocabulary="hash", of=(("callee",),)),
-    Rule("go", r"^rsa\.(Sign|Verify)\w*PSS$", "crypto/rsa", _S, "RSA", {"padding": ("text", "PSS")}),
-    Rule("go", r"^rsa\.(Sign|Verify)", "crypto/rsa", _S, "RSA", {"padding": ("text", "PKCS1v15")}),
-    Rule("go", r"^rsa\.\w*(OAEP|PKCS1v15)$", "crypto/rsa", _E, "RSA", {"mode": ("text", "KEY_TRANSPORT")}),
-    Rule("go", r"^rsa\.GenerateKey", "crypto/rsa", _E, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
-    Rule("go", r"^ecdsa\.", "crypto/ecdsa", _S, "ECDSA", {"curve": ("go curve", 0)}, by_default=True),
-    Rule("go", r"^ed25519\.", "crypto/ed25519", _S, "EdDSA", {"curve": ("text", "Ed25519")}),
-    Rule("go", r"^ecdh\.P", "crypto/ecdh", _E, "ECDH", {"curve": ("go curve", "callee")}),
-    Rule("go", r"^(ecdh\.X25519|curve25519\.)", "crypto/ecdh|golang.org/x/crypto/curve25519", _E, "X25519"),
-    Rule("go", r"^dsa\.", "crypto/dsa", _S, "DSA"),
-    Rule("go", r"^des\.NewTripleDESCipher$", "crypto/des", _D, "3DES"),
-    Rule("go", r"^des\.", "crypto/des", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
-    Rule("go", r"^aes\.NewCipher$", "crypto/aes", _D, "AES"),
-    Rule("go", r"^rc4\.", "crypto/rc4", _D, "RC4"),
-    Rule("go", r"^chacha20poly1305\.", "golang.org/x/crypto/chacha20poly1305", _D, "ChaCha20", {"keySize": ("text", "256"), "mode": ("text", "POLY1305")}),
-    Rule("go", r"^md5\.", "crypto/md5", _I, "MD5", {"outputLength": ("text", "128")}),
-    Rule("go", r"^sha1\.", "crypto/sha1", _I, "SHA1", {"outputLength": ("text", "160")}),
-    Rule("go", r"^sha256\.(Sum|New)224$", "crypto/sha256", _I, "SHA2", {"outputLength": ("text", "224")}),
-    Rule("go", r"^sha256\.", "crypto/sha256", _I, "SHA2", {"outputLength": ("text", "256")}),
-    Rule("go", r"^sha512\.", "crypto/sha512", _I, "SHA2", {"outputLength": ("text", "512")}),
-    Rule("go", r"^hmac\.New$", "crypto/hmac", _I, "HMAC"),
-    Rule("java", r"(^|\.)Signature\.getInstance$", "", _S, vocabulary="signature", of=(("argument", 0),)),
-    Rule("java", r"(^|\.)MessageDigest\.getInstance$", "", _I, vocabulary="hash", of=(("argument", 0),)),
-    Rule("java", r"(^|\.)Cipher\.getInstance$", "", _D, vocabulary="jca", of=(("argument", 0),)),
-    Rule("java", r"(^|\.)Mac\.getInstance$", "", _I, "HMAC", {"hash": ("mac hash", 0)}),
-    Rule("java", r"(^|\.)KeyAgreement\.getInstance$", "", _E, vocabulary="agree", of=(("argument", 0),)),
-    Rule("java", r"(^|\.)Key(Pair)?Generator\.getInstance$", "", _S, vocabulary="generate", of=(("argument", 0),), by_default=True),
-    Rule("java", r"(^|\.)SecretKeyFactory\.getInstance$", "", _K, "PBKDF2", {"hash": ("mac hash", 0)}),
-    Rule("c", r"^RSA_generate_key_ex$", "", _E, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
-    Rule("c", r"^RSA_(sign|verify)", "", _S, "RSA"),
-    Rule("c", r"^RSA_", "", _E, "RSA"),
-    Rule("c", r"^ECDSA_", "", _S, "ECDSA"),
-    Rule("c", r"^EC_KEY_new_by_curve_name$", "", _S, "ECDSA", {"curve": ("openssl curve", 0)}, by_default=True),
-    Rule("c", r"^ECDH_compute_key$", "", _E, "ECDH"),
-    Rule("c", r"^DH_(generate|compute)_key$", "", _E, "DH"),
-    Rule("c", r"^DSA_generate_key", "", _S, "DSA"),
-    Rule("c", r"^DES_ede3_cbc_encrypt$", "", _D, "3DES", {"mode": ("text", "CBC")}),
-    Rule("c", r"^AES_set_encrypt_key$", "", _D, "AES", {"keySize": ("argument", 1)}),
-    Rule("c", r"^RC4_set_key$", "", _D, "RC4"),
-    Rule("c", r"^PKCS5_PBKDF2_HMAC$", "", _K, "PBKDF2", {"iterations": ("argument", 4)}),
-    Rule("c", r"^EVP_PBE_scrypt$", "", _K, "scrypt"),
-    Rule("c", r"^(MD5|SHA1|SHA256|SHA512)_Init$", "", _I, vocabulary="hash", of=(("callee",),)),
-    Rule("c", r"^HMAC(_Init_ex)?$", "", _I, "HMAC"),
-    Rule("c", r"^EVP_(Digest|Encrypt|Decrypt)Init_ex$", "", _D, vocabulary="evp", of=(("argument", 1),)),
-    Rule("c", r"^EVP_PKEY_CTX_new_id$", "", _S, vocabulary="pkey", of=(("argument", 0),), by_default=True),
-    Rule("rust", r"Rsa\w*::(new|generate)", "", _E, "RSA", {"modulusLength": ("argument", 1)}, by_default=True),
-    Rule("rust", r"Hmac", "", _I, "HMAC"),
-    Rule("rust", r"(?i)ed25519", "", _S, "EdDSA", {"curve": ("text", "Ed25519")}),
-    Rule("rust", r"X25519|StaticSecret::|EphemeralSecret::", "", _E, "X25519"),
-    Rule("rust", r"p384::|P384", "", _S, "ECDSA", {"curve": ("text", "P-384")}),
-    Rule("rust", r"p256::|P256|Ecdsa", "", _S, "ECDSA", {"curve": ("text", "P-256")}),
-    Rule("rust", r"(?i)ChaCha20", "", _D, "ChaCha20", {"keySize": ("text", "256"), "mode": ("text", "POLY1305")}),
-    Rule("rust", r"Aes(128|192|256)?\w*::", "", _D, "AES", {"keySize": ("bits", "callee"), "mode": ("mode", "callee")}),
-    Rule("rust", r"Sha1::", "", _I, "SHA1", {"outputLength": ("text", "160")}),
-    Rule("rust", r"Sha(224|256|384|512)::", "", _I, "SHA2", {"outputLength": ("bits", "callee")}),
-    Rule("rust", r"Md5::", "", _I, "MD5", {"outputLength": ("text", "128")}),
-    Rule("rust", r"(?i)pbkdf2", "", _K, "PBKDF2"),
-    Rule("rust", r"Argon2", "", _K, "Argon2"),
-    Rule("csharp", r"(^|\.)RSA(CryptoServiceProvider|Cng)?(\.Create)?$", "", _E, "RSA", {"modulusLength": ("argument", 0)}, by_default=True),
-    Rule("csharp", r"(^|\.)ECDsa(Cng)?\.Create$", "", _S, "ECDSA", by_default=True),
-    Rule("csharp", r"(^|\.)ECDiffieHellman(Cng)?\.Create$", "", _E, "ECDH"),
-    Rule("csharp", r"(^|\.)DSA\.Create$", "", _S, "DSA", by_default=True),
-    Rule("csharp", r"(^|\.)Aes(Cng|Managed)?(\.Create)?$", "", _D, "AES"),
-    Rule("csharp", r"(^|\.)TripleDES(Cng)?\.Create$", "", _D, "3DES"),
-    Rule("csharp", r"(^|\.)DES\.Create$", "", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
-    Rule("csharp", r"(^|\.)RC2\.Create$", "", _D, "UNKNOWN", {"name": ("text", "RC2")}),
-    Rule("csharp", r"(^|\.)MD5(\.Create|CryptoServiceProvider)$", "", _I, "MD5", {"outputLength": ("text", "128")}),
-    Rule("csharp", r"(^|\.)SHA1(\.Create|Managed|CryptoServiceProvider)$", "", _I, "SHA1", {"outputLength": ("text", "160")}),
-    Rule("csharp", r"(^|\.)SHA(256|384|512)\.(Create|HashData)$", "", _I, "SHA2", {"outputLength": ("bits", "callee")}),
-    Rule("csharp", r"(^|\.)HMACSHA1$", "", _I, "HMAC", {"hash": ("text", "SHA1")}),
-    Rule("csharp", r"(^|\.)HMACSHA256$", "", _I, "HMAC", {"hash": ("text", "SHA2")}),
-    Rule("csharp", r"(^|\.)Rfc2898DeriveBytes$", "", _K, "PBKDF2"),
-)
-#: Rust crates and type names that count as cryptography, and the methods that are calls of it.
-RUST_CRATES = "rsa|ring|openssl|aes|aes_gcm|chacha20poly1305|ed25519_dalek|x25519_dalek|p256|p384|sha2|sha1|md5|hmac|pbkdf2|argon2"
-RUST_NAMES = "Rsa|Ecdsa|Ed25519|X25519|Aes|ChaCha|Sha|Md5|Hmac|Pbkdf2|Argon2|SigningKey|StaticSecret"
-RUST_METHODS = "generate|new|from_pkcs8|sign|verify|digest|derive|encrypt|decrypt|new_from_slice|pbkdf2_hmac|hash_password|random|random_from_rng"
-#: Parameters that are numbers.
-_NUMBERS = ("modulusLength", "keySize", "outputLength", "iterations", "primeLength")
-
-
-def _source(source: tuple) -> Column:
-    """A parameter's source as a column."""
-    kind, *of = source
-    argument = lambda k: F.get(F.col("args"), F.lit(int(k)))
-    if kind == "text":
-        return F.lit(of[0])
-    if kind == "argument":
-        return argument(of[0])
-    if kind == "member":
-        return F.try_element_at(F.col("kwargs"), F.lit(of[0]))
-    if kind == "callee":
-        return F.regexp_replace(F.regexp_extract("callee", r"([^.:]+)$", 1), "_Init$", "")
-    base = F.col("callee") if of[0] == "callee" else argument(of[0])
-    first = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
-    if kind == "bits":
-        return first(base, "(128|192|224|256|384|512)")
-    if kind == "mode":
-        return F.upper(first(base, "(Gcm|Cbc|Ctr|Ecb)"))
-    if kind in _HASHES:
-        return F.col("hash_read")
-    if kind in _CURVES:
-        return F.col("curve_read")
-    raise ValueError(f"not a source: {source}")
-
-
-#: How the text of a hash or curve is made from an argument or the callee before its vocabulary reads it.
-_HASHES = {"hash": lambda x: x, "mac hash": lambda x: F.regexp_replace(F.regexp_replace(x, "(?i).*With", ""), "(?i)^Hmac", "")}
-_CURVES = {
-    "curve": lambda x: x,
-    "go curve": lambda x: F.concat(F.lit("p-"), F.nullif(F.regexp_extract(x, "P(224|256|384|521)", 1), F.lit(""))),
-    "openssl curve": lambda x: F.regexp_replace(x, "^NID_(X9_62_)?", ""),
-}
-
-
-def _text_for(kinds: dict) -> Column:
-    """The text that a rule's source of one of these kinds reads, by rule."""
-    found = F.lit(None).cast("string")
-    for k, rule in enumerate(RULES):
-        for kind, of in (x for x in rule.parameters.values() if x[0] in kinds):
-            found = F.when(F.col("rule") == k, kinds[kind](F.col("callee") if of == "callee" else F.get(F.col("args"), F.lit(of)))).otherwise(found)
-    return found
-
-
-def with_names(rows: DataFrame) -> DataFrame:
-    """rows (with rule) with what their names say, each vocabulary applied once: hash_read, curve_read, named (specs)."""
-    by_rule = lambda pick: F.coalesce(*[F.when(F.col("rule") == k, pick(r)) for k, r in enumerate(RULES) if r.vocabulary])
-    texts = rows.select(
-        "*", _text_for(_HASHES).alias("hash_text"), _text_for(_CURVES).alias("curve_text"), by_rule(lambda r: F.lit(r.vocabulary)).alias("vocabulary"),
-        by_rule(lambda r: F.coalesce(*[_source(x) for x in r.of], F.lit(""))).alias("name"),
-    )
-    named = F.coalesce(*[F.when(F.col("vocabulary") == v, _read(v, F.col("name"))) for v in sorted({r.vocabulary for r in RULES if r.vocabulary})])
-    return texts.select("*", F.get(naming.hash_from_name(F.col("hash_text")), F.lit(0))["primitive"].alias("hash_read"), naming.normalize_curve(F.col("curve_text")).alias("curve_read"), named.alias("named"))
-
-
-def _read(vocabulary: str, value: Column) -> Column:
-    """Specs of a name that a call carries."""
-    one = lambda *s: F.array_compact(F.array(*s)).cast(naming.SPECS)
-    if vocabulary in naming.VOCABULARIES:
-        return naming.VOCABULARIES[vocabulary](value)
-    upper, head = F.upper(value), F.split_part(value, F.lit("/"), F.lit(1))
-    mode = F.upper(F.nullif(F.get(F.split(value, "/"), F.lit(1)), F.lit("")))
-    padding = F.upper(F.nullif(F.get(F.split(value, "/"), F.lit(2)), F.lit("")))
-    if vocabulary == "jca":
-        rsa = one(naming.spec("RSA", _E, mode="KEY_TRANSPORT", padding=padding))
-        sized = F.transform(naming.cipher_from_name(head), lambda s: naming.spec(s["primitive"], _D, keySize=F.get_json_object(s["parameters"], "$.keySize").cast("int"), mode=F.coalesce(mode, F.get_json_object(s["parameters"], "$.mode")), padding=padding)).cast(naming.SPECS)
-        return F.when(F.upper(head) == "RSA", rsa).otherwise(sized)
-    if vocabulary == "agree":
-        return F.when(upper.startswith("ECDH"), one(naming.spec("ECDH", _E))).when(upper.startswith("DH"), one(naming.spec("DH", _E))).when(upper.startswith("X25519"), one(naming.spec("X25519", _E))).otherwise(F.array().cast(naming.SPECS))
-    if vocabulary == "generate":
-        known = F.when(upper == "RSA", naming.spec("RSA", _E)).when(upper.isin("EC", "ECDSA"), naming.spec("ECDSA", _S)).when(upper == "DSA", naming.spec("DSA", _S)).when(upper.isin("DH", "DIFFIEHELLMAN"), naming.spec("DH", _E)).when(upper == "ED25519", naming.spec("EdDSA", _S, curve="Ed25519"))
-        return F.when(known.isNotNull(), one(known)).otherwise(naming.cipher_from_name(value))
-    if vocabulary == "evp":
-        name = F.replace(F.regexp_extract(value, "EVP_([a-z0-9_]+)", 1), F.lit("_"), F.lit("-"))
-        hashed = naming.hash_from_name(name, _I)
-        return F.when(F.size(hashed) > 0, hashed).otherwise(naming.cipher_from_name(name))
-    known = F.when(value.contains("EVP_PKEY_RSA"), naming.spec("RSA", _E)).when(value.rlike(r"EVP_PKEY_EC\b"), naming.spec("ECDSA", _S)).when(value.contains("EVP_PKEY_ED25519"), naming.spec("EdDSA", _S, curve="Ed25519")).when(value.contains("EVP_PKEY_X25519"), naming.spec("X25519", _E)).when(value.contains("EVP_PKEY_DH"), naming.spec("DH", _E))
-    return one(known)
-
-
-def _key_pair() -> Column:
-    """Specs of Node's generateKeyPair, whose first argument names the kind."""
-    kind, member = F.lower(F.coalesce(_source(("argument", 0)), F.lit(""))), lambda k: F.try_element_at(F.col("kwargs"), F.lit(k))
-    size = member("modulusLength").try_cast("int")
-    return F.array_compact(F.array(
-        F.when(kind == "rsa", naming.spec("RSA", _E, modulusLength=size)).when(kind == "rsa-pss", naming.spec("RSA", _S, modulusLength=size, padding="PSS")).when(kind == "ec", naming.spec("ECDSA", _S, curve=naming.normalize_curve(member("namedCurve"))))
-        .when(kind == "ed25519", naming.spec("EdDSA", _S, curve="Ed25519")).when(kind == "ed448", naming.spec("EdDSA", _S, curve="Ed448")).when(kind == "x25519", naming.spec("X25519", _E)).when(kind == "x448", naming.spec("X448", _E))
-        .when(kind == "dsa", naming.spec("DSA", _S, modulusLength=size)).when(kind == "dh", naming.spec("DH", _E, primeLength=size))
-    )).cast(naming.SPECS)
-
-
-def _web_crypto() -> Column:
-    """Specs of WebCrypto calls: the algorithm is an object's name member or a string."""
-    member = lambda k: F.try_element_at(F.col("kwargs"), F.lit(k))
-    n = F.upper(F.coalesce(member("name"), _source(("argument", 0)), _source(("argument", 2)), F.lit("")))
-    size, curve = member("modulusLength").try_cast("int"), naming.normalize_curve(member("namedCurve"))
-    wrap = F.col("callee").rlike("(un)?wrapKey$")
-    main = (
-        F.when(n.isin("RSASSA-PKCS1-V1_5", "RSA-PSS"), naming.spec("RSA", _S, modulusLength=size, padding=F.when(n == "RSA-PSS", "PSS").otherwise("PKCS1v15"))).when(n == "RSA-OAEP", naming.spec("RSA", _E, modulusLength=size, padding="OAEP"))
-        .when(n == "ECDSA", naming.spec("ECDSA", _S, curve=curve)).when(n == "ECDH", naming.spec("ECDH", _E, curve=curve)).when(n == "X25519", naming.spec("X25519", _E)).when(n == "ED25519", naming.spec("EdDSA", _S, curve="Ed25519"))
-        .when(n.startswith("AES-"), naming.spec("AES", F.when(wrap, _E).otherwise(_D), mode=F.substring(n, 5, 9), keySize=F.when(F.col("callee").rlike("(generate|import)Key$"), member("length").try_cast("int"))))
-        .when(n == "HMAC", naming.spec("HMAC", _I, hash=F.get(naming.hash_from_name(member("hash")), F.lit(0))["primitive"])).when(n == "PBKDF2", naming.spec("PBKDF2", _K, iterations=member("iterations").try_cast("int")))
-    )
-    digest = naming.hash_from_name(F.coalesce(F.when(F.col("callee").endswith("digest"), n), member("hash"), F.lit("")), _I)
-    return F.concat(F.array_compact(F.array(main)).cast(naming.SPECS), digest)
-
-
-def _with_purpose(specs: Column, purpose: Column) -> Column:
-    """specs with a purpose where they have none."""
-    return F.transform(specs, lambda s: F.struct(s["primitive"], s["parameters"], F.coalesce(s["purpose"], purpose).alias("purpose"))).cast(naming.SPECS)
-
-
-def bound_to(module: Column, modules: str) -> Column:
-    """Whether an imported module is one of these, a part of one, or holds one; parts follow a dot, slash or colon."""
-    names = modules.split("|")
-    above = sorted({name[: m.start()] for name in names for m in re.finditer(r"[./:]", name)})
-    inside = module.rlike("^(node:)?(" + "|".join(re.escape(n) for n in names) + ")($|[./:])")
-    return inside | module.isin(*above) if above else inside
-
-
-def _fits(rule: Rule) -> Column:
-    c, module = F.col("callee"), F.coalesce("module", F.lit(""))
-    ok = (F.col("language") == rule.language) & c.rlike(rule.callee)
-    if rule.modules:
-        return ok & bound_to(module, rule.modules)
-    if rule.language == "rust":
-        return ok & c.rlike(rf"(::|^)({RUST_METHODS})$") & c.rlike(rf"^(({RUST_CRATES})(::|$)|({RUST_NAMES}))")
-    return ok & F.coalesce("gated", F.lit(True))
-
-
-#: Numbers of the two rules whose specs the call's first argument or member names.
-_KEY_PAIR, _WEB_CRYPTO = len(RULES), len(RULES) + 1
-
-
-def call_rule() -> Column:
-    """The number of the first rule that fits a call, null if none does."""
-    c, module = F.col("callee"), F.coalesce("module", F.lit(""))
-    pair = (F.col("language") == "js") & c.rlike(r"(^|\.)generateKeyPair(Sync)?$") & bound_to(module, "crypto")
-    web = (F.col("language") == "js") & c.rlike(r"(^|\.)subtle\.\w+$")
-    return F.coalesce(F.when(pair, _KEY_PAIR), F.when(web, _WEB_CRYPTO), *[F.when(_fits(r), k) for k, r in enumerate(RULES)])
-
-
-def rule_specs() -> Column:
-    """Specs of a row that with_names() gave."""
-    rule = F.col("rule")
-    purpose = F.coalesce(*[F.when(rule == k, F.lit(r.purpose)) for k, r in enumerate(RULES) if r.vocabulary])
-    out = F.when(rule == _KEY_PAIR, _key_pair()).when(rule == _WEB_CRYPTO, _web_crypto()).when(F.col("vocabulary").isNotNull(), _with_purpose(F.col("named"), purpose))
-    for k, r in enumerate(RULES):
-        if not r.vocabulary:
-            parameters = {n: _source(x).try_cast("int") if n in _NUMBERS else _source(x) for n, x in r.parameters.items()}
-            out = out.when(rule == k, F.array(naming.spec(r.primitive, r.purpose, **parameters)).cast(naming.SPECS))
-    return out
-
-
-def by_default(rule: Column) -> Column:
-    """Whether a rule guesses the purpose: it makes a key that serves several."""
-    pair = (rule == _KEY_PAIR) & F.lower(F.coalesce(_source(("argument", 0)), F.lit(""))).isin("rsa", "ec", "dsa")
-    return pair | rule.isin(*[k for k, r in enumerate(RULES) if r.by_default])
-
-
-def call_findings(rows: DataFrame, system_id: str) -> DataFrame:
+def call_findings(rows: DataFrame, system_id: str, own_rules: tuple[Rule, ...] | list[Rule] | DataFrame = ()) -> DataFrame:
     """Findings of call rows of all languages but Python, whose rules stand with its parser.
 
-    raw is the callee, the purpose, and whether the call settles it (RESOLVED) or the rule guesses it (RULE_DEFAULT).
+    own_rules: rules of the caller, which count before the fixed ones. raw is the callee, the purpose, and whether the
+    call settles it (RESOLVED) or the rule guesses it (RULE_DEFAULT).
     """
-    known = rows.filter("callee is not null and language <> 'python'").withColumn("rule", call_rule()).filter("rule is not null")
-    found = with_names(known).select("*", F.explode(rule_specs()).alias("spec"))
-    purpose = F.coalesce("spec.purpose", F.lit(_D))
-    raw = F.concat(F.col("callee"), F.lit(" purpose="), purpose, F.when(by_default(F.col("rule")), "(RULE_DEFAULT)").otherwise("(RESOLVED)"))
+    known = rows.filter("callee is not null and language <> 'python'").drop("problem")
+    # explode() would filter on the specs, and so write them out again below every step that they are made in
+    found = with_specs(with_rules(known, rule_table(rows.sparkSession, own_rules))).select("*", F.explode_outer("specs").alias("spec")).filter("spec is not null")
+    purpose = F.coalesce("spec.purpose", F.lit("DATA_ENCRYPTION"))
+    raw = F.concat(F.col("callee"), F.lit(" purpose="), purpose, F.when(guessed(), "(RULE_DEFAULT)").otherwise("(RESOLVED)"))
     return found.select(
         F.lit(system_id).alias("system_id"), "spec.primitive", "spec.parameters", purpose.alias("purpose"), F.lit("SELF").alias("control_class"), F.lit("SOURCE_AST").alias("modality"),
         F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), raw.alias("raw"), F.lit(None).cast("string").alias("assumption"),

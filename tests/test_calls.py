@@ -1,10 +1,14 @@
 """Source scanning in all languages, and the way from sources to verdicts."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from estatelens.operators import reach
-from estatelens.sources import calls
+from estatelens.sources import calls, rules
 
 FILES = {
     "src/keys.ts": "import * as crypto from 'node:crypto';\nimport jwt from 'jsonwebtoken';\n// crypto.createHash('md5')\nexport function make() {\n  crypto.generateKeyPairSync('rsa', { modulusLength: 2048 });\n  const alg = pick();\n  crypto.createHash(alg);\n  crypto.createHash('sha1');\n  crypto.createCipheriv('aes-128-cbc', k, iv);\n  crypto.pbkdf2Sync(p, s, 100_000, 32, 'sha256');\n  crypto.createECDH('secp384r1');\n  jwt.sign({}, k, { algorithm: 'RS256' });\n}\n",
@@ -104,12 +108,61 @@ def test_renamed_imports():
     assert calls.resolved_calls("import { createHash as h } from 'crypto'; h('md5');", "js")[0][2] == "createHash"
 
 
-def test_modules_are_bound_both_ways(spark):
-    rows = [("crypto", True), ("node:crypto", True), ("crypto/rsa", True), ("crypto.subtle", True), ("cryptography", False), ("", False)]
-    got = spark.createDataFrame(rows, "module string, want boolean").select(calls.bound_to(F.col("module"), "crypto").alias("is"), "want").collect()
-    assert all(r["is"] == r["want"] for r in got)
-    up = spark.createDataFrame([("crypto-js", True), ("crypto-js/aes", True), ("crypto", False)], "module string, want boolean").select(calls.bound_to(F.col("module"), "crypto-js/aes").alias("is"), "want").collect()
-    assert all(r["is"] == r["want"] for r in up)
+def rule_of(spark, own, rows):
+    """By callee and module: the primitive of the first rule that fits."""
+    table = spark.createDataFrame([(lang, callee, ["a", "2048"], {"bits": "128"}, module, gated) for lang, callee, module, gated in rows], "language string, callee string, args array<string>, kwargs map<string,string>, module string, gated boolean")
+    return {(r["callee"], r["module"]): r["primitive"] for r in rules.with_rules(table, rules.rule_table(spark, own)).collect()}
+
+
+def test_modules_open_rules_both_ways(spark):
+    own = [rules.Rule("js", r"(^|\.)f$", "crypto", "INTEGRITY", "MD5"), rules.Rule("js", r"(^|\.)g$", "crypto-js/aes", "INTEGRITY", "RC4")]
+    names = ["crypto", "node:crypto", "crypto/rsa", "crypto.subtle", "cryptography", "", None]
+    got = rule_of(spark, own, [("js", "x.f", m, None) for m in names])
+    assert set(got) == {("x.f", m) for m in names[:4]}
+    assert set(rule_of(spark, own, [("js", "x.g", m, None) for m in ("crypto-js", "crypto-js/aes", "crypto-js/aes/x", "crypto-js/des", "crypto")])) == {("x.g", m) for m in ("crypto-js", "crypto-js/aes", "crypto-js/aes/x")}
+
+
+def test_rules_are_found_as_by_trying_all(spark):
+    rng, names = random.Random(4), "createHash sign verify subtle AES RSA rsa GenerateKey SHA256_Init MD5 create encrypt pbkdf2Sync x EVP_PKEY_CTX_new_id Hmac new Aes128Gcm getInstance Signature Sum256 sha256 tripledes".split()
+    modules = ["crypto", "node:crypto", "crypto-js", "jsonwebtoken", "crypto/rsa", "crypto/sha256", "node-forge", "other", None]
+    whole = "crypto.createHash createCipheriv rsa.SignPSS rsa.GenerateKey sha256.Sum224 sha256.New ecdsa.Sign Signature.getInstance KeyPairGenerator.getInstance RSA_sign RSA_x DSA_generate_key HMAC HMAC_Init_ex RSA.Create SHA384.Create Aes"
+    whole += " TripleDES.Create Sha256::new Hmac::new Aes128Gcm::new CryptoJS.AES.encrypt forge.pki.rsa.generateKeyPair crypto.subtle.digest xcreateHash createHashes ecdh.X25519 curve25519.X des.NewTripleDESCipher crypto.generateKeyPair SignJWT"
+    rows = list({(rng.choice(["js", "go", "java", "c", "rust", "csharp"]), rng.choice([rng.choice(whole.split()), rng.choice([".", "::", "_"]).join(rng.choices(names, k=rng.randrange(1, 4)))]), rng.choice(modules), rng.choice([True, False, None])) for _ in range(3000)})
+
+    def opens(rule, module):
+        bare, near = re.sub("^node:", "", module or ""), rule.modules.split("|")
+        inside = any(bare == n or bare.startswith(tuple(n + x for x in "./:")) for n in near)
+        return inside or any(n.startswith(tuple((module or "") + x for x in "./:")) for n in near if module)
+
+    def fits(rule, lang, callee, module, gated):
+        if rule.language != lang or not re.search(rule.callee, callee):
+            return False
+        if rule.modules:
+            return opens(rule, module)
+        if lang == "rust":
+            return bool(re.search(rf"(::|^)({rules.RUST_METHODS})$", callee) and re.search(rf"^(({rules.RUST_CRATES})(::|$)|({rules.RUST_NAMES}))", callee))
+        return rule.free or gated is not False
+
+    want = Counter((*r, next(k for k, rule in enumerate(rules.RULES) if fits(rule, *r))) for r in rows if any(fits(rule, *r) for rule in rules.RULES))
+    table = spark.createDataFrame([(*r, [], {}) for r in rows], "language string, callee string, module string, gated boolean, args array<string>, kwargs map<string,string>")
+    got = Counter(tuple(r) for r in rules.with_rules(table, rules.rule_table(spark)).select("language", "callee", "module", "gated", "rule").collect())
+    assert got == want and len({k for *_, k in want}) > 20
+
+
+def test_rules_of_the_caller_come_first_or_last(spark):
+    call = [("js", "crypto.createHash", "crypto", None)]
+    own = [rules.Rule("js", r"(^|\.)createHash$", "crypto", "INTEGRITY", "OWN")]
+    assert rule_of(spark, own, call) == {("crypto.createHash", "crypto"): "OWN"}
+    rows = spark.createDataFrame([(*c, [], {}) for c in call], "language string, callee string, module string, gated boolean, args array<string>, kwargs map<string,string>")
+    (last,) = rules.with_rules(rows, rules.rule_table(spark, own, first=False)).collect()
+    assert last["vocabulary"] == "hash"
+    as_rows = spark.createDataFrame([rules.rule_row(0, own[0])], rules.RULE_SCHEMA)
+    assert rule_of(spark, as_rows, call) == {("crypto.createHash", "crypto"): "OWN"}
+
+
+def test_first_names():
+    assert rules.first_names(r"(^|\.)create(C|Dec)ipher(iv)?$") == ["createcipher", "createcipheriv", "createdecipher", "createdecipheriv"]
+    assert rules.first_names(r"^RSA_(sign|verify)") == ["rsa"] and rules.first_names("Hmac") == ["*"] and rules.first_names(r"^RSA\w+") == ["*"] and rules.first_names(r"^sign") == ["*"]
 
 
 def test_large_and_broken_files_are_reported(spark):

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from estatelens.common import bucketed, cut_lineage
 from estatelens.functions import mosca
-from estatelens.operators import changes, evidence, export, ranking, reach, store, traces, views
+from estatelens.operators import changes, evidence, export, order, ranking, reach, store, traces, views
+from estatelens.operators import graph as graphs
 
 SCHEMA = "system_id string, primitive string, parameters string, purpose string, control_class string, modality string, locator string, raw string, assumption string"
 
@@ -191,8 +193,8 @@ def test_undeclared_assets_fail(spark):
 
 def test_runs_and_samples(spark):
     rows = spark.createDataFrame([(k, "x" if k in (0, 1, 5) else None) for k in range(8)], "k int, v string")
-    assert [r["run"] for r in ranking.runs(rows, ["k"], ["v"], []).orderBy("k").collect()] == [1, 1, 2, 2, 2, 3, 4, 4]
-    assert [r["k"] for r in ranking.systematic_sample(rows, ["k"], 4, 1).orderBy("k").collect()] == [1, 3, 5, 7]
+    assert [r["run"] for r in order.runs(rows, ["k"], ["v"], []).orderBy("k").collect()] == [1, 1, 2, 2, 2, 3, 4, 4]
+    assert [r["k"] for r in order.systematic_sample(rows, ["k"], 4, 1).orderBy("k").collect()] == [1, 3, 5, 7]
 
 
 def test_empty_findings(spark):
@@ -218,3 +220,88 @@ def test_reachable_services_through_cycles_equals_brute_force(spark):
     got = traces.reachable_services(spark.createDataFrame(pairs, "from_service string, to_service string"), spark.createDataFrame([("svc-00",)], "service string"))
     assert {r["service"]: (r["hops"], r["path"]) for r in got.collect()} == want
     assert len(want) > 10
+
+
+@pytest.mark.parametrize("narrow", [0, 10_000])
+def test_breadth_first_against_brute_force(spark, narrow):
+    rng = random.Random(narrow)
+    edges = [(rng.randrange(60), rng.randrange(60), rng.randrange(9)) for _ in range(90)] + [(100 + k, 101 + k, 0) for k in range(12)] + [(112, 100, 1)]
+    roots = [1, 2, 100]
+    level, want = {k: 0 for k in roots}, {k: None for k in roots}
+    now, hop = set(roots), 0
+    while now:
+        hop += 1
+        best = {}
+        for a, b, e in edges:
+            if a in now and b not in level:
+                best[b] = min(best.get(b, e), e)
+        level.update(dict.fromkeys(best, hop))
+        want.update(best)
+        now = set(best)
+    table = spark.createDataFrame(edges, "from_key long, to_key long, edge int")
+    start = spark.createDataFrame([(k, None) for k in [*roots, 1]], "key long, label int")
+    got = graphs.breadth_first(table, start, lambda _, e: e, narrow).collect()
+    assert {r["key"]: (r["hops"], r["label"]) for r in got} == {k: (level[k], want[k]) for k in level} and len(got) == len(level)
+
+
+def test_search_without_roots_or_edges(spark):
+    none = spark.createDataFrame([], "from_key long, to_key long, edge int")
+    assert graphs.breadth_first(none, spark.createDataFrame([], "key long, label int"), lambda _, e: e).count() == 0
+    assert [tuple(r) for r in graphs.breadth_first(none, spark.createDataFrame([(5, 1)], "key long, label int"), lambda _, e: e).collect()] == [(5, 0, 1)]
+
+
+def test_edges_of_a_search_stay_where_they_are(spark):
+    kept = bucketed(spark.range(1000).select(F.col("id").alias("from_key"), (F.col("id") + 1).alias("to_key"), F.lit(0).alias("edge")), "edges", "from_key")
+    wide = spark.range(0, 1000, 3).select(F.col("id").alias("key"), F.lit(0).alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hop = graphs._hop(wide, kept, lambda label, _: label)
+        hop.collect()
+        plan = hop._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one exchange deals the frontier to the buckets, one brings what it found together by vertex
+    assert "Bucketed: true" in plan and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+
+
+def test_paths_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df, name: (rounds.append(name), cut_lineage(df, name))[1])
+    parents = spark.range(1001).select(F.col("id").alias("key"), F.when(F.col("id") > 0, F.col("id") - 1).alias("pred"))
+    got = {r["key"]: r["path"] for r in graphs.paths(parents, spark.createDataFrame([(1000,), (0,), (7,), (5000,)], "key long")).collect()}
+    assert got == {1000: list(range(1001)), 0: [0], 7: list(range(8))} and rounds.count("jumps") <= 12
+
+
+def test_redacted_paths(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, []), (4, None), (5, ["a", "b", "c"])], "k int, path array<string>")
+    out = traces.redact_paths(rows, spark.createDataFrame([("b",), ("z",)], "service string"))
+    assert {r["k"]: (r["path"], r["hops_out_of_scope"]) for r in out.collect()} == {1: (["a", "c"], 1), 2: ([], 1), 3: ([], 0), 4: (None, None), 5: (["a", "c"], 1)}
+
+
+@pytest.mark.parametrize("by", [[], ["p"]])
+def test_order_against_brute_force(spark, by):
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, "a", "b"]) if k % 40 else "only%d" % k, k // 9 if k < 200 else rng.randrange(3)) for k in range(400)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "k long, p string, v long").repartition(3)
+    groups = {}
+    for r in sorted(rows):
+        groups.setdefault(r[1] if by else None, []).append(r)
+    places = {r[0]: (i, len(g)) for g in groups.values() for i, r in enumerate(g, 1)}
+    assert {r["k"]: (r["place"], r["total"]) for r in order.numbered(table, ["k"], by).collect()} == places
+    want = {}
+    for g in groups.values():
+        run = 0
+        for before, r in zip([None, *g], g):  # noqa: B905
+            run += before is None or before[2] != r[2]
+            want[r[0]] = run
+    assert {r["k"]: r["run"] for r in order.runs(table, ["k"], ["v"], by).collect()} == want
+    got = {r["k"] for r in order.systematic_sample(table, ["k"], 7, 2, by).collect()}
+    assert got == {r[0] for g in groups.values() for i, r in enumerate(g[2:]) if i % max(1, len(g) // 7) == 0 and i // max(1, len(g) // 7) < 7}
+
+
+def test_order_is_not_one_task(spark):
+    dealt = order._dealt(spark.range(10_000).select("id", F.lit(1).alias("p")), ["id"], ["p"])
+    sizes = [r["count"] for r in dealt.groupBy("_task").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * 10_000 / len(sizes)
+    assert order.numbered(spark.range(0), ["id"]).count() == order.runs(spark.range(0), ["id"], ["id"], []).count() == 0
