@@ -14,7 +14,7 @@ from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
 from estatelens.operators import changes, evidence, export, order, ranking, reach, scope, store, traces, views
 from estatelens.plans import synth
 from estatelens.sources import binaries, inventories, text_files
-from estatelens.streaming import live
+from estatelens.streaming import live, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -849,3 +849,44 @@ def l3(spark, sf):
 
 
 from estatelens import source_queries  # noqa: E402, F401  the detectors' queries register themselves
+
+
+_SLICED = f"""s0 AS (SELECT *, floor((date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + CASE WHEN ord % 50 = 7 THEN 10 ELSE 0 END) / 6) AS slice FROM ({synth.as_sql("events", synth.SPANS)})),
+ s1 AS (SELECT *, (SELECT max(ts) FROM s0 e WHERE e.slice < s0.slice) - INTERVAL 2 DAY AS horizon FROM s0),
+ on_time AS (SELECT * FROM s1 WHERE horizon IS NULL OR ts >= horizon)"""
+
+
+def _arriving(spark, sf):
+    """Spans with the slice in which they come in: six days each, and one in fifty ten days late."""
+    day = F.expr("datediff(cast(ts as date), date'2024-01-01') + case when ord % 50 = 7 then 10 else 0 end")
+    return synth.spans(spark, sf).select("span_id", "parent_span_id", "service", F.col("ts").cast("timestamp").alias("ts"), F.floor(day / 6).alias("slice"))
+
+
+@query("l4_bounded_pairs", f"""WITH {_SLICED} SELECT date_trunc('day', c.ts) AS day, p.service AS from_service, c.service AS to_service, count(*) AS observations
+ FROM on_time c JOIN on_time p ON c.parent_span_id = p.span_id WHERE c.parent_span_id <> '' AND c.service <> p.service AND c.ts >= p.ts AND c.ts <= p.ts + INTERVAL 5 DAY GROUP BY 1, 2, 3""")
+def l4(spark, sf):
+    pairs, _, _ = state.replayed_pairs(_arriving(spark, sf), "slice", "2 days", "5 days")
+    return pairs.groupBy(F.date_trunc("day", "ts").alias("day"), "from_service", "to_service").agg(F.count("*").alias("observations"))
+
+
+@query("l5_late_spans", f"WITH {_SLICED} SELECT span_id, service FROM s1 WHERE ts < horizon")
+def l5(spark, sf):
+    _, late, _ = state.replayed_pairs(_arriving(spark, sf), "slice", "2 days", "5 days")
+    return late.select("span_id", "service")
+
+
+_STOOD = {
+    "occurrence_id": "concat('occ-', CAST(o_custkey % 150 AS STRING))",
+    "modality": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN 'SOURCE_AST' WHEN 1 THEN 'DEPENDENCY' WHEN 2 THEN 'BINARY_STRING' WHEN 3 THEN 'NETWORK_PASSIVE' WHEN 4 THEN 'ASSERTED' ELSE 'BINARY_SYMBOL' END END",
+    "until": "CASE WHEN o_orderkey % 11 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 300 DAY + INTERVAL 12 HOUR END",
+    "arrived": "CAST(o_orderdate AS TIMESTAMP)",
+}
+
+
+@query("l6_standing", f"""WITH e AS ({synth.as_sql("orders", _STOOD)}), m(modality, ceiling, grp) AS (VALUES ('SOURCE_AST', 0.95, 0), ('DEPENDENCY', 0.35, 0), ('BINARY_STRING', 0.30, 1), ('NETWORK_PASSIVE', 0.80, 2), ('ASSERTED', 0.40, 5), ('BINARY_SYMBOL', 0.85, 1)),
+ g AS (SELECT occurrence_id, grp, max(CAST(ceiling AS DOUBLE)) AS c FROM e JOIN m USING (modality) GROUP BY 1, 2),
+ p AS (SELECT occurrence_id, floor((1 - (1 - coalesce(max(c) FILTER (WHERE grp = 0), 0)) * (1 - coalesce(max(c) FILTER (WHERE grp = 1), 0)) * (1 - coalesce(max(c) FILTER (WHERE grp = 2), 0)) * (1 - coalesce(max(c) FILTER (WHERE grp = 5), 0))) * 1e4 + 0.5) / 1e4 AS confidence FROM g GROUP BY 1)
+ SELECT occurrence_id, count(modality) AS n_evidence, coalesce(any_value(confidence), 0) AS confidence, coalesce(max(until) > (SELECT max(arrived) FROM e), false) AS suppressed FROM e LEFT JOIN p USING (occurrence_id) GROUP BY 1""")
+def l6(spark, sf):
+    events = _table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in _STOOD.items()], F.expr("floor(year(o_orderdate) / 2)").alias("slice"))
+    return state.latest(state.replayed_standing(events, "slice"))
