@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.functions import dims
@@ -71,7 +71,7 @@ def document(occ: DataFrame, assets: DataFrame, pack: str, timestamp: str, profi
     """One row: the document as JSON and its serial number, a hash of the rest, so equal evidence gives equal bytes.
 
     A document is one value; it is as large as the number of distinct assets makes it. Estates whose
-    document would not fit in one row are written with component_json(), one component per line.
+    document would not fit in one row are written with write_document(), one component per line under a hash tree.
     """
     rows = component_json(components(occ, assets, include_suspected)).agg(F.array_sort(F.collect_list(F.struct("asset_id", "component"))).alias("rows"))
     counts = level_counts(occ if include_suspected else occ.filter("level <> 'SUSPECTED'"))
@@ -89,6 +89,54 @@ def document(occ: DataFrame, assets: DataFrame, pack: str, timestamp: str, profi
     return rows.crossJoin(F.broadcast(counts)).select(body.alias("body")).select(F.concat(F.lit("urn:uuid:"), serial).alias("serial_number"), "body")
 
 
+#: Hexadecimal digits of a leaf's digest that name its node, from the lowest level to the root.
+TREE_LEVELS = (6, 4, 2, 0)
+
+
+def hash_tree(leaves: DataFrame, levels: tuple[int, ...] = TREE_LEVELS) -> DataFrame:
+    """One row: the root of a hash tree over leaves (digest, in hexadecimal) and their number n.
+
+    A node is the SHA-256 of its children's digests in order, and belongs to the digits that they begin with. So no node has
+    more than 256 children above the lowest level, no row gathers all leaves, and the root is that of the set of leaves,
+    however they are partitioned. Without leaves the root is the SHA-256 of nothing.
+    """
+    nodes = leaves.select(F.col("digest").alias("name"), "digest", F.lit(1).cast("long").alias("n"))
+    for digits in levels:
+        parent = F.substring("name", 1, digits) if digits else F.lit("")
+        children = F.sort_array(F.collect_list(F.struct("name", "digest")))
+        nodes = nodes.groupBy(parent.alias("name")).agg(F.sha2(F.array_join(F.transform(children, lambda x: x["digest"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
+    top = nodes.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("root"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return top
+
+
+def write_document(occ: DataFrame, assets: DataFrame, target: str, pack: str, timestamp: str, profile: str = "cyclonedx-1.7", include_suspected: bool = False) -> DataFrame:
+    """The bill of materials as files: target/components, one component a line, and target/document, one line about all.
+
+    The serial number comes from the root over the components' hashes and the rest of the document, so equal evidence gives an
+    equal number, and no task holds more than its share of components. Gives the document's row.
+    """
+    rows = component_json(components(occ, assets, include_suspected))
+    rows.repartitionByRange("asset_id").sortWithinPartitions("asset_id").select(F.col("component").alias("value")).write.mode("overwrite").text(f"{target}/components")
+    document_row(rows.sparkSession.read.text(f"{target}/components"), level_counts(occ if include_suspected else occ.filter("level <> 'SUSPECTED'")), pack, timestamp, profile).write.mode("overwrite").json(f"{target}/document")
+    return rows.sparkSession.read.schema("root string, n long, header string, serial_number string").json(f"{target}/document")
+
+
+def document_row(lines: DataFrame, counts: DataFrame, pack: str, timestamp: str, profile: str) -> DataFrame:
+    """root, n, header and serial_number of written components (value)."""
+    top = hash_tree(lines.select(F.sha2("value", 256).alias("digest"))).crossJoin(F.broadcast(counts))  # one row each
+    facts = F.struct(F.lit(PROFILES[profile]).alias("specVersion"), F.lit(timestamp).alias("timestamp"), F.lit(pack).alias("policyPack"), F.lit(profile).alias("exportProfile"), F.struct(*[x.lower() for x in reversed(dims.LEVELS)]).alias("levels"), F.col("n").alias("components"), F.col("root").alias("componentsRoot"))
+    d = F.sha2("header", 256)
+    serial = F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.substring(d, 13, 4), F.substring(d, 17, 4), F.substring(d, 21, 12))
+    return top.select("root", "n", F.to_json(facts).alias("header")).withColumn("serial_number", F.concat(F.lit("urn:uuid:"), serial))
+
+
+def whole(spark: SparkSession, target: str) -> bool:
+    """Whether the components of a written document are those that its row speaks of."""
+    said = spark.read.schema("root string, n long").json(f"{target}/document").first()
+    found = hash_tree(spark.read.text(f"{target}/components").select(F.sha2("value", 256).alias("digest"))).first()
+    return (said["root"], said["n"]) == (found["root"], found["n"])
+
+
 def keyed_digest(body: Column, key: str) -> Column:
     """HMAC-SHA256 of a text under a key of the caller, in hexadecimal; signatures of artifacts by parties that share it."""
     raw = key.encode()

@@ -657,6 +657,21 @@ def b1(spark, sf):
     return export.document(synth.with_reach(_occ(spark, sf)), _assets(spark, sf), "eo-14412@1.0.0", "2026-08-28T00:00:00Z").select("serial_number", F.length("body").alias("size"))
 
 
+_TREE_OF_DIGESTS = "n0 AS (SELECT digest AS name, digest, 1 AS n FROM leaves), " + ", ".join(
+    f"n{k + 1} AS (SELECT substr(name, 1, {digits}) AS name, sha256(string_agg(digest, '' ORDER BY name)) AS digest, sum(n) AS n FROM n{k} GROUP BY 1)" for k, digits in enumerate(export.TREE_LEVELS)
+)
+
+
+@query("b1_document_root", f"""WITH {_OCC}, {_ASSETS}, o AS (SELECT asset_id, count(*) AS n, count(DISTINCT system_id) AS systems FROM occ WHERE level <> 'SUSPECTED' GROUP BY 1),
+ leaves AS (SELECT sha256(concat_ws('|', asset_id, asset_name, purpose, CAST(n AS STRING), CAST(systems AS STRING))) AS digest FROM o JOIN assets USING (asset_id)
+ UNION ALL SELECT sha256(concat('occurrence|', occurrence_id)) FROM occ), {_TREE_OF_DIGESTS} SELECT digest AS root, CAST(n AS BIGINT) AS n FROM n{len(export.TREE_LEVELS)}""")
+def b1_root(spark, sf):
+    occ = _occ(spark, sf)
+    folded = occ.filter("level <> 'SUSPECTED'").groupBy("asset_id").agg(F.count("*").alias("n"), F.count_distinct("system_id").alias("systems")).join(_assets(spark, sf), "asset_id")
+    of_assets = folded.select(F.sha2(F.concat_ws("|", "asset_id", "asset_name", "purpose", F.col("n").cast("string"), F.col("systems").cast("string")), 256).alias("digest"))
+    return export.hash_tree(of_assets.union(occ.select(F.sha2(F.concat(F.lit("occurrence|"), "occurrence_id"), 256))))
+
+
 @query("b3_vocabulary", f"WITH {_FOUND} SELECT DISTINCT primitive, CASE primitive " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.PRIMITIVE_KIND.items()) + " END AS kind FROM found")
 def b3(spark, sf):
     return synth.findings(spark, sf).select("primitive").distinct().select("primitive", dims.lookup(F.col("primitive"), dims.PRIMITIVE_KIND).alias("kind"))

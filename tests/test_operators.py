@@ -1,5 +1,6 @@
 """Operators: goldens, invariance under order and partitioning, monotony, empty tables."""
 
+import hashlib
 import random
 
 import pytest
@@ -305,3 +306,28 @@ def test_order_is_not_one_task(spark):
     sizes = [r["count"] for r in dealt.groupBy("_task").count().collect()]
     assert len(sizes) > 1 and max(sizes) < 2 * 10_000 / len(sizes)
     assert order.numbered(spark.range(0), ["id"]).count() == order.runs(spark.range(0), ["id"], ["id"], []).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_hash_tree_is_of_the_set(spark, n):
+    leaves = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(n)]
+    level = {d: d for d in leaves}
+    for digits in export.TREE_LEVELS:
+        groups = {}
+        for name in sorted(level):
+            groups.setdefault(name[:digits], []).append(level[name])
+        level = {name: hashlib.sha256("".join(ds).encode()).hexdigest() for name, ds in groups.items()}
+    want = level.get("", hashlib.sha256(b"").hexdigest())
+    for parts in (1, 5):
+        table = spark.createDataFrame([(d,) for d in random.Random(parts).sample(leaves, n)], "digest string").repartition(parts)
+        assert tuple(export.hash_tree(table).first()) == (want, n)
+
+
+def test_written_document_is_whole_and_the_same_again(spark, tmp_path):
+    f = found(spark, some())
+    rows = [export.write_document(evidence.occurrences(x), evidence.assets(x), str(tmp_path / str(k)), "p@1", "t").first() for k, x in enumerate((f, f.repartition(7)))]
+    assert rows[0] == rows[1] and rows[0]["serial_number"].startswith("urn:uuid:") and rows[0]["n"] > 1 and export.whole(spark, str(tmp_path / "0"))
+    at = next((tmp_path / "0" / "components").glob("*.txt"))
+    at.write_text(at.read_text().replace("crypto:", "crypt0:", 1))
+    (tmp_path / "0" / "components" / f".{at.name}.crc").unlink(missing_ok=True)
+    assert not export.whole(spark, str(tmp_path / "0"))
