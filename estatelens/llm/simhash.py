@@ -13,13 +13,14 @@ whole, or no segment with more than 2 errors: so two linked fingerprints share
 Nothing is lost, and a random pair shares a key with odds below 1 in 10^6.
 
 Only distinct fingerprints are keyed, so exact copies cost nothing. Keys are dealt out in packed arrays;
-each bucket returns the links of a spanning forest and never all pairs, and a key with very many
-fingerprints is joined by meeting in the middle (balls of radius 2), in time linear in their number.
+each bucket returns the links of a spanning forest and never all pairs. A search drops what it has reached, so a tight
+group costs little; a key with very many fingerprints is searched in five blocks of bits, of which linked
+fingerprints share one whole. That parts spread fingerprints some thousandfold; it is not linear in the worst case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -38,8 +39,10 @@ SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Bytes of keys and fingerprints that one bucket is meant to hold; fingerprints of a key compared pair by pair.
-BUCKET_BYTES, DIRECT = 32 << 20, 4096
+#: Bytes of keys and fingerprints that one bucket is meant to hold; fingerprints of a key that are searched at once.
+BUCKET_BYTES, DIRECT = 32 << 20, 1 << 15
+#: Blocks of bits in which more fingerprints of a key are searched.
+BLOCKS = MAX_BITS + 1
 
 
 def fingerprint(text: bytes) -> int:
@@ -130,21 +133,36 @@ def _direct(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def _meet(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links by balls of radius 2: two fingerprints are linked if and only if their balls share a point."""
-    masks = np.array([0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)], np.uint64)
-    passes, found = 1 + len(prints) * len(masks) * 24 // (256 << 20), []
-    for k in range(passes):
-        points, rows = [], []
-        for at in range(0, len(prints), 4096):
-            ball = prints[at : at + 4096, None] ^ masks
-            mine = (ball * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(passes) == k
-            points.append(ball[mine])
-            rows.append(at + np.nonzero(mine)[0])
-        points, rows = np.concatenate(points), np.concatenate(rows)
-        order = np.argsort(points, kind="stable")
-        same = points[order][1:] == points[order][:-1]
-        found.append((prints[rows[order][:-1][same]], prints[rows[order][1:][same]]))
+def _in_blocks(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links enough to reach all that linked ones reach, for many fingerprints of one key.
+
+    The bits in which any of them differ are dealt to BLOCKS blocks. MAX_BITS bits cannot lie in all of these, so linked
+    fingerprints are equal in one: those equal in a block are searched together, block by block. Each search keeps a forest, fewer links than fingerprints.
+    """
+    found = []
+    differs = np.bitwise_or.reduce(prints ^ prints[0])
+    bits = [b for b in range(64) if int(differs) >> b & 1]
+    for block in range(BLOCKS):
+        part = sum((prints >> np.uint64(b) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(bits[block::BLOCKS]))
+        order = np.argsort(part, kind="stable")
+        found += _grouped(part[order], prints[order], _direct)
+    return found
+
+
+def _grouped(keys: np.ndarray, prints: np.ndarray, search: Callable) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links among the fingerprints of each key; keys are sorted. Short runs are compared all at once, longer ones searched."""
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    runs = np.diff(edge)
+    short = np.repeat(runs <= 16, runs)
+    found = []
+    for lag in range(1, 16):
+        here = np.flatnonzero((keys[lag:] == keys[:-lag]) & short[lag:])
+        if not len(here):
+            break
+        near = here[np.bitwise_count(prints[here] ^ prints[here + lag]) <= MAX_BITS]
+        found.append((prints[near], prints[near + lag]))
+    for k in np.flatnonzero(runs > 16):
+        found += search(prints[edge[k] : edge[k + 1]])
     return found
 
 
@@ -175,19 +193,7 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.n
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])
     keys, prints = keys[new], prints[new]
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-    runs = np.diff(edge)
-    short = np.repeat(runs <= 16, runs)
-    found = []
-    for lag in range(1, 16):
-        here = np.flatnonzero((keys[lag:] == keys[:-lag]) & short[lag:])
-        if not len(here):
-            break
-        near = here[np.bitwise_count(prints[here] ^ prints[here + lag]) <= MAX_BITS]
-        found.append((prints[near], prints[near + lag]))
-    for k in np.flatnonzero(runs > 16):
-        group = prints[edge[k] : edge[k + 1]]
-        found += _direct(group) if len(group) <= DIRECT else _meet(group)
+    found = _grouped(keys, prints, lambda group: _direct(group) if len(group) <= DIRECT else _in_blocks(group))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     pairs = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=1), axis=0)
