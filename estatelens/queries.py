@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.common import cut_lineage
+from estatelens.common import cut_lineage, shared_folder
 from estatelens.functions import assets as A
 from estatelens.functions import dims, naming
 from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
-from estatelens.operators import changes, evidence, export, order, ranking, reach, scope, store, traces, views
+from estatelens.operators import changes, evidence, export, ledger, order, ranking, reach, scope, store, traces, views
 from estatelens.plans import synth
 from estatelens.sources import binaries, inventories, text_files
 from estatelens.streaming import live, state
@@ -844,6 +845,29 @@ def k19(spark, sf):
     return reach.why_unreached(rows, walked, files)
 
 
+# A store after several ingests, one of which is repeated and one of which replaces a scan
+
+
+@query("b4_after_ingests", f"""WITH {_OCC}, k AS (SELECT *, ascii(substr(occurrence_id, 1, 1)) % 3 AS k FROM occ)
+ SELECT scan_id, level, count(*) AS occurrences, (SELECT count(DISTINCT asset_id) FROM k) AS assets, (SELECT max(note) FROM (VALUES ('replaced')) AS v(note)) AS note FROM
+ (SELECT 'scan-1' AS scan_id, level FROM k WHERE k IN (0, 1) AND level <> 'SUSPECTED' UNION ALL SELECT 'scan-2', level FROM k WHERE k IN (1, 2)) GROUP BY 1, 2""")
+def b4(spark, sf):
+    occ = _occ(spark, sf).withColumn("k", F.ascii(F.substring("occurrence_id", 1, 1)) % 3)
+    root = f"{shared_folder(spark)}/estatelens-store-{uuid.uuid4().hex}"
+
+    def put(scan, rows, note):
+        held = rows.select(F.lit(scan).alias("scan_id"), "occurrence_id", "level", "asset_id")
+        systems = spark.range(1).select(F.lit("all").alias("system_name"), F.lit(note).alias("note"))
+        ledger.ingest(spark, root, scan, {"occurrences": held, "assets": held.select("asset_id"), "systems": systems})
+
+    put("scan-1", occ.filter("k in (0, 1)"), "first")
+    put("scan-2", occ.filter("k in (1, 2)"), "second")
+    put("scan-2", occ.filter("k in (1, 2)"), "again")
+    put("scan-1", occ.filter("k in (0, 1) and level <> 'SUSPECTED'"), "replaced")
+    every = ledger.read(spark, root, "assets").agg(F.count("*").alias("assets")).crossJoin(ledger.read(spark, root, "systems").select("note"))  # one row each
+    return ledger.read(spark, root, "occurrences").groupBy("scan_id", "level").agg(F.count("*").alias("occurrences")).crossJoin(F.broadcast(every))
+
+
 # L: streams
 
 
