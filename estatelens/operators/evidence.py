@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from estatelens.common import cut_lineage
 from estatelens.functions import dims
 from estatelens.functions.assets import occurrence_id, round_half_up, with_asset_facts
+from estatelens.operators.traces import scrub
 
 KEYS = ["system_id", "asset_id", "control_class"]
 #: Evidence rows that a factor cites.
@@ -146,6 +147,32 @@ def factor_nodes(found: DataFrame) -> DataFrame:
     return root.union(middle).union(leaves).union(assumed)
 
 
+def addressed(nodes: DataFrame) -> DataFrame:
+    """Nodes of factor_nodes() as a reader walks them: root_id, address (f, f.0, f.0.1 ...), depth, kind, label, value, weight,
+    tainted (the node or one below it is an assumption) and is_evidence (it is cited, or rests on nothing).
+
+    What holds below a node reaches it by an equality join with its own address: each node asks for the addresses above it.
+    """
+    address = F.when(F.col("path") == "", "f").otherwise(F.concat(F.lit("f."), F.col("path")))
+    rows = nodes.withColumn("address", address)
+    parts = F.split("address", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    each = rows.select("root_id", "kind", F.col("address").alias("own"), F.explode(above).alias("address"))
+    below = each.groupBy("root_id", "address").agg(F.bool_or(F.col("kind") == "ASSUMPTION").alias("tainted"), F.bool_or(F.col("own") != F.col("address")).alias("rests"))
+    out = rows.join(below, ["root_id", "address"])
+    return out.select("root_id", "address", "depth", "kind", "label", "value", "weight", "tainted", ((F.col("kind") == "EVIDENCE") | ~F.col("rests")).alias("is_evidence"))
+
+
+def redacted_nodes(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Nodes with names that a reader may not see replaced in their labels, wherever they stand in them.
+
+    hidden: one column of names, replaced from the longest on. The list is gathered in one row; it is the caller's scope, not data.
+    """
+    name = F.col(hidden.columns[0])
+    names = hidden.select(F.struct(F.length(name).alias("size"), name.alias("name")).alias("x")).distinct().agg(F.transform(F.sort_array(F.collect_list("x"), asc=False), lambda x: x["name"]).alias("_hidden"))
+    return nodes.crossJoin(F.broadcast(names)).withColumn("label", scrub(F.col("label"), F.col("_hidden"))).drop("_hidden")
+
+
 def explained(nodes: DataFrame) -> DataFrame:
     """Folds of each tree: nodes, depth, whether an assumption taints it, assumptions, citations."""
     return nodes.groupBy("root_id").agg(

@@ -89,9 +89,13 @@ def redact_paths(rows: DataFrame, hidden: DataFrame, path: str = "path") -> Data
     return named.withColumns({path: F.when(F.col(path).isNotNull(), shown), "hops_out_of_scope": F.when(F.col(path).isNotNull(), F.size(path) - F.size("_left"))}).drop("_path", "_left")
 
 
+#: Fixed value: what stands for a name that a reader may not see.
+OUT_OF_SCOPE = "(out of scope)"
+
+
 def scrub(text: Column, hidden: Column) -> Column:
-    """text with each name of an array replaced."""
-    return F.aggregate(hidden, text, lambda s, name: F.replace(s, name, F.lit("[out of scope]")))
+    """text with each name of an array replaced, in the order of the array."""
+    return F.aggregate(hidden, text, lambda s, name: F.replace(s, name, F.lit(OUT_OF_SCOPE)))
 
 
 def promoted_systems(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -138,6 +138,27 @@ def e5(spark, sf):
     return evidence.cited(_found(spark, sf))
 
 
+_NODES = f"""{_TALLY}, {_occurrences()}, win AS (SELECT occurrence_id, grp, arg_max(modality, ceiling * 100 - grp_ord) AS modality, max(ceiling) AS ceiling FROM tally GROUP BY 1, 2),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY occurrence_id ORDER BY grp) - 1 AS place, count(*) OVER (PARTITION BY occurrence_id) AS n FROM win),
+ leaf AS (SELECT occurrence_id, place, modality, locator, row_number() OVER (PARTITION BY occurrence_id, grp ORDER BY locator, raw) AS ord FROM found JOIN placed USING (occurrence_id, modality)),
+ guess AS (SELECT occurrence_id, assumption, row_number() OVER (PARTITION BY occurrence_id ORDER BY assumption) - 1 AS k FROM (SELECT DISTINCT occurrence_id, assumption FROM found WHERE assumption IS NOT NULL)),
+ nodes AS (SELECT occurrence_id AS root_id, 'f' AS address, 'INFERENCE' AS kind, 'noisy-OR across independent evidence groups' AS label, confidence AS value FROM occ
+ UNION ALL SELECT occurrence_id, concat('f.', CAST(place AS STRING)), 'INFERENCE', concat('group ', CAST(grp AS STRING), ': ', modality), ceiling FROM placed
+ UNION ALL SELECT occurrence_id, concat('f.', CAST(place AS STRING), '.', CAST(ord - 1 AS STRING)), 'EVIDENCE', concat(modality, ' ', locator), 1.0 FROM leaf WHERE ord <= 5
+ UNION ALL SELECT g.occurrence_id, concat('f.', CAST(n + k AS STRING)), 'ASSUMPTION', assumption, 1.0 FROM guess g JOIN (SELECT DISTINCT occurrence_id, n FROM placed) USING (occurrence_id))"""
+
+
+@query("c7_factor_nodes", f"WITH {_NODES} SELECT root_id, address, kind, label, value, kind = 'ASSUMPTION' OR (address = 'f' AND root_id IN (SELECT occurrence_id FROM guess)) AS tainted, kind <> 'INFERENCE' AS is_evidence FROM nodes")
+def c7_nodes(spark, sf):
+    return evidence.addressed(evidence.factor_nodes(_found(spark, sf))).select("root_id", "address", "kind", "label", "value", "tainted", "is_evidence")
+
+
+@query("c14_redacted_nodes", f"WITH {_NODES} SELECT root_id, address, replace(replace(replace(label, 'file-11', '(out of scope)'), 'guess-1', '(out of scope)'), 'file-3', '(out of scope)') AS label FROM nodes")
+def c14_nodes(spark, sf):
+    hidden = spark.createDataFrame([("file-3",), ("guess-1",), ("file-11",)], "name string")
+    return evidence.redacted_nodes(evidence.addressed(evidence.factor_nodes(_found(spark, sf))), hidden).select("root_id", "address", "label")
+
+
 @query("c5_assertion_levels", f"""WITH {_OCC} SELECT occurrence_id, level, CASE WHEN tainted THEN concat('provenance tainted by ', n_assumptions, ' assumption(s): ', assumption_text) WHEN confidence < 0.85 THEN concat('confidence ', CAST(confidence AS STRING), ' below confirm threshold 0.85') END AS downgrade_reason FROM occ""")
 def c5(spark, sf):
     return _occ(spark, sf).select("occurrence_id", "level", "downgrade_reason")

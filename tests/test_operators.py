@@ -331,3 +331,14 @@ def test_written_document_is_whole_and_the_same_again(spark, tmp_path):
     at.write_text(at.read_text().replace("crypto:", "crypt0:", 1))
     (tmp_path / "0" / "components" / f".{at.name}.crc").unlink(missing_ok=True)
     assert not export.whole(spark, str(tmp_path / "0"))
+
+
+def test_addressed_and_redacted_nodes(spark):
+    nodes = [("r", "", "INFERENCE", "top"), ("r", "0", "INFERENCE", "group web-1"), ("r", "0.0", "EVIDENCE", "SOURCE web-10"), ("r", "1", "INFERENCE", "bare"), ("r", "2", "INFERENCE", "deep"), ("r", "2.0", "INFERENCE", "x"), ("r", "2.0.0", "ASSUMPTION", "guess web-1"), ("q", "", "INFERENCE", "alone")]
+    table = spark.createDataFrame([(*n, 0, 1.0, 1.0) for n in nodes], "root_id string, path string, kind string, label string, depth int, value double, weight double")
+    out = evidence.addressed(table)
+    got = {(r["root_id"], r["address"]): (r["tainted"], r["is_evidence"]) for r in out.collect()}
+    assert got == {("r", "f"): (True, False), ("r", "f.0"): (False, False), ("r", "f.0.0"): (False, True), ("r", "f.1"): (False, True), ("r", "f.2"): (True, False), ("r", "f.2.0"): (True, False), ("r", "f.2.0.0"): (True, True), ("q", "f"): (False, True)}
+    hidden = spark.createDataFrame([("web-1",), ("web-10",)], "name string")
+    assert {r["label"] for r in evidence.redacted_nodes(out, hidden).collect()} >= {"group (out of scope)", "SOURCE (out of scope)", "guess (out of scope)"}
+    assert sorted(r["label"] for r in evidence.redacted_nodes(out, hidden.limit(0)).collect()) == sorted(n[3] for n in nodes)
