@@ -12,7 +12,7 @@ from estatelens.common import cut_lineage, shared_folder
 from estatelens.functions import assets as A
 from estatelens.functions import dims, naming
 from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
-from estatelens.operators import changes, evidence, export, ledger, order, ranking, reach, scope, store, traces, views
+from estatelens.operators import changes, evidence, export, intake, ledger, order, ranking, reach, scope, store, traces, views
 from estatelens.plans import synth
 from estatelens.sources import binaries, inventories, text_files
 from estatelens.streaming import live, state
@@ -889,6 +889,31 @@ def b4(spark, sf):
     return ledger.read(spark, root, "occurrences").groupBy("scan_id", "level").agg(F.count("*").alias("occurrences")).crossJoin(F.broadcast(every))
 
 
+# Intake of payloads with many kinds of faults
+
+#: By code: which orders have the fault, in SQL of both engines.
+_FAULTS = {
+    "system_missing": "o_orderkey % 7 = 0", "started_at_invalid": "o_orderkey % 11 = 0", "ends_before_it_starts": "o_orderkey % 5 = 0 AND o_orderkey % 11 > 0", "pack_unknown": "o_custkey % 13 = 0",
+    "secrecy_out_of_range": "o_custkey % 101 > 95", "confidence_out_of_range": "o_totalprice > 250000", "occurrence_repeated": "o_orderkey % 17 = 0", "asset_undeclared": "o_custkey % 6 = 0",
+}
+
+
+@query("a39_intake_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'unparseable' ELSE concat_ws(',', " + ", ".join(f"CASE WHEN {when} THEN '{code}' END" for code, when in _FAULTS.items()) + ") END AS errors FROM orders")
+def a39(spark, sf):
+    has = lambda code: F.expr(_FAULTS[code])
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    occurrence = lambda name, asset, sure: F.struct(name.alias("id"), asset.alias("assetId"), sure.alias("confidence"))
+    sure = F.when(has("confidence_out_of_range"), 1.5).otherwise(0.5)
+    payload = F.to_json(F.struct(
+        F.when(~has("system_missing"), F.col("o_custkey").cast("string")).alias("systemName"), F.when(F.expr("o_orderkey % 11 = 0"), "soon").otherwise(day).alias("startedAt"), F.when(F.expr("o_orderkey % 5 = 0"), "1970-01-01").otherwise(day).alias("finishedAt"),
+        F.when(has("pack_unknown"), "none").otherwise("eo-14412").alias("policyPackId"), F.when(has("secrecy_out_of_range"), 100.5).otherwise(5.0).alias("secrecyYears"), F.array(F.struct(F.lit("a").alias("id"), F.lit("RSA").alias("primitive"))).alias("assets"),
+        F.array(occurrence(F.lit("x"), F.lit("a"), F.lit(1.0)), occurrence(F.when(has("occurrence_repeated"), "x").otherwise("y"), F.when(has("asset_undeclared"), "b").otherwise("a"), sure)).alias("occurrences"),
+    ))
+    sent = _table(spark, sf, "orders").select("o_orderkey", F.when(F.expr("o_orderkey % 19 = 0"), F.substring(payload, 1, 40)).otherwise(payload).alias("payload"))
+    good, bad = intake.parted(intake.checked(sent, intake.SCAN, intake.scan_rules(["eo-14412"])), f"{shared_folder(spark)}/estatelens-intake-{uuid.uuid4().hex}")
+    return good.select("o_orderkey", F.lit("").alias("errors")).union(bad.select("o_orderkey", F.array_join("errors", ",")))
+
+
 # L: streams
 
 

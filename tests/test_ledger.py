@@ -2,7 +2,7 @@
 
 import pytest
 
-from estatelens.operators import ledger
+from estatelens.operators import intake, ledger
 
 
 def rows(spark, scan, ids):
@@ -75,3 +75,18 @@ def test_of_two_ingests_at_once_none_is_lost(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ledger, "_commit", first_another)
     put(spark, root, "s1", [1], "eve")
     assert [o[:2] for o in state(spark, root)[0]] == [("s0", 0), ("s1", 1), ("s2", 9)]
+
+
+def test_intake_lists_every_fault(spark, tmp_path):
+    traces = ['{"spans": [{"spanId": "1", "service": "a"}]}', '{"resourceSpans": []}', '{"other": 1}', '{"spans": [{"spanId": "", "service": "a"}]}', "{", None, "[]", '{"spans": 5}']
+    rows = spark.createDataFrame(list(enumerate(traces)), "k int, payload string")
+    good, bad = intake.parted(intake.checked(rows, intake.TRACE, intake.trace_rules()), str(tmp_path / "t"))
+    assert {r["k"] for r in good.collect()} == {0, 1}
+    faults = {r["k"]: r["errors"] for r in bad.collect()}
+    assert faults[2] == ["kind_unknown"] and faults[3] == ["span_without_id"] and faults[4] == faults[5] == faults[7] == ["unparseable"] and len(faults) == 6
+    packs = spark.createDataFrame([('{"packId": "p", "crqcYear": 2035}',), ('{"packId": " ", "crqcYear": 1, "migrationYearsByControl": {"SELF": -1}}',)], "payload string")
+    got = {r["p"]["packId"]: r["errors"] for r in intake.checked(packs, intake.PACK, intake.pack_rules()).collect()}
+    assert got == {"p": [], " ": ["id_missing", "year_out_of_range", "migration_years_negative"]}
+    none = intake.checked(rows.limit(0), intake.SCAN, intake.scan_rules(["p"]))
+    good, bad = intake.parted(none, str(tmp_path / "none"))
+    assert good.count() == bad.count() == 0
