@@ -159,6 +159,23 @@ def test_quality_rules(spark, edge):
     assert all(kept[300 + k] for k in range(8)) and kept[507]
 
 
+def test_quality_posterior_against_em_over_rows(edge):
+    """The same model by expectation maximisation over single rows, with numpy and without the histogram of patterns."""
+    measured = quality_rules.measured(edge.select("doc_id", "text"))
+    codes = np.array([r["c"] for r in measured.select(quality_rules._coded(F.col("_q")).alias("c")).collect()])
+    votes = np.stack([codes // 3**k % 3 for k in range(quality_rules.RULES)], axis=1)
+    good = np.where((votes == 0).any(axis=1), 0.05, 0.95)
+    for _ in range(quality_rules.ROUNDS):
+        weight = np.stack([1 - good, good])
+        share = (1 + np.stack([[[(w * (votes[:, k] == v)).sum() for v in range(3)] for k in range(quality_rules.RULES)] for w in weight])) / (3 + weight.sum(axis=1))[:, None, None]
+        odds = np.log((1 + good.sum()) / (1 + (1 - good).sum())) + sum(np.log(share[1, k] / share[0, k])[votes[:, k]] for k in range(quality_rules.RULES))
+        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    want = dict(zip(codes.tolist(), good.tolist(), strict=True))
+    rows = quality_rules.judged(edge.select("doc_id", "text"), ["doc_id"]).select("_votes", "_probability", "_base_failed", "_kept").collect()
+    assert len(rows) == len(codes) and all(r["_probability"] == pytest.approx(want[r["_votes"]], abs=1e-9) for r in rows)
+    assert all(r["_kept"] == (not r["_base_failed"] and want[r["_votes"]] >= quality_rules.MIN_PROBABILITY) for r in rows)
+
+
 def test_quality_rules_fit_without_rows():
     prior, odds = quality_rules.fit({})
     assert prior == 0 and all(v == 0 for by in odds for v in by.values())
