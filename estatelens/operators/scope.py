@@ -92,10 +92,12 @@ def matching_targets(hosts: DataFrame, targets: DataFrame) -> DataFrame:
     v4, v6 = ipv4_to_long(host), ipv6_to_hex(host)
     keys = F.concat(
         F.array(F.concat(F.lit("="), plain(host)), F.concat(F.lit("g:"), F.regexp_replace(host, r"^[^.]*\.", ""))),
-        F.when(v4.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: F.concat(F.lit("4:"), n.cast("string"), F.lit(":"), F.floor(v4 / F.pow(F.lit(2.0), 32 - n).cast("long")).cast("string")))).otherwise(F.array().cast("array<string>")),
-        F.when(v6.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: F.concat(F.lit("6:"), n.cast("string"), F.lit(":"), F.substring(v6, F.lit(1), n)))).otherwise(F.array().cast("array<string>")),
+        F.when(v4.isNotNull(), F.transform("_w4", lambda n: F.concat(F.lit("4:"), n.cast("string"), F.lit(":"), F.floor(v4 / F.pow(F.lit(2.0), 32 - n).cast("long")).cast("string")))).otherwise(F.array().cast("array<string>")),
+        F.when(v6.isNotNull(), F.transform("_w6", lambda n: F.concat(F.lit("6:"), n.cast("string"), F.lit(":"), F.substring(v6, F.lit(1), n)))).otherwise(F.array().cast("array<string>")),
     )
-    looked = hosts.select(host).distinct().withColumn("key", F.explode(F.array_distinct(keys)))
+    # at most 33 widths of either kind
+    widths = keyed.agg(F.collect_set(F.when(F.col("kind") == "cidr4", F.col("bits"))).alias("_w4"), F.collect_set(F.when(F.col("kind") == "cidr6", hex_bits)).alias("_w6"))
+    looked = hosts.select(host).distinct().crossJoin(F.broadcast(widths)).select(host, F.explode(F.array_distinct(keys)).alias("key"))
     return looked.join(keyed.select("key", "target"), "key").filter(target_matches(F.col("target"), host)).select("host", "target").distinct()
 
 
