@@ -11,11 +11,11 @@ import datetime
 import secrets
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.functions.mosca import PACKS
-from estatelens.operators import export, store
+from estatelens.operators import changes, export, intake, ledger, store
 from estatelens.plans import commands
 
 TABLES = ("findings", "occurrences", "assets", "worklists", "skipped")
@@ -29,8 +29,23 @@ def _read(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out.rstrip('/')}/{name}")
 
 
+def _now(a: argparse.Namespace) -> Column:
+    return F.lit(a.now).cast("timestamp") if a.now else F.current_timestamp()
+
+
+def _say(rows: DataFrame, a: argparse.Namespace) -> None:
+    """A report as a table, or as one JSON object a line."""
+    if a.json:
+        for line in rows.toJSON().toLocalIterator():
+            print(line)
+    else:
+        rows.show(1000, truncate=False)
+
+
 def scan(spark: SparkSession, a: argparse.Namespace) -> int:
-    result = commands.scan(commands.read_tree(spark, a.root), a.system, PACKS[a.pack], F.current_timestamp(), a.secrecy_years, a.include_dev, with_binaries=not a.no_binaries)
+    spans = commands.load_traces(spark, a.traces) if a.traces else None
+    entries = spark.createDataFrame([(x,) for x in a.entry], "file string") if a.entry else None
+    result = commands.scan(commands.read_tree(spark, a.root), a.system, PACKS[a.pack], _now(a), a.secrecy_years, a.include_dev, spans=spans, with_binaries=not a.no_binaries, own_entries=entries)
     for name in TABLES:
         getattr(result, name).write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/{name}")
     result.headline.show(truncate=False)
@@ -49,16 +64,21 @@ def ci(spark: SparkSession, a: argparse.Namespace) -> int:
     none = spark.createDataFrame([], "occurrence_id string, expires_at timestamp, reason string")
     accepted = spark.read.json(a.accepted, schema="occurrence_id string") if a.accepted else none.select("occurrence_id")
     suppressed = spark.read.json(a.suppressions, schema=none.schema) if a.suppressions else none
-    outcomes = commands.changes.gate(rows, accepted, suppressed, F.current_timestamp(), a.library_surface)
-    report = export.gate_report(outcomes)
-    report.show(truncate=False)
+    outcomes = changes.gate(rows, accepted, suppressed, _now(a), a.library_surface)
+    _say(export.gate_report(outcomes), a)
+    if a.update_baseline:
+        outcomes.filter("outcome in ('introduced', 'accepted')").select("occurrence_id").distinct().write.mode("overwrite").json(a.update_baseline)
     return 0 if outcomes.filter("outcome = 'introduced'").isEmpty() else 1
 
 
 def bill(spark: SparkSession, a: argparse.Namespace) -> int:
     stamp = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pack = PACKS[a.pack]
-    body = export.document(_read(spark, a.out, "occurrences"), _read(spark, a.out, "assets"), f"{pack.pack_id}@{pack.pack_version}", stamp, a.profile, a.include_suspected)
+    of = (_read(spark, a.out, "occurrences"), _read(spark, a.out, "assets"))
+    if a.shards:
+        export.write_document(*of, a.to, f"{pack.pack_id}@{pack.pack_version}", stamp, a.profile, a.include_suspected).show(truncate=False)
+        return 0
+    body = export.document(*of, f"{pack.pack_id}@{pack.pack_version}", stamp, a.profile, a.include_suspected)
     (export.signed(body, a.key) if a.key else body).write.mode("overwrite").json(a.to)
     return 0
 
@@ -69,6 +89,32 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0 if rows.filter("not valid").isEmpty() else 1
 
 
+def coverage(spark: SparkSession, a: argparse.Namespace) -> int:
+    _say(commands.coverage_attestation(_read(spark, a.out, "occurrences")), a)
+    return 0
+
+
+def policies(spark: SparkSession, a: argparse.Namespace) -> int:
+    _say(spark.createDataFrame([(p.pack_id, p.pack_version, p.crqc_year) for p in commands.packs()], "pack_id string, pack_version string, crqc_year double"), a)
+    return 0
+
+
+def check(spark: SparkSession, a: argparse.Namespace) -> int:
+    kinds = {"scan": (intake.SCAN, intake.scan_rules(sorted(PACKS))), "trace": (intake.TRACE, intake.trace_rules()), "pack": (intake.PACK, intake.pack_rules())}
+    rows = intake.checked(spark.read.text(a.payloads).toDF("payload"), *kinds[a.kind])
+    faults = rows.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("payloads")).orderBy("error")
+    _say(faults, a)
+    return 0 if faults.isEmpty() else 1
+
+
+def keep(spark: SparkSession, a: argparse.Namespace) -> int:
+    occ = _read(spark, a.out, "occurrences")
+    system = occ.select(F.col("system_id").alias("system_name"), F.lit(a.scan_id).alias("last_scan_id")).distinct()
+    number = ledger.ingest(spark, a.store, a.scan_id, {"occurrences": occ.withColumn("scan_id", F.lit(a.scan_id)), "assets": _read(spark, a.out, "assets"), "systems": system})
+    print(f"manifest {number}")
+    return 0
+
+
 def probe_plan(spark: SparkSession, a: argparse.Namespace) -> int:
     grant = spark.read.json(a.grant, schema="target string, ports array<int>, not_before timestamp, not_after timestamp")
     plan = commands.probe_plan(spark.read.text(a.targets).toDF("target"), grant, F.current_timestamp(), a.skew)
@@ -96,12 +142,16 @@ def parser() -> argparse.ArgumentParser:
 
     out, pack = ("--out", {"required": True}), ("--pack", {"choices": sorted(PACKS), "default": sorted(PACKS)[0]})
     flag = {"action": "store_true"}
-    add(scan, ("root", {}), ("--system", {"required": True}), out, pack, ("--secrecy-years", {"type": float, "default": 5.0}), ("--include-dev", flag), ("--no-binaries", flag))
+    add(scan, ("root", {}), ("--system", {"required": True}), out, pack, ("--secrecy-years", {"type": float, "default": 5.0}), ("--include-dev", flag), ("--no-binaries", flag), ("--traces", {}), ("--now", {}), ("--entry", {"action": "append"}))
     add(worklist, out, ("--bucket", {"default": "confidentiality"}), ("--rows", {"type": int, "default": 50}))
-    add(ci, out, ("--accepted", {}), ("--suppressions", {}), ("--library-surface", flag))
-    add(bill, out, pack, ("--to", {"required": True}), ("--profile", {"choices": sorted(export.PROFILES), "default": "cyclonedx-1.7"}), ("--include-suspected", flag), ("--key", {}))
+    add(ci, out, ("--accepted", {}), ("--suppressions", {}), ("--library-surface", flag), ("--now", {}), ("--json", flag), ("--update-baseline", {}))
+    add(bill, out, pack, ("--to", {"required": True}), ("--profile", {"choices": sorted(export.PROFILES), "default": "cyclonedx-1.7"}), ("--include-suspected", flag), ("--key", {}), ("--shards", flag))
     add(verify, ("artifact", {}), ("--key", {"required": True}))
     add(probe_plan, ("targets", {}), ("--grant", {"required": True}), ("--skew", {"type": int, "default": 0}))
+    add(coverage, out, ("--json", flag))
+    add(policies, ("--json", flag))
+    add(check, ("payloads", {}), ("--kind", {"choices": ["scan", "trace", "pack"], "required": True}), ("--json", flag))
+    add(keep, out, ("--store", {"required": True}), ("--scan-id", {"required": True}))
     add(token)
     return top
 

@@ -3,6 +3,7 @@
 import json
 
 from estatelens import __main__ as cli
+from estatelens.operators import export, ledger
 
 
 def test_from_scan_to_verified_bill(spark, tmp_path):
@@ -19,6 +20,12 @@ def test_from_scan_to_verified_bill(spark, tmp_path):
     assert cli.main(["ci", "--out", out]) in (0, 1)
     assert cli.main(["bill", "--out", out, "--to", bill, "--include-suspected", "--key", "k"]) == 0
     assert cli.main(["verify", bill, "--key", "k"]) == 0 and cli.main(["verify", bill, "--key", "other"]) == 1
+    baseline, shards, root = (str(tmp_path / x) for x in ("baseline", "shards", "store"))
+    assert cli.main(["ci", "--out", out, "--json", "--update-baseline", baseline]) in (0, 1)
+    assert cli.main(["ci", "--out", out, "--accepted", baseline, "--now", "2026-01-01"]) == 0
+    assert cli.main(["bill", "--out", out, "--to", shards, "--include-suspected", "--shards"]) == 0 and export.whole(spark, shards)
+    assert cli.main(["coverage", "--out", out, "--json"]) == 0
+    assert cli.main(["keep", "--out", out, "--store", root, "--scan-id", "s1"]) == 0 and ledger.read(spark, root, "occurrences", "s1").count() == spark.read.parquet(f"{out}/occurrences").count()
     assert json.loads(spark.read.json(bill).first()["body"])["bomFormat"] == "CycloneDX"
 
 
@@ -26,4 +33,6 @@ def test_plan_and_token(spark, tmp_path):
     (tmp_path / "targets").write_text("a.example.org\nb.other.org:8443\n")
     (tmp_path / "grant").write_text('{"target": "*.example.org", "ports": [443], "not_before": "2020-01-01T00:00:00Z", "not_after": "2090-01-01T00:00:00Z"}\n')
     assert cli.main(["probe-plan", str(tmp_path / "targets"), "--grant", str(tmp_path / "grant")]) == 0
-    assert cli.main(["token"]) == 0
+    assert cli.main(["token"]) == 0 and cli.main(["policies", "--json"]) == 0
+    (tmp_path / "payloads").write_text('{"spans": []}\n{"other": 1}\n')
+    assert cli.main(["check", str(tmp_path / "payloads"), "--kind", "trace", "--json"]) == 1
