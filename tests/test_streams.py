@@ -59,12 +59,12 @@ def test_standing_goes_on_after_a_restart(spark, tmp_path):
 
 
 def spans(spark):
-    """Spans of two services over 40 days in slices of two days, some of them late."""
+    """Spans of three services over 40 days in slices of four days, some of them late."""
     rng, rows = random.Random(5), []
     for k in range(400):
         at = BEGAN + timedelta(hours=k * 2.4)
         late = rng.random() < 0.04
-        rows.append((str(k), str(rng.randrange(max(0, k - 40), k + 1)) if k % 5 else "", f"s{rng.randrange(3)}", at, int(((at - BEGAN) / DAY + (9 if late else 0)) // 2)))
+        rows.append((str(k), str(rng.randrange(max(0, k - 40), k + 1)) if k % 5 else "", f"s{rng.randrange(3)}", at, int(((at - BEGAN) / DAY + (9 if late else 0)) // 4)))
     return rows, spark.createDataFrame(rows, "span_id string, parent_span_id string, service string, ts timestamp, slice int")
 
 
