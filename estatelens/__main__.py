@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import os
 import secrets
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estatelens.common import cut_lineage
+from estatelens.functions.assets import decimal_year
 from estatelens.functions.mosca import PACKS
-from estatelens.operators import changes, export, intake, ledger, store
+from estatelens.operators import changes, export, intake, ledger, ranking, signing, store
 from estatelens.plans import commands
+from estatelens.sources import inventories
 
 TABLES = ("findings", "occurrences", "assets", "worklists", "skipped")
 
@@ -90,7 +94,44 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def coverage(spark: SparkSession, a: argparse.Namespace) -> int:
-    _say(commands.coverage_attestation(_read(spark, a.out, "occurrences")), a)
+    said = commands.coverage_attestation(_read(spark, a.out, "occurrences"))
+    if a.key:
+        with open(a.secret) as f:
+            commands.sign_with(a.key, f.read().strip(), said.withColumnRenamed("digest", "report_digest")).write.mode("overwrite").json(a.to)
+    _say(said.drop("body"), a)
+    return 0
+
+
+def verify_coverage(spark: SparkSession, a: argparse.Namespace) -> int:
+    schema = "statement string, body string, digest string, key_id string, leaf long, chains array<string>, path array<string>"
+    rows = signing.checked(spark.read.schema(schema).json(a.artifact), commands.public_keys(spark, *a.trusted), _now(a))
+    _say(rows.select("statement", "key_id", "verdict"), a)
+    return 0 if rows.filter("verdict <> 'OK'").isEmpty() else 1
+
+
+def keygen(spark: SparkSession, a: argparse.Namespace) -> int:
+    secret = secrets.token_hex(32)
+    with open(os.open(a.secret, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
+        f.write(secret)
+    commands.new_key(spark, a.key.rstrip("/"), secret, a.key_id, a.height, _now(a) + F.make_dt_interval(F.lit(a.days)))
+    return 0
+
+
+def attest(spark: SparkSession, a: argparse.Namespace) -> int:
+    statements = spark.read.schema(inventories.ATTESTATION_SCHEMA).json(a.statements)
+    year = spark.range(1).select(decimal_year(_now(a), 2).alias("y")).first()["y"]
+    verdicts, estimates = commands.attest(statements, commands.Scan(*[_read(spark, a.out, n) for n in TABLES[:4]], None, None), year)
+    _say(export.reconcile_report(verdicts), a)
+    _say(estimates.orderBy("vendor", "system_id"), a)
+    return 0 if verdicts.filter("verdict = 'CONTRADICTED_ROADMAP'").isEmpty() else 1
+
+
+def estate(spark: SparkSession, a: argparse.Namespace) -> int:
+    occ = commands.newest(ledger.read(spark, a.store, "occurrences"), ledger.read(spark, a.store, "systems"))
+    year = spark.range(1).select(decimal_year(_now(a), 2).alias("y")).first()["y"]
+    rows = cut_lineage(ranking.placed(ranking.ranked(occ, ledger.read(spark, a.store, "assets").dropDuplicates(["asset_id"]), PACKS[a.pack], year, a.secrecy_years)), "estate")
+    for report in (ranking.headline(rows), ranking.tallies(rows), ranking.domain_years(rows), ranking.confirmed_overdue_by_control(rows).orderBy(F.desc("overdue"), "control_class")):
+        _say(report, a)
     return 0
 
 
@@ -148,7 +189,11 @@ def parser() -> argparse.ArgumentParser:
     add(bill, out, pack, ("--to", {"required": True}), ("--profile", {"choices": sorted(export.PROFILES), "default": "cyclonedx-1.7"}), ("--include-suspected", flag), ("--key", {}), ("--shards", flag))
     add(verify, ("artifact", {}), ("--key", {"required": True}))
     add(probe_plan, ("targets", {}), ("--grant", {"required": True}), ("--skew", {"type": int, "default": 0}))
-    add(coverage, out, ("--json", flag))
+    add(coverage, out, ("--json", flag), ("--key", {}), ("--secret", {}), ("--to", {}))
+    add(verify_coverage, ("artifact", {}), ("--trusted", {"action": "append", "required": True}), ("--now", {}), ("--json", flag))
+    add(keygen, ("--key", {"required": True}), ("--secret", {"required": True}), ("--key-id", {"required": True}), ("--height", {"type": int, "default": 10}), ("--days", {"type": int, "default": 365}), ("--now", {}))
+    add(attest, ("statements", {}), out, ("--now", {}), ("--json", flag))
+    add(estate, ("--store", {"required": True}), pack, ("--secrecy-years", {"type": float, "default": 5.0}), ("--now", {}), ("--json", flag))
     add(policies, ("--json", flag))
     add(check, ("payloads", {}), ("--kind", {"choices": ["scan", "trace", "pack"], "required": True}), ("--json", flag))
     add(keep, out, ("--store", {"required": True}), ("--scan-id", {"required": True}))
@@ -158,6 +203,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
+    if a.run is coverage and a.key and not (a.secret and a.to):
+        parser().error("coverage --key needs --secret and --to")
     return a.run(_session(), a)
 
 

@@ -43,6 +43,12 @@ def level_counts(occ: DataFrame) -> DataFrame:
     return occ.agg(*[F.count_if(F.col("level") == level).alias(level.lower()) for level in reversed(dims.LEVELS)])
 
 
+def system_statements(occ: DataFrame) -> DataFrame:
+    """Per system: body, the number of its occurrences at each assertion level as canonical JSON, to be signed."""
+    counts = occ.groupBy("system_id").agg(*[F.count_if(F.col("level") == level).alias(level.lower()) for level in dims.LEVELS])
+    return counts.select("system_id", F.to_json(F.struct(*sorted(x.lower() for x in dims.LEVELS), F.col("system_id").alias("system"))).alias("body"))
+
+
 def component_json(folded: DataFrame) -> DataFrame:
     """asset_id and the component as canonical JSON."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from estatelens.common import cut_lineage
 from estatelens.functions.assets import decimal_year
 from estatelens.functions.mosca import MIGRATION_YEARS, PACKS, PolicyPack
-from estatelens.operators import changes, evidence, export, ranking, reach, scope, store, traces, views
+from estatelens.operators import changes, evidence, export, ranking, reach, scope, signing, store, traces, views
 from estatelens.sources import binaries, calls, inventories, text_files
 from estatelens.sources.rules import Rule
 
@@ -155,6 +155,12 @@ def estate(root: str, spark: SparkSession, pack: PolicyPack, now_year: float, sy
     return ranking.placed(ranking.ranked(raised, store.get(spark, root, "assets").dropDuplicates(["asset_id"]), pack, now_year))
 
 
+def newest(occ: DataFrame, systems: DataFrame) -> DataFrame:
+    """The occurrences of each system's last scan; systems: system_name, last_scan_id."""
+    last = systems.select(F.col("system_name").alias("system_id"), F.col("last_scan_id").alias("scan_id")).distinct()
+    return occ.join(last, ["system_id", "scan_id"], "left_semi")
+
+
 def attest(statements: DataFrame, result: Scan, now_year: float) -> tuple[DataFrame, DataFrame]:
     """Claims against observations, and each vendor's migration estimate."""
     ids = evidence.identified(inventories.attestation_findings(statements, F.current_timestamp()).drop("expired"))
@@ -164,10 +170,10 @@ def attest(statements: DataFrame, result: Scan, now_year: float) -> tuple[DataFr
 
 
 def coverage_attestation(occ: DataFrame) -> DataFrame:
-    """One row: the coverage statement and the digest of the canonical report, for signing elsewhere."""
+    """One row: the coverage statement, the canonical report as body and its digest, for signing."""
     report = views.coverage(occ)
     body = report.agg(F.to_json(F.array_sort(F.collect_list(F.struct("assets", "class", "examined", "modalities", "occurrences", "systems")))).alias("body"))
-    return views.coverage_statement(report).crossJoin(body.select(F.sha2("body", 256).alias("digest")))
+    return views.coverage_statement(report).crossJoin(body.select("body", F.sha2("body", 256).alias("digest")))  # one row each
 
 
 def derivation(found: DataFrame, occurrence_id: str) -> DataFrame:
@@ -177,3 +183,31 @@ def derivation(found: DataFrame, occurrence_id: str) -> DataFrame:
 
 def bill_of_materials(result: Scan, pack: PolicyPack, timestamp: str, profile: str = "cyclonedx-1.7", include_suspected: bool = False) -> DataFrame:
     return export.document(result.occurrences, result.assets, f"{pack.pack_id}@{pack.pack_version}", timestamp, profile, include_suspected)
+
+
+def new_key(spark: SparkSession, folder: str, secret: str, key_id: str, height: int, not_after: Column) -> None:
+    """A signer's folder: tree, the table of its nodes, public, the row for readers, and used, where leaves are noted before they sign."""
+    tree = signing.key_tree(spark, secret, key_id, height)
+    tree.write.parquet(f"{folder}/tree")
+    signing.public_key(tree, key_id, not_after).write.json(f"{folder}/public")
+    spark.createDataFrame([(0,)], "next long").write.json(f"{folder}/used")
+
+
+def sign_with(folder: str, secret: str, artifacts: DataFrame) -> DataFrame:
+    """artifacts (body, ...) signed with the next leaves of a key. They are noted as used first: a run that fails loses leaves, but no leaf signs twice.
+
+    One signer uses a folder at a time.
+    """
+    spark = artifacts.sparkSession
+    artifacts = cut_lineage(artifacts, "to-sign")
+    first = spark.read.schema("next long").json(f"{folder}/used").agg(F.max("next").alias("n")).first()["n"]
+    needed = artifacts.select(signing.body_digest(F.col("body"))).distinct().count()
+    tree = spark.read.parquet(f"{folder}/tree")
+    if signing.free_leaves(tree, first) >= needed:
+        spark.createDataFrame([(first + needed,)], "next long").write.mode("append").json(f"{folder}/used")
+    key_id = public_keys(spark, folder).first()["key_id"]
+    return signing.sign(artifacts, tree, secret, key_id, first)
+
+
+def public_keys(spark: SparkSession, *folders: str) -> DataFrame:
+    return spark.read.schema("key_id string, root string, height int, not_after timestamp").json([f"{x}/public" for x in folders])

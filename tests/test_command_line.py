@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from estatelens import __main__ as cli
 from estatelens.operators import export, ledger
 
@@ -26,6 +28,21 @@ def test_from_scan_to_verified_bill(spark, tmp_path):
     assert cli.main(["bill", "--out", out, "--to", shards, "--include-suspected", "--shards"]) == 0 and export.whole(spark, shards)
     assert cli.main(["coverage", "--out", out, "--json"]) == 0
     assert cli.main(["keep", "--out", out, "--store", root, "--scan-id", "s1"]) == 0 and ledger.read(spark, root, "occurrences", "s1").count() == spark.read.parquet(f"{out}/occurrences").count()
+    assert cli.main(["estate", "--store", root, "--now", "2026-08-28", "--json"]) == 0
+    key, other, signed = (str(tmp_path / x) for x in ("key", "other", "signed"))
+    for folder in (key, other):
+        assert cli.main(["keygen", "--key", folder, "--secret", f"{folder}.secret", "--key-id", "coverage", "--height", "1", "--now", "2026-01-01"]) == 0
+    for _ in range(2):
+        assert cli.main(["coverage", "--out", out, "--key", key, "--secret", f"{key}.secret", "--to", signed]) == 0
+    assert {r["leaf"] for r in spark.read.json(signed).collect()} == {1}
+    assert cli.main(["verify-coverage", signed, "--trusted", key, "--now", "2026-08-28"]) == 0
+    assert cli.main(["verify-coverage", signed, "--trusted", other, "--now", "2026-08-28"]) == 1
+    assert cli.main(["verify-coverage", signed, "--trusted", key, "--now", "2027-08-28"]) == 1
+    with pytest.raises(ValueError, match="free leaves"):
+        cli.main(["coverage", "--out", out, "--key", key, "--secret", f"{key}.secret", "--to", str(tmp_path / "third")])
+    statement = {"vendor": "v", "product": "p", "version": "1", "system_id": "app", "valid_until": "2090-01-01T00:00:00Z", "roadmap": {"status": "evaluating"}, "claims": [{"primitive": "AES", "parameters": "{}", "purpose": "DATA_ENCRYPTION"}]}
+    (tmp_path / "statements").write_text(json.dumps(statement) + "\n")
+    assert cli.main(["attest", str(tmp_path / "statements"), "--out", out, "--json"]) == 0
     assert json.loads(spark.read.json(bill).first()["body"])["bomFormat"] == "CycloneDX"
 
 
