@@ -16,7 +16,7 @@ from estatelens.operators import export, reach, scope, store
 from estatelens.plans import commands, synth
 from estatelens.queries import _ASSETS, _OCC, _TREE, _assets, _found, _graph, _occ, _table, query
 from estatelens.sources import binaries, calls, inventories, text_files
-from estatelens.sources.rules import Rule
+from estatelens.sources.rules import DUAL_USE, RC2, SINGLE_DES, Rule
 
 
 def _sql(value) -> str:
@@ -56,7 +56,7 @@ def sources(name: str, variants: list[tuple[str, str]], rows: list[tuple]) -> No
     @query(name, expected(len(variants), "line, primitive, parameters, purpose, guessed", rows))
     def run(spark, sf):
         found = calls.call_findings(calls.calls(files(spark, sf, variants)), "src")
-        return found.select(part_of("locator"), line_of("locator"), "primitive", "parameters", "purpose", F.col("raw").endswith("(RULE_DEFAULT)").alias("guessed"))
+        return found.select(part_of("locator"), line_of("locator"), "primitive", "parameters", "purpose", F.col("raw").contains("(RULE_DEFAULT)").alias("guessed"))
 
 
 _KEX, _SIG, _ENC, _DIG, _KDF = "KEY_ESTABLISHMENT", "DIGITAL_SIGNATURE", "DATA_ENCRYPTION", "INTEGRITY", "KEY_DERIVATION"
@@ -108,6 +108,29 @@ sources("a7_c_rules", [
     (0, 3, "AES", '{"keySize":256,"mode":"GCM"}', _ENC, False), (0, 4, "RSA", '{"modulusLength":4096}', _KEX, True), (1, 3, "ECDSA", '{"curve":"P-256"}', _SIG, True), (1, 4, "SHA2", '{"outputLength":256}', _DIG, False), (1, 5, "RC4", "{}", _ENC, False),
 ])
 
+# What findings rest on; the sizes in every file are made of its own row
+
+_NOTED = [
+    ("Keys.java", 'import java.security.*;\nclass A { void f() {\nKeyPairGenerator.getInstance("RSA");\nMessageDigest.getInstance("SHA-256");\nKeyPairGenerator.getInstance("EC");\n} }\n'),
+    ("keys.go", 'package k\nimport (\n\t"crypto/des"\n\t"crypto/rsa"\n)\nfunc f() {\n\trsa.GenerateKey(r, BITS)\n\tdes.NewCipher(k)\n\trsa.SignPSS(r, k)\n}\n'),
+    ("Old.cs", "using System.Security.Cryptography;\nclass P { void F() {\nvar r = RC2.Create();\nvar d = DES.Create();\nvar k = RSA.Create(BITS);\n} }\n"),
+    ("keys.c", "#include <openssl/evp.h>\nvoid f() {\nEVP_PKEY_CTX_new_id(EVP_PKEY_RSA, 0);\nRSA_generate_key_ex(r, BITS, e, 0);\nRSA_sign(1, m, n, s, l, r);\n}\n"),
+]
+_NOTES = [
+    (0, 3, "RSA", DUAL_USE, None), (0, 4, "SHA2", None, None), (0, 5, "ECDSA", DUAL_USE, None), (1, 7, "RSA", DUAL_USE, "y"), (1, 8, "UNKNOWN", SINGLE_DES, None), (1, 9, "RSA", None, None),
+    (2, 3, "UNKNOWN", RC2, None), (2, 4, "UNKNOWN", SINGLE_DES, None), (2, 5, "RSA", DUAL_USE, "y"), (3, 3, "RSA", DUAL_USE, None), (3, 4, "RSA", DUAL_USE, "y"), (3, 5, "RSA", None, None),
+]
+
+
+@query("a7_notes", f"SELECT p, line, primitive, note, CASE WHEN sized = 'y' THEN CAST(1024 + 8 * (p % 400) AS INT) END AS bits FROM ({expected(len(_NOTED), 'line, primitive, note, sized', _NOTES)})")
+def a7_notes(spark, sf):
+    bits = F.lit(1024) + 8 * (part_of("path") % 400)
+    varied = files(spark, sf, _NOTED).withColumn("text", F.replace("text", F.lit("BITS"), bits.cast("string")))
+    found = calls.call_findings(calls.calls(varied), "src")
+    note = F.nullif(F.regexp_extract("raw", " note=(.*)$", 1), F.lit(""))
+    return found.select(part_of("locator"), line_of("locator"), "primitive", note.alias("note"), F.get_json_object("parameters", "$.modulusLength").cast("int").alias("bits"))
+
+
 # A4, M: rules of the caller, beside the fixed ones and before them; every file is made of its own row
 
 _OWN_RULES = (
@@ -133,7 +156,7 @@ def own_rules(spark, sf):
     )
     made = _table(spark, sf, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("/a.mjs")).alias("path"), text.alias("text"))
     found = calls.call_findings(calls.calls(made), "src", _OWN_RULES)
-    return found.select(part_of("locator"), line_of("locator"), "primitive", "parameters", "purpose", F.col("raw").endswith("(RULE_DEFAULT)").alias("guessed"))
+    return found.select(part_of("locator"), line_of("locator"), "primitive", "parameters", "purpose", F.col("raw").contains("(RULE_DEFAULT)").alias("guessed"))
 
 
 # Parsing, graphs, entry points

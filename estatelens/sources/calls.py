@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from estatelens.operators.reach import EXAMPLE_PATH, is_test_path
 from estatelens.sources.binaries import python_calls
-from estatelens.sources.rules import Rule, guessed, rule_table, with_rules, with_specs
+from estatelens.sources.rules import Rule, guessed, noted, rule_table, with_rules, with_specs
 
 #: Languages by file extension. Larger files are skipped, with a row that says so.
 LANGUAGES = {
@@ -391,13 +391,13 @@ def call_findings(rows: DataFrame, system_id: str, own_rules: tuple[Rule, ...] |
     """Findings of call rows of all languages but Python, whose rules stand with its parser.
 
     own_rules: rules of the caller, which count before the fixed ones. raw is the callee, the purpose, and whether the
-    call settles it (RESOLVED) or the rule guesses it (RULE_DEFAULT).
+    call settles it (RESOLVED) or the rule guesses it (RULE_DEFAULT), and the rule's note, if any.
     """
     known = rows.filter("callee is not null and language <> 'python'").drop("problem")
     # explode() would filter on the specs, and so write them out again below every step that they are made in
     found = with_specs(with_rules(known, rule_table(rows.sparkSession, own_rules))).select("*", F.explode_outer("specs").alias("spec")).filter("spec is not null")
     purpose = F.coalesce("spec.purpose", F.lit("DATA_ENCRYPTION"))
-    raw = F.concat(F.col("callee"), F.lit(" purpose="), purpose, F.when(guessed(), "(RULE_DEFAULT)").otherwise("(RESOLVED)"))
+    raw = F.concat(F.col("callee"), F.lit(" purpose="), purpose, F.when(guessed(), "(RULE_DEFAULT)").otherwise("(RESOLVED)"), F.coalesce(F.concat(F.lit(" note="), noted()), F.lit("")))
     return found.select(
         F.lit(system_id).alias("system_id"), "spec.primitive", "spec.parameters", purpose.alias("purpose"), F.lit("SELF").alias("control_class"), F.lit("SOURCE_AST").alias("modality"),
         F.concat_ws(":", "path", F.col("line").cast("string")).alias("locator"), raw.alias("raw"), F.lit(None).cast("string").alias("assumption"),

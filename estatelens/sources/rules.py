@@ -30,8 +30,8 @@ class Rule:
 
     Sources: ("argument", k), ("member", name), ("text", value), ("callee",), or a reading of an argument or the callee:
     hash, mac hash, curve, go curve, openssl curve, bits, mode. by_default: the purpose is the rule's guess, as the call
-    makes a key that serves several. free: the call counts without an import. The vocabularies "key pair" and "web crypto"
-    read the whole call.
+    makes a key that serves several. free: the call counts without an import. note: what a reader should know of the finding.
+    The vocabularies "key pair" and "web crypto" read the whole call.
     """
 
     language: str
@@ -44,8 +44,13 @@ class Rule:
     of: tuple = ()
     by_default: bool = False
     free: bool = False
+    note: str | None = None
 
 
+#: What a finding rests on where the call alone does not say all: notes of rules that guess a purpose, and of ciphers without strength.
+DUAL_USE = "the key made here can serve several purposes; until its use is seen, the one with the earlier deadline counts"
+SINGLE_DES = "single DES has 56 bits and is broken today, without a quantum computer"
+RC2 = "RC2 is broken today, without a quantum computer"
 #: The rules, in the order in which they are tried.
 RULES = (
     Rule("js", r"(^|\.)generateKeyPair(Sync)?$", "crypto", None, vocabulary="key pair"),
@@ -63,7 +68,7 @@ RULES = (
     Rule("js", r"(^|\.)(sign|verify|SignJWT|jwtVerify|setProtectedHeader)$", "jsonwebtoken|jose", _S, vocabulary="jose", of=(("member", "algorithm"), ("member", "alg"), ("member", "algorithms"))),
     Rule("js", r"rsa\.(generateKeyPair|setPublicKey)", "node-forge", _E, "RSA", {"modulusLength": ("member", "bits")}, by_default=True),
     Rule("js", r"(?i)(^|\.)(tripledes|des3)\.(en|de)crypt$", "crypto-js", _D, "3DES"),
-    Rule("js", r"(?i)(^|\.)des\.(en|de)crypt$", "crypto-js", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
+    Rule("js", r"(?i)(^|\.)des\.(en|de)crypt$", "crypto-js", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}, note=SINGLE_DES),
     Rule("js", r"(?i)(^|\.)rc4\.(en|de)crypt$", "crypto-js", _D, "RC4"),
     Rule("js", r"(?i)(^|\.)aes\.(en|de)crypt$", "crypto-js", _D, "AES", {"mode": ("text", "CBC")}),
     Rule("js", r"(^|\.)(MD5|SHA1|SHA224|SHA256|SHA384|SHA512|SHA3)$", "crypto-js", _I, vocabulary="hash", of=(("callee",),)),
@@ -77,7 +82,7 @@ RULES = (
     Rule("go", r"^(ecdh\.X25519|curve25519\.)", "crypto/ecdh|golang.org/x/crypto/curve25519", _E, "X25519"),
     Rule("go", r"^dsa\.", "crypto/dsa", _S, "DSA"),
     Rule("go", r"^des\.NewTripleDESCipher$", "crypto/des", _D, "3DES"),
-    Rule("go", r"^des\.", "crypto/des", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
+    Rule("go", r"^des\.", "crypto/des", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}, note=SINGLE_DES),
     Rule("go", r"^aes\.NewCipher$", "crypto/aes", _D, "AES"),
     Rule("go", r"^rc4\.", "crypto/rc4", _D, "RC4"),
     Rule("go", r"^chacha20poly1305\.", "golang.org/x/crypto/chacha20poly1305", _D, "ChaCha20", {"keySize": ("text", "256"), "mode": ("text", "POLY1305")}),
@@ -130,8 +135,8 @@ RULES = (
     Rule("csharp", r"(^|\.)DSA\.Create$", "", _S, "DSA", by_default=True),
     Rule("csharp", r"(^|\.)Aes(Cng|Managed)?(\.Create)?$", "", _D, "AES"),
     Rule("csharp", r"(^|\.)TripleDES(Cng)?\.Create$", "", _D, "3DES"),
-    Rule("csharp", r"(^|\.)DES\.Create$", "", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}),
-    Rule("csharp", r"(^|\.)RC2\.Create$", "", _D, "UNKNOWN", {"name": ("text", "RC2")}),
+    Rule("csharp", r"(^|\.)DES\.Create$", "", _D, "UNKNOWN", {"name": ("text", "DES"), "keySize": ("text", "56")}, note=SINGLE_DES),
+    Rule("csharp", r"(^|\.)RC2\.Create$", "", _D, "UNKNOWN", {"name": ("text", "RC2")}, note=RC2),
     Rule("csharp", r"(^|\.)MD5(\.Create|CryptoServiceProvider)$", "", _I, "MD5", {"outputLength": ("text", "128")}),
     Rule("csharp", r"(^|\.)SHA1(\.Create|Managed|CryptoServiceProvider)$", "", _I, "SHA1", {"outputLength": ("text", "160")}),
     Rule("csharp", r"(^|\.)SHA(256|384|512)\.(Create|HashData)$", "", _I, "SHA2", {"outputLength": ("bits", "callee")}),
@@ -150,7 +155,7 @@ ANY = "*"
 #: Rules as a table. keys: the lower-case names by which calls find a rule; parameters by name; sources of a vocabulary's name.
 RULE_SCHEMA = (
     "rule int, language string, keys array<string>, callee string, modules array<string>, purpose string, primitive string, "
-    "parameters array<struct<name:string,kind:string,of:string,number:boolean>>, vocabulary string, sources array<struct<kind:string,of:string>>, by_default boolean, free boolean"
+    "parameters array<struct<name:string,kind:string,of:string,number:boolean>>, vocabulary string, sources array<struct<kind:string,of:string>>, by_default boolean, free boolean, note string"
 )
 
 
@@ -173,7 +178,7 @@ def rule_row(number: int, rule: Rule) -> tuple:
     source = lambda s: (s[0], str(s[1]) if len(s) > 1 else None)
     parameters = [(name, *source(s), name in _NUMBERS) for name, s in sorted(rule.parameters.items())]
     modules = rule.modules.split("|") if rule.modules else []
-    return (number, rule.language, first_names(rule.callee), rule.callee, modules, rule.purpose, rule.primitive, parameters, rule.vocabulary, [source(s) for s in rule.of], rule.by_default, rule.free)
+    return (number, rule.language, first_names(rule.callee), rule.callee, modules, rule.purpose, rule.primitive, parameters, rule.vocabulary, [source(s) for s in rule.of], rule.by_default, rule.free, rule.note)
 
 
 def rule_table(spark: SparkSession, own: tuple[Rule, ...] | list[Rule] | DataFrame = (), first: bool = True) -> DataFrame:
@@ -184,6 +189,7 @@ def rule_table(spark: SparkSession, own: tuple[Rule, ...] | list[Rule] | DataFra
             return known
         own = spark.createDataFrame([rule_row(k, r) for k, r in enumerate(own)], RULE_SCHEMA)
     shift = -(1 << 30) if first else 1 << 20
+    own = own if "note" in own.columns else own.withColumn("note", F.lit(None).cast("string"))
     return known.unionByName(own.select(*known.columns).withColumn("rule", (F.col("rule") + shift).cast("int")))
 
 
@@ -213,7 +219,7 @@ def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     Lookups are joins by equality; Spark broadcasts the rules if they are small and shuffles if they are not. Only calls
     that a rule fits are brought together by call, to take the first.
     """
-    named = rules.select("rule", "language", F.col("callee").alias("pattern"), "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default", "free", F.explode("keys").alias("key"))
+    named = rules.select("rule", "language", F.col("callee").alias("pattern"), "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default", "free", "note", F.explode("keys").alias("key"))
     names = F.array_distinct(F.concat(F.split(F.lower("callee"), "[^a-z0-9]+"), F.array(F.lit(ANY))))
     asked = rows.withColumn("call", F.monotonically_increasing_id()).select("*", F.explode(names).alias("key"))
     met = asked.join(named, ["language", "key"]).filter(F.rlike("callee", F.col("pattern"))).select("*", F.explode(_ways(F.coalesce("module", F.lit("")))).alias("way")).select("*", "way.opens", "way.whole")
@@ -222,7 +228,7 @@ def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     rust = F.col("callee").rlike(rf"(::|^)({RUST_METHODS})$") & F.col("callee").rlike(rf"^(({RUST_CRATES})(::|$)|({RUST_NAMES}))")
     own_gate = F.when(F.col("language") == "rust", rust).otherwise(F.coalesce("gated", F.lit(True)))
     fits = opened.filter((F.col("opens") != "") | F.col("free") | own_gate)
-    kept = [*rows.columns, "rule", "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default"]
+    kept = [*rows.columns, "rule", "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default", "note"]
     return fits.groupBy("call").agg(F.min_by(F.struct(*kept), "rule").alias("c")).select("c.*")
 
 
@@ -279,6 +285,11 @@ def guessed() -> Column:
     return F.coalesce(pair, F.lit(False)) | F.col("by_default")
 
 
+def noted() -> Column:
+    """The rule's note on a call; a purpose that is guessed is one."""
+    return F.coalesce("note", F.when(guessed(), F.lit(DUAL_USE)))
+
+
 #: Vocabularies that read a name.
 VOCABULARIES = tuple(sorted({r.vocabulary for r in RULES if r.vocabulary} - {"key pair", "web crypto"}))
 
