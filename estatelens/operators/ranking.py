@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.common import cut_lineage
+from estatelens.functions.assets import round_half_up
 from estatelens.functions.mosca import PolicyPack, score
 
 
@@ -82,3 +83,28 @@ def labelled(rows: DataFrame) -> DataFrame:
 def overdue_by_control(rows: DataFrame) -> DataFrame:
     """Late rows that are worked on, per control class."""
     return rows.filter(F.col("late") & F.col("bucket").isin("confidentiality", "authenticity")).groupBy("control_class").agg(F.count("*").alias("overdue"))
+
+
+def confirmed_overdue_by_control(rows: DataFrame) -> DataFrame:
+    """Late and confirmed rows that are worked on, per control class."""
+    return overdue_by_control(rows.filter("level = 'CONFIRMED'"))
+
+
+def domain_years(rows: DataFrame) -> DataFrame:
+    """One row: the whole years that a common time axis of the worklists needs, 6 at least.
+
+    It holds the longest work and secrecy and the farthest of all deadlines, so that bars of different rows compare.
+    """
+    work = rows.filter(F.col("bucket").isin("confidentiality", "authenticity"))
+    spans = (F.col("x") + F.col("y"), F.col("crqc_slack") + F.col("x") + F.col("y"), F.col("regulatory_slack") + F.col("y"))
+    return work.agg(F.ceil(F.greatest(F.lit(6.0), *[F.max(round_half_up(s, 2)) for s in spans])).cast("long").alias("domain_years"))
+
+
+def tallies(rows: DataFrame) -> DataFrame:
+    """One row: all rows found, the confirmed and the confirmed and late of each track, and those worked on that are not confirmed."""
+    sure = F.col("level") == "CONFIRMED"
+    counts = [F.count("*").alias("found"), F.count_if(F.col("bucket").isin("confidentiality", "authenticity") & ~sure).alias("observed_only")]
+    for track in ("confidentiality", "authenticity"):
+        own = (F.col("bucket") == track) & sure
+        counts += [F.count_if(own).alias(f"{track}_confirmed"), F.count_if(own & F.col("late")).alias(f"{track}_late")]
+    return rows.agg(*counts)

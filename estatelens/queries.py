@@ -12,7 +12,7 @@ from estatelens.common import cut_lineage, shared_folder
 from estatelens.functions import assets as A
 from estatelens.functions import dims, naming
 from estatelens.functions.mosca import EO_14412, IR_8547_DRAFT, MIGRATION_YEARS
-from estatelens.operators import changes, evidence, export, intake, ledger, order, ranking, reach, scope, store, traces, views
+from estatelens.operators import changes, evidence, export, intake, ledger, order, ranking, reach, scope, signing, store, traces, views
 from estatelens.plans import synth
 from estatelens.sources import binaries, inventories, text_files
 from estatelens.streaming import live, state
@@ -272,6 +272,26 @@ def e21(spark, sf):
     return ranking.overdue_by_control(_ranking(spark, sf))
 
 
+_WORK = "bucket IN ('confidentiality', 'authenticity')"
+
+
+@query("e21_confirmed_overdue", f"WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT control_class, count(*) AS overdue FROM r WHERE late AND level = 'CONFIRMED' AND {_WORK} GROUP BY 1")
+def e21_confirmed(spark, sf):
+    return ranking.confirmed_overdue_by_control(_ranking(spark, sf))
+
+
+@query("e21_domain_years", f"""WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')}
+ SELECT CAST(ceil(greatest(6.0, max(x + y), {round(EO_14412.crqc_year - synth.NOW_YEAR, 2)}::DOUBLE, max(floor((deadline - {synth.NOW_YEAR}::DOUBLE) * 100.0 + 0.5) / 100.0))) AS BIGINT) AS domain_years FROM r WHERE {_WORK}""")
+def e21_domain(spark, sf):
+    return ranking.domain_years(_ranking(spark, sf))
+
+
+@query("e21_tallies", f"""WITH {_OCC}, {_ASSETS}, {_ranked(EO_14412, 'r')} SELECT count(*) AS found, count(*) FILTER (WHERE {_WORK} AND level <> 'CONFIRMED') AS observed_only,
+ {", ".join(f"count(*) FILTER (WHERE bucket = '{b}' AND level = 'CONFIRMED') AS {b}_confirmed, count(*) FILTER (WHERE bucket = '{b}' AND level = 'CONFIRMED' AND late) AS {b}_late" for b in ("confidentiality", "authenticity"))} FROM r""")
+def e21_tallies(spark, sf):
+    return ranking.tallies(_ranking(spark, sf))
+
+
 @query("e20_histograms", f"WITH {_FOUND} SELECT 'modality' AS dimension, modality AS value, count(*) AS n FROM found GROUP BY 2 UNION ALL SELECT 'primitive', primitive, count(*) FROM found GROUP BY 2")
 def e20(spark, sf):
     return evidence.histograms(synth.findings(spark, sf))
@@ -917,6 +937,65 @@ def a39(spark, sf):
 # L: streams
 
 
+# What a person reads
+
+
+@query("b6_gate_lines", f"""WITH g AS ({ORACLE_SQL["k13_build_gate"]}) SELECT outcome AS heading, concat(count(*), ' blocking work items') AS line FROM g GROUP BY 1
+ UNION ALL SELECT 'verdict', CASE WHEN count(*) FILTER (WHERE outcome = 'introduced') = 0 THEN 'the build passes' ELSE 'the build fails' END FROM g""")
+def b6_gate(spark, sf):
+    return export.gate_report(cut_lineage(QUERIES["k13_build_gate"](spark, sf), "outcomes"))
+
+
+@query("b6_plan_lines", f"SELECT code AS heading, concat(count(*), ' targets') AS line FROM ({ORACLE_SQL['i14_authorize']}) GROUP BY 1")
+def b6_plan(spark, sf):
+    return export.plan_report(QUERIES["i14_authorize"](spark, sf))
+
+
+@query("b6_reconcile_lines", f"SELECT system_id AS heading, concat(count(*), ' ', verdict) AS line FROM ({ORACLE_SQL['k14_reconcile']}) GROUP BY system_id, verdict")
+def b6_reconcile(spark, sf):
+    return export.reconcile_report(QUERIES["k14_reconcile"](spark, sf))
+
+
+# Statements about each system, signed with a key whose public half verifies them
+
+_SECRET, _KEY, _HEIGHT = "a fixed secret, as the SQL beside this query signs as well", "coverage-2026", 6
+
+
+def _signing_sql(height: int) -> str:
+    """The key's tree and the signatures in SQL: chains of hashes as lists that are folded."""
+    advanced = lambda value, tag, start, end: f"list_reduce(list_transform(range({start}, {end}), lambda s: CAST(s AS STRING)), lambda a, s: sha256(concat({tag}, '/', c, '/', s, '/', a)), {value})"
+    first = lambda tag: f"sha256(concat('{_SECRET}/', {tag}, '/', c))"
+    levels = [
+        f"""n{k} AS (SELECT node // 2 AS node, sha256(concat('{_KEY}/tree/{k}/', node // 2, '/', min_by(digest, node), '/', max_by(digest, node))) AS digest FROM n{k - 1} GROUP BY 1)"""
+        for k in range(1, height + 1)
+    ]
+    return f"""chain AS (SELECT unnest(range({signing.CHAINS})) AS c), leaf0 AS (SELECT unnest(range({1 << height})) AS node), leaf1 AS (SELECT node, concat('{_KEY}/', node) AS tag FROM leaf0),
+ ends AS (SELECT node, tag, c, {advanced(first("tag"), "tag", "0", "15")} AS v FROM leaf1, chain),
+ n0 AS (SELECT node, sha256(concat(tag, '/', string_agg(v, '' ORDER BY c))) AS digest FROM ends GROUP BY node, tag), {", ".join(levels)},
+ body AS (SELECT system_id, concat('{{"confirmed":', count(*) FILTER (WHERE level = 'CONFIRMED'), ',"observed":', count(*) FILTER (WHERE level = 'OBSERVED'), ',"suspected":', count(*) FILTER (WHERE level = 'SUSPECTED'), ',"system":"', system_id, '"}}') AS body FROM occ GROUP BY 1),
+ dg AS (SELECT system_id, sha256(body) AS digest, row_number() OVER (ORDER BY sha256(body)) - 1 AS leaf FROM body),
+ d1 AS (SELECT *, concat('{_KEY}/', leaf) AS tag, list_transform(range(1, 65), lambda i: strpos('0123456789abcdef', substr(digest, i, 1)) - 1) AS own FROM dg),
+ d2 AS (SELECT *, concat(digest, lpad(lower(to_hex(960 - list_sum(own)::BIGINT)), 3, '0')) AS digits FROM d1),
+ d3 AS (SELECT *, strpos('0123456789abcdef', substr(digits, c + 1, 1)) - 1 AS place FROM d2, chain),
+ sg AS (SELECT system_id, leaf, digest, sha256(string_agg({advanced(first("tag"), "tag", "0", "place")}, ',' ORDER BY c)) AS chains_sha256 FROM d3 GROUP BY 1, 2, 3)"""
+
+
+@query("k12_signed_statements", f"""WITH {_OCC}, {_signing_sql(_HEIGHT)} SELECT system_id, leaf, digest, chains_sha256, (SELECT digest FROM n{_HEIGHT}) AS root,
+ CASE CAST(right(system_id, 2) AS INT) % 4 WHEN 1 THEN 'DIGEST_MISMATCH' WHEN 2 THEN 'BAD_SIGNATURE' WHEN 3 THEN CASE WHEN CAST(right(system_id, 2) AS INT) % 8 = 3 THEN 'BAD_KEY' ELSE 'EXPIRED_KEY' END ELSE 'OK' END AS verdict FROM sg""")
+def k12_signed(spark, sf):
+    tree = signing.key_tree(spark, _SECRET, _KEY, _HEIGHT)
+    keys = signing.public_key(tree, _KEY, F.expr("timestamp '2027-01-01'"))
+    made = cut_lineage(signing.sign(export.system_statements(_occ(spark, sf)), tree, _SECRET, _KEY), "signed")
+    # some statements are changed, with and without their digest; some readers do not know the key, or look when it is over
+    k = F.substring("system_id", -2, 2).cast("int")
+    shown = made.withColumn("given", F.when(k % 4 == 1, F.concat("body", F.lit(" "))).when(k % 4 == 2, F.replace("body", F.lit('"observed":'), F.lit('"observed":1'))).otherwise(F.col("body")))
+    other = keys.withColumn("key_id", F.lit("another"))
+    given = shown.select("system_id", "leaf", F.col("given").alias("body"), F.when(k % 4 == 2, signing.body_digest(F.col("given"))).otherwise(F.col("digest")).alias("digest"), "key_id", "chains", "path", F.col("digest").alias("signed"))
+    readers = ((keys, k % 4 != 3, "2026-08-28"), (other, k % 8 == 3, "2026-08-28"), (keys, k % 8 == 7, "2028-01-01"))
+    a, b, c = (signing.checked(given.filter(rows), known, F.expr(f"timestamp '{at}'")) for known, rows, at in readers)
+    return a.union(b).union(c).select("system_id", "leaf", F.col("signed").alias("digest"), F.sha2(F.array_join("chains", ","), 256).alias("chains_sha256"), "verdict").crossJoin(F.broadcast(keys.select("root")))
+
+
 @query("l1_stream_edges", f"WITH {_EDGES.replace('c.ord FROM', 'c.ord, c.ts FROM')} SELECT date_trunc('day', ts) AS day, from_service, to_service, count(*) AS observations FROM pairs GROUP BY 1, 2, 3")
 def l1(spark, sf):
     return live.replayed_edges(spark, f"{sf}/events.parquet")
