@@ -105,6 +105,161 @@ TEXTS = (
     ("rail", "responsible ai", r"responsible ai licenses?"),
 )
 
+#: Clauses of license texts.
+CLAUSES = (
+    ("apache-2.0", "derivative works thereof in any medium", r"you may reproduce and distribute copies of the work or derivative works thereof in any medium(?: with or without modifications)?"),
+    ("apache-2.0", "modified files to carry prominent notices", r"you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2.0", "perpetual worldwide non exclusive no charge", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent)? ?license"),
+    ("apache-2.0", "notice text file as part of its distribution", r"if the work includes a notice text file as part of its distribution"),
+    ("apache-2.0", "submission of contributions", r"submission of contributions unless you explicitly state otherwise"),
+    ("apache-2.0", "use the trade names trademarks service marks", r"does not grant permission to use the trade names trademarks service marks or product names of the licensor"),
+    ("apache-2.0", "granted to you under this license for that work shall terminate", r"any patent licenses? granted to you under this license for that work shall terminate"),
+    ("apache-2.0", "patent license to make", r"patent license to make have made use offer to sell sell import and otherwise transfer the work"),
+    ("apache-1.1", "end user documentation included with the redistribution", r"the end user documentation included with the redistribution if any must include the following acknowledg(?:e)?ment"),
+    ("apache-1.1", "may not be called apache", r"products derived from this software may not be called apache(?: nor may apache appear in their name)?"),
+    ("mit", "without limitation the rights to use copy modify merge", r"including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "in no event shall the authors or copyright holders", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", "to deal in the software without restriction", r"to deal in the software without restriction"),
+    ("bsd", "in no event shall the copyright", r"in no event shall the copyright (?:holder|owner)s? or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", "in no event shall the regents", r"in no event shall the regents or contributors be liable for any direct"),
+    ("bsd", "procurement of substitute goods", r"procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd-4-clause", "university of california berkeley and its contributors", r"this product includes software developed by the university of california berkeley and its contributors"),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-2-clause-patent", "patent license", r"patent license to make have made use offer to sell sell import and otherwise transfer this software"),
+    ("bsd-2-clause-views", "views and conclusions", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("isc", "copyright notice and this permission notice appear in all copies", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("hpnd", "not be used in advertising or publicity", r"not be used in advertising or publicity pertaining to distribution of the software without specific(?: written)? prior permission"),
+    ("hpnd", "makes no representations about the suitability", r"makes no representations about the suitability of this software for any purpose"),
+    ("zlib", "in no event will the authors be held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "may not be removed or altered from any source distribution", r"this notice may not be removed or altered from any source distribution"),
+    ("zlib", "alter it and redistribute it freely", r"for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("libpng", "contributing authors and group", r"the contributing authors and group 42 inc disclaim all warranties"),
+    ("ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group"),
+    ("ftl", "freetype", r"portions of this software are copyright (?:c )?(?:[0-9]{4} )?the freetype project"),
+    ("info-zip", "info zip", r"info zip is (?:defined as|provided)|redistributions of source code(?: \S+){1,20} info zip"),
+    ("bzip2", "acknowledgment in the product documentation", r"if you use this software in a product an acknowledgment in the product documentation would be appreciated"),
+    ("openssl", "openssl toolkit", r"software developed by the openssl project for use in the openssl toolkit https? www openssl org"),
+    ("openssl", "openssl toolkit and openssl project", r"the names openssl toolkit and openssl project must not be used to endorse"),
+    ("openssl", "openssl software foundation", r"prior written permission of the openssl software foundation"),
+    ("ssleay", "windows specific code", r"if you include any windows specific code or a derivative thereof from the apps directory"),
+    ("boost", "machine executable object code", r"solely in the form of machine executable object code generated by a source language processor"),
+    ("boost", "any person or organization obtaining a copy", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("gpl", "freedom to share and change", r"(?:the )?licenses for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
+    ("gpl", "when we speak of free software", r"when we speak of free software we are referring to freedom not price"),
+    ("gpl", "work based on the program", r"work based on the program means either the program or any derivative work under copyright law"),
+    ("gpl", "complete corresponding machine readable source code", r"accompany it with the complete corresponding machine readable source code"),
+    ("gpl", "written offer valid for at least three years", r"accompany it with a written offer valid for at least three years"),
+    ("gpl", "not required to accept this license", r"you are not required to accept this license since you have not signed it"),
+    ("gpl", "do not accept this license", r"these actions are prohibited by law if you do not accept this license"),
+    ("gpl", "no warranty for the program", r"because the program is licensed free of charge there is no warranty for the program"),
+    ("gpl", "how to apply these terms to your new programs", r"how to apply these terms to your new programs"),
+    ("gpl", "comes with absolutely no warranty", r"comes with absolutely no warranty for details type show w"),
+    ("gpl", "free software foundation inc", r"write to the free software foundation inc (?:59 temple place|51 franklin st(?:reet)?|675 mass ave)"),
+    ("gpl-3", "protecting users legal rights from anti circumvention law", r"protecting users legal rights from anti circumvention law"),
+    ("gpl-3", "conveying modified source versions", r"conveying modified source versions"),
+    ("gpl-3", "installation information for a user product", r"installation information for a user product means any methods procedures authorization keys"),
+    ("lgpl", "derivative work of the library", r"such a work in isolation is not a derivative work of the library"),
+    ("lgpl", "work that uses the library", r"a work that uses the library"),
+    ("lgpl", "work based on the library", r"a work based on the library means either the library or any derivative work under copyright law"),
+    ("lgpl-3", "combined work is a work produced by combining", r"a combined work is a work produced by combining or linking an application with the library"),
+    ("agpl", "interacting with it remotely through a computer network", r"all users interacting with it remotely through a computer network"),
+    ("agpl", "remote network interaction", r"remote network interaction use with the gnu general public license"),
+    ("gpl-autoconf-exception", "generated by autoconf", r"configuration script generated by autoconf you may include it under the same distribution terms"),
+    ("gpl-libtool-exception", "program or library that is built using gnu libtool", r"as part of a program or library that is built using gnu libtool"),
+    ("gpl-linux-syscall", "user programs that use kernel services", r"this copyright does not cover user programs that use kernel services by normal system calls"),
+    ("gfdl", "contains a notice placed by the copyright holder", r"(?:manual or other work(?: in any medium)?|other work) that contains a notice placed by the copyright holder"),
+    ("gfdl", "secondary section", r"a secondary section is a named appendix or a front matter section of the document"),
+    ("mpl", "covered code", r"covered code means the original code or modifications"),
+    ("mpl-1.1", "rights and limitations under the license", r"see the license for the specific language governing rights and limitations under the license"),
+    ("mpl-1.1", "initial developer of the original code", r"the initial developer of the original code is"),
+    ("mpl-2.0", "incompatible with secondary licenses", r"(?:this source code form is )?incompatible with secondary licenses(?: as defined by the mozilla public license)?"),
+    ("mpl-2.0", "larger work means a work that combines covered software", r"larger work means a work that combines covered software with other material"),
+    ("epl", "each contributor hereby grants recipient", r"each contributor hereby grants recipient a non exclusive worldwide royalty free (?:copyright|patent) license"),
+    ("epl", "commercial contributor", r"if a contributor includes the program in a commercial product offering such contributor (?:the )?commercial contributor|contributor commercial contributor hereby agrees to defend"),
+    ("epl-2.0", "made available under the following secondary licenses", r"may also be made available under the following secondary licenses"),
+    ("cpl", "common public license", r"the accompanying program is provided under the terms of this common public license"),
+    ("cddl", "replace with your own identifying information", r"with the fields enclosed by brackets(?: \S+){0,3} replace with your own identifying information|replace with your own identifying information(?: \S+){0,6} portions copyright"),
+    ("cddl", "usr src opensolaris license", r"usr src opensolaris license"),
+    ("eupl", "licensed under the eupl", r"licensed under the eupl(?: version 1 [012])?(?: only| or later)?"),
+    ("eupl", "joinup ec europa eu", r"(?:https? )?joinup ec europa eu (?:software page|collection) eupl"),
+    ("cecill", "cecill", r"governed by the cecill(?: b| c)? license under french law"),
+    ("cecill", "cecill info", r"(?:https? )?(?:www )?cecill info"),
+    ("osl", "licensed under the open software license", r"licensed under the open software license version [123] [01]"),
+    ("afl", "licensed under the academic free license", r"licensed under the academic free license version [123] [012]"),
+    ("artistic", "verbatim copies of the source form of the standard version", r"you may make and give away verbatim copies of the source form of the standard version of (?:this|the) package"),
+    ("artistic", "standard version refers to such a package", r"standard version refers to such a package"),
+    ("artistic", "freely available", r"place your modifications in the public domain or otherwise make them freely available"),
+    ("artistic-2.0", "copyright holder for use as the standard version", r"you may distribute your modified version(?: \S+){1,12} copyright holder for use as the standard version|to the copyright holder for use as the standard version"),
+    ("ofl", "reserved font name", r"no modified version of the font software may use the reserved font name|reserved font name refers to any names specified as such"),
+    ("ofl", "versions of the font software may be", r"original or modified versions of the font software may be (?:bundled|sold)"),
+    ("ofl", "may be sold by itself", r"neither the font software nor any of its individual components(?: \S+){1,6} may be sold by itself"),
+    ("ofl", "stimulate worldwide development of collaborative font projects", r"goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("bitstream-vera", "bitstream vera", r"bitstream vera is a trademark of bitstream|the font software may be modified(?: \S+){1,12} bitstream vera"),
+    ("psf", "python software foundation", r"this license agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("psf", "psf is making python available to licensee", r"psf is making python available to licensee on an as is basis"),
+    ("cnri", "corporation for national research initiatives", r"between the corporation for national research initiatives having an office at 1895 preston white drive"),
+    ("php", "php", r"products derived from this software may not be called php nor may php appear in their name"),
+    ("ruby", "place your modifications", r"you may modify your copy of the software in any way provided that(?: \S+){1,12} place your modifications"),
+    ("vim", "vim maintainer", r"(?:the vim maintainer|a vim maintainer)"),
+    ("tcl", "regents of the university of california sun microsystems", r"copyrighted by the regents of the university of california sun microsystems(?: inc)? scriptics"),
+    ("postgresql", "in no event shall the university of california be liable", r"in no event shall the university of california be liable to any party for direct indirect special"),
+    ("upl", "licensed works", r"covering the licensed works|the larger works and the licensed works"),
+    ("blueoak", "no contributor can revoke this license", r"no contributor can revoke this license"),
+    ("blueoak", "blueoakcouncil org license", r"(?:https? )?blueoakcouncil org license 1 0 0"),
+    ("ms-pl", "reproduce reproduction derivative works and distribution", r"the terms reproduce reproduction derivative works and distribution have the same meaning here"),
+    ("ms-limited", "reference source license", r"microsoft (?:limited )?reference source license"),
+    ("apsl", "apple public source license", r"apple public source license(?: version)?(?: [12] [0-2])?"),
+    ("apple-mit", "apple inc apple in consideration of your agreement", r"supplied to you by apple inc apple in consideration of your agreement"),
+    ("intel", "intel open source license", r"intel open source license"),
+    ("nasa", "nasa open source agreement", r"nasa open source agreement(?: version)?(?: 1 3)?"),
+    ("sun-bcl", "binary code license", r"sun microsystems(?: inc)? binary code license agreement"),
+    ("oracle-otn", "technology network", r"oracle technology network (?:development (?:and distribution )?)?license"),
+    ("adobe", "adobe systems incorporated", r"adobe systems incorporated grants to you a perpetual(?: worldwide)?"),
+    ("cc-by", "creativecommons org licenses by", r"(?:https? )?(?:www )?creativecommons org licenses by (?:[1-4] [05])(?: \S{2})?"),
+    ("cc-by-sa", "creativecommons org licenses by sa", r"(?:https? )?(?:www )?creativecommons org licenses by sa (?:[1-4] [05])(?: \S{2})?"),
+    ("cc-by-nc", "creativecommons org licenses by nc", r"(?:https? )?(?:www )?creativecommons org licenses by nc (?:[1-4] [05])(?: \S{2})?"),
+    ("cc-by-nd", "creativecommons org licenses by nd", r"(?:https? )?(?:www )?creativecommons org licenses by nd (?:[1-4] [05])(?: \S{2})?"),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa", r"(?:https? )?(?:www )?creativecommons org licenses by nc sa (?:[1-4] [05])(?: \S{2})?"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd", r"(?:https? )?(?:www )?creativecommons org licenses by nc nd (?:[1-4] [05])(?: \S{2})?"),
+    ("cc", "appropriate credit", r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc", "some rights reserved", r"some rights reserved"),
+    ("cc-sa", "distribute your contributions under the same license", r"if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-nd", "may not distribute the modified material", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-nc", "may not use the material for commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc0", "to the extent possible under law", r"to the extent possible under law(?: \S+){1,12} (?:waived|waives)|to the extent possible under law the (?:author|person)s?"),
+    ("unlicense", "dedicate any and all copyright interest", r"dedicate any and all copyright interest in the software to the public domain"),
+    ("odbl", "opendatacommons org licenses odbl", r"(?:https? )?(?:www )?opendatacommons org licenses odbl(?: 1 0)?"),
+    ("odbl", "openstreetmap contributors", r"(?:copyright )?openstreetmap contributors"),
+    ("open-government", "public sector information licensed under the open government", r"contains public sector information licensed under the open government licence"),
+    ("etalab", "licence ouverte", r"licence ouverte(?: open licence)?(?: etalab)?(?: version)?(?: 2 0)?"),
+    ("dl-de", "datenlizenz deutschland", r"datenlizenz deutschland (?:namensnennung|zero)(?: version)?(?: 2 0)?"),
+    ("gutenberg", "project gutenberg", r"(?:this ebook is for the use of anyone anywhere|terms of the) (?:\S+ ){0,30}project gutenberg(?: tm)? license"),
+    ("wikipedia", "text is available under the creative commons", r"text is available under the creative commons attribution share ?alike license"),
+    ("stackexchange", "user contributions licensed under", r"user contributions licensed under cc by sa(?: [234] [05])?"),
+    ("arxiv", "arxiv org licenses", r"(?:https? )?arxiv org licenses nonexclusive distrib 1 0"),
+    ("elsevier", "published by elsevier", r"(?:[0-9]{4} )?published by elsevier(?: \S+){0,6}|copyright (?:c )?(?:[0-9]{4} )?published by elsevier"),
+    ("ieee", "personal use of this material is permitted", r"personal use of this material is permitted(?: however)?(?: permission(?: from ieee)? must be obtained)?"),
+    ("acm", "digital or hard copies of", r"permission to make digital or hard copies of (?:all or )?part or all of this work|permission to make digital or hard copies of all or part of this work"),
+    ("prosperity", "prosperity public license", r"prosperity public license(?: 3 0 0)?"),
+    ("parity", "parity public license", r"parity public license(?: [67] 0 0)?"),
+    ("hippocratic", "hippocratic license", r"hippocratic license(?: version)?(?: [123] [012])?"),
+    ("fsl", "functional source license", r"functional source license(?: version)?(?: 1 [01])?"),
+    ("redis", "redis source available license", r"redis source available license(?: agreement)?"),
+    ("confluent", "confluent community license", r"confluent community license(?: agreement)?"),
+    ("timescale", "timescale license", r"timescale license agreement"),
+    ("bsl-1.1", "additional use grant", r"additional use grant (?:you may|none)"),
+    ("mariadb-bsl", "mariadb corporation ab", r"mariadb corporation ab(?: \S+){0,8} business source license|business source license(?: \S+){0,8} mariadb corporation ab"),
+    ("dual", "dual licensed", r"(?:is |are )?dual licensed under(?: the)?"),
+    ("contributor-agreement", "contributor license agreement", r"(?:individual |corporate |signed )?contributor license agreement(?: cla)?"),
+    ("dco", "developer certificate of origin", r"developer certificate of origin(?: version 1 1)?"),
+    ("patent-grant", "additional grant of patent rights", r"additional grant of patent rights(?: version 2)?"),
+    ("export-control", "export administration regulations", r"(?:subject to )?(?:the )?(?:u s |us |united states )?export administration regulations"),
+    ("restricted-rights", "restricted rights", r"u s government (?:users )?restricted rights|use duplication or disclosure(?: \S+){1,12} restricted rights"),
+    ("attribution-required", "attribution is required", r"attribution is required(?: (?:for|when) \S+)?"),
+    ("ai-training-opt-out", "machine learning", r"may not be used (?:to train|for (?:the )?training)(?: of)? (?:\S+ ){0,6}machine learning|not be used for machine learning"),
+    ("ai-training-opt-out", "text and data mining", r"(?:rights (?:are )?reserved|not permitted|prohibited)(?: \S+){0,8} text and data mining|text and data mining(?: \S+){0,8} (?:reserved|prohibited|not permitted)"),
+)
+
 #: Statements of rights and terms of use outside the named licenses.
 NOTICES = (
     ("proprietary", "all rights reserved", r"(?:proprietary|confidential)(?: \S+){0,6} all rights reserved"),

@@ -5,8 +5,8 @@ over that word stream. One Aho-Corasick pass over the text finds the rules' keyw
 keyword occurs are run. Of overlapping detections, one that lies inside another is suppressed by it if the
 other has a higher priority, or the same and more words, or comes first in the rule order.
 
-Rules are hand-written expressions (license_rules.py: sentences of license texts, notices, identifiers, short
-names), and, for licenses with many names and versions, statement forms ("licensed under ...") around each name.
+Rules are hand-written expressions (license_rules.py: sentences and clauses of license texts, notices, identifiers,
+short names), and, for licenses with many names and versions, statement forms ("licensed under ...") around each name.
 
 Defined results: null text counts as empty; without words all counts are 0, first_word and last_word are
 null, labels are empty and the score is 0; rows that repeat get the same answer; an empty table gives no
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import text_slices
-from estatelens.llm.license_rules import NOTICES, SHORT, SPDX, TEXTS
+from estatelens.llm.license_rules import CLAUSES, NOTICES, SHORT, SPDX, TEXTS
 
 #: Phrases whose every place counts, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -117,9 +117,9 @@ def rules() -> tuple[Rule, ...]:
     out: list[Rule] = []
 
     def add(label: str, priority: int, weight: float, keyword: str, expression: str) -> None:
-        out.append(Rule(len(out), label, priority, weight, keyword, re.compile(f"(?<= ){expression}(?= )")))
+        out.append(Rule(len(out), label, priority, weight, keyword, re.compile(f"(?<= )(?:{expression})(?= )")))
 
-    for label, keyword, expression in TEXTS:
+    for label, keyword, expression in TEXTS + CLAUSES:
         add(label, 5, 0.97, keyword, expression)
     for label, keyword, expression in NOTICES:
         add(label, 4, 0.8, keyword, expression)

@@ -380,12 +380,32 @@ def test_license_keywords_stand_in_every_match():
     from hypothesis import strategies
 
     warnings.simplefilter("ignore")
-    every = [(k, e) for _, k, e in license_rules.TEXTS + license_rules.NOTICES] + [(r.keyword, r.pattern.pattern[len("(?<= )") : -len("(?= )")]) for r in license_scan.rules()[-400::9]]
+    every = [(k, e) for _, k, e in license_rules.TEXTS + license_rules.CLAUSES + license_rules.NOTICES] + [(r.keyword, r.pattern.pattern[len("(?<= )") : -len("(?= )")]) for r in license_scan.rules()[-400::9]]
     for keyword, expression in every:
         made = strategies.from_regex(re.compile(expression.replace(r"\S", "[a-z]")), fullmatch=True)
         assert all(f" {keyword} " in f" {made.example()} " for _ in range(4)), (keyword, expression)
 
 
+def test_license_expressions_match_whole_words():
+    """No way of an expression begins or ends within a word."""
+    for text in (" licensed under mitigation ", " sublicense is mit ", " the vim maintainers "):
+        assert not [r.label for r in license_scan.rules() if r.pattern.search(text) and r.label in ("mit", "vim")]
+    assert len(license_rules.TEXTS + license_rules.CLAUSES + license_rules.NOTICES) > 250
+
+
+def test_license_clauses():
+    said = {
+        "Licenses for most software are designed to take away your freedom to share and change it.": "gpl",
+        "You must give appropriate credit, provide a link to the license, and indicate if changes were made.": "cc",
+        "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "In no event will the authors be held liable for any damages arising from the use of this software.": "zlib",
+        "PSF is making Python available to Licensee on an \"AS IS\" basis.": "psf",
+        "This code has nothing to do with any license, free or not.": None,
+    }
+    for text, label in said.items():
+        assert {d.label for d in brute_detections(text)} == ({label} if label else set()), text
+
+
 def brute_detections(text):
     """All matches of all rules, without the gate; one inside a stronger one goes."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
