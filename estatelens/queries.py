@@ -378,15 +378,16 @@ def e12(spark, sf):
     return views.system_views(_occ(spark, sf))
 
 
-# evidence of deployment is left out for some assets and of capability for others, so that both sides differ
-_THIN = f"NOT (modality IN ({_quoted(dims.DEPLOYMENT)}) AND asset_id < '5') AND NOT (modality IN ({_quoted(dims.CAPABILITY)}) AND asset_id > 'c')"
+# evidence of deployment counts as capability for some assets, and the other way for others, so that both sides differ
+_ONLY = [next(m for m in one if m not in other) for one, other in ((dims.CAPABILITY, dims.DEPLOYMENT), (dims.DEPLOYMENT, dims.CAPABILITY))]
+_SWAPPED = f"CASE WHEN modality IN ({_quoted(dims.DEPLOYMENT)}) AND asset_id < '5' THEN '{_ONLY[0]}' WHEN modality IN ({_quoted(dims.CAPABILITY)}) AND asset_id > 'c' THEN '{_ONLY[1]}' ELSE modality END"
 
 
-@query("k7_divergences", f"WITH {_FOUND}, tally AS (SELECT DISTINCT occurrence_id, system_id, asset_id, modality FROM found WHERE {_THIN}), {_ANSWER}, s AS (SELECT system_id, asset_id, bool_or(d) AS d, bool_or(c) AS c FROM side GROUP BY 1, 2), {_ASSETS}, ok AS (SELECT system_id FROM s GROUP BY 1 HAVING bool_or(d) AND bool_or(c)) SELECT system_id, CASE WHEN d AND NOT c THEN 'DEPLOYED_WITHOUT_SOURCE' ELSE 'CAPABLE_BUT_NOT_OBSERVED' END AS kind, asset_id, asset_name FROM s JOIN ok USING (system_id) JOIN assets USING (asset_id) WHERE d <> c")
+@query("k7_divergences", f"WITH {_FOUND}, tally AS (SELECT DISTINCT occurrence_id, system_id, asset_id, {_SWAPPED} AS modality FROM found), {_ANSWER}, s AS (SELECT system_id, asset_id, bool_or(d) AS d, bool_or(c) AS c FROM side GROUP BY 1, 2), {_ASSETS}, ok AS (SELECT system_id FROM s GROUP BY 1 HAVING bool_or(d) AND bool_or(c)) SELECT system_id, CASE WHEN d AND NOT c THEN 'DEPLOYED_WITHOUT_SOURCE' ELSE 'CAPABLE_BUT_NOT_OBSERVED' END AS kind, asset_id, asset_name FROM s JOIN ok USING (system_id) JOIN assets USING (asset_id) WHERE d <> c")
 def k7(spark, sf):
     fold = _fold(spark, sf)
     ids = evidence.identified(fold)
-    return views.divergences(evidence.occurrences(ids.filter(_THIN).select(*fold.columns)), evidence.assets(fold))
+    return views.divergences(evidence.occurrences(ids.withColumn("modality", F.expr(_SWAPPED)).select(*fold.columns)), evidence.assets(fold))
 
 
 _CLASSES = ", ".join(f"('{c}', '{m}')" for c, every in dims.ESTATE_CLASSES for m in every)
@@ -408,14 +409,14 @@ def e14(spark, sf):
     return views.coverage_statement(_coverage(spark, sf))
 
 
-@query("k11_service_coverage", f"""WITH sp AS ({synth.as_sql("events", synth.SPANS)}), t AS (SELECT DISTINCT replace(service, 'svc', 'sys') AS service FROM sp), c AS (SELECT DISTINCT concat('sys-', lpad(CAST(l_suppkey % 40 AS STRING), 2, '0')) AS service FROM lineitem WHERE l_suppkey % 40 >= 5)
+@query("k11_service_coverage", f"""WITH sp AS ({synth.as_sql("events", synth.SPANS)}), t AS (SELECT DISTINCT replace(service, 'svc', 'sys') AS service FROM sp), c AS (SELECT DISTINCT concat('sys-', lpad(CAST(l_suppkey % 40 + 5 AS STRING), 2, '0')) AS service FROM lineitem)
  SELECT coalesce(t.service, c.service) AS service, CASE WHEN t.service IS NULL THEN 'scanned_without_traffic' WHEN c.service IS NULL THEN 'unscanned' ELSE 'scanned' END AS state FROM t FULL JOIN c ON t.service = c.service""")
 def k11(spark, sf):
-    return views.service_coverage(synth.spans(spark, sf).select(F.regexp_replace("service", "svc", "sys")), synth.findings(spark, sf).filter("system_id >= 'sys-05'").select("system_id"))
+    return views.service_coverage(synth.spans(spark, sf).select(F.regexp_replace("service", "svc", "sys")), synth.findings(spark, sf).select(F.expr("concat('sys-', lpad(cast(int(substr(system_id, 5)) + 5 as string), 2, '0'))")))
 
 
-_CLAIMS = f"""{_FOUND}, {_ASSETS}, claims AS (SELECT concat('sys-', lpad(CAST(s_suppkey % 40 AS STRING), 2, '0')) AS system_id, asset_id, CASE WHEN s_suppkey % 40 < 20 THEN 'available' ELSE 'evaluating' END AS roadmap
-  FROM supplier JOIN (SELECT asset_id, primitive, row_number() OVER (ORDER BY asset_id) - 1 AS k FROM assets) a ON s_suppkey % 7 = k % 7 WHERE s_suppkey % 40 < 30)"""
+_CLAIMS = f"""{_FOUND}, {_ASSETS}, claims AS (SELECT concat('sys-', lpad(CAST(s_suppkey % 40 + 10 AS STRING), 2, '0')) AS system_id, asset_id, CASE WHEN s_suppkey % 40 < 20 THEN 'available' ELSE 'evaluating' END AS roadmap
+  FROM supplier JOIN (SELECT asset_id, primitive, row_number() OVER (ORDER BY asset_id) - 1 AS k FROM assets) a ON s_suppkey % 7 = k % 7)"""
 
 
 @query("k14_reconcile", f"""WITH {_CLAIMS}, said AS (SELECT DISTINCT system_id, asset_id FROM claims), sys AS (SELECT system_id, bool_or(roadmap = 'available') AS av FROM claims GROUP BY 1),
@@ -426,7 +427,7 @@ def k14(spark, sf):
     found = _found(spark, sf)
     known = evidence.assets(found)
     numbered = order.numbered(known.select("asset_id"), ["asset_id"]).select("asset_id", (F.col("place") - 1).alias("k"))
-    s = _table(spark, sf, "supplier").filter("s_suppkey % 40 < 30").select("s_suppkey", F.expr("concat('sys-', lpad(cast(s_suppkey % 40 as string), 2, '0'))").alias("system_id"))
+    s = _table(spark, sf, "supplier").select("s_suppkey", F.expr("concat('sys-', lpad(cast(s_suppkey % 40 + 10 as string), 2, '0'))").alias("system_id"))
     claims = s.join(numbered, F.expr("s_suppkey % 7 = k % 7")).select("system_id", "asset_id", F.expr("case when s_suppkey % 40 < 20 then 'available' else 'evaluating' end").alias("roadmap"))
     return views.reconcile(claims, found, known)
 
