@@ -33,11 +33,16 @@ def expected(count: int, columns: str, rows: list[tuple]) -> str:
     return f"SELECT p_partkey AS p, {columns} FROM part JOIN (VALUES {values}) AS w(k, {columns}) ON p_partkey % {count} = w.k"
 
 
+def dealt(keys: DataFrame, column: str) -> DataFrame:
+    """keys dealt over the cores by a column: a file is far larger than its key, so a table in one small piece would be parsed by one task."""
+    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism, column)
+
+
 def files(spark: SparkSession, sf: str, variants: list[tuple[str, str | bytes]]) -> DataFrame:
     """path and text or content of each part's variant."""
     binary = isinstance(variants[0][1], bytes)
     made = spark.createDataFrame([(k, n, bytearray(c) if binary else c) for k, (n, c) in enumerate(variants)], "k int, name string, content binary" if binary else "k int, name string, text string")
-    keyed = _table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(variants)).cast("int").alias("k"))
+    keyed = dealt(_table(spark, sf, "part").select("p_partkey"), "p_partkey").select("p_partkey", (F.col("p_partkey") % len(variants)).cast("int").alias("k"))
     return keyed.join(F.broadcast(made), "k").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("name")).alias("path"), "content" if binary else "text")
 
 
@@ -154,7 +159,7 @@ def own_rules(spark, sf):
         F.lit("import * as vault from '"), vault, F.lit("';\nvault.seal(data, { bits: "), (n * 64).cast("string"), F.lit(" });\nvault.stamp(data, "), (n + 1024).cast("string"), F.lit(");\nimport * as c from '"), hashes,
         F.lit("';\nc.createHash("), F.when(k == 1, bits).otherwise(F.concat(F.lit("'sha"), bits, F.lit("'"))), F.lit(");\n"),
     )
-    made = _table(spark, sf, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("/a.mjs")).alias("path"), text.alias("text"))
+    made = dealt(_table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string"), F.lit("/a.mjs")).alias("path"), text.alias("text"))
     found = calls.call_findings(calls.calls(made), "src", _OWN_RULES)
     return found.select(part_of("locator"), line_of("locator"), "primitive", "parameters", "purpose", F.col("raw").contains("(RULE_DEFAULT)").alias("guessed"))
 
