@@ -21,3 +21,10 @@ def test_files_are_handed_on_in_large_frames():
 def test_made_files_are_dealt_over_the_cores(spark, tmp_path):
     spark.range(1000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert source_queries.files(spark, str(tmp_path), source_queries._PROGRAMS).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_fingerprints_read_what_was_found_once(spark):
+    files = spark.createDataFrame([("x.so", bytearray(PROGRAM)), ("y", bytearray(PROGRAM))], "path string, content binary")
+    named = binaries.fingerprints(binaries.observed(files))
+    assert plan(named).count("MapInPandas") == 1
+    assert {tuple(r) for r in named.collect()} == {("x.so", "OpenSSL", "1.0.2k-fips"), ("y", "OpenSSL", "1.0.2k-fips")}
