@@ -28,3 +28,14 @@ def test_fingerprints_read_what_was_found_once(spark):
     named = binaries.fingerprints(binaries.observed(files))
     assert plan(named).count("MapInPandas") == 1
     assert {tuple(r) for r in named.collect()} == {("x.so", "OpenSSL", "1.0.2k-fips"), ("y", "OpenSSL", "1.0.2k-fips")}
+
+
+def test_binary_findings_parse_each_file_once(spark):
+    needle = dict(binaries.needles())
+    body = b"\0" * 64 + needle["sha1-h-le"] + b"\0" + needle["sha1-h"] + b"\0" + needle["sha1-h"] + b"\0" + needle["aes-sbox"]
+    files = spark.createDataFrame([("x.so", bytearray(PROGRAM)), ("y.bin", bytearray(body))], "path string, content binary")
+    found = binaries.binary_findings(files, "s")
+    assert plan(found).count("MapInPandas") == 1 and "Exchange" not in plan(found)
+    assert sorted((r["locator"], r["primitive"], r["raw"]) for r in found.collect()) == [
+        ("x.so", "AES", "EVP_aes_128_cbc"), ("x.so", "RSA", "RSA_sign"), ("y.bin", "AES", "aes-sbox 1 hit(s)"), ("y.bin", "SHA1", "sha1-h 3 hit(s)")
+    ]
