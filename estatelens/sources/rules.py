@@ -183,12 +183,12 @@ def rule_row(number: int, rule: Rule) -> tuple:
 
 def rule_table(spark: SparkSession, own: tuple[Rule, ...] | list[Rule] | DataFrame = (), first: bool = True) -> DataFrame:
     """The fixed rules, with rules of the caller (or rows of RULE_SCHEMA) before or after them: of rules that fit, the first counts."""
-    known = spark.createDataFrame([rule_row(k, r) for k, r in enumerate(RULES)], RULE_SCHEMA)
-    if not isinstance(own, DataFrame):
-        if not own:
-            return known
-        own = spark.createDataFrame([rule_row(k, r) for k, r in enumerate(own)], RULE_SCHEMA)
     shift = -(1 << 30) if first else 1 << 20
+    rows = [rule_row(k, r) for k, r in enumerate(RULES)]
+    if not isinstance(own, DataFrame):
+        # Spark does not know the size of rows that are made here, and would shuffle all calls by a few names
+        return F.broadcast(spark.createDataFrame([*rows, *((k + shift, *rule_row(k, r)[1:]) for k, r in enumerate(own))], RULE_SCHEMA))
+    known = spark.createDataFrame(rows, RULE_SCHEMA)
     own = own if "note" in own.columns else own.withColumn("note", F.lit(None).cast("string"))
     return known.unionByName(own.select(*known.columns).withColumn("rule", (F.col("rule") + shift).cast("int")))
 
@@ -199,35 +199,39 @@ def _cuts(module: Column) -> Column:
     return F.when(F.length(module) > 0, F.filter(heads, lambda x: F.substring(module, F.length(x) + 1, F.lit(1)).isin(".", "/", ":"))).otherwise(F.array().cast("array<string>"))
 
 
-def _gates(rules: DataFrame) -> DataFrame:
-    """What opens a rule: rule, module, and whole if only that very module does; the empty name opens rules without modules."""
-    named = rules.select("rule", F.explode(F.when(F.size("modules") > 0, F.col("modules")).otherwise(F.array(F.lit("")))).alias("opens"))
-    above = named.select("rule", F.explode(_cuts(F.col("opens"))).alias("opens"))
-    return named.withColumn("whole", F.lit(False)).union(above.withColumn("whole", F.lit(True))).distinct()
+def _part(name: Column, whole: bool) -> Column:
+    return F.named_struct(F.lit("opens"), name, F.lit("whole"), F.lit(whole))
+
+
+def _gates() -> Column:
+    """What opens a rule: a module, and whole if only that very module does; the empty name opens rules without modules."""
+    named = F.when(F.size("modules") > 0, F.col("modules")).otherwise(F.array(F.lit("")))
+    return F.concat(F.transform(named, lambda x: _part(x, False)), F.transform(F.flatten(F.transform(named, _cuts)), lambda x: _part(x, True)))
 
 
 def _ways(module: Column) -> Column:
-    """How a call's module can stand in a gate: any part from its beginning, itself, or not at all."""
+    """How a call's module can stand in a gate: any part from its beginning, or itself."""
     bare = F.regexp_replace(module, "^node:", "")
-    part = lambda name, whole: F.struct(name.alias("opens"), F.lit(whole).alias("whole"))
-    return F.concat(F.transform(F.array_distinct(F.concat(_cuts(bare), F.array(bare, F.lit("")))), lambda x: part(x, False)), F.array(part(module, True)))
+    every = F.concat(F.transform(F.concat(_cuts(bare), F.array(bare)), lambda x: _part(x, False)), F.array(_part(module, True)))
+    return F.filter(every, lambda x: x["opens"] != "")
 
 
 def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Calls (language, callee, args, kwargs, module, gated, ...) that a rule fits, with the columns of the first such rule.
 
-    Lookups are joins by equality; Spark broadcasts the rules if they are small and shuffles if they are not. Only calls
-    that a rule fits are brought together by call, to take the first.
+    The lookup is a join by equality; rules of rule_table() are broadcast, a caller's table if it is small. Each rule carries
+    its gates, so no call is written out for the ways to name its module. Only calls that a rule fits are brought together
+    by call, to take the first.
     """
-    named = rules.select("rule", "language", F.col("callee").alias("pattern"), "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default", "free", "note", F.explode("keys").alias("key"))
+    named = rules.select("rule", "language", F.col("callee").alias("pattern"), "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default", "free", "note", _gates().alias("gates"), F.explode("keys").alias("key"))
     names = F.array_distinct(F.concat(F.split(F.lower("callee"), "[^a-z0-9]+"), F.array(F.lit(ANY))))
     asked = rows.withColumn("call", F.monotonically_increasing_id()).select("*", F.explode(names).alias("key"))
-    met = asked.join(named, ["language", "key"]).filter(F.rlike("callee", F.col("pattern"))).select("*", F.explode(_ways(F.coalesce("module", F.lit("")))).alias("way")).select("*", "way.opens", "way.whole")
-    opened = met.join(_gates(rules), ["rule", "opens", "whole"], "left_semi")
+    met = asked.join(named, ["language", "key"]).filter(F.rlike("callee", F.col("pattern")))
     # a rule without modules leaves the question to its language
     rust = F.col("callee").rlike(rf"(::|^)({RUST_METHODS})$") & F.col("callee").rlike(rf"^(({RUST_CRATES})(::|$)|({RUST_NAMES}))")
     own_gate = F.when(F.col("language") == "rust", rust).otherwise(F.coalesce("gated", F.lit(True)))
-    fits = opened.filter((F.col("opens") != "") | F.col("free") | own_gate)
+    unnamed = F.array_contains("gates", _part(F.lit(""), False)) & (F.coalesce("free", F.lit(False)) | own_gate)
+    fits = met.filter(unnamed | F.arrays_overlap(_ways(F.coalesce("module", F.lit(""))), "gates"))
     kept = [*rows.columns, "rule", "purpose", "primitive", "parameters", "vocabulary", "sources", "by_default", "note"]
     return fits.groupBy("call").agg(F.min_by(F.struct(*kept), "rule").alias("c")).select("c.*")
 

@@ -3,7 +3,7 @@
 import pandas as pd
 
 from estatelens import source_queries
-from estatelens.sources import binaries
+from estatelens.sources import binaries, rules
 
 PROGRAM = source_queries._PROGRAMS[0][1]
 
@@ -39,3 +39,10 @@ def test_binary_findings_parse_each_file_once(spark):
     assert sorted((r["locator"], r["primitive"], r["raw"]) for r in found.collect()) == [
         ("x.so", "AES", "EVP_aes_128_cbc"), ("x.so", "RSA", "RSA_sign"), ("y.bin", "AES", "aes-sbox 1 hit(s)"), ("y.bin", "SHA1", "sha1-h 3 hit(s)")
     ]
+
+
+def test_rules_are_broadcast_and_calls_are_not_shuffled_to_meet_them(spark):
+    rows = spark.createDataFrame([("js", "x.seal", ["a"], {"bits": "128"}, "@acme/vault/node", True), ("js", "x.seal", ["a"], {}, "other", True)], "language string, callee string, args array<string>, kwargs map<string,string>, module string, gated boolean")
+    found = rules.with_rules(rows, rules.rule_table(spark, source_queries._OWN_RULES))
+    assert plan(found).count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan(found)
+    assert [(r["module"], r["primitive"]) for r in found.collect()] == [("@acme/vault/node", "AES")]
