@@ -3,7 +3,7 @@
 import pandas as pd
 
 from estatelens import source_queries
-from estatelens.sources import binaries, rules
+from estatelens.sources import binaries, calls, rules
 
 PROGRAM = source_queries._PROGRAMS[0][1]
 
@@ -46,3 +46,10 @@ def test_rules_are_broadcast_and_calls_are_not_shuffled_to_meet_them(spark):
     found = rules.with_rules(rows, rules.rule_table(spark, source_queries._OWN_RULES))
     assert plan(found).count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan(found)
     assert [(r["module"], r["primitive"]) for r in found.collect()] == [("@acme/vault/node", "AES")]
+
+
+def test_python_sources_are_parsed_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(calls, "python_calls", lambda text: seen.append(text) or binaries.python_calls(text))
+    found, imports = calls.resolved("import hashlib as hl\nhl.md5(b'')\n", "python")
+    assert len(seen) == 1 and [x[2] for x in found] == ["hashlib.md5"] and imports == [("hl", "hashlib")]
