@@ -1,8 +1,11 @@
 """What large tables need of a plan: one pass over the input, dealt over the cores, and nothing that one task gathers."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from estatelens import source_queries
+from estatelens import queries, source_queries
+from estatelens.operators import evidence, ledger
+from estatelens.plans import commands
 from estatelens.sources import binaries, calls, rules
 
 PROGRAM = source_queries._PROGRAMS[0][1]
@@ -53,3 +56,11 @@ def test_python_sources_are_parsed_once(monkeypatch):
     monkeypatch.setattr(calls, "python_calls", lambda text: seen.append(text) or binaries.python_calls(text))
     found, imports = calls.resolved("import hashlib as hl\nhl.md5(b'')\n", "python")
     assert len(seen) == 1 and [x[2] for x in found] == ["hashlib.md5"] and imports == [("hl", "hashlib")]
+
+
+def test_ingests_write_parts_of_occurrences_that_were_made_once(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id as l_orderkey", "id % 200 as l_partkey", "id % 10 as l_suppkey", "cast(id % 7 as int) as l_linenumber", "'R' as l_returnflag", "'F' as l_linestatus", "date'2020-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, ingest = [], ledger.ingest
+    monkeypatch.setattr(ledger, "ingest", lambda s, root, scan, tables: plans.extend(map(plan, (tables["occurrences"], tables["assets"]))) or ingest(s, root, scan, tables))
+    queries.QUERIES["b4_after_ingests"](spark, str(tmp_path)).collect()
+    assert len(plans) == 8 and not any("lineitem.parquet" in p for p in plans)
