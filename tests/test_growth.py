@@ -64,3 +64,21 @@ def test_ingests_write_parts_of_occurrences_that_were_made_once(spark, tmp_path,
     monkeypatch.setattr(ledger, "ingest", lambda s, root, scan, tables: plans.extend(map(plan, (tables["occurrences"], tables["assets"]))) or ingest(s, root, scan, tables))
     queries.QUERIES["b4_after_ingests"](spark, str(tmp_path)).collect()
     assert len(plans) == 8 and not any("lineitem.parquet" in p for p in plans)
+
+
+def _findings(spark):
+    rows = [(f"s{k % 2}", "RSA", "{}", "DIGITAL_SIGNATURE", "SELF", ("SOURCE_AST", "DEPENDENCY")[k % 2], f"f{k}:1", "r", None if k % 5 else "guess") for k in range(40)]
+    return evidence.identified(spark.createDataFrame([*rows, (None, *rows[0][1:])], "system_id string, primitive string, parameters string, purpose string, control_class string, modality string, locator string, raw string, assumption string"))
+
+
+def _hashed_for_each_finding(df) -> bool:
+    """Whether ids are hashed in the pass that reads locators."""
+    return any("sha2" in line and "locator" in line for line in plan(df).splitlines())
+
+
+def test_cited_rows_are_not_hashed_one_by_one(spark):
+    found = _findings(spark)
+    cited = evidence.cited(found)
+    assert not _hashed_for_each_finding(cited)
+    best = found.groupBy("occurrence_id").count()
+    assert {r["occurrence_id"] for r in cited.collect()} == {r["occurrence_id"] for r in best.collect()}
