@@ -146,13 +146,14 @@ def factor_nodes(found: DataFrame) -> DataFrame:
     """The confidence of each occurrence as a table of tree nodes.
 
     root_id, path ('' for the root, then 0, 0.1 ...), parent, depth, kind, label, value, weight. Spark has
-    no recursive struct; a tree is its nodes.
+    no recursive struct; a tree is its nodes. The findings are read twice: for their counts, and for what is cited.
     """
-    occ = occurrences(found)
-    winners = group_winners(modality_tally(found))
+    fold = folded(found)
+    occ = occurrences(fold)
+    winners = group_winners(modality_tally(fold))
     place = F.row_number().over(Window.partitionBy("occurrence_id").orderBy("grp")) - 1
     groups = winners.withColumn("place", place)
-    leaf = cited(found).join(groups.select("occurrence_id", "grp", "place"), ["occurrence_id", "grp"])
+    leaf = cited(found, fold).join(groups.select("occurrence_id", "grp", "place"), ["occurrence_id", "grp"])
     null = F.lit(None).cast("string")
     root = occ.select(F.col("occurrence_id").alias("root_id"), F.lit("").alias("path"), null.alias("parent"), F.lit(0).alias("depth"), F.lit("INFERENCE").alias("kind"), F.lit("noisy-OR across independent evidence groups").alias("label"), F.col("confidence").alias("value"), F.lit(1.0).alias("weight"))
     middle = groups.select("occurrence_id", F.col("place").cast("string"), F.lit(""), F.lit(1), F.lit("INFERENCE"), F.concat(F.lit("group "), F.col("grp").cast("string"), F.lit(": "), F.col("contributing")), "ceiling", F.lit(1.0))
@@ -170,7 +171,7 @@ def addressed(nodes: DataFrame) -> DataFrame:
     What holds below a node reaches it by an equality join with its own address: each node asks for the addresses above it.
     """
     address = F.when(F.col("path") == "", "f").otherwise(F.concat(F.lit("f."), F.col("path")))
-    rows = nodes.withColumn("address", address)
+    rows = cut_lineage(nodes.withColumn("address", address), "nodes")
     parts = F.split("address", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
     each = rows.select("root_id", "kind", F.col("address").alias("own"), F.explode(above).alias("address"))

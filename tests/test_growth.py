@@ -82,3 +82,8 @@ def test_cited_rows_are_not_hashed_one_by_one(spark):
     assert not _hashed_for_each_finding(cited)
     best = found.groupBy("occurrence_id").count()
     assert {r["occurrence_id"] for r in cited.collect()} == {r["occurrence_id"] for r in best.collect()}
+
+
+def test_addressed_makes_its_nodes_once(spark):
+    nodes = evidence.addressed(evidence.factor_nodes(_findings(spark)))
+    assert "Window" not in plan(nodes) and nodes.filter("tainted and address = 'f'").count() >= 1
