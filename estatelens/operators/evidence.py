@@ -120,6 +120,12 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
 
 
+def of_occurrence(found: DataFrame, occurrence_id: str) -> DataFrame:
+    """The findings of one occurrence, met by the few combinations that its id stands for."""
+    kinds = identified(found.groupBy(*_HASHED).agg(F.count("*").alias("_n"))).filter((F.col("_n") > 0) & (F.col("occurrence_id") == occurrence_id)).select(*_HASHED)
+    return found.join(F.broadcast(kinds), _same(found, kinds, _HASHED), "left_semi")
+
+
 def cited(found: DataFrame, fold: DataFrame | None = None) -> DataFrame:
     """Per occurrence and group: the first CITED rows of the winning modality by locator and raw.
 

@@ -177,8 +177,8 @@ def coverage_attestation(occ: DataFrame) -> DataFrame:
 
 
 def derivation(found: DataFrame, occurrence_id: str) -> DataFrame:
-    """The factor tree of one occurrence; the filter reaches the findings before anything is grouped."""
-    return evidence.factor_nodes(found.filter(F.col("occurrence_id") == occurrence_id))
+    """The factor tree of one occurrence; findings are told by what its id is hashed from, so that no id is hashed for each of them."""
+    return evidence.factor_nodes(evidence.of_occurrence(found, occurrence_id))
 
 
 def bill_of_materials(result: Scan, pack: PolicyPack, timestamp: str, profile: str = "cyclonedx-1.7", include_suspected: bool = False) -> DataFrame:

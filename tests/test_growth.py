@@ -87,3 +87,10 @@ def test_cited_rows_are_not_hashed_one_by_one(spark):
 def test_addressed_makes_its_nodes_once(spark):
     nodes = evidence.addressed(evidence.factor_nodes(_findings(spark)))
     assert "Window" not in plan(nodes) and nodes.filter("tainted and address = 'f'").count() >= 1
+
+
+def test_one_occurrence_is_found_without_hashing_each_finding(spark):
+    found = _findings(spark)
+    for one in (r["occurrence_id"] for r in found.select("occurrence_id").distinct().collect()):
+        part = evidence.of_occurrence(found, one)
+        assert part.count() == found.filter(F.col("occurrence_id") == one).count() > 0
