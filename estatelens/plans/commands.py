@@ -76,7 +76,8 @@ def source_files(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
 def collect(tree: DataFrame, system_id: str, include_dev: bool = False, keys: DataFrame | None = None, with_binaries: bool = True, sources: DataFrame | None = None, own_rules: Sequence[Rule] | DataFrame = ()) -> tuple[DataFrame, DataFrame]:
     """Findings of all detectors over a tree, and what was skipped and why. sources: the tree's sources as calls.parsed() gave them; own_rules: see calls.call_findings()."""
     texts, skipped = source_files(tree)
-    found_calls = calls.calls_of(calls.parsed(texts) if sources is None else sources)
+    # rules, Python's rules and problems all read the parsed sources
+    found_calls = calls.calls_of(cut_lineage(calls.parsed(texts), "sources") if sources is None else sources)
     found = [
         calls.call_findings(found_calls, system_id, own_rules), binaries.source_findings(found_calls.filter("language = 'python'"), system_id), text_files.config_findings(texts, system_id),
         text_files.dependency_findings(texts, system_id, include_dev)[0], binaries.certificate_findings(binaries.certificates(tree.filter(F.col("path").rlike(r"(?i)\.(pem|crt|cer|der)$"))), system_id),

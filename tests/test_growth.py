@@ -94,3 +94,10 @@ def test_one_occurrence_is_found_without_hashing_each_finding(spark):
     for one in (r["occurrence_id"] for r in found.select("occurrence_id").distinct().collect()):
         part = evidence.of_occurrence(found, one)
         assert part.count() == found.filter(F.col("occurrence_id") == one).count() > 0
+
+
+def test_a_tree_is_parsed_once_for_all_detectors(spark):
+    tree = spark.createDataFrame([("a.ts", 40, bytearray(b"import * as c from 'crypto';\nc.createHash('md5');\n")), ("b.py", 5, bytearray(b"def ("))], "path string, length long, content binary")
+    found, skipped = commands.collect(tree, "s", with_binaries=False)
+    assert plan(found).count("MapInPandas") == 1 and "MapInPandas" not in plan(skipped)  # the one is for certificates
+    assert found.count() == 1 and skipped.count() == 1
