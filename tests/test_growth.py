@@ -51,6 +51,36 @@ def test_rules_are_broadcast_and_calls_are_not_shuffled_to_meet_them(spark):
     assert [(r["module"], r["primitive"]) for r in found.collect()] == [("@acme/vault/node", "AES")]
 
 
+def test_sources_are_read_and_handed_on_as_arrow(spark):
+    rows = [("a.ts", "import * as c from 'crypto';\nc.f('x', a + 1, { k: 'v' });\n"), ("b.py", "def ("), ("c.go", None), ("d.txt", "f()")]
+    found = calls.calls(spark.createDataFrame(rows, "path string, text string"))
+    assert "MapInArrow" in plan(found) and "MapInPandas" not in plan(found)
+    assert sorted((r["path"], r["line"], r["callee"], r["args"], r["kwargs"], r["module"], r["problem"]) for r in found.collect()) == [
+        ("a.ts", 2, "c.f", ["x", None, None], {"k": "v"}, "crypto", None), ("b.py", None, None, None, None, None, "does not parse")
+    ]
+
+
+def test_names_of_modules_are_read_only_where_they_are_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(calls, "exports_of", None)
+    files = spark.createDataFrame([("a.ts", "export function f() { g(); }")], "path string, text string")
+    assert [r["callee"] for r in calls.calls(files).collect()] == ["f", "g"]
+
+
+def test_imports_are_searched_once_for_modules_and_new_names(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.searches = pattern, 0
+
+        def finditer(self, text):
+            self.searches += 1
+            return self.pattern.finditer(text)
+
+    counted = Counted(calls._IMPORTS["js"])
+    monkeypatch.setitem(calls._IMPORTS, "js", counted)
+    assert [x[2:6:3] for x in calls.resolved_calls("import { createHash as h } from 'crypto'; h('md5');", "js")] == [("createHash", "crypto")]
+    assert counted.searches == 1
+
+
 def test_python_sources_are_parsed_once(monkeypatch):
     seen = []
     monkeypatch.setattr(calls, "python_calls", lambda text: seen.append(text) or binaries.python_calls(text))
