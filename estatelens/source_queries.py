@@ -33,9 +33,16 @@ def expected(count: int, columns: str, rows: list[tuple]) -> str:
     return f"SELECT p_partkey AS p, {columns} FROM part JOIN (VALUES {values}) AS w(k, {columns}) ON p_partkey % {count} = w.k"
 
 
+#: Made files of a task.
+FILES = 20_000
+
+
 def dealt(keys: DataFrame, column: str) -> DataFrame:
-    """keys dealt over the cores by a column: a file is far larger than its key, so a table in one small piece would be parsed by one task."""
-    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism, column)
+    """keys dealt over the cores by a column: a file is far larger than its key, so a table in one small piece would be parsed by one task.
+
+    A task gets FILES at most, about, so that what it sorts does not grow with the table; rows are counted from the table's footers.
+    """
+    return keys.repartition(max(4 * keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // FILES)), column)
 
 
 def files(spark: SparkSession, sf: str, variants: list[tuple[str, str | bytes]]) -> DataFrame:

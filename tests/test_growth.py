@@ -81,6 +81,12 @@ def test_imports_are_searched_once_for_modules_and_new_names(monkeypatch):
     assert counted.searches == 1
 
 
+def test_made_files_of_a_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "FILES", 10, raising=False)
+    spark.range(1000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    assert source_queries.files(spark, str(tmp_path), source_queries._NOTED).rdd.getNumPartitions() >= 100
+
+
 def test_python_sources_are_parsed_once(monkeypatch):
     seen = []
     monkeypatch.setattr(calls, "python_calls", lambda text: seen.append(text) or binaries.python_calls(text))
