@@ -11,14 +11,15 @@ so that PER_BIN of them are expected there; that bound moves smoothly with n, so
 nodes get BANDS keys of ROWS bins each: two lines of similarity 0.8 share a band with odds of 99.4 %, of 0.9 with
 99.98 %. Nodes that share a band get a longer signature of BINS bins.
 
-Candidates. Each band draws HUBS hubs; a node is held against the hubs of its bands that most bins agree with, one a
-draw. Links join components, and a band within one component is done.
-What is still apart in bands of at most SMALL nodes is then held against each other. Larger bands are not: a node
-of which more than a fifth of the shingles stand in no other node of such bands has no link there and leaves; the
-others get longer keys in more bands (FINER), which part unlike variants of one passage, and go through the same
-steps. There the shingles of each node's own refuse pairs that surely are unlike. Only what even the longest keys
-leave together is compared whatever the size. Nodes that agree in fewer than AGREE bins are no candidates, which loses
-1 pair in 200 at similarity 0.8. Every link is verified by the Jaccard similarity over all shingles.
+Candidates. In bands of at most FEW nodes all are held against each other. A larger band chooses HUBS hubs that stand amid
+its nodes; a node is held against the hubs of its bands that most bins agree with, one a draw. Links join components.
+What is still outside the main component of a larger band, if at most SMALL nodes, is then held against the whole band.
+Of bands with more such nodes, a node of which more than a fifth of the shingles stand in no other node of such bands
+has no link there and leaves; where still more than SMALL are outside, all get longer keys in more bands (FINER), which
+part unlike variants of one passage, and go through the same steps. There the shingles of each node's own refuse pairs
+that surely are unlike. Only what even the longest keys leave together is compared whatever the size. Nodes that agree in
+fewer than AGREE bins are no candidates, which loses 1 pair in 200 at similarity 0.8. Every link is verified by the
+Jaccard similarity over all shingles.
 
 Defined results: null and empty texts are one blank line; blank lines (white space only) are kept and have
 no component; rows that repeat a doc_id are marked alike; null ids come first; an empty table gives no rows;
@@ -44,8 +45,14 @@ BANDS, ROWS, BINS = 5, 2, 32
 PER_BIN = 3
 #: Bins that two candidates agree in at least.
 AGREE = 20
-#: Hubs that a band draws, and nodes of a band that are compared with each other.
+#: Hubs of a band, and nodes outside its main component that are held against all of it.
 HUBS, SMALL = 3, 100
+#: Nodes of a band that are all compared with each other, without hubs.
+FEW = 8
+#: Lines of a task that counts shingles.
+DEALT = 100
+#: Nodes of a band that are drawn to tell which of it stand in its middle.
+DRAWS = 6
 #: Bins in a key, and keys of a node, for the nodes of larger bands: at similarity 0.8 two share a key with odds of 98.8 and 98.6 %.
 FINER = ((8, 24), (12, 60))
 
@@ -146,34 +153,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (node, key) whose key several nodes have."""
-    # dealt once by key; the aggregate and the join both use that exchange
+    """The rows (node, key) whose key several nodes have, with size, their number."""
+    # dealt once by key; the aggregate and the join both use that exchange, and the join hashes the few keys that are shared
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key")
-    return dealt.join(dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key"), "key")
+    keys = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
+    return dealt.join(keys.select("key", "size").hint("shuffle_hash"), "key")
 
 
-class _Components:
-    """Components of the links so far; each batch of links is added to the stars of the last one."""
+def _with(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """rows with component, the node itself if it has no link yet."""
+    return rows.withColumn("component", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def __init__(self, texts: DataFrame) -> None:
-        self.texts, self.labels = texts, None
 
-    def add(self, pairs: DataFrame) -> None:
-        new, before = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.texts), self.labels
-        self.labels = written(connected_components(new if before is None else new.union(before.filter("node <> component").toDF("a", "b"))), "labels")
-        dropped(before)
+def _tested(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The different pairs, the smaller node first, without those before."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return written(ordered if before is None else ordered.join(before, ["a", "b"], "left_anti"), "pairs")
 
-    def of(self, bands: DataFrame) -> DataFrame:
-        """The rows of bands whose key still has several components, with component and size, the nodes of the key."""
-        own = F.col("node") if self.labels is None else F.coalesce("component", "node")
-        placed = (bands if self.labels is None else bands.join(self.labels, "node", "left")).withColumn("component", own)
-        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-        return written(placed.join(open_, "key"), "open-bands")
+
+def _joined(labels: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """labels with the verified links of pairs; the stars of labels are links too."""
+    new = verified(pairs, texts)
+    out = written(connected_components(new if labels is None else new.union(labels.filter("node <> component").toDF("a", "b"))), "labels")
+    dropped(labels)
+    return out
 
 
 def _own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """nodes with n, their shingles, and own, those that no other of these nodes has; nodes without any possible link go."""
-    wide = nodes.select("node").join(texts, "node").select("node", F.encode("line", "UTF-16BE").alias("wide"))
+    # a task gets as many lines however many there are
+    wide = nodes.join(texts, "node").select("node", F.encode("line", "UTF-16BE").alias("wide")).repartition(-(-nodes.count() // DEALT), "node")
     last = F.greatest(F.lit(1), F.octet_length("wide") - WIDTH + 1)
     each = wide.select("node", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i")).select("node", F.xxhash64(F.substr("wide", "i", F.lit(WIDTH))).alias("h"))
     of_one = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
@@ -183,64 +192,98 @@ def _own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return counted.filter(F.col("n") - F.col("own") >= SIMILARITY * F.col("n"))
 
 
-def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """rows as a and as b, and whether a and b are candidates.
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """rows as a and as b, in how many bins a and b agree, and whether they are candidates.
 
     Similar nodes share at least SIMILARITY of all their shingles; what is a node's own is not shared, so the
     smaller remainder bounds what they share, and either with the other's own what they have together.
     """
     carried = [c for c in (*LANES, "n", "own") if c in rows.columns]
     a, b = (rows.select("key", F.col("node").alias(s), F.col("component").alias(f"c{s}"), *[F.col(n).alias(s + n) for n in carried]) for s in "ab")
-    may = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES]) >= AGREE
+    agreed = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES])
+    may = (F.col("ca") != F.col("cb")) & (agreed >= AGREE)
     if "own" in carried:
         n, own = (lambda s: F.col(s + "n")), (lambda s: F.col(s + "own"))
         shared = F.least(n("a") - own("a"), n("b") - own("b"))
         may = may & (shared >= SIMILARITY * F.greatest(n("a") + own("b"), n("b") + own("a")))
-    return a, b, may
+    return a, b, agreed, may
 
 
-def _hub_pairs(open_: DataFrame) -> DataFrame:
-    """Each node with at most HUBS hubs: of the HUBS hubs of its bands, by draw, the one that most bins agree with."""
-    a, b, may = _sides(open_)
-    drawn = b.groupBy("key").agg(*[F.min_by(F.struct(*b.columns[1:]), F.xxhash64("b", F.lit(k))).alias(f"hub{k}") for k in range(HUBS)])
-    hubs = drawn.select("key", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("draw", "hub")).select("key", "draw", "hub.*")
-    agreed = agreement([F.col("a" + n) for n in LANES], [F.col("b" + n) for n in LANES])
-    near = a.join(hubs, "key").filter(F.col("ca") != F.col("cb")).filter(may).select("a", "draw", "b", agreed.alias("agreed"))
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Each node with at most HUBS hubs: of the hubs of its bands, by draw, the one that most bins agree with.
+
+    A band draws HUBS nodes; for each, that one of its candidates, or itself, becomes a hub which agrees most with all of
+    DRAWS draws. Such a node stands amid the variants of a passage, where one drawn at random may have no link at all.
+    """
+    a, b, agreed, may = _sides(rows)
+    drawn = b.groupBy("key").agg(*[F.min_by(F.struct(*[F.col("b" + n).alias(n) for n in LANES]), F.xxhash64("b", F.lit(k))).alias(f"draw{k}") for k in range(DRAWS)])
+    own = [F.col("b" + n) for n in LANES]
+    met = b.join(drawn, "key").select("key", F.struct(*b.columns[1:]).alias("hub"), *[agreement(own, [F.col(f"draw{k}")[n] for n in LANES]).alias(f"met{k}") for k in range(DRAWS)])
+    scored = met.withColumn("score", sum([F.col(f"met{k}") for k in range(1, DRAWS)], F.col("met0")))
+    best = scored.groupBy("key").agg(*[F.max_by("hub", F.when(F.col(f"met{k}") >= AGREE, F.col("score"))).alias(f"hub{k}") for k in range(HUBS)])
+    hubs = best.select("key", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("draw", "hub")).select("key", "draw", "hub.*")
+    near = a.join(hubs, "key").filter(may).select("a", "draw", "b", agreed.alias("agreed"))
     return near.groupBy("a", "draw").agg(F.max_by("b", "agreed").alias("b")).select("a", "b")
 
 
-def _link(bands: DataFrame, found: _Components, finer: tuple = FINER) -> None:
-    """Add the links within bands (node, key, lanes and, in finer bands, n and own) to found."""
-    before = found.of(bands)
-    found.add(_hub_pairs(before))
-    open_ = found.of(before.drop("component", "size"))
-    dropped(before)
-    a, b, may = _sides(open_.filter(F.col("size") <= SMALL) if finer else open_)
-    found.add(a.join(b, (a["key"] == b["key"]) & (F.col("ca") < F.col("cb")) & may).select("a", "b"))
-    if finer:
-        large = open_.filter(F.col("size") > SMALL).select("node", *[c for c in (*LANES, "n", "own") if c in open_.columns]).distinct()
-        if not large.isEmpty():
-            large = large if "own" in large.columns else written(_own_shingles(large, found.texts), "large-bands")
-            _link(written(_shared(large.select("node", F.explode(finer_keys(*finer[0])).alias("key"))).join(large, "node"), "finer-bands"), found, finer[1:])
-            dropped(large)
-    dropped(open_)
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows of bands that still have several components, with main, the component of most nodes, and rest, the number of the others."""
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("of"))
+    bands = counts.groupBy("key").agg(F.max_by("component", "of").alias("main"), (F.sum("of") - F.max("of")).alias("rest")).filter("rest > 0")
+    return rows.drop("main", "rest").join(bands, "key")
+
+
+def _rest_pairs(rows: DataFrame) -> DataFrame:
+    """Each node outside the main component of a band with all candidates of the band."""
+    a, _, _, may = _sides(rows.filter("component <> main"))
+    _, b, _, _ = _sides(rows)
+    return a.join(b, (a["key"] == b["key"]) & may).select("a", "b")
+
+
+def _link(rows: DataFrame, texts: DataFrame, labels: DataFrame | None = None, finer: tuple = FINER) -> DataFrame:
+    """labels with the links within bands: rows are key, size, node, lanes and, in finer bands, n and own."""
+    placed = _with(labels, rows)
+    a, b, _, may = _sides(placed.filter(F.col("size") <= FEW))
+    few = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & may).select("a", "b")
+    first = _tested(few.union(_hub_pairs(placed.filter(F.col("size") > FEW))))
+    labels = _joined(labels, first, texts)
+    open_ = written(_apart(_with(labels, rows.filter(F.col("size") > FEW))), "open-bands")
+    large = open_.filter(F.col("rest") > SMALL)
+    nodes = beyond = None
+    pairs = _rest_pairs(open_.filter(F.col("rest") <= SMALL))
+    if not large.isEmpty():
+        if "own" not in large.columns:
+            nodes = written(_own_shingles(large.select("node").distinct(), texts), "own-shingles")
+            large = large.join(nodes, "node")
+        large = written(_apart(large), "large-bands")
+        pairs = pairs.union(_rest_pairs(large.filter(F.col("rest") <= SMALL) if finer else large))
+        beyond = large.filter(F.col("rest") > SMALL).select("node", *LANES, "n", "own").distinct() if finer else None
+    second = _tested(pairs, first)
+    labels = _joined(labels, second, texts)
+    if beyond is not None and not beyond.isEmpty():
+        keys = beyond.select("node", F.explode(finer_keys(*finer[0])).alias("key"))
+        labels = _link(written(_shared(keys).join(beyond, "node"), "finer-bands"), texts, labels, finer[1:])
+    for table in (first, second, open_, nodes, large):
+        dropped(table)
+    return labels
 
 
 def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, h1, h2) of the filled lines that share a band, and (node, component) of those with a link."""
     lines = _lines(docs).filter(_filled()).select(*_hashes(), "line")
-    signed = signatures(lines.groupBy("h1", "h2").agg(F.first("line").alias("line")), ["h1", "h2"], BANDS * ROWS)
+    # copies of a line have one signature, so they meet in the aggregate of it and no text is shuffled
+    signed = signatures(lines, ["h1", "h2"], BANDS * ROWS)
     nodes = written(signed.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", band_keys().alias("keys")), "nodes")
     bands = written(_shared(nodes.select("node", F.explode("keys").alias("key"))), "shared-bands")
     wanted = written(bands.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"), "wanted")
     dropped(nodes)
-    texts = written(lines.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line")), "texts")
-    longer = written(signatures(texts, ["node"], BINS).select("node", *lanes()), "signatures")
-    found = _Components(texts)
-    _link(bands.join(longer, "node"), found)
-    for table in (bands, longer, texts):
+    texts = written(lines.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line")), "texts")
+    rows = written(bands.join(signatures(texts, ["node"], BINS).select("node", *lanes()), "node"), "signed-bands")
+    dropped(bands)
+    labels = _link(rows, texts)
+    for table in (rows, texts):
         dropped(table)
-    return wanted, found.labels
+    return wanted, labels
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -251,7 +294,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     fuzzy = written(linked.join(name, "component").select("h1", "h2", F.col("name.h1").alias("c1"), F.col("name.h2").alias("c2")), "fuzzy")
     dropped(nodes)
     dropped(labels)
-    placed = _lines(docs).select("doc_id", "line_no", *_hashes()).join(fuzzy, ["h1", "h2"], "left")
+    placed = _lines(docs).select("doc_id", "line_no", *_hashes()).join(fuzzy.hint("shuffle_hash"), ["h1", "h2"], "left")
     placed = written(placed.select("doc_id", "line_no", "h1", "h2", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")), "placed-lines")
     dropped(fuzzy)
     # joined by place, not by component: no large component meets in one task

@@ -233,6 +233,28 @@ def test_line_dedup_of_large_bands(spark, monkeypatch):
     assert (got - want).total() <= 0.03 * len(rows)
 
 
+def test_line_nodes_without_sorted_texts(edge, monkeypatch):
+    """Copies of a line meet by their signature in hash aggregates: their texts are neither shuffled nor sorted for it."""
+    plans = {}
+    real = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(df, name))
+    line_dedup.near_duplicate_nodes(edge)
+    assert "HashAggregate" in plans["nodes"] and "SortAggregate" not in plans["nodes"]
+
+
+def test_line_hubs_stand_amid_the_variants(spark):
+    """Where most lines of a band have no link, a hub is one that has: lines far from a passage find no hub of their own."""
+    rng = random.Random(21)
+    passage = words(rng, 60).split()
+    far = [" ".join(w if rng.random() > 0.07 else words(rng, 1, 5000) + str(rng.randrange(1000)) for w in passage) for _ in range(40)]
+    near = [" ".join(passage[:k] + [f"x{k}"] + passage[k + 1 :]) for k in range(20)]
+    texts = spark.createDataFrame(list(enumerate(near + far)), "node long, line string")
+    rows = line_dedup.signatures(texts, ["node"], line_dedup.BINS).select("node", *line_dedup.lanes()).selectExpr("*", "1L AS key", "node AS component")
+    found = {(r["a"], r["b"]) for r in line_dedup._hub_pairs(rows).collect()}
+    linked = {a for a, b in found if a != b and jaccard((near + far)[a], (near + far)[b]) >= 0.8}
+    assert len(linked & set(range(20))) >= 18
+
+
 def shingles(line):
     """Windows of 12 UTF-16 units."""
     units = line.encode("utf-16-be")
