@@ -33,6 +33,30 @@ def test_fingerprints_read_what_was_found_once(spark):
     assert {tuple(r) for r in named.collect()} == {("x.so", "OpenSSL", "1.0.2k-fips"), ("y", "OpenSSL", "1.0.2k-fips")}
 
 
+def test_all_strings_of_a_file_are_searched(spark):
+    plain = b"".join(b"word%06d\0" % k for k in range(20_001)) + b"".join(b"md5 %06d\0" % k for k in range(401))
+    body = plain + b"OpenSSL 3.0.2\0NSS  3.90\0OpenSSL 3.0.2\0\0" + "wolfSSL 5.6.3".encode("utf-16-le")
+    found = binaries.observed(spark.createDataFrame([("y.bin", bytearray(body))], "path string, content binary"))
+    assert {tuple(r) for r in binaries.fingerprints(found).collect()} == {("y.bin", "OpenSSL", "3.0.2"), ("y.bin", "NSS", "3.90"), ("y.bin", "wolfSSL", "5.6.3")}
+    assert sorted(r["value"] for r in found.collect()) == sorted([f"md5 {k:06d}" for k in range(401)] + ["OpenSSL 3.0.2", "NSS  3.90", "wolfSSL 5.6.3"])
+
+
+def test_strings_beyond_memory_are_told_once(monkeypatch):
+    monkeypatch.setattr(binaries, "_HELD", 3)
+    words = [f"md5 {k % 700}" for k in range(2000)]
+    assert list(binaries.once(words[:3] * 2)) == words[:3]
+    assert sorted(binaries.once(words)) == sorted(set(words))
+
+
+def test_one_file_is_handed_on_in_several_frames(monkeypatch):
+    body = b"".join(b"md5 %06d\0" % k for k in range(1000))
+    for name, bound in (("_ROWS", 100), ("_CHARS", 1000)):
+        with monkeypatch.context() as m:
+            m.setattr(binaries, name, bound)
+            frames = list(binaries._observe(iter([pd.DataFrame({"path": ["y"], "content": [body]})])))
+        assert max(map(len, frames)) == 100 and pd.concat(frames)["value"].nunique() == 1000
+
+
 def test_binary_findings_parse_each_file_once(spark):
     needle = dict(binaries.needles())
     body = b"\0" * 64 + needle["sha1-h-le"] + b"\0" + needle["sha1-h"] + b"\0" + needle["sha1-h"] + b"\0" + needle["aes-sbox"]
